@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strata.llm import substring_dedup
+from strata.llm import decontamination, substring_dedup, token_files
 
-_MODULES = (substring_dedup,)
+_MODULES = (substring_dedup, token_files, decontamination)
 
 
 def queries() -> dict:

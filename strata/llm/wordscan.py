@@ -106,47 +106,53 @@ def _string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def scan(column: pa.Array, pattern: str, lower: bool, seed: int = 7) -> Iterator[Words]:
-    """The words of every row of a string column with a 64-bit hash each.
-
-    A word's hash is a polynomial of its bytes over keyed byte values, then
-    scrambled; it depends on the word's bytes (A-Z folded if ``lower``) and
-    on ``seed`` only.
-    """
+def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, row edges in them) of consecutive slices of a string column."""
     if len(column) == 0:
         return
     data, offsets = _string_buffers(column)
-    inside = word_bytes(pattern)
-    value = keyed(256, seed)
-    if lower:
-        value[65:91] = value[97:123]
     row, n = 0, len(offsets) - 1
     while row < n:
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="right")) - 1)
         stop = min(stop, n)
         lo, hi = int(offsets[row]), int(offsets[stop])
-        part = data[lo:hi]
-        edge = offsets[row : stop + 1] - lo
+        yield row, data[lo:hi], offsets[row : stop + 1] - lo
+        row = stop
+
+
+def span_hashes(part: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span: a scrambled polynomial over keyed bytes."""
+    up, down = _BYTES.get(len(part) + 1)
+    total = np.zeros(len(part) + 1, dtype=_U)
+    np.cumsum(value[part] * up[: len(part)], out=total[1:])
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(0xA0761D6478BD642F))
+
+
+def byte_values(lower: bool, seed: int = 7) -> np.ndarray:
+    value = keyed(256, seed)
+    if lower:
+        value[65:91] = value[97:123]
+    return value
+
+
+def scan(column: pa.Array, pattern: str, lower: bool, seed: int = 7) -> Iterator[Words]:
+    """The words of every row of a string column with a 64-bit hash each.
+
+    A word's hash depends on its bytes (A-Z folded if ``lower``) and on
+    ``seed`` only.
+    """
+    inside, value = word_bytes(pattern), byte_values(lower, seed)
+    for row, part, edge in slices(column):
         is_word = inside[part]
-        opens = np.empty(len(part) + 1, dtype=bool)
-        opens[0] = False
-        opens[-1] = False
         before = np.zeros(len(part), dtype=bool)
         before[1:] = is_word[:-1]
-        cut = edge[:-1][edge[:-1] < len(part)]
-        before[cut] = False
+        before[edge[:-1][edge[:-1] < len(part)]] = False
         start = np.flatnonzero(is_word & ~before)
         after = np.zeros(len(part), dtype=bool)
         after[:-1] = is_word[1:]
-        last = edge[1:][edge[1:] > 0] - 1
-        after[last] = False
+        after[edge[1:][edge[1:] > 0] - 1] = False
         end = np.flatnonzero(is_word & ~after) + 1
-        up, down = _BYTES.get(len(part) + 1)
-        total = np.zeros(len(part) + 1, dtype=_U)
-        np.cumsum(value[part] * up[: len(part)], out=total[1:])
-        h = mix64((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(0xA0761D6478BD642F))
-        yield Words(row, np.searchsorted(start, edge), start, end, h, part)
-        row = stop
+        yield Words(row, np.searchsorted(start, edge), start, end, span_hashes(part, start, end, value), part)
 
 
 def windows(words: Words, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
