@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strata.llm import decontamination, substring_dedup, token_files
+from strata.llm import chat_format, decontamination, language_id, near_dedup, substring_dedup, token_files
 
-_MODULES = (substring_dedup, token_files, decontamination)
+_MODULES = (substring_dedup, near_dedup, token_files, decontamination, chat_format, language_id)
 
 
 def queries() -> dict:
