@@ -1,6 +1,67 @@
-STAGES = []
+"""A corpus pipeline: documents in, token ids out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the documents of the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.llm.decontamination import decontaminate
+from strata.llm.language_id import UNKNOWN, held_out, identify, language_profiles
+from strata.llm.near_dedup import drop_near_duplicates
+from strata.llm.piece_coding import PieceModel, decode_pieces, encode_pieces
+from strata.llm.shared import stored, table
+from strata.llm.substring_dedup import remove_repeats
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; texts without a letter go."""
+    taught = docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    found = identify(docs, language_profiles(taught))
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    return drop_near_duplicates(docs, size=5, percent=80)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words that an earlier document has."""
+    return remove_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids and the text decoded from them."""
+    import public_tokenizers
+
+    model = PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = decode_pieces(encode_pieces(docs, model), model)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("near_dedup", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("decontamination", decontamination_stage),
+    ("piece_coding", encoding_stage),
+]
+
+#: No SQL has the near-duplicate components or the piece search; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
