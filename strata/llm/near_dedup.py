@@ -11,9 +11,10 @@ of a chunk in turn.  Two signatures within the bound then share at least one of
 these keys.
 
 Documents with the same set collapse to one representative first, so groups of
-copies never meet in the join.  Candidates of a key are compared in blocks by
-size and signature; every pair that passes is confirmed on the full shingle
-sets.  Links become components by rounds of star joins, each in Spark.
+copies never meet in the join.  Candidates of a key are compared by size and
+signature, and every pair that passes is confirmed on the full shingle sets; a
+key that many documents share is compared on full sets in blocks.  Links become
+components by rounds of star joins, each in Spark.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from strata.llm.shared import keyed_text, stored, table
 SYMBOLS = 64
 BITS = 8
 MISS = 1e-7
+SMALL = 64
 BLOCK = 512
 
 _SIGNED = "doc_id long, n_shingles long, set_hash long, set_hash2 long, signature binary"
@@ -137,54 +139,116 @@ def _emit_keys(bound: int):
     return run
 
 
-def _near(a: dict, b: dict | None, percent: int, bound: int, key: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i of a, j of b, or of a itself) that may be links, found first under this key."""
-    other = b or a
-    i, j = np.nonzero((100 * np.minimum(a["n"][:, None], other["n"][None, :]) >= percent * np.maximum(a["n"][:, None], other["n"][None, :])))
-    if b is None:
-        up = i < j
-        i, j = i[up], j[up]
-    if not len(i):
-        return i, j
-    keep = []
-    for s in range(0, len(i), 65536):
-        keep.append(np.count_nonzero(a["sig"][i[s : s + 65536]] != other["sig"][j[s : s + 65536]], axis=1) <= bound)
-    keep = np.concatenate(keep)
-    i, j = i[keep], j[keep]
-    if len(i):
-        differ = a["sig"][i] != other["sig"][j]
-        first = np.full(len(i), -1, dtype=np.int64)
-        leave = np.zeros(len(i), dtype=np.int64)
-        for c, cols in reversed(list(enumerate(chunks(bound)))):
-            errors = differ[:, cols]
-            ok = errors.sum(axis=1) <= 1
-            first[ok] = c
-            leave[ok] = np.where(errors[ok].any(axis=1), cols[errors[ok].argmax(axis=1)], cols[0])
-        mine = np.zeros(len(i), dtype=bool)
-        for c, cols in enumerate(chunks(bound)):
-            for x in cols.tolist():
-                at = np.flatnonzero((first == c) & (leave == x))
-                if len(at):
-                    v = np.full(len(at), np.uint64(c * 1000 + x))
-                    for y in cols.tolist():
-                        if y != x:
-                            v = ws.mix64(v * np.uint64(31) + a["sig"][i[at], y].astype(np.uint64))
-                    mine[at] = v.view(np.int64) == key
-        i, j = i[mine], j[mine]
-    return i, j
-
-
-def _pairs(percent: int, bound: int):
-    """Rows come sorted by (key, left, right); one such group is a block, or two that are compared."""
-
-    def compare(key: int, left: int, right: int, t: pa.Table):
-        block = t.column("block").to_numpy()
-        cols = {"id": t.column("doc_id").to_numpy(), "n": t.column("n_shingles").to_numpy(), "sig": _matrix(t.column("signature").combine_chunks())}
-        a = {k: v[block == left] for k, v in cols.items()}
-        b = None if left == right else {k: v[block == right] for k, v in cols.items()}
-        i, j = _near(a, b, percent, bound, key)
-        x, y = a["id"][i], (b or a)["id"][j]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+def _first_key(sig_a: np.ndarray, sig_b: np.ndarray, bound: int) -> np.ndarray:
+    """The first key that two signatures within the bound share."""
+    cut = chunks(bound)
+    differ = sig_a != sig_b
+    first = np.full(len(sig_a), -1, dtype=np.int64)
+    leave = np.zeros(len(sig_a), dtype=np.int64)
+    for c, cols in reversed(list(enumerate(cut))):
+        errors = differ[:, cols]
+        ok = errors.sum(axis=1) <= 1
+        first[ok] = c
+        leave[ok] = np.where(errors[ok].any(axis=1), cols[errors[ok].argmax(axis=1)], cols[0])
+    padded = np.full((len(cut), max(map(len, cut))), -1, dtype=np.int64)
+    for c, cols in enumerate(cut):
+        padded[c, : len(cols)] = cols
+    v = (first * 1000 + leave).astype(np.uint64)
+    rows = np.arange(len(sig_a))
+    for t in range(padded.shape[1]):
+        at = padded[first, t]
+        use = (at >= 0) & (at != leave)
+        v = np.where(use, ws.mix64(v * np.uint64(31) + sig_a[rows, at].astype(np.uint64)), v)
+    return v.view(np.int64)
+
+
+def _small_pairs(percent: int, bound: int):
+    """Candidate pairs of keys with few documents; rows come sorted by key.
+
+    A pair within the bounds on size and distance comes once, under the first
+    key that it has in common.
+    """
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, ids, n = (t.column(c).to_numpy() for c in ("key", "doc_id", "n_shingles"))
+        sig = _matrix(t.column("signature").combine_chunks())
+        ends = np.searchsorted(key, key, side="right")
+        rows, step = np.arange(len(key)), 1
+        while True:
+            rows = rows[rows + step < ends[rows]]
+            if not len(rows):
+                break
+            i, j = rows, rows + step
+            near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            i, j = i[near], j[near]
+            near = np.count_nonzero(sig[i] != sig[j], axis=1) <= bound
+            i, j = i[near], j[near]
+            if len(i):
+                own = _first_key(sig[i], sig[j], bound) == key[i]
+                x, y = ids[i[own]], ids[j[own]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            step += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            edge = int(np.searchsorted(key, key[-1], side="left"))
+            if edge == 0 and rest and rest[-1].column("key")[-1].as_py() == key[0]:
+                rest.append(batch)
+                continue
+            yield from compare(pa.Table.from_batches([*rest, batch.slice(0, edge)]))
+            rest = [batch.slice(edge)]
+        if rest:
+            yield from compare(pa.Table.from_batches(rest))
+
+    return run
+
+
+def _similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of some sets have the similarity: intersections by products of incidence matrices."""
+    n = len(sets)
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=n)
+    owner = np.repeat(np.arange(n), size)
+    column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    shared = count[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((n, n), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        s, e = np.searchsorted(column, [lo, lo + 4096])
+        part = np.zeros((n, 4096), dtype=np.float32)
+        part[owner[s:e], column[s:e] - lo] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    return 100 * both >= percent * (size[:, None] + size[None, :] - both)
+
+
+def _hot_links(size: int, percent: int):
+    """Joined pairs of keys with many documents, two blocks at a time, on full sets.
+
+    Rows come sorted by (key, left, right).  Of each group of linked documents
+    every member is paired with the smallest, not with every other.
+    """
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        ids, sets = t.column("doc_id").to_numpy(), []
+        for w in ws.scan(t.column("text"), "space", lower=True):
+            h, at = shingle_sets(w, size)
+            sets += [h[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+        alike = _similar(sets, percent)
+        label = ids.copy()
+        while True:  # smallest id among linked documents, until nothing changes
+            least = np.where(alike, label[None, :], np.iinfo(np.int64).max).min(axis=1)
+            least = np.minimum(least, label)
+            if (least == label).all():
+                break
+            label = least
+        own = label != ids
+        return pa.RecordBatch.from_arrays([pa.array(label[own]), pa.array(ids[own])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -197,12 +261,12 @@ def _pairs(percent: int, bound: int):
             for s, e in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
                 group = (int(k[s]), int(l[s]), int(r[s]))
                 if held and group != current:
-                    yield compare(*current, pa.Table.from_batches(held))
+                    yield compare(pa.Table.from_batches(held))
                     held = []
                 current = group
                 held.append(batch.slice(s, e - s))
         if held:
-            yield compare(*current, pa.Table.from_batches(held))
+            yield compare(pa.Table.from_batches(held))
 
     return run
 
@@ -249,21 +313,29 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicate_links(reps: DataFrame, text: DataFrame, size: int, percent: int) -> DataFrame:
-    """All links (a, b) between representatives whose sets have the similarity."""
+def near_duplicate_links(reps: DataFrame, text: DataFrame, size: int, percent: int, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of representatives that give the same components as all links.
+
+    Keys with at most ``small`` documents give candidate pairs, each confirmed on
+    the full sets.  A key with more is cut into blocks; each two of them meet in
+    one task that compares the full sets of their documents and returns at most
+    one pair per document.
+    """
     bound = distance_bound(percent / 100)
     keys = reps.select("doc_id", "signature").mapInArrow(_emit_keys(bound), "key long, doc_id long")
     sizes = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     members = stored(keys.join(sizes, "key"), "members")
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    member = members.join(reps, "doc_id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).cast("int").alias("left"), F.greatest("block", o).cast("int").alias("right")))
-    dealt = member.select("key", "doc_id", "n_shingles", "signature", "block", F.explode(met).alias("m")).select("key", "m.left", "m.right", "block", "doc_id", "n_shingles", "signature")
-    sorted_ = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    pairs = stored(sorted_.mapInArrow(_pairs(percent, bound), "a long, b long"), "pairs")
+    few = members.where(F.col("k") <= small).join(reps, "doc_id").select("key", "doc_id", "n_shingles", "signature")
+    pairs = stored(few.repartition("key").sortWithinPartitions("key").mapInArrow(_small_pairs(percent, bound), "a long, b long"), "pairs")
     left = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     full = left.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(_verify(size, percent), "a long, b long")
+    confirmed = full.mapInArrow(_verify(size, percent), "a long, b long")
+    blocks = F.ceil(F.col("k") / block).cast("int")
+    many = members.where(F.col("k") > small).select("key", "doc_id", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).cast("int").alias("left"), F.greatest("block", o).cast("int").alias("right")))
+    dealt = many.join(text, "doc_id").select("key", "doc_id", "text", F.explode(met).alias("m")).select("key", "m.left", "m.right", "doc_id", "text")
+    joined = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right").mapInArrow(_hot_links(size, percent), "a long, b long")
+    return confirmed.unionByName(joined)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
