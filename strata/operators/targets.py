@@ -190,7 +190,7 @@ def performance_tempo(notes: DataFrame, n: int = CURVE_FRAMES, seconds: float =
     near = own.select("track_id", "onset", "seq", F.explode(F.sequence(first, last)).alias("frame")).where((F.col("frame") >= 0) & (F.col("frame") < n))
     gaps = near.withColumn("ioi", F.col("onset") - F.lag("onset").over(Window.partitionBy("track_id", "frame").orderBy("onset", "seq")))
     per = gaps.groupBy("track_id", "frame").agg(F.count("*").alias("n"), F.expr("percentile(ioi, 0.5)").alias("gap")).where((F.col("n") >= 3) & (F.col("gap") > 0)).select("track_id", "frame", V.tempo_level(60.0 / F.col("gap")).alias("v"))
-    grid = many.select("track_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("frame"))
+    grid = many.select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("frame"))
     w = _by("track_id", order="frame").rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(per, ["track_id", "frame"], "left").select("track_id", F.col("frame").cast("int").alias("frame"), F.coalesce(F.last("v", True).over(w), F.lit(1.0)).alias("x"))
 
