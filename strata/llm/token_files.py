@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import wordscan as ws
 from strata.llm.idpool import IdPool
-from strata.llm.shared import keyed_text, new_path, table
+from strata.llm.shared import keyed_text, new_path, stored, table
 
 END_ID = 1
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
@@ -40,7 +40,7 @@ def _tokenizer(path: str):
         def encode(spans: list[bytes]) -> list[list[int]]:
             return [e.ids for e in t.encode_batch_fast([s.decode("utf-8", "replace") for s in spans], add_special_tokens=False)]
 
-        _pools[path] = (t, special, IdPool(encode))
+        _pools[path] = (t, special, IdPool(encode, limit=800_000))
     return _pools[path]
 
 
@@ -134,7 +134,7 @@ def token_file_index(spark: SparkSession, path: str) -> DataFrame:
     files.  Rows that share an id keep a fixed order by length and checksum.
     """
     rows = read_token_files(spark, path).select("doc_id", "ids", F.col("_metadata.file_path").alias("file"))
-    digests = rows.mapInArrow(_digest, "doc_id long, file string, n_tokens long, ids_crc32 long")
+    digests = stored(rows.mapInArrow(_digest, "doc_id long, file string, n_tokens long, ids_crc32 long"), "digests")
     inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     placed = digests.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     totals = placed.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("least"))
