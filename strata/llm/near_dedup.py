@@ -354,7 +354,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = near_duplicate_links(classes.select("doc_id", "n_shingles", "signature"), text.where("doc_id is not null"), size, percent)
     joined = components(links)
     placed = classes.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_hash", "set_hash2", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    out = signed.drop("signature").join(placed, ["set_hash", "set_hash2", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = signed.drop("signature").join(placed, ["set_hash", "set_hash2", "n_shingles"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
