@@ -131,7 +131,7 @@ def t11_curve(s, d):
     return _points(T.performance_tempo_curve(views.notes(s, d)))
 
 
-@query("t12_articulation", ", r as (select track_id, least(greatest(dur / greatest(lead(onset) over (partition by track_id order by onset, seq) - onset, 0.001::double), 0), 1.5::double) as r from v_notes), c as (select track_id, least(floor(r / (1.5::double / 16)) + 1, 16)::int as bin, count(*) as n from r where r is not null group by all), t as (select track_id, count(*) as notes from v_notes group by 1) select track_id, bin::int as bin, round(coalesce(n, 0) / (notes - 1), 6) as p from (select track_id, notes, unnest(range(1, 17)) as bin from t) left join c using (track_id, bin)")
+@query("t12_articulation", ", l as (select *, lead(onset) over (partition by track_id order by onset, seq) as nx from v_notes), r as (select track_id, least(greatest(((onset + dur) - onset) / greatest(nx - onset, 0.001::double), 0), 1.5::double) as r from l where nx is not null), c as (select track_id, least(floor(r / (1.5::double / 16)) + 1, 16)::int as bin, count(*) as n from r where r is not null group by all), t as (select track_id, count(*) as notes from v_notes group by 1) select track_id, bin::int as bin, round(coalesce(n, 0) / (notes - 1), 6) as p from (select track_id, notes, unnest(range(1, 17)) as bin from t) left join c using (track_id, bin)")
 def t12(s, d):
     notes = views.notes(s, d).withColumn("offset", F.col("onset") + F.col("dur"))
     return _r(T.articulation(notes), "p")
@@ -296,9 +296,9 @@ def r7(s, d):
     return _r(R.discover_segments(views.segments(s, d), t, views.N_LAYERS).drop("layer_weights"), "r2_score", "correlation", "rmse", "r2_gain", "coverage")
 
 
-@query("j4_align_segments", ", t as (select printf('t%04d', id // 10) as track_id, (id % 10)::int as segment_idx, y from v_targets where target = 'quality' and y is not null), n as (select track_id from t group by 1 having count(*) = 10 or (track_id = (select max(track_id) from v_seg) and count(*) = (select count(distinct segment_idx) from v_seg where track_id = (select max(track_id) from v_seg)))) select s.track_id, s.segment_idx, layer, y from v_seg s join t using (track_id, segment_idx) join n using (track_id)")
+@query("j4_align_segments", ", t as (select printf('t%04d', id // 10) as track_id, (id % 10)::int as segment_idx, y from v_targets where target = 'label_value' and y is not null and (id % 10 < 6 or id // 10 % 3 <> 0)), n as (select track_id from t join (select track_id, count(distinct segment_idx) as ns from v_seg group by 1) using (track_id) group by track_id having count(*) = max(ns)) select s.track_id, s.segment_idx, layer, y from v_seg s join t using (track_id, segment_idx) join n using (track_id)")
 def j4(s, d):
-    t = views.targets(s, d).where("target = 'quality' and y is not null").select(F.format_string("t%04d", F.expr("id div 10")).alias("track_id"), (F.col("id") % 10).cast("int").alias("segment_idx"), "target", "y")
+    t = views.targets(s, d).where("target = 'label_value' and y is not null and (id % 10 < 6 or (id div 10) % 3 <> 0)").select(F.format_string("t%04d", F.expr("id div 10")).alias("track_id"), (F.col("id") % 10).cast("int").alias("segment_idx"), "target", "y")
     return R.align_segments(views.segments(s, d), t).select("track_id", "segment_idx", "layer", "y")
 
 

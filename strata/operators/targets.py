@@ -203,8 +203,8 @@ def performance_tempo_curve(notes: DataFrame, n: int = CURVE_FRAMES, seconds: fl
 def articulation(notes: DataFrame, bins: int = 16, top: float = 1.5) -> DataFrame:
     """(track_id, bin, p): shares of notes by length over distance to the next onset; a single note is spread evenly."""
     w = Window.partitionBy("track_id").orderBy("onset", "seq")
-    ratio = F.least(F.greatest((F.col("offset") - F.col("onset")) / F.greatest(F.lead("onset").over(w) - F.col("onset"), F.lit(1e-3)), F.lit(0.0)), F.lit(top))
-    ratios = notes.withColumn("r", ratio).where("r is not null")
+    ratio = F.least(F.greatest((F.col("offset") - F.col("onset")) / F.greatest(F.col("next") - F.col("onset"), F.lit(1e-3)), F.lit(0.0)), F.lit(top))
+    ratios = notes.withColumn("next", F.lead("onset").over(w)).where("next is not null").withColumn("r", ratio)
     counts = ratios.groupBy("track_id", F.least(F.width_bucket("r", F.lit(0.0), F.lit(top), F.lit(bins)), F.lit(bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     grid = notes.groupBy("track_id").agg(F.count("*").alias("notes")).select("track_id", "notes", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     p = F.when(F.col("notes") < 2, 1.0 / bins).otherwise(F.coalesce("n", F.lit(0)) / (F.col("notes") - 1))

@@ -27,7 +27,7 @@ def read_clip_index(spark: SparkSession, path: str) -> DataFrame:
     rows = require_columns(_rows(spark, path), [c for c in CLIP_COLUMNS if c != "work_id"])
     if "work_id" not in rows.columns:
         rows = rows.withColumn("work_id", F.lit(""))
-    rows = rows.withColumn("work_id", F.coalesce("work_id", F.lit("")))
+    rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("work_id", "embedding_path")})
     types = dict(x.strip().split(" ") for x in CLIP_SCHEMA.split(","))
     clips = rows.select(*[F.col(c).cast(types[c]).alias(c) for c in CLIP_COLUMNS])
     if not clips.where(" or ".join(f"{c} is null" for c in CLIP_COLUMNS)).isEmpty():
