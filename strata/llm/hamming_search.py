@@ -14,7 +14,6 @@ all that an answer can use, since ties go to the smaller id.
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,8 +41,10 @@ def _segments(code: Column, m: int, bits: int) -> Column:
     return F.array(*[F.struct(F.lit(s).alias("segment"), F.call_function("shiftrightunsigned", code, F.lit(s * width)).bitwiseAND(mask).alias("value")) for s in range(m)])
 
 
-def _flips(width: int, radius: int) -> Column:
-    return F.array(*[F.lit(sum(1 << b for b in c)).cast("long") for c in combinations(range(width), radius)])
+def _flips(row: Column, width: int, radius: int) -> Column:
+    """All masks of ``radius`` bits, made for each row, so that they are no large constant of the plan."""
+    last = F.when(row.isNotNull(), F.lit((1 << width) - 1).cast("long"))
+    return F.filter(F.sequence(F.lit(0).cast("long"), last), lambda x: F.bit_count(x) == radius)
 
 
 def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, segments: int | None = None) -> DataFrame:
@@ -70,9 +71,10 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = B
     closed = best
     order = Window.partitionBy("query_id", "query_code").orderBy("distance", "id")
     for radius in range(width + 1):
-        probes = open_.select("query_id", "query_code", F.explode(_segments(F.col("query_code"), m, bits)).alias("s"), _flips(width, radius).alias("flips"))
+        probes = open_.select("query_id", "query_code", F.explode(_segments(F.col("query_code"), m, bits)).alias("s"), _flips(F.col("query_id"), width, radius).alias("flips"))
         probes = probes.select("query_id", "query_code", F.col("s.segment").alias("segment"), F.col("s.value").alias("own"), F.explode("flips").alias("flip")).select("query_id", "query_code", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
-        met = probes.join(by_segment, ["segment", "value"])
+        # Probes are many more than Spark's estimate from the few queries says, so they are not broadcast.
+        met = probes.hint("merge").join(by_segment, ["segment", "value"])
         # A code is verified under the first segment that meets it, so it comes once per query over all rounds.
         x = F.col("code").bitwiseXOR(F.col("query_code"))
         near = [F.bit_count(F.call_function("shiftrightunsigned", x, F.lit(s * width)).bitwiseAND(F.lit((1 << width) - 1).cast("long"))) for s in range(m)]
