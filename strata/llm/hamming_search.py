@@ -71,7 +71,8 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = B
     closed = best
     order = Window.partitionBy("query_id", "query_code").orderBy("distance", "id")
     for radius in range(width + 1):
-        probes = open_.select("query_id", "query_code", F.explode(_segments(F.col("query_code"), m, bits)).alias("s"), _flips(F.col("query_id"), width, radius).alias("flips"))
+        masked = open_.select("query_id", "query_code", _flips(F.col("query_id"), width, radius).alias("flips"))
+        probes = masked.select("query_id", "query_code", "flips", F.explode(_segments(F.col("query_code"), m, bits)).alias("s"))
         probes = probes.select("query_id", "query_code", F.col("s.segment").alias("segment"), F.col("s.value").alias("own"), F.explode("flips").alias("flip")).select("query_id", "query_code", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
         # Probes are many more than Spark's estimate from the few queries says, so they are not broadcast.
         met = probes.hint("merge").join(by_segment, ["segment", "value"])
