@@ -19,15 +19,16 @@ class IdPool:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.keys = np.empty(0, dtype=np.uint64)  # sorted
+        self.slots = np.empty(0, dtype=np.int32)  # where each key's ids are
         self.offsets = np.zeros(1 << 12, dtype=np.int64)
         self.ids = np.zeros(1 << 14, dtype=np.int32)
         self.used = 0
 
-    def _add(self, keys: list[int], spans: list[bytes]) -> None:
+    def _add(self, keys: np.ndarray, spans: list[bytes]) -> None:
         found = self.encode(spans)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        n, more = len(self.at), int(sizes.sum())
+        n, more = len(self.keys), int(sizes.sum())
         while len(self.offsets) < n + len(found) + 1:
             self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
         while len(self.ids) < self.used + more:
@@ -35,22 +36,31 @@ class IdPool:
         self.offsets[n + 1 : n + 1 + len(found)] = self.used + np.cumsum(sizes)
         self.ids[self.used : self.used + more] = np.fromiter((i for x in found for i in x), dtype=np.int32, count=more)
         self.used += more
-        self.at.update(zip(keys, range(n, n + len(found))))
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.slots = np.insert(self.slots, place, np.arange(n, n + len(found), dtype=np.int32))
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        """A flag for each of the sorted keys."""
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), dtype=bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        return known
 
     def ids_of(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all spans in their order, number of ids of each span)."""
         if not len(hashes):
             return np.empty(0, np.int32), np.empty(0, np.int64)
         distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.at) + len(distinct) > self.limit:
+        if len(self.keys) + len(distinct) > self.limit:
             self._clear()
-        keys = distinct.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.at]
-        if new:
+        new = np.flatnonzero(~self._known(distinct))
+        if len(new):
             raw = data.tobytes()
             at = first[new]
-            self._add([keys[k] for k in new], [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist())])
-        slot = np.fromiter((self.at[key] for key in keys), dtype=np.int64, count=len(keys))[place]
+            self._add(distinct[new], [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist())])
+        slot = self.slots[np.searchsorted(self.keys, distinct)][place]
         begin, count = self.offsets[slot], self.offsets[slot + 1] - self.offsets[slot]
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return self.ids[np.repeat(begin, count) + step], count

@@ -105,7 +105,7 @@ class StreamingEncoder:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by both ids in one integer
         self.start()
 
     def start(self) -> None:
@@ -116,11 +116,11 @@ class StreamingEncoder:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merges leave piece a beside piece b."""
-        known = self.fits.get((a, b))
+        known = self.fits.get(a << 32 | b)
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
-            known = self.fits[a, b] = self._compatible(a, b)
+            known = self.fits[a << 32 | b] = self._compatible(a, b)
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -217,7 +217,7 @@ class StreamingEncoder:
                     piece = -2 - ord(text[i - 1])
                 before = last[i - length]
                 if before >= 0 and piece >= 0:
-                    known = fits.get((before, piece))
+                    known = fits.get(before << 32 | piece)
                     if not (self.compatible(before, piece) if known is None else known):
                         continue
                 last[i], size[i] = piece, length
