@@ -284,6 +284,13 @@ def _results(s, d):
     return R.discover(views.layer_vectors(s, d), views.targets(s, d), views.N_LAYERS)
 
 
+@query("r5_probe_mixes")
+def r5(s, d):
+    feats, targets, folds = views.layer_vectors(s, d), views.targets(s, d), R.kfold(views.vectors(s, d))
+    out = R.probe_mixes(feats, targets, folds, R.probe_layers(feats, targets, folds), views.N_LAYERS)
+    return _r(out.withColumn("layer_weights", F.transform("layer_weights", lambda w: F.round(w, 6))), "r2_score", "correlation", "rmse", "r2_gain")
+
+
 @query("r6_discover")
 def r6(s, d):
     out = _results(s, d).withColumn("layer_weights", F.transform("layer_weights", lambda w: F.round(w, 6)))
