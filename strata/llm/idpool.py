@@ -14,7 +14,7 @@ class IdPool:
     a span met again after that is encoded again, with the same ids.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 1_200_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 600_000):
         self.encode, self.limit = encode, limit
         self._clear()
 

@@ -10,7 +10,7 @@ the largest difference for n-grams that the profile does not have.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +27,14 @@ UNKNOWN = "und"
 
 _GRAM = "lang string, gram string, n long"
 _SLICE = 1 << 19
+_ROWS = 512
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that not all their texts are Python strings at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, _ROWS):
+            yield b.slice(lo, _ROWS)
 
 
 @lru_cache(maxsize=1)
@@ -112,13 +120,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = [g for part, _ in out for g in part]
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(np.concatenate([c for _, c in out]).astype(np.int64))], names=["lang", "gram", "n"])
 
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-            p = code_points(text)
-            if len(p):
-                waiting.setdefault(lang, []).append(p)
-                sizes[lang] = sizes.get(lang, 0) + len(p)
-                if sizes[lang] > _SLICE:
-                    yield flush(lang)
+        for part in _parts([b]):
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                p = code_points(text)
+                if len(p):
+                    waiting.setdefault(lang, []).append(p)
+                    sizes[lang] = sizes.get(lang, 0) + len(p)
+                    if sizes[lang] > _SLICE:
+                        yield flush(lang)
         for lang in list(waiting):
             yield flush(lang)
 
@@ -140,7 +149,7 @@ def _predict(shared, size: int):
         langs, place, ranks = shared.value
         absent = len(ranks) - 1
         most = float(size)
-        for b in batches:
+        for b in _parts(batches):
             best, score = [], []
             for text in b.column("text").to_pylist():
                 p = code_points(text) if text else ()

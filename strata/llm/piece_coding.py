@@ -118,7 +118,7 @@ class StreamingEncoder:
         """Whether merges leave piece a beside piece b."""
         known = self.fits.get(a << 32 | b)
         if known is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             known = self.fits[a << 32 | b] = self._compatible(a, b)
         return known
@@ -257,24 +257,12 @@ class _Decoder:
         return [raw[s + 1 : e] for s, e in zip(cut[:-1], cut[1:])]
 
 
-_workers: dict[int, tuple] = {}
-
-
-def _worker(shared) -> tuple:
-    """Encoder, pool and cutting table of this worker process, for the broadcast model."""
-    model = shared.value
-    key = id(model)
-    if key not in _workers:
-        _workers.clear()
-        encoder = StreamingEncoder(model)
-        pool = IdPool(lambda spans: [encoder.encode(s.decode("utf-8", "replace").replace(" ", SPACE)) for s in spans])
-        _workers[key] = (model, pool, model.joined_bytes(), _Decoder(model))
-    return _workers[key]
-
-
 def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, pool, joined, _ = _worker(shared)
+        encoder = StreamingEncoder(shared.value)
+        # One pool for each task: an idle worker process keeps none of it.
+        pool = IdPool(lambda spans: [encoder.encode(s.decode("utf-8", "replace").replace(" ", SPACE)) for s in spans])
+        joined = shared.value.joined_bytes()
         value = ws.byte_values(lower=False)
         for b in batches:
             for row, part, edge in ws.slices(b.column("normal")):
@@ -294,7 +282,7 @@ def _encode(shared):
 
 def _decode(shared, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _worker(shared)[3]
+        decoder = _Decoder(shared.value)
         for b in batches:
             lists = b.column("ids")
             if lists.null_count:
@@ -317,6 +305,12 @@ def _decode(shared, digest: bool):
     return run
 
 
+def _normal(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Texts as the search takes them: a space before the text, the space sign as a space."""
+    normal = F.when(F.length("text") > 0, F.concat(F.lit(" "), F.replace(F.col("text"), F.lit(SPACE), F.lit(" ")))).otherwise("")
+    return keyed_text(docs, id_col, text_col).select("doc_id", normal.alias("normal"))
+
+
 def encode_pieces(docs: DataFrame, model: str | PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every whole text; a null or empty text has no ids.
 
@@ -324,10 +318,7 @@ def encode_pieces(docs: DataFrame, model: str | PieceModel, id_col: str = "doc_i
     the model lacks become the ids of their bytes.  ``model`` is a path or a
     loaded model with the identity normaliser and a space before each text.
     """
-    shared = _shared(docs.sparkSession, model)
-    text = keyed_text(docs, id_col, text_col)
-    normal = F.when(F.length("text") > 0, F.concat(F.lit(" "), F.replace(F.col("text"), F.lit(SPACE), F.lit(" ")))).otherwise("")
-    return text.select("doc_id", normal.alias("normal")).mapInArrow(_encode(shared), "doc_id long, ids array<int>")
+    return _normal(docs, id_col, text_col).mapInArrow(_encode(_shared(docs.sparkSession, model)), "doc_id long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model: str | PieceModel) -> DataFrame:
@@ -339,11 +330,20 @@ def _shared(spark: SparkSession, model: str | PieceModel):
     return spark.sparkContext.broadcast(PieceModel.load(model) if isinstance(model, str) else model)
 
 
+def _code(shared, digest: bool):
+    """Encoding and then decoding in one worker process."""
+    encode, decode_ = _encode(shared), _decode(shared, digest)
+    return lambda batches: decode_(encode(batches))
+
+
+def code_pieces(docs: DataFrame, model: str | PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): :func:`encode_pieces` and :func:`decode_pieces` in one pass."""
+    return _normal(docs, id_col, text_col).mapInArrow(_code(_shared(docs.sparkSession, model), False), "doc_id long, ids array<int>, decoded string")
+
+
 def code_digests(docs: DataFrame, model: str | PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ids_crc32 (ids as little-endian 32-bit integers), decoded_sha256."""
-    encoded = encode_pieces(docs, model, id_col, text_col)
-    shared = _shared(docs.sparkSession, model)
-    return encoded.mapInArrow(_decode(shared, True), "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")
+    return _normal(docs, id_col, text_col).mapInArrow(_code(_shared(docs.sparkSession, model), True), "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")
 
 
 def op9_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
