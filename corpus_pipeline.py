@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strata.llm.decontamination import decontaminate
 from strata.llm.language_id import UNKNOWN, held_out, identify, language_profiles
 from strata.llm.near_dedup import drop_near_duplicates
-from strata.llm.piece_coding import PieceModel, decode_pieces, encode_pieces
+from strata.llm.piece_coding import PieceModel, code_pieces
 from strata.llm.shared import stored, table
 from strata.llm.substring_dedup import remove_repeats
 
@@ -44,7 +44,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     import public_tokenizers
 
     model = PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
-    coded = decode_pieces(encode_pieces(docs, model), model)
+    coded = code_pieces(docs, model)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
