@@ -22,6 +22,8 @@ from strata.llm.shared import stored, table
 
 BITS = 64
 K = 10
+#: Bits of the widest segment that is chosen by itself.
+WIDTH = 16
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
@@ -30,9 +32,14 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
 
 
 def segment_count(codes: int, bits: int = BITS) -> int:
-    """Segments of about log2(codes) bits, as many as divide the code evenly."""
+    """Segments of about log2(codes) bits, but at most 16, as many as divide the code evenly.
+
+    A segment of 32 bits has up to 6e8 values at one distance, and each probe is
+    a row to shuffle; one of 16 has 12870 at most.
+    """
     wish = bits / max(1.0, math.log2(max(2, codes)))
-    return min((m for m in (2, 4, 8, 16) if bits % m == 0), key=lambda m: abs(math.log(m / wish)))
+    fitting = [m for m in (2, 4, 8, 16) if bits % m == 0]
+    return min([m for m in fitting if bits // m <= WIDTH] or fitting[-1:], key=lambda m: abs(math.log(m / wish)))
 
 
 def _segments(code: Column, m: int, bits: int) -> Column:
@@ -41,10 +48,14 @@ def _segments(code: Column, m: int, bits: int) -> Column:
     return F.array(*[F.struct(F.lit(s).alias("segment"), F.call_function("shiftrightunsigned", code, F.lit(s * width)).bitwiseAND(mask).alias("value")) for s in range(m)])
 
 
-def _flips(row: Column, width: int, radius: int) -> Column:
-    """All masks of ``radius`` bits, made for each row, so that they are no large constant of the plan."""
-    last = F.when(row.isNotNull(), F.lit((1 << width) - 1).cast("long"))
-    return F.filter(F.sequence(F.lit(0).cast("long"), last), lambda x: F.bit_count(x) == radius)
+def _flipped(rows: DataFrame, width: int, radius: int) -> DataFrame:
+    """Each row with every mask of ``radius`` bits as ``flip``; the bits are chosen in rising order, one after the other."""
+    own = rows.columns
+    out = rows.select("*", F.lit(0).cast("long").alias("flip"), F.lit(0).alias("from"))
+    for left in range(radius, 0, -1):
+        chosen = out.select(*own, "flip", F.explode(F.sequence(F.col("from"), F.lit(width - left))).alias("bit"))
+        out = chosen.select(*own, F.col("flip").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("flip"), (F.col("bit") + 1).alias("from"))
+    return out.drop("from")
 
 
 def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, segments: int | None = None) -> DataFrame:
@@ -65,15 +76,17 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = B
     n = index.count()
     m = segments or segment_count(n, bits)
     width = bits // m
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     by_segment = stored(index.select("code", F.explode(_segments(F.col("code"), m, bits)).alias("s")).select("s.segment", "s.value", "code"), "segments")
     open_ = stored(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("code").cast("long").alias("query_code")).where("query_id is not null and query_code is not null").distinct(), "queries")
     best = spark.createDataFrame([], "query_id long, query_code long, id long, distance int")
     closed = best
     order = Window.partitionBy("query_id", "query_code").orderBy("distance", "id")
     for radius in range(width + 1):
-        masked = open_.select("query_id", "query_code", _flips(F.col("query_id"), width, radius).alias("flips"))
-        probes = masked.select("query_id", "query_code", "flips", F.explode(_segments(F.col("query_code"), m, bits)).alias("s"))
-        probes = probes.select("query_id", "query_code", F.col("s.segment").alias("segment"), F.col("s.value").alias("own"), F.explode("flips").alias("flip")).select("query_id", "query_code", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
+        # Few queries fill one file only, so they are dealt out before their probes are made.
+        probes = _flipped(open_.select("query_id", "query_code").repartition(parts, "query_id", "query_code"), width, radius)
+        probes = probes.select("query_id", "query_code", "flip", F.explode(_segments(F.col("query_code"), m, bits)).alias("s"))
+        probes = probes.select("query_id", "query_code", F.col("s.segment").alias("segment"), F.col("s.value").bitwiseXOR(F.col("flip")).alias("value"))
         # Probes are many more than Spark's estimate from the few queries says, so they are not broadcast.
         met = probes.hint("merge").join(by_segment, ["segment", "value"])
         # A code is verified under the first segment that meets it, so it comes once per query over all rounds.

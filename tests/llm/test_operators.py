@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -226,6 +227,27 @@ def test_hamming_search(spark):
     assert few.count() == 2
 
 
+def test_hamming_search_by_wide_segments(spark):
+    rng = np.random.default_rng(2)
+    base = [int(x) for x in rng.integers(-(2**62), 2**62, 3)]
+    codes = [b ^ sum(1 << int(x) for x in rng.choice(62, k % 7, replace=False)) for b in base for k in range(14)]
+    rows = spark.createDataFrame(list(enumerate(codes)), "id long, code long")
+    out = hamming_search.hamming_topk(rows, rows.where("id % 14 = 0").select(F.col("id").alias("query_id"), "code"), k=5, segments=2)
+    got = collections.defaultdict(list)
+    for r in out.orderBy("rank").collect():
+        got[r.query_id].append((r.distance, r.neighbor_id))
+    for i in (0, 14, 28):
+        assert got[i] == sorted((((codes[i] ^ c) & (2**64 - 1)).bit_count(), j) for j, c in enumerate(codes) if j != i)[:5]
+
+
+def test_hamming_masks_and_widths(spark):
+    row = spark.createDataFrame([(1,)], "id int")
+    for width, radius in ((5, 0), (5, 2), (5, 5), (32, 3)):
+        got = [r.flip for r in hamming_search._flipped(row, width, radius).collect()]
+        assert len(got) == len(set(got)) == math.comb(width, radius) and all(x.bit_count() == radius and x < 1 << width for x in got)
+    assert all(64 // hamming_search.segment_count(n) <= 16 for n in (1, 2000, 10**7, 10**9, 10**12))
+
+
 def test_chat_folding(spark):
     events = [
         (1, 0, 0, "create", "user", "hi"), (1, 1, 1, "create", "assistant", "a"), (1, 1, 2, "delta", None, "b"), (1, 1, 5, "delta", None, "d"), (1, 1, 4, "regenerate", "assistant", "c"), (1, 2, 6, "create", "user", "gone"), (1, 2, 7, "delete", None, None),
