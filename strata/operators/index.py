@@ -29,41 +29,57 @@ def _centroids(vectors: DataFrame, n: int, seed: int, sample: int) -> list[list[
     return [c.tolist() for c in model.clusterCenters()]
 
 
-def _assign(centres: np.ndarray):
+def _assign(centres: np.ndarray, spill: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                near = (-2 * x @ centres.T + (centres**2).sum(axis=1)).argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(near.astype(np.int32))], names=["id", "vec", "list_id"])
+                near = (-2 * x @ centres.T + (centres**2).sum(axis=1)).argsort(axis=1, kind="stable")[:, :spill]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "vec", "list_ids"])
 
     return run
 
 
-def ivf_index(vectors: DataFrame, nlist: int, seed: int = 7, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
-    """((id, vec, list_id), (list_id, centre)); centres are fitted on a bounded sample, every row is in a list."""
-    if nlist <= 0:
-        raise ValueError("nlist must be positive")
+def ivf_index(vectors: DataFrame, nlist: int, seed: int = 7, sample: int = SAMPLE, spill: int = 1) -> tuple[DataFrame, DataFrame]:
+    """((id, vec, list_id), (list_id, centre)); centres are fitted on a bounded sample, every row is in a list.
+
+    With ``spill`` over 1 a row is in that many lists, the nearest ones, and
+    has all of them in ``list_ids``.
+    """
+    if nlist <= 0 or not 0 < spill <= nlist:
+        raise ValueError("nlist must be positive, and spill from 1 to nlist")
     flat = flat_index(vectors).select(F.col("id").cast("long").alias("id"), "vec")
     centres = _centroids(flat, nlist, seed, sample)
-    lists = flat.mapInArrow(_assign(np.array(centres)), "id long, vec array<double>, list_id int")
+    lists = flat.mapInArrow(_assign(np.array(centres), spill), "id long, vec array<double>, list_ids array<int>")
+    lists = lists.select("id", "vec", F.explode("list_ids").alias("list_id"), "list_ids") if spill > 1 else lists.select("id", "vec", F.get("list_ids", 0).alias("list_id"))
     table = vectors.sparkSession.createDataFrame([(i, c) for i, c in enumerate(centres)], "list_id int, centre array<double>")
     return lists, table
 
 
-def probe_ivf(lists: DataFrame, centres: DataFrame, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """(query_id, id, similarity, rank) from the ``nprobe`` lists nearest to each query (query_id, vec)."""
-    if nprobe <= 0 or k <= 0:
-        raise ValueError("k and nprobe must be positive")
+def _routed(lists: DataFrame, centres: DataFrame, queries: DataFrame, nprobe: int) -> DataFrame:
+    """Rows of the ``nprobe`` lists nearest to each query (query_id, vec), with the query's unit vector ``q``; each row once per query."""
     table = [(r.list_id, r.centre) for r in centres.collect()]  # nlist rows
     unit = queries.select("query_id", V.l2_normalise(F.col("vec")).alias("q"))
     near = F.array_sort(F.array(*[F.struct((F.lit(float(np.dot(c, c))) - 2 * V.dot(F.col("q"), F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("list_id")) for i, c in table]))
-    routed = unit.select("query_id", "q", F.explode(F.slice(near, 1, nprobe)).alias("n")).select("query_id", "q", "n.list_id")
-    scored = lists.join(routed, "list_id").select("query_id", "id", V.dot(F.col("vec"), F.col("q")).alias("similarity"))
+    probed = unit.select("query_id", "q", F.slice(near, 1, nprobe)["list_id"].alias("probed"))
+    found = lists.join(probed.select("query_id", "q", "probed", F.explode("probed").alias("list_id")), "list_id")
+    # A row in several probed lists counts in the one nearest to it.
+    return found.where(F.get(F.array_intersect("list_ids", "probed"), 0) == F.col("list_id")) if "list_ids" in lists.columns else found
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def probe_ivf(lists: DataFrame, centres: DataFrame, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """(query_id, id, similarity, rank) from the ``nprobe`` lists nearest to each query (query_id, vec)."""
+    if nprobe <= 0 or k <= 0:
+        raise ValueError("k and nprobe must be positive")
+    found = _routed(lists, centres, queries, nprobe)
+    return _best(found.select("query_id", "id", V.dot(F.col("vec"), F.col("q")).alias("similarity")), k)
+
+
 def parse_factory(text: str) -> tuple[int, int, int]:
     """(lists, subspaces, bits) of ``IVFn,PQmxb``."""
     m = re.fullmatch(r"IVF(\d+),PQ(\d+)x(\d+)", text)
@@ -72,15 +88,17 @@ def parse_factory(text: str) -> tuple[int, int, int]:
     return int(m[1]), int(m[2]), int(m[3])
 
 
-def pq_index(vectors: DataFrame, factory: str, seed: int = 7, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, list[list[list[float]]]]:
-    """((id, list_id, codes), centres, codebooks) of product-quantised unit vectors."""
+def pq_index(vectors: DataFrame, factory: str, seed: int = 7, sample: int = SAMPLE, spill: int = 1) -> tuple[DataFrame, DataFrame, list[list[list[float]]]]:
+    """((id, list_id, codes), centres, codebooks) of product-quantised unit vectors; ``list_ids`` as in :func:`ivf_index`."""
     nlist, m, bits = parse_factory(factory)
-    lists, centres = ivf_index(vectors, nlist, seed, sample)
+    lists, centres = ivf_index(vectors, nlist, seed, sample, spill)
+    kept = [c for c in lists.columns if c != "vec"]
+    once = lists.where(F.get("list_ids", 0) == F.col("list_id")) if spill > 1 else lists
     dim = len(lists.select("vec").first()[0])
     if dim % m:
         raise ValueError("the dimension must be a multiple of the number of subspaces")
     width = dim // m
-    books = [_centroids(lists.select("id", F.slice("vec", s * width + 1, width).alias("vec")), 1 << bits, seed + s, sample) for s in range(m)]
+    books = [_centroids(once.select("id", F.slice("vec", s * width + 1, width).alias("vec")), 1 << bits, seed + s, sample) for s in range(m)]
     fitted = [np.array(x) for x in books]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +106,9 @@ def pq_index(vectors: DataFrame, factory: str, seed: int = 7, sample: int = SAMP
             if b.num_rows:
                 x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, m, width)
                 codes = np.stack([((x[:, s, None, :] - fitted[s][None]) ** 2).sum(axis=2).argmin(axis=1) for s in range(m)], axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("list_id"), pa.array(codes.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "list_id", "codes"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(codes.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=[*kept, "codes"])
 
-    return lists.mapInArrow(encode, "id long, list_id int, codes array<int>"), centres, books
+    return lists.mapInArrow(encode, f"id long, list_id int, {'list_ids array<int>, ' if spill > 1 else ''}codes array<int>"), centres, books
 
 
 def search_pq(codes: DataFrame, books: list[list[list[float]]], query: list[float], k: int) -> DataFrame:
@@ -103,6 +121,30 @@ def search_pq(codes: DataFrame, books: list[list[list[float]]], query: list[floa
     return codes.select("id", score.alias("similarity")).orderBy(F.col("similarity").desc(), "id").limit(k)
 
 
+def probe_pq(codes: DataFrame, centres: DataFrame, books: list[list[list[float]]], vectors: DataFrame, queries: DataFrame, k: int, nprobe: int, candidates: int) -> DataFrame:
+    """(query_id, id, similarity, rank) of each query (query_id, vec) from ``nprobe`` lists.
+
+    The ``candidates`` rows that are best by their codes are compared exactly
+    with the vectors (id, vec).
+    """
+    if nprobe <= 0 or k <= 0 or candidates < k:
+        raise ValueError("k and nprobe must be positive, and candidates at least k")
+    fitted = np.array(books)
+    m, _, width = fitted.shape
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                q = b.column("q").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, m, width)
+                c = b.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, m)
+                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("id"), pa.array((q * fitted[np.arange(m), c]).sum(axis=(1, 2)))], names=["query_id", "id", "similarity"])
+
+    found = _routed(codes, centres, queries.select(F.col("query_id").cast("long").alias("query_id"), "vec"), nprobe)
+    near = _best(found.select("query_id", "id", "q", "codes").mapInArrow(score, "query_id long, id long, similarity double"), candidates).select("query_id", "id")
+    exact = near.join(flat_index(vectors).select(F.col("id").cast("long").alias("id"), "vec"), "id").join(queries.select("query_id", V.l2_normalise(F.col("vec")).alias("q")), "query_id")
+    return _best(exact.select("query_id", "id", V.dot(F.col("vec"), F.col("q")).alias("similarity")), k)
+
+
 def manifest_rollup(index: DataFrame) -> DataFrame:
     """ntotal, dimension and the dataset id if there is exactly one."""
     return index.agg(F.count("*").alias("ntotal"), F.max(F.size("vec")).alias("dimension"), F.when(F.countDistinct("dataset_id") == 1, F.max("dataset_id")).alias("dataset_id"))

@@ -203,7 +203,7 @@ def x2(s, d):
 
 @query("x2_ivf_four_probes")
 def x2_some(s, d):
-    lists, centres = X.ivf_index(views.vectors(s, d), 8)
+    lists, centres = X.ivf_index(views.vectors(s, d), 8, spill=2)
     queries = views.vectors(s, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
     return _rounded(X.probe_ivf(lists, centres, queries, 10, 4))
 
@@ -211,8 +211,9 @@ def x2_some(s, d):
 @query("x3_product_codes")
 def x3(s, d):
     v = views.vectors(s, d)
-    codes, _, books = X.pq_index(v, "IVF8,PQ4x4")
-    return _rounded(X.search_pq(codes, books, S.query_vector(v, 0), 10))
+    codes, centres, books = X.pq_index(v, "IVF8,PQ16x6", spill=2)
+    queries = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
+    return _rounded(X.probe_pq(codes, centres, books, v, queries, 10, 5, 100))
 
 
 @query("j2_clips_metadata", "select clip_id, recording_id, work_id from v_clips")

@@ -316,6 +316,20 @@ def test_inverted_lists(spark, sf):
         X.parse_factory("HNSW32,Flat")
 
 
+@pytest.mark.parametrize("name", ["x2_ivf_four_probes", "x3_product_codes"])
+def test_recall_of_indexes(spark, sf, name):
+    from strata import catalog
+    from strata.plans import views
+
+    v = views.vectors(spark, sf)
+    exact = {(r.query_id, r.id) for r in S.similar_to_all(v, v.where("id % 50 = 0"), 9).collect()}
+    rows = catalog.queries()[name](spark, sf).collect()
+    assert len({(r.query_id, r.id) for r in rows}) == len(rows) == 10 * len({q for q, _ in exact})
+    recall = len(exact & {(r.query_id, r.id) for r in rows}) / len(exact)
+    print(name, recall)
+    assert recall >= 0.9
+
+
 def test_probe_results_json(spark, tmp_path):
     path = tmp_path / "r.json"
     path.write_text('{"0": {"tempo": {"r2_score": 0.5, "correlation": 0.7, "rmse": 1.0}}, "weighted_sum": {"tempo": {"r2_score": 0.6, "layer_weights": [0.5, 0.5], "gain": 0.1}}, "note": {}}')
