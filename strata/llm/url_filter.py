@@ -36,6 +36,12 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_replace(path, r"/+$", ""))
 
 
+def list_key(scope: Column, key: Column) -> Column:
+    """The key of a list entry in the form that captures have: a URL keeps the case of its path, other scopes are a host."""
+    url = F.when(key.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), key).otherwise(F.concat(F.lit("http://"), F.regexp_replace(key, "^//", "")))
+    return F.when(scope == "url", canonical_url(url)).otherwise(host_of(url))
+
+
 def capture_keys(host: Column, url: Column) -> Column:
     """(scope, key) of a capture: each domain that its host is in, the host, the URL."""
     labels = F.split(host, r"\.")
@@ -50,11 +56,11 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     """(scope, key, action, valid_from, valid_to) of dated entries; valid_to is null while open.
 
     Entries with a null scope, key, action or day count for nothing, as do
-    entries with an unknown action.  Of entries of one key and day ``allow``
+    entries with an unknown action.  Keys are normalised as captures are.  Of entries of one key and day ``allow``
     wins over ``block`` and ``block`` over ``remove``; repeated rows are one.
     Each key's entries are the list's history of that key.
     """
-    known = entries.select(F.lower("scope").alias("scope"), F.lower("key").alias("key"), F.lower("action").alias("action"), F.col("day").cast("int").alias("day"))
+    known = entries.select(F.lower("scope").alias("scope"), list_key(F.lower("scope"), F.col("key").cast("string")).alias("key"), F.lower("action").alias("action"), F.col("day").cast("int").alias("day"))
     known = known.where(F.col("action").isin(*ACTIONS) & F.col("scope").isNotNull() & F.col("key").isNotNull() & F.col("day").isNotNull())
     strength = F.when(F.col("action") == "allow", 2).when(F.col("action") == "block", 1).otherwise(0)
     daily = known.groupBy("scope", "key", "day").agg(F.max_by("action", strength).alias("action"))

@@ -211,6 +211,13 @@ def test_url_filter(spark):
     assert got == {1: (0, False), 2: (1, True), 3: (2, False), 4: (0, False), 5: (1, True), 6: (0, False), 7: (0, False), 8: (0, False), 9: (0, False)}
 
 
+def test_url_list_keys_are_normalised(spark):
+    entries = [("url", "http://B.org/News/", "block", 0), ("url", "https://u@c.org:443/Top?q#f", "block", 0), ("url", "d.org/Path", "block", 0), ("host", "http://E.org:80/", "block", 0), ("domain", "F.org.", "block", 0)]
+    urls = ["http://b.org/News", "http://b.org/news", "http://C.org/Top/", "http://D.org/Path?x", "http://d.org/path", "https://e.org/x", "http://g.f.org/"]
+    out = url_filter.filter_urls(spark.createDataFrame([(i, u, 3) for i, u in enumerate(urls)], "id int, url string, d int"), spark.createDataFrame(entries, "scope string, key string, action string, day int"), "id", "url", "d")
+    assert [r.blocked for r in out.orderBy("id").collect()] == [True, False, True, True, False, True, True]
+
+
 def test_hamming_search(spark):
     rng = np.random.default_rng(1)
     codes = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 60)] + [5] * 40 + [7, -1, 0]
