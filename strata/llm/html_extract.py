@@ -29,6 +29,8 @@ _SKIP = frozenset("script style noscript template svg math iframe object canvas
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that a head can have; any other one ends it, as does text.
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BAD_ELEMENTS = frozenset("nav footer aside form menu dialog".split())
 #: Words in a class, id or role that name boilerplate.
@@ -40,8 +42,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.I | re.S,
 )
-_NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -55,15 +57,33 @@ class Block:
     good: bool
 
 
-def _names(attributes: str) -> set[str]:
-    found = set()
-    for m in _NAME.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        found.update(x.lower() for x in _PART.findall(value))
-        found.update(x.lower() for x in re.split(r"[\s_-]+", value))
+def _attributes(raw: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     return found
 
 
+def _kinds(attributes: dict[str, str]) -> tuple[bool, bool]:
+    """Whether a class, id or role names boilerplate, and whether one names the article.
+
+    A compound name such as ``no-sidebar`` or ``post-comments`` is boilerplate
+    only if all its parts are, and else is left to the tree.
+    """
+    bad = good = False
+    for value in (attributes.get("class"), attributes.get("id"), attributes.get("role")):
+        for word in (value or "").split():
+            parts = [x.lower() for x in _PART.findall(word)]
+            of_bad = sum(x in _BAD_NAMES for x in parts)
+            bad = bad or word.lower() in _BAD_NAMES or 0 < of_bad == len(parts)
+            good = good or word.lower() in _GOOD_NAMES or (not of_bad and any(x in _GOOD_NAMES for x in parts))
+    return bad, good
+
+
+def _is_hidden(attributes: dict[str, str]) -> bool:
+    return attributes.get("hidden", "false").strip().lower() != "false" or bool(_HIDDEN.search(attributes.get("style", "")))
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; markup that is not closed ends with the page."""
     out: list[Block] = []
@@ -81,8 +101,15 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
+    def leave(depth: int) -> None:
+        nonlocal bad, good, skip
+        del stack[depth:]
+        bad, good, skip = stack[-1][1:] if stack else (False, False, False)
+
     def put(raw: str) -> None:
         nonlocal linked
+        if raw and stack and stack[-1][0] == "head" and not raw.isspace():
+            leave(len(stack) - 1)
         if raw and not skip:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -99,6 +126,8 @@ def blocks(page: str) -> list[Block]:
         name, closing = name.lower(), bool(m[2])
         if name in _BLOCK:
             end()
+        if not closing and name not in _HEAD and stack and stack[-1][0] == "head":
+            leave(len(stack) - 1)
         if name == "br" or name in ("td", "th"):
             parts.append(" ")
         if name == "a":
@@ -110,20 +139,20 @@ def blocks(page: str) -> list[Block]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
-                    bad, good, skip = stack[-1][1:] if stack else (False, False, False)
+                    leave(k)
                     break
         elif not m[4].rstrip().endswith("/"):
             if name in ("p", "li") and stack and stack[-1][0] == name:
-                stack.pop()
-                bad, good, skip = stack[-1][1:] if stack else (False, False, False)
-            named = _names(m[4]) if m[4] else ()
-            body = name in ("body", "html")
-            is_good = name in ("article", "main") or (not body and bool(_GOOD_NAMES.intersection(named)))
-            is_bad = not body and (name in _BAD_ELEMENTS or (name == "header" and not good) or bool(_BAD_NAMES.intersection(named)))
-            bad = bad or is_bad
+                leave(len(stack) - 1)
+            attributes = _attributes(m[4]) if m[4] else {}
+            named_bad, named_good = _kinds(attributes) if attributes else (False, False)
+            body, article = name in ("body", "html"), name in ("article", "main")
+            is_good = article or (not body and named_good)
+            is_bad = not body and (name in _BAD_ELEMENTS or (name == "header" and not good) or named_bad)
+            # An article inside of boilerplate is one, unless it is itself named as boilerplate.
+            bad = is_bad or (bad and not article)
             good = (good or is_good) and not bad
-            skip = skip or name in _SKIP or (bool(m[4]) and bool(_HIDDEN.search(m[4])))
+            skip = skip or name in _SKIP or (bool(attributes) and _is_hidden(attributes))
             stack.append((name, bad, good, skip))
     put(page[at:])
     end()

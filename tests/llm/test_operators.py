@@ -203,6 +203,23 @@ def test_html_extraction(spark, sf):
         assert own[p.page_id] == "\n".join(want)
 
 
+def test_html_keeps_articles():
+    tree = html_extract.fit_tree(*html_extract.training_rows())
+    long = html_extract._LONG
+    story = f"<article><h1>Plans</h1><p>{long}</p><p>{long}</p></article>"
+    want = f"Plans\n{long}\n{long}"
+    for wrap in ("class='overflow-hidden'", "style='overflow:hidden'", "title='The hidden valley'", "data-x='display:none'", "class='no-sidebar'", "class='has-header'", "class='sidebar'", "class='social tags'", "hidden='false'"):
+        assert html_extract.main_text(f"<body><div {wrap}>{story}</div>", tree) == want, wrap
+    for lead in ("<head><title>t</title><body>", "<head><meta charset=x><style>p{}</style>", "<html><head><title>t</title><div>"):
+        assert html_extract.main_text(lead + story, tree) == want, lead
+    assert html_extract.main_text(f"<head><title>t</title>{long}", tree) == long
+    for wrap in ("hidden", "hidden=''", "style='color:red; display : none'"):
+        assert html_extract.main_text(f"<body><div {wrap}>{story}</div>", tree) == "", wrap
+    for wrap in ("no-sidebar", "has-header"):
+        assert html_extract.main_text(f"<body><div class='{wrap}'><p>{long}</p><p>{long}</p></div>", tree) == f"{long}\n{long}"
+    assert html_extract.main_text(f"<body>{story}<article class='comment'><p>{long}</p></article>", tree) == want
+
+
 def test_url_filter(spark):
     entries = [("domain", "a.com", "block", 10), ("domain", "a.com", "remove", 20), ("host", "x.a.com", "allow", 15), ("host", "x.a.com", "allow", 15), ("url", "b.org/p", "block", 0), (None, "q", "block", 1), ("host", "c.net", "odd", 1)]
     caps = [(1, "http://www.A.com:80/z?q", 9), (2, "http://www.a.com/z", 10), (3, "https://u@x.a.com/", 15), (4, "http://a.com", 20), (5, "http://b.org/p/#f", 3), (6, None, 3), (7, "nonsense", 3), (8, "http://notb.org/p", 3), (9, "http://b.org/p", None)]
