@@ -17,11 +17,23 @@ from strata.llm.shared import stored, table
 from strata.llm.substring_dedup import remove_repeats
 
 
+def score_floors(taught: DataFrame) -> DataFrame:
+    """(lang_pred, floor) from the rows of known language: three quartile ranges below the lower quartile of the scores.
+
+    Junk among the rows moves the quartiles little.  Scores count to three
+    places, so a language has at most 1001 different ones.
+    """
+    known = taught.where(F.col("lang") == F.col("lang_pred")).select("lang_pred", F.round("score", 3).alias("score"))
+    quarters = known.groupBy("lang_pred").agg(F.percentile("score", F.lit(0.25)).alias("low"), F.percentile("score", F.lit(0.75)).alias("high"))
+    return quarters.select("lang_pred", (F.col("low") - 3 * (F.col("high") - F.col("low"))).alias("floor"))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; texts without a letter go."""
-    taught = docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    found = identify(docs, language_profiles(taught))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """Documents in one of the languages; texts without a letter go, and those too far from the profile of their language."""
+    teaches = ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    found = stored(identify(docs, language_profiles(docs.where(teaches))), "languages")
+    near = found.join(F.broadcast(score_floors(found.where(teaches))), "lang_pred", "left")
+    return near.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0) & (F.col("score") >= F.coalesce("floor", F.lit(0.0)))).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +68,7 @@ STAGES = [
     ("piece_coding", encoding_stage),
 ]
 
-#: No SQL has the near-duplicate components or the piece search; tests hold the stages against brute force.
+#: No SQL has the near-duplicate components or the piece search; tests hold language ID and single operators against brute force.
 ORACLE_SQL = None
 
 

@@ -304,6 +304,52 @@ def test_pipeline(spark, sf):
     assert last.join(docs.withColumnRenamed("text", "given"), "doc_id").where("given <> text").count() == 0
 
 
+def test_pipeline_rejects_by_language(spark, sf):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    docs = table(spark, sf, "documents")
+    junk = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(500)), "zzzz qqqq " * 30, "Привет мир, как дела " * 9, "1 2 3", None]
+    more = spark.createDataFrame([(10**6 + i, t, "en") for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    every = docs.unionByName(more, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, every, sf).select("doc_id").collect()}
+    # By brute force: each text against each profile, and quartiles of the taught rows.
+    rows, held = every.select("doc_id", "text", "lang").collect(), lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    counts = collections.defaultdict(collections.Counter)
+    for r in rows:
+        words = "".join(c if c.isalpha() else " " for c in (r.text or "").lower()).split()
+        text = f" {' '.join(words)} "
+        if words and not held(r.doc_id):
+            counts[r.lang].update(g for n in (1, 2, 3) for k in range(len(text) - n + 1) if (g := text[k : k + n]) != " ")
+    ranked = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], len(x[0]), x[0]))[:400]]
+    place = {lang: {g: k for k, g in enumerate(ranked(c))} for lang, c in counts.items()}
+    best = {}
+    for r in rows:
+        words = "".join(c if c.isalpha() else " " for c in (r.text or "").lower()).split()
+        text = f" {' '.join(words)} "
+        own = ranked(collections.Counter(g for n in (1, 2, 3) for k in range(len(text) - n + 1) if (g := text[k : k + n]) != " ")) if words else []
+        if own:
+            d, lang = min((sum(abs(p[g] - k) if g in p else 400 for k, g in enumerate(own)), lang) for lang, p in place.items())
+            best[r.doc_id] = (lang, max(0.0, 1 - d / (400 * len(own))))
+    taught = collections.defaultdict(list)
+    for r in rows:
+        if not held(r.doc_id) and r.doc_id in best and best[r.doc_id][0] == r.lang:
+            taught[r.lang].append(round(best[r.doc_id][1], 3))
+    floor = {lang: (q := np.percentile(x, [25, 75]))[0] - 3 * (q[1] - q[0]) for lang, x in taught.items()}
+    assert kept == {i for i, (lang, score) in best.items() if score > 0 and score >= floor.get(lang, 0)}
+    assert kept == {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_run_is_its_stages(spark, sf):
+    import corpus_pipeline
+
+    docs = table(spark, sf, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    rows = lambda df: sorted((r.doc_id, r.n_tokens, tuple(r.ids), r.text) for r in df.collect())
+    assert rows(docs) == rows(corpus_pipeline.run(spark, sf))
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracles()))
 def test_query_equals_sql(spark, sf, name):
     ship(spark)
