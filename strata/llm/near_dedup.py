@@ -11,10 +11,26 @@ of a chunk in turn.  Two signatures within the bound then share at least one of
 these keys.
 
 Documents with the same set collapse to one representative first, so groups of
-copies never meet in the join.  Candidates of a key are compared by size and
-signature, and every pair that passes is confirmed on the full shingle sets; a
-key that many documents share is compared on full sets in blocks.  Links become
-components by rounds of star joins, each in Spark.
+copies never meet in the join.  No group of documents under one key is paired
+off as a whole:
+
+1. Each key names a pivot, the document that shares most keys with others, and
+   every document of the key meets the pivot only.  Near copies collapse into
+   the pivot's component here, with one pair for each document and pivot.
+2. Keys whose documents are still in different components stay open.  The
+   documents outside a key's largest component are its minority; if there are
+   at most ``SMALL``, each of them is compared by signature with all documents
+   of the key, which are dealt out in blocks.
+3. Documents of other open keys are split by a second pigeonhole: of two
+   signatures within the bound d, the d + 1 values that are rarest among these
+   documents share one.  A passage that many documents have is a frequent value
+   and so no key.  Keys of these values are compared as in 2; those with more
+   than ``SMALL`` in their minority on full sets, each block of the minority
+   with each block of the key, with at most one link returned for each document
+   and pair of blocks.
+
+Every link is confirmed on the full shingle sets.  Links become components by
+rounds of star joins, each in Spark.
 """
 
 from __future__ import annotations
@@ -29,12 +45,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import wordscan as ws
-from strata.llm.shared import keyed_text, stored, table
+from strata.llm.shared import id_of, keyed_text, stored, table
 
 SYMBOLS = 64
-BITS = 8
+BITS = 16
 MISS = 1e-7
-SMALL = 64
+SMALL = 16
 BLOCK = 512
 
 _SIGNED = "doc_id long, n_shingles long, set_hash long, set_hash2 long, signature binary"
@@ -88,12 +104,12 @@ def _sign(size: int):
                 h, at = shingle_sets(w, size)
                 n = np.diff(at)
                 has = np.flatnonzero(n)
-                sig = np.zeros((w.docs, SYMBOLS), dtype=np.uint8)
+                sig = np.zeros((w.docs, SYMBOLS), dtype=np.uint16)
                 sums = np.zeros((2, w.docs), dtype=np.uint64)
                 if len(has):
                     starts = at[has]
                     for k in range(SYMBOLS):
-                        sig[has, k] = ws.mix64(np.minimum.reduceat(h * factor[k], starts)) & np.uint64(255)
+                        sig[has, k] = ws.mix64(np.minimum.reduceat(h * factor[k], starts)) & np.uint64((1 << BITS) - 1)
                     for j, seed in enumerate((3, 5)):
                         sums[j, has] = np.add.reduceat(ws.mix64(h ^ ws.keyed(1, seed)[0]), starts)
                 yield pa.RecordBatch.from_arrays(
@@ -124,7 +140,7 @@ def _chunk_keys(sig: np.ndarray, bound: int) -> list[np.ndarray]:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), SYMBOLS)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), SYMBOLS)
 
 
 def _emit_keys(bound: int):
@@ -139,53 +155,50 @@ def _emit_keys(bound: int):
     return run
 
 
-def _first_key(sig_a: np.ndarray, sig_b: np.ndarray, bound: int) -> np.ndarray:
-    """The first key that two signatures within the bound share."""
-    cut = chunks(bound)
-    differ = sig_a != sig_b
-    first = np.full(len(sig_a), -1, dtype=np.int64)
-    leave = np.zeros(len(sig_a), dtype=np.int64)
-    for c, cols in reversed(list(enumerate(cut))):
-        errors = differ[:, cols]
-        ok = errors.sum(axis=1) <= 1
-        first[ok] = c
-        leave[ok] = np.where(errors[ok].any(axis=1), cols[errors[ok].argmax(axis=1)], cols[0])
-    padded = np.full((len(cut), max(map(len, cut))), -1, dtype=np.int64)
-    for c, cols in enumerate(cut):
-        padded[c, : len(cols)] = cols
-    v = (first * 1000 + leave).astype(np.uint64)
-    rows = np.arange(len(sig_a))
-    for t in range(padded.shape[1]):
-        at = padded[first, t]
-        use = (at >= 0) & (at != leave)
-        v = np.where(use, ws.mix64(v * np.uint64(31) + sig_a[rows, at].astype(np.uint64)), v)
-    return v.view(np.int64)
+def _emit_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The values of each signature as keys of their own."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 2048):
+            part = b.slice(lo, 2048)
+            sig = _matrix(part.column(1)).astype(np.uint64)
+            keys = ws.mix64(sig + (np.arange(SYMBOLS, dtype=np.uint64) << np.uint64(32)))
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, SYMBOLS))], names=["key", "doc_id"])
 
 
-def _small_pairs(percent: int, bound: int):
-    """Candidate pairs of keys with few documents; rows come sorted by key.
+def _within(percent: int, bound: int):
+    """Those pairs (a, b) whose set sizes and signatures allow the similarity."""
 
-    A pair within the bounds on size and distance comes once, under the first
-    key that it has in common.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n, m = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+                ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+                ok &= np.count_nonzero(_matrix(b.column("sig_a")) != _matrix(b.column("sig_b")), axis=1) <= bound
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def _small_pairs(percent: int, bound: int):
+    """Candidate pairs of a key's minority with all of its documents; rows come sorted by key and block, the minority first."""
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, ids, n = (t.column(c).to_numpy() for c in ("key", "doc_id", "n_shingles"))
+        key, part, minor, ids, n, own = (t.column(c).to_numpy() for c in ("key", "block", "minor", "doc_id", "n_shingles", "component"))
         sig = _matrix(t.column("signature").combine_chunks())
-        ends = np.searchsorted(key, key, side="right")
-        rows, step = np.arange(len(key)), 1
+        last = np.append(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1, len(key))
+        ends = np.repeat(last, np.diff(np.concatenate([[0], last])))
+        rows, step = np.flatnonzero(minor == 0), 1
         while True:
             rows = rows[rows + step < ends[rows]]
             if not len(rows):
                 break
             i, j = rows, rows + step
-            near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            near = (own[i] != own[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[near], j[near]
             near = np.count_nonzero(sig[i] != sig[j], axis=1) <= bound
-            i, j = i[near], j[near]
-            if len(i):
-                own = _first_key(sig[i], sig[j], bound) == key[i]
-                x, y = ids[i[own]], ids[j[own]]
+            x, y = ids[i[near]], ids[j[near]]
+            if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
             step += 1
 
@@ -292,50 +305,98 @@ def _verify(size: int, percent: int):
     return run
 
 
+def _sum_of(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes of undirected links (a, b): the smallest node reachable.
 
     Alternating large-star and small-star rounds until a round changes
-    nothing; each round is written to the shared folder.
+    nothing; each round is written to the shared folder.  The smallest
+    neighbours are a table of their own, so that Spark can split the join of a
+    node that has many links.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    before = _sum_of(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        small = stored(small, "small")
-        same = small.count() == edges.count() and small.exceptAll(edges).isEmpty()
-        edges = small
-        if same:
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        pairs = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = stored(pairs.select("e.*").where("u <> v").distinct(), "small")
+        after = _sum_of(edges)
+        if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        before = after
 
 
-def near_duplicate_links(reps: DataFrame, text: DataFrame, size: int, percent: int, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of representatives that give the same components as all links.
+def _confirmed(pairs: DataFrame, reps: DataFrame, text: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that have the similarity: by size and signature first, then on the full sets of their texts."""
+    bound = distance_bound(percent / 100)
+    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"sig_{x}"))
+    near = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_within(percent, bound), "a long, b long").distinct(), "near")
+    texts = lambda x: text.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    full = near.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "text_a", "text_b")
+    return stored(full.mapInArrow(_verify(size, percent), "a long, b long"), "confirmed")
 
-    Keys with at most ``small`` documents give candidate pairs, each confirmed on
-    the full sets.  A key with more is cut into blocks; each two of them meet in
-    one task that compares the full sets of their documents and returns at most
-    one pair per document.
-    """
+
+def _open_keys(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Members (key, doc_id, component) of keys with several components, with ``k``, ``minor`` (0 in the minority): those with a minority of at most ``small``, and the others."""
+    own = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    span = own.groupBy("key").agg(F.sum("n").alias("k"), F.max(F.struct("n", "component")).alias("top")).where("k > top.n")
+    keys = stored(span.select("key", "k", (F.col("k") - F.col("top.n")).alias("rest"), F.col("top.component").alias("major")), "open")
+    open_ = stored(members.join(keys, "key").select("key", "doc_id", "component", "k", "rest", (F.col("component") == F.col("major")).cast("int").alias("minor")), "open")
+    return open_.where(F.col("rest") <= small), open_.where(F.col("rest") > small)
+
+
+def _minor_pairs(members: DataFrame, reps: DataFrame, percent: int, bound: int, block: int) -> DataFrame:
+    """Candidate pairs between the minority and all documents of each key; a key's documents are dealt out in blocks that each have the whole minority."""
+    blocks = F.ceil(F.col("k") / block).cast("int")  # of about eight times the minority, so that it is not repeated often
+    own = F.array(F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    dealt = members.select("key", "doc_id", "component", "minor", F.explode(F.when(F.col("minor") == 0, F.sequence(F.lit(0), blocks - 1)).otherwise(own)).alias("block"))
+    rows = dealt.join(reps, "doc_id").select("key", "block", "minor", "doc_id", "component", "n_shingles", "signature")
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "minor").mapInArrow(_small_pairs(percent, bound), "a long, b long").distinct()
+
+
+def near_duplicate_links(reps: DataFrame, text: DataFrame, size: int, percent: int, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of representatives that give the same components as all links; see the module's text."""
     bound = distance_bound(percent / 100)
     keys = reps.select("doc_id", "signature").mapInArrow(_emit_keys(bound), "key long, doc_id long")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    sizes = stored(keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
     members = stored(keys.join(sizes, "key"), "members")
-    few = members.where(F.col("k") <= small).join(reps, "doc_id").select("key", "doc_id", "n_shingles", "signature")
-    pairs = stored(few.repartition("key").sortWithinPartitions("key").mapInArrow(_small_pairs(percent, bound), "a long, b long"), "pairs")
-    left = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    full = left.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    confirmed = full.mapInArrow(_verify(size, percent), "a long, b long")
-    blocks = F.ceil(F.col("k") / block).cast("int")
-    many = members.where(F.col("k") > small).select("key", "doc_id", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).cast("int").alias("left"), F.greatest("block", o).cast("int").alias("right")))
-    dealt = many.join(text, "doc_id").select("key", "doc_id", "text", F.explode(met).alias("m")).select("key", "m.left", "m.right", "doc_id", "text")
+    score = members.groupBy("doc_id").agg(F.sum("k").alias("score"))
+    best = members.join(score, "doc_id").groupBy("key").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("m"))
+    pivots = stored(best.select("key", (-F.col("m.d")).alias("pivot")), "pivots")
+    met = members.join(pivots, "key").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).where("a <> b").distinct()
+    links = _confirmed(met, reps, text, size, percent)
+    own = components(links).select(F.col("node").alias("doc_id"), "component")
+    placed = stored(members.select("key", "doc_id").join(own, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
+    few, hot = _open_keys(placed, small)
+    links = links.unionByName(_confirmed(_minor_pairs(few, reps, percent, bound, min(block, 8 * max(small, 1))), reps, text, size, percent))
+    hot = stored(hot.select("doc_id", "component").distinct(), "hot")
+    return links if hot.isEmpty() else links.unionByName(_rare_links(hot, reps, text, size, percent, small, block))
+
+
+def _rare_links(hot: DataFrame, reps: DataFrame, text: DataFrame, size: int, percent: int, small: int, block: int) -> DataFrame:
+    """Links between documents (doc_id, component) of different components, by the rarest values of their signatures."""
+    bound = distance_bound(percent / 100)
+    values = stored(hot.join(reps, "doc_id").select("doc_id", "signature").mapInArrow(_emit_values, "key long, doc_id long"), "values")
+    known = stored(values.groupBy("key").agg(F.count("*").alias("n")), "frequency")
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "key"))), 1, bound + 1)
+    rare = values.join(known, "key").groupBy("doc_id").agg(rarest.alias("r")).select("doc_id", F.explode("r").alias("r")).where("r.n > 1").select(F.col("r.key").alias("key"), "doc_id")
+    few, many = _open_keys(stored(rare.join(hot, "doc_id"), "rare"), small)
+    links = _confirmed(_minor_pairs(few, reps, percent, bound, min(block, 8 * max(small, 1))), reps, text, size, percent)
+    # Blocks of the minority are numbered first; two blocks of the largest component need not meet.
+    of_minor, of_major = F.ceil(F.col("rest") / block).cast("int"), F.ceil((F.col("k") - F.col("rest")) / block).cast("int")
+    place = F.when(F.col("minor") == 0, F.pmod(F.xxhash64("doc_id"), of_minor)).otherwise(of_minor + F.pmod(F.xxhash64("doc_id"), of_major)).cast("int")
+    placed = many.select("key", "doc_id", place.alias("block"), F.when(F.col("minor") == 0, of_minor + of_major).otherwise(of_minor).alias("others"))
+    met = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right")))
+    dealt = placed.select("key", "doc_id", F.explode(met).alias("m")).select("key", "m.left", "m.right", "doc_id").join(text, "doc_id").select("key", "left", "right", "doc_id", "text")
     joined = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right").mapInArrow(_hot_links(size, percent), "a long, b long")
-    return confirmed.unionByName(joined)
+    return links.unionByName(joined)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -344,8 +405,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents link when 100 * |intersection| >= percent * |union| of their sets
     of ``size``-word shingles (words between white space, A-Z folded).  Texts
     without words, and null texts, link with nothing.  The component is the
-    smallest id reachable.  Rows with a null id are kept, without a component;
-    rows that share an id count as one document with several texts.
+    smallest id reachable.  Rows with a null id, or one that is no integer, are
+    kept, without a component; rows that share an id count as one document with
+    several texts and are kept or dropped together.
     """
     text = keyed_text(docs, id_col, text_col)
     signed = stored(text.mapInArrow(_sign(size), _SIGNED), "signed")
@@ -361,7 +423,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with only the document of the smallest id of each component."""
     out = near_dedup(docs, id_col, text_col, size, percent).where("not kept").select(F.col("doc_id").alias("__copy"))
-    return docs.join(out, F.col(id_col).cast("long") == F.col("__copy"), "left_anti")
+    return docs.join(out, id_of(id_col) == F.col("__copy"), "left_anti")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,11 +46,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns that text operators work on, under fixed names."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-
 def plain(name: str) -> Column:
     """A top-level column whatever characters its name has."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def id_of(name: str) -> Column:
+    """An id column as a long; an id that is no integer counts as null."""
+    return plain(name).try_cast("long")
+
+
+def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The two columns that text operators work on, under fixed names; see :func:`id_of` for odd ids."""
+    return docs.select(id_of(id_col).alias("doc_id"), plain(text_col).cast("string").alias("text"))
+
+
+def packed(docs: DataFrame, *left_out: str) -> Column:
+    """All columns but some as one struct, by position, so that any name and any number of them pass through a task."""
+    return F.struct(*[plain(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in left_out], F.lit(0).alias("none"))
+
+
+def unpacked(docs: DataFrame, row: str, **new: Column) -> list[Column]:
+    """The columns of ``docs`` again from the struct of :func:`packed`, with some replaced."""
+    return [(new[c] if c in new else F.col(f"{row}.c{i}")).alias(c) for i, c in enumerate(docs.columns)]

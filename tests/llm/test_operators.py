@@ -74,7 +74,7 @@ def test_remove_repeats_keeps_columns(docs):
 
 
 def test_near_dedup(docs, texts):
-    for size, percent, defaults in ((3, 85, (64, 512)), (3, 85, (1, 3)), (5, 80, (64, 512))):
+    for size, percent, defaults in ((3, 85, (16, 512)), (3, 85, (1, 3)), (3, 85, (0, 2)), (5, 80, (16, 512))):
         near_dedup.near_duplicate_links.__defaults__ = defaults
         sets = []
         for t in texts:
@@ -89,14 +89,14 @@ def test_near_dedup(docs, texts):
         got = {r.doc_id: r for r in near_dedup.near_dedup(docs, size=size, percent=percent).collect()}
         assert {i: (got[i].n_shingles, got[i].component_id) for i in range(len(texts))} == {i: (len(sets[i]), root[i]) for i in range(len(texts))}
         assert got[None].kept and got[None].component_id is None
-    near_dedup.near_duplicate_links.__defaults__ = (64, 512)
+    near_dedup.near_duplicate_links.__defaults__ = (16, 512)
 
 
 def test_pigeonhole_covers_the_bound():
     rng = np.random.default_rng(0)
     for percent in (80, 85):
         bound = near_dedup.distance_bound(percent / 100)
-        a = rng.integers(0, 256, (200, near_dedup.SYMBOLS)).astype(np.uint8)
+        a = rng.integers(0, 1 << 15, (200, near_dedup.SYMBOLS)).astype(np.uint16)
         b = a.copy()
         for row in b:
             row[rng.permutation(near_dedup.SYMBOLS)[:bound]] += 1
