@@ -113,15 +113,32 @@ def test_components(spark):
 def test_decontamination(spark, docs, texts):
     items = [(1, " ".join((texts[2] or "").split()[:30])), (2, "one"), (3, None), (4, "!?"), (None, "one two"), (5, "ONE, Two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    wide = decontamination.benchmark_hits(docs.where("doc_id <> 3"), bench)
-    assert wide.exceptAll(decontamination.benchmark_hits(docs.where("doc_id <> 3"), bench, max_windows=1)).count() == 0
+    wide = decontamination.benchmark_hits(docs, bench)
+    full = decontamination.benchmark_hits(docs, bench, filter_bits=64)  # a set so full that every window is a candidate
+    assert wide.exceptAll(full).count() == 0 and full.exceptAll(wide).count() == 0
     got = {r.doc_id: r for r in wide.collect()}
     at = texts.index("one two")
     assert got[at].n_hit == 2 and list(got[at]["items"]) == ["2", "5"]
     assert got[2].n_hit >= 25 and got[texts.index("")].n_words == 0
     clean = decontamination.remove_spans(docs, bench)
-    assert clean.columns == docs.columns and decontamination.benchmark_hits(clean, bench).where("n_hit > 0").count() == 0
+    assert clean.columns == docs.columns and clean.count() == docs.count() and decontamination.benchmark_hits(clean, bench).where("n_hit > 0").count() == 0
     assert decontamination.benchmark_hits(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontamination.decontaminate(docs, bench.limit(0)).count() == docs.count()
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_decontamination_by_row(spark, bits):
+    ship(spark)
+    rows = [(1, "one two", "a"), (1, "zzz", "b"), (None, "x one two y", "c"), (None, "clean", "d"), (2, None, "e"), (3, "w " * 200_000 + "one two", "f"), (1, "one two", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hits string").withColumnRenamed("hits", "x.y").withColumn("key", F.lit(1)).repartition(2)
+    bench = spark.createDataFrame([(7, "one two"), (7, "one two"), (8, "ONE two!")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, tuple(r["items"])) for r in decontamination.benchmark_hits(docs, bench, filter_bits=bits).collect())
+    assert got == sorted([(1, 2, 2, ("7", "8"))] * 2 + [(1, 1, 0, ()), (0, 4, 2, ("7", "8")), (0, 1, 0, ()), (2, 0, 0, ()), (3, 200_002, 2, ("7", "8"))])
+    kept = decontamination.decontaminate(docs, bench, filter_bits=bits)
+    assert kept.columns == docs.columns and sorted(r["x.y"] for r in kept.collect()) == ["b", "d", "e"]
+    cut = {r["x.y"]: r.text for r in decontamination.remove_spans(docs, bench, filter_bits=bits).collect()}
+    assert (cut["a"], cut["b"], cut["c"], cut["e"]) == ("", "zzz", "x y", None) and len(cut["f"]) == 399_999
+    assert decontamination.benchmark_hits(docs.limit(0), bench).count() == 0 and decontamination.decontaminate(docs.limit(0), bench).count() == 0
 
 
 def test_token_files(spark, docs, texts):
