@@ -1,17 +1,20 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The lattice of a text has a node for each position and an edge for each piece
-that spans two positions.  For a model of merges (BPE) a path is allowed if
-each two neighbouring pieces are compatible, that is, if no merge that the
-model prefers would have joined parts of them; exactly one path to each
-position survives, and it ends with the ids that the model gives.  The search
-keeps a window of positions no longer than the longest piece, since no later
-piece can start before it, and commits ids as soon as the surviving paths, read
-backwards from all positions of the window, meet at one boundary.
+that spans two positions.  For a unigram model the best path to a position is
+the one of the largest sum of scores.  For a model of merges (BPE) a path is
+allowed if each two neighbouring pieces are compatible, that is, if no merge
+that the model prefers would have joined parts of them; exactly one path to
+each position is allowed.  Either way each position keeps one backpointer, and
+the path ends with the ids that the model gives.  The search keeps a window of
+positions no longer than the longest piece, since no later piece can start
+before it, and commits ids as soon as the surviving paths, read backwards from
+all positions of the window, meet at one boundary.
 
 Where no piece of the vocabulary holds two given characters side by side, all
-paths meet, whatever surrounds them.  A batch of texts is cut there first, and
-each distinct span goes through the search once.
+paths meet, whatever surrounds them.  These boundaries are known without a
+search, so the stream of a task's texts commits there and starts anew; a stretch
+between two of them that the task has met before is not searched again.
 """
 
 from __future__ import annotations
@@ -34,6 +37,52 @@ SPACE = "▁"
 _NONE = -1
 
 
+def _fields(raw: bytes) -> dict[int, list]:
+    """The fields of a protocol buffer message by number: integers, or bytes."""
+    at, out = 0, {}
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if raw[at - 1] < 128:
+                return value
+
+    while at < len(raw):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            value = varint()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or varint()
+            value, at = raw[at : at + size], at + size
+        out.setdefault(number, []).append(value)
+    return out
+
+
+def model_kind(proto: bytes) -> str:
+    """``unigram`` or ``bpe``; a ValueError for a model that the search does not follow.
+
+    It follows models with bytes for unknown characters, the identity
+    normaliser, and a space sign put before the text and for each space.
+    """
+    model = _fields(proto)
+    trainer, normal = (_fields(model.get(k, [b""])[-1]) for k in (2, 3))
+    kind = {1: "unigram", 2: "bpe"}.get(trainer.get(3, [1])[-1])
+    if not kind:
+        raise ValueError("only unigram and BPE models are supported")
+    if not trainer.get(35, [0])[-1]:
+        raise ValueError("the model has no bytes for unknown characters")
+    if trainer.get(24, [0])[-1]:
+        raise ValueError("models with the space sign after a word are not supported")
+    if any(normal.get(2, [b""])) or any(normal.get(6, [b""])) or not normal.get(3, [1])[-1] or normal.get(4, [1])[-1] or not normal.get(5, [1])[-1]:
+        raise ValueError("only the identity normaliser with a space before the text and all white space kept is supported")
+    if any(_fields(p).get(3, [1])[-1] == 4 for p in model.get(1, [])):
+        raise ValueError("user-defined pieces are not supported")
+    return kind
+
+
 @dataclass
 class PieceModel:
     """What coding needs of a model; small and of fixed size, so it can be broadcast."""
@@ -44,12 +93,15 @@ class PieceModel:
     byte_ids: list[int]
     parts: dict[int, tuple[int, int]] = field(default_factory=dict)
     longest: int = 1
+    kind: str = "bpe"
+    scores: dict[int, float] = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        kind = model_kind(sp.serialized_model_proto())
         n = sp.get_piece_size()
         pieces = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
@@ -57,6 +109,8 @@ class PieceModel:
         for i in range(n):
             if sp.is_byte(i):
                 byte_ids[int(pieces[i][3:5], 16)] = i
+        if kind == "unigram":
+            return cls.unigram(pieces, {i: sp.get_score(i) for i in plain}, byte_ids)
         scores = sorted({sp.get_score(i) for i in plain if len(pieces[i]) > 1}, reverse=True)
         place = {s: k for k, s in enumerate(scores)}
         rank = {pieces[i]: place[sp.get_score(i)] for i in plain if len(pieces[i]) > 1}
@@ -71,6 +125,17 @@ class PieceModel:
         model.longest = max(map(len, model.ids))
         return model
 
+    @classmethod
+    def unigram(cls, pieces: list[str], scores: dict[int, float], byte_ids: list[int]) -> PieceModel:
+        """A model of scored pieces; the best path has the largest sum."""
+        ids = {pieces[i]: i for i in scores}
+        return cls(pieces, {}, ids, byte_ids, longest=max(map(len, ids)), kind="unigram", scores=scores)
+
+    @property
+    def byte_score(self) -> float:
+        """Of a character that no piece has: below all pieces by the penalty for unknown ones."""
+        return min(self.scores.values(), default=0.0) - 10.0
+
     def merge(self, text: str) -> list[str]:
         """All merges of a short text, the best and leftmost first."""
         return self._merge(text)[0]
@@ -112,6 +177,7 @@ class StreamingEncoder:
         self.tail = ""  # characters of the window
         self.base = 0  # position of the window's first character
         self.back: dict[int, tuple[int, int]] = {0: (_NONE, _NONE)}  # position -> (id, position before it)
+        self.total: dict[int, float] = {0: 0.0}  # of the best path to a position, for scored pieces
         self.done = 0  # position up to which ids are committed
 
     def compatible(self, a: int, b: int) -> bool:
@@ -144,30 +210,62 @@ class StreamingEncoder:
 
     def feed(self, text: str) -> list[int]:
         """Take more text; return the ids that no further text can change."""
-        m, out = self.model, []
-        ids, back, compatible, longest = m.ids, self.back, self.compatible, m.longest
-        window = self.tail + text
-        at = self.base + len(self.tail)
-        for i in range(len(self.tail) + 1, len(window) + 1):
-            at += 1
+        out = self._search(text)
+        return out + self._commit(self.base + len(self.tail))
+
+    def _search(self, text: str) -> list[int]:
+        step = self._scored if self.model.kind == "unigram" else self._merged
+        longest, out = self.model.longest, []
+        # A long text comes in parts, so that the window is all that is kept of it.
+        for lo in range(0, len(text), 2 * longest):
+            part = text[lo : lo + 2 * longest]
+            window = self.tail + part
+            step(window, len(self.tail), self.base)
+            at = self.base + len(window)
+            if len(self.back) > 4 * longest:
+                out += self._commit(at)
+            keep = min(len(window), longest)
+            self.tail, self.base = window[len(window) - keep :], at - keep
+        return out
+
+    def _merged(self, window: str, first: int, base: int) -> None:
+        """The backpointers of the window's positions after ``first``: the piece that is compatible with the path before it."""
+        ids, back, fits, longest = self.model.ids, self.back, self.fits, self.model.longest
+        for i in range(first + 1, len(window) + 1):
             for length in range(min(longest, i), 0, -1):
-                before = back.get(at - length)
-                if before is None:
-                    continue
                 piece = ids.get(window[i - length : i])
                 if piece is None:
                     if length > 1:
                         continue
                     piece = -2 - ord(window[i - 1])  # no piece: bytes, which merge with nothing
-                if before[0] < 0 or piece < 0 or compatible(before[0], piece):
-                    back[at] = (piece, at - length)
-                    break
-            if len(back) > 4 * longest:
-                out += self._commit(at)
-        out += self._commit(at)
-        keep = min(len(window), longest)
-        self.tail, self.base = window[len(window) - keep :], at - keep
-        return out
+                before = back.get(base + i - length)
+                if before is None:
+                    continue
+                last = before[0]
+                if last >= 0 and piece >= 0:
+                    known = fits.get(last << 32 | piece)
+                    if not (self.compatible(last, piece) if known is None else known):
+                        continue
+                back[base + i] = (piece, base + i - length)
+                break
+
+    def _scored(self, window: str, first: int, base: int) -> None:
+        """The same for scored pieces: the best sum; of equal sums the longer piece."""
+        m, back, total = self.model, self.back, self.total
+        for i in range(first + 1, len(window) + 1):
+            best = None
+            for length in range(min(m.longest, i), 0, -1):
+                piece = m.ids.get(window[i - length : i])
+                if piece is None:
+                    if length > 1:
+                        continue
+                    piece = -2 - ord(window[i - 1])
+                if base + i - length not in back:
+                    continue
+                own = total[base + i - length] + (m.scores[piece] if piece >= 0 else m.byte_score)
+                if best is None or own > best[0]:
+                    best = (own, piece, base + i - length)
+            total[base + i], back[base + i] = best[0], best[1:]
 
     def _path(self, at: int) -> list[int]:
         path = [at]
@@ -185,6 +283,7 @@ class StreamingEncoder:
         out = self._ids(max(shared)) if shared else []
         for p in [p for p in self.back if p < first and p < self.done]:
             del self.back[p]
+            self.total.pop(p, None)
         return out
 
     def _ids(self, at: int) -> list[int]:
@@ -202,33 +301,8 @@ class StreamingEncoder:
         return out
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text; a text of a few windows is searched in one piece."""
-        n, longest = len(text), self.model.longest
-        if n > 4 * longest:
-            return self.feed(text) + self.finish()
-        ids, fits = self.model.ids, self.fits
-        last, size = [_NONE] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for length in range(min(longest, i), 0, -1):
-                piece = ids.get(text[i - length : i])
-                if piece is None:
-                    if length > 1:
-                        continue
-                    piece = -2 - ord(text[i - 1])
-                before = last[i - length]
-                if before >= 0 and piece >= 0:
-                    known = fits.get(before << 32 | piece)
-                    if not (self.compatible(before, piece) if known is None else known):
-                        continue
-                last[i], size[i] = piece, length
-                break
-        out: list[list[int]] = []
-        i = n
-        while i:
-            piece = last[i]
-            out.append([piece] if piece >= 0 else [self.model.byte_ids[x] for x in chr(-2 - piece).encode("utf-8", "surrogatepass")])
-            i -= size[i]
-        return [x for part in reversed(out) for x in part]
+        """Ids of a whole text."""
+        return self._search(text) + self.finish()
 
 
 def decode(model: PieceModel, ids: np.ndarray) -> str:
@@ -260,10 +334,10 @@ class _Decoder:
 def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = StreamingEncoder(shared.value)
-        # One pool for each task: an idle worker process keeps none of it.
+        # The stretches that this task has met; an idle worker process keeps none of them.
         pool = IdPool(lambda spans: [encoder.encode(s.decode("utf-8", "replace").replace(" ", SPACE)) for s in spans])
         joined = shared.value.joined_bytes()
-        value = ws.byte_values(lower=False)
+        value, second = ws.byte_values(lower=False), ws.byte_values(lower=False, seed=29)
         for b in batches:
             for row, part, edge in ws.slices(b.column("normal")):
                 cut = np.ones(len(part), dtype=bool)
@@ -272,7 +346,7 @@ def _encode(shared):
                     cut[edge[:-1][edge[:-1] < len(part)]] = True
                 start = np.flatnonzero(cut)
                 end = np.append(start[1:], len(part)) if len(start) else start
-                ids, count = pool.ids_of(ws.span_hashes(part, start, end, value), start, end, part)
+                ids, count = pool.ids_of(ws.span_hashes(part, start, end, value), ws.span_hashes(part, start, end, second), start, end, part)
                 at = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, edge)]
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, len(edge) - 1), lists], names=["doc_id", "ids"])
@@ -316,7 +390,8 @@ def encode_pieces(docs: DataFrame, model: str | PieceModel, id_col: str = "doc_i
 
     The model's space sign inside a text counts as a space.  Characters that
     the model lacks become the ids of their bytes.  ``model`` is a path or a
-    loaded model with the identity normaliser and a space before each text.
+    loaded model; see :func:`model_kind` for those that can be used.  Rows with
+    a null id keep it, and every row gives one row.
     """
     return _normal(docs, id_col, text_col).mapInArrow(_encode(_shared(docs.sparkSession, model)), "doc_id long, ids array<int>")
 

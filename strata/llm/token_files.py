@@ -25,23 +25,18 @@ from strata.llm.shared import keyed_text, new_path, stored, table
 END_ID = 1
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
 
-_pools: dict[str, tuple] = {}
+_tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer and pool of this worker process."""
-    if path not in _pools:
+    """The tokenizer of this worker process, and its control strings."""
+    if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        special = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
-
-        def encode(spans: list[bytes]) -> list[list[int]]:
-            return [e.ids for e in t.encode_batch_fast([s.decode("utf-8", "replace") for s in spans], add_special_tokens=False)]
-
-        _pools[path] = (t, special, IdPool(encode, limit=800_000))
-    return _pools[path]
+        _tokenizers[path] = (t, [x.content.encode() for x in t.get_added_tokens_decoder().values()])
+    return _tokenizers[path]
 
 
 def _letter_table() -> tuple[np.ndarray, np.ndarray]:
@@ -75,12 +70,14 @@ def _encode(path: str, end_id: int | None):
     tail = [] if end_id is None else [end_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, special, pool = _tokenizer(path)
-        value = ws.byte_values(lower=True)
+        tokenizer, special = _tokenizer(path)
+        # One pool for each task: an idle worker process keeps none of it.
+        pool = IdPool(lambda found: [e.ids for e in tokenizer.encode_batch_fast([s.decode("utf-8", "replace") for s in found], add_special_tokens=False)], limit=400_000)
+        value, second = ws.byte_values(lower=True), ws.byte_values(lower=True, seed=29)
         for b in batches:
             for row, part, edge in ws.slices(b.column(1)):
                 start, end = spans(part, edge)
-                ids, count = pool.ids_of(ws.span_hashes(part, start, end, value), start, end, part)
+                ids, count = pool.ids_of(ws.span_hashes(part, start, end, value), ws.span_hashes(part, start, end, second), start, end, part)
                 at = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, edge)]
                 raw = part.tobytes()
                 odd = {i for i in range(len(edge) - 1) if any(x in raw[edge[i] : edge[i + 1]] for x in special)} if any(x in raw for x in special) else ()
@@ -101,8 +98,8 @@ def _encode(path: str, end_id: int | None):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, partitions: int | None = None) -> None:
     """Encode every text and write (doc_id, ids) as ORC files in ascending id order.
 
-    A null text is empty; a null id sorts first; rows that share an id are all
-    written.  ``end_id`` is put after each document unless it is None.
+    A null text is empty; a null id, or one that is no integer, sorts first as
+    null; rows that share an id are all written.  ``end_id`` is put after each document unless it is None.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed_text(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
@@ -126,6 +123,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, ids array<int>").orc(path)
 
 
+def look_up(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of some documents; files' and stripes' minima and Bloom filters rule out what need not be read."""
+    return read_token_files(spark, path).where(F.col("doc_id").isin([int(i) for i in ids]))
+
+
 def token_file_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document of token files: doc_id, start, n_tokens, ids_crc32.
 
