@@ -1,24 +1,29 @@
 """Removal of long word sequences that earlier documents already have.
 
-A sparse generalised suffix tree, split by prefix:
+A sparse generalised suffix tree, split by prefixes of variable length:
 
 1. Every window of ``width`` words has an *anchor*, the smallest hash among
    its ``ANCHOR`` word k-grams.  Equal windows have equal anchors, so suffixes
-   need comparing only inside the group of one anchor, which is the prefix of
-   the sparse suffixes in it.  Neighbouring windows with one anchor form a
-   *segment*, about one row for twenty words.
-2. Segments with the same content collapse to the one of the smallest
-   document (a partial aggregation); all other occurrences are repeats.
-3. Anchors with two or more different contents need a tree.  A group of at
-   most ``group_limit`` segments fits in memory: the words of its segments
-   go to one task, which sorts their suffixes, takes the common prefix of
-   neighbours and reads the repeats off the internal nodes of a depth of
-   ``width`` words or more.  A larger group gets a longer prefix, the whole
-   ``width`` words: then each group is a single node and Spark's partial
-   aggregation finds its smallest document.
+   need comparing only inside the group of one anchor, the first prefix.
+   Neighbouring windows with one anchor form a *segment*, about one row for
+   twenty words.
+2. Segments with the same content, by two independent 64-bit hashes, are one
+   leaf, that of the smallest document (a partial aggregation); occurrences in
+   other documents are repeats, and those in the same document, its twins, share
+   what the tree finds out about it.
+3. A group of at most ``group_limit`` segments fits in memory and is one
+   subtree.  A larger one is split: its suffixes, one for each window, go by
+   the hash of their first words, a quarter of the width, then half of it, then
+   all of it, until a group fits; a prefix that only one document has is
+   dropped at once.
+4. A task sorts the suffixes of a subtree by their words, takes the common
+   prefixes of neighbours and reads the repeats off the internal nodes of a
+   depth of ``width`` words or more.  Runs of such suffixes are the maximal
+   repeats.  A prefix of ``width`` words is such a node by itself, so a group of
+   any size needs only its smallest document, by a partial aggregation.
 
 No step holds all suffixes of a group of unbounded size, and no step drops a
-window: both ways give the same rows.
+window: the limit does not change the rows.
 """
 
 from __future__ import annotations
@@ -28,22 +33,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import wordscan as ws
-from strata.llm.shared import keyed_text, stored, table
+from strata.llm.shared import id_of, keyed_text, packed, plain, stored, table, unpacked
 
 WIDTH = 50
 ANCHOR = 8
 SEGMENT_WINDOWS = 64
-GROUP_LIMIT = 4096
+GROUP_LIMIT = 2048
 TREE_WINDOWS = 1 << 16
 
-_SEGMENT = "doc_id long, anchor long, content long, start int, n int"
-_PIECE = "anchor long, doc_id long, start int, words string"
-_NODE = "label long, label2 long, doc_id long, start int"
-_RUN = "doc_id long, start int, n int"
+_SEGMENT = "doc_id long, mark int, anchor long, content long, content2 long, start int, n int"
+_PIECE = "anchor long, doc_id long, mark int, base int, start int, words string"
+_RUN = "doc_id long, mark int, base int, start int, n int"
+#: A text: its id, and a mark that tells texts of one id apart.
+_TEXT = ("doc_id", "mark")
 
 
 def _batch(columns: dict[str, np.ndarray], like: str) -> pa.RecordBatch:
@@ -70,14 +77,32 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return m
 
 
+def _totals(hashes: np.ndarray) -> np.ndarray:
+    up, _ = ws._WORDS.get(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return total
+
+
+def _span_hash(total: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of the words from lo to hi, wherever they stand."""
+    _, down = ws._WORDS.get(len(total))
+    return ws.mix64((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+
+def _two_totals(w: ws.Words) -> list[np.ndarray]:
+    """Sums over two word hashes that depend on different byte values."""
+    return [_totals(w.hash), _totals(ws.span_hashes(w.data, w.start, w.end, ws.byte_values(False, 31)))]
+
+
 def _segments(width: int):
     anchor_words = min(ANCHOR, width)
     span = width - anchor_words + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for w in ws.scan(b.column(1), "space", lower=False):
+            ids, marks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for w in ws.scan(b.column(2), "space", lower=False):
                 at, _, doc = ws.windows(w, width)
                 if not len(at):
                     continue
@@ -92,66 +117,75 @@ def _segments(width: int):
                 first = np.flatnonzero(within % SEGMENT_WINDOWS == 0)
                 n = np.diff(np.append(first, len(at)))
                 lo, hi = at[first], at[first] + n + width - 1
-                up, down = ws._WORDS.get(len(w.hash) + 1)
-                total = np.zeros(len(w.hash) + 1, dtype=np.uint64)
-                np.cumsum(w.hash * up[: len(w.hash)], out=total[1:])
-                content = ws.mix64((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
-                yield _batch(
-                    {"doc_id": ids[w.first + doc[first]], "anchor": anchor[first], "content": content, "start": lo - w.bounds[doc[first]], "n": n},
-                    _SEGMENT,
-                )
+                content, content2 = (_span_hash(t, lo, hi) for t in _two_totals(w))
+                row = w.first + doc[first]
+                yield _batch({"doc_id": ids[row], "mark": marks[row], "anchor": anchor[first], "content": content, "content2": content2, "start": lo - w.bounds[doc[first]], "n": n}, _SEGMENT)
 
     return run
 
 
-def _cut(width: int, as_windows: bool):
-    """From (doc_id, text, segments) to the words of each segment, or to its windows' labels."""
+def _listed(b: pa.RecordBatch) -> Iterator[tuple]:
+    """Of rows (doc_id, mark, text, parts): the words of a slice of texts, and of each part its row, anchor, base, start in the text, windows, first word."""
+    lists = b.column(3)
+    offsets, parts = lists.offsets.to_numpy(), lists.values
+    anchor, base, start, n = (parts.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+    for w in ws.scan(b.column(2), "space", lower=False):
+        lo, hi = offsets[w.first], offsets[w.first + w.docs]
+        owner = np.repeat(np.arange(w.docs), np.diff(offsets[w.first : w.first + w.docs + 1]))
+        yield w, w.first + owner, anchor[lo:hi], base[lo:hi], start[lo:hi], n[lo:hi], w.bounds[owner] + start[lo:hi]
+
+
+def _cut(width: int):
+    """The words of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
-            offsets = lists.offsets.to_numpy()
-            parts = lists.values
-            anchor, start, n = (parts.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for w in ws.scan(b.column(1), "space", lower=False):
-                row = np.arange(w.first, w.first + w.docs)
-                lo, hi = offsets[row[0]], offsets[row[-1] + 1]
-                owner = np.repeat(np.arange(w.docs), np.diff(offsets[row[0] : row[-1] + 2]))
-                word = w.bounds[owner] + start[lo:hi]
-                if as_windows:
-                    count = n[lo:hi].astype(np.int64)
-                    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    first = np.repeat(word, count) + step
-                    up, down = ws._WORDS.get(len(w.hash) + 1)
-                    labels = []
-                    for seed in (0, 11):
-                        total = np.zeros(len(w.hash) + 1, dtype=np.uint64)
-                        np.cumsum((ws.mix64(w.hash + np.uint64(seed)) if seed else w.hash) * up[: len(w.hash)], out=total[1:])
-                        labels.append(ws.mix64((total[first + width] - total[first]) * down[first]))
-                    yield _batch(
-                        {"label": labels[0], "label2": labels[1], "doc_id": np.repeat(ids[w.first + owner], count), "start": np.repeat(start[lo:hi], count) + step},
-                        _NODE,
-                    )
-                    continue
+            ids, marks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for w, row, anchor, base, start, n, word in _listed(b):
                 raw = w.data.tobytes()
-                text = [raw[s:e].decode("utf-8", "replace") for s, e in zip(w.start[word].tolist(), w.end[word + n[lo:hi] + width - 2].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[lo:hi], pa.int64()), pa.array(ids[w.first + owner], pa.int64()), pa.array(start[lo:hi], pa.int32()), pa.array(text, pa.string())],
-                    names=["anchor", "doc_id", "start", "words"],
-                )
+                for lo in range(0, len(row), 65_536):
+                    part = slice(lo, lo + 65_536)
+                    text = [raw[s:e].decode("utf-8", "replace") for s, e in zip(w.start[word[part]].tolist(), w.end[word[part] + n[part] + width - 2].tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor[part], pa.int64()), pa.array(ids[row[part]], pa.int64()), pa.array(marks[row[part]], pa.int32()), *(pa.array(x[part], pa.int32()) for x in (base, start)), pa.array(text, pa.string())],
+                        names=["anchor", "doc_id", "mark", "base", "start", "words"],
+                    )
 
     return run
 
 
-def deep_nodes(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Internal nodes of a depth of ``width`` words of the suffix tree over ``at``.
+def prefix_lengths(width: int) -> list[int]:
+    """The lengths by which suffixes of large groups are split, one after the other."""
+    return sorted({max(1, width // 4), max(1, width // 2), width})
+
+
+def _suffixes(width: int):
+    """Each window of the parts, with hashes of its first words, and a second one of all of its words."""
+    lengths = prefix_lengths(width)
+    like = "doc_id long, mark int, base int, start int, " + ", ".join(f"p{x} long" for x in lengths) + ", check long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, marks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for w, row, _, _, start, n, word in _listed(b):
+                count = n.astype(np.int64)
+                step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                first, row = np.repeat(word, count) + step, np.repeat(row, count)
+                total, other = _two_totals(w)
+                columns = {"doc_id": ids[row], "mark": marks[row], "base": np.repeat(start, count), "start": np.repeat(start, count) + step, "check": _span_hash(other, first, first + width)}
+                yield _batch(columns | {f"p{x}": _span_hash(total, first, first + x) for x in lengths}, like)
+
+    return run, like
+
+
+def deep_nodes(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Internal nodes of a depth of ``width`` words of the suffix tree over the suffixes at ``at`` of numbered words.
 
     The suffixes are put in order by their first ``width`` words; neighbours
     that share all of them hang below one node.  Returns the order and the
     node of each suffix in that order.
     """
-    ids = np.unique(hashes, return_inverse=True)[1].astype(">u4")
-    rows = np.ascontiguousarray(ids[at[:, None] + np.arange(width)])
+    rows = np.ascontiguousarray(words.astype(">u4")[at[:, None] + np.arange(width)])
     order = np.argsort(rows.view(np.dtype((np.void, 4 * width))).ravel(), kind="stable")
     rows = rows[order]
     differs = rows[1:] != rows[:-1]
@@ -161,17 +195,18 @@ def deep_nodes(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def _subtree(rows: list[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The maximal repeats of some groups: runs of suffixes below nodes that an earlier document has too."""
     t = pa.Table.from_batches(rows).combine_chunks()
-    ids, begin = t.column("doc_id").to_numpy(), t.column("start").to_numpy()
-    text = t.column("words").combine_chunks()
-    found = list(ws.scan(text, "space", lower=False))
-    hashes = np.concatenate([w.hash for w in found])
-    size = np.concatenate([np.diff(w.bounds) for w in found])
+    ids, marks, segment, begin = (t.column(c).to_numpy() for c in ("doc_id", "mark", "base", "start"))
+    # Words are numbered by their bytes, so what is equal here is equal in the texts.
+    split = pc.ascii_split_whitespace(t.column("words").combine_chunks())
+    words = split.values.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    size = np.diff(split.offsets.to_numpy()).astype(np.int64)
     count = size - width + 1
-    base = np.cumsum(size) - size
+    lead = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(size)), count)
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    order, node = deep_nodes(hashes, np.repeat(base, count) + step, width)
+    order, node = deep_nodes(words, np.repeat(lead, count) + step, width)
     doc = ids[owner[order]]
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     repeat = np.zeros(len(order), dtype=bool)
@@ -180,8 +215,8 @@ def _subtree(rows: list[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]
     if len(at):
         new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])])
         head = np.flatnonzero(new)
-        lead = at[head]
-        yield _batch({"doc_id": ids[owner[lead]], "start": begin[owner[lead]] + step[lead], "n": np.diff(np.append(head, len(at)))}, _RUN)
+        own = owner[at[head]]
+        yield _batch({"doc_id": ids[own], "mark": marks[own], "base": segment[own], "start": begin[own] + step[at[head]], "n": np.diff(np.append(head, len(at)))}, _RUN)
 
 
 def _trees(width: int):
@@ -215,36 +250,89 @@ def _trees(width: int):
     return run
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, mark, text): texts that share an id have marks of their own."""
+    return keyed_text(docs, id_col, text_col).select("doc_id", F.hash("text").alias("mark"), "text")
+
+
+def _split_groups(suffixes: DataFrame, width: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Parts (doc_id, mark, anchor, base, start, n) of groups that fit, by the shortest prefix that makes them fit, and runs of the others."""
+    parts, rest = None, suffixes
+    for length in prefix_lengths(width)[:-1]:
+        key = f"p{length}"
+        groups = rest.groupBy(key).agg(F.count("*").alias("k"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(key, "k")
+        both = stored(rest.join(stored(groups, "groups"), key), "suffixes")
+        small = both.where(F.col("k") <= limit).select("doc_id", "mark", F.col(key).alias("anchor"), "base", "start", F.lit(1).alias("n"))
+        parts = small if parts is None else parts.unionByName(small)
+        rest = both.where(F.col("k") > limit).drop("k")
+    key = [f"p{width}", "check"]
+    least = stored(rest.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("last > least").drop("last"), "groups")
+    return parts, rest.join(least, key).where("doc_id > least").select("doc_id", "mark", "base", "start", F.lit(1).alias("n"))
+
+
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Runs of windows whose words also start in a document with a smaller id.
 
-    Returns (doc_id, start, n): the ``n`` windows that start at word ``start``
-    and the words after it.  A row may come more than once.  Rows with a null
-    id take no part; a null text has no words.  Texts of fewer than ``width``
-    words have no window.  Rows that share an id count as one document: what
-    is found in one of them holds for all.
+    Returns (doc_id, mark, start, n): the ``n`` windows that start at word
+    ``start`` and the words after it, in the text of that id and mark.  A row
+    may come more than once.  Rows with a null id, or one that is no integer,
+    take no part; a null text has no words.  Texts of fewer than ``width`` words
+    have no window.  Rows that share an id are texts of one document: none of
+    them repeats another.
     """
-    if width < 1:
-        raise ValueError("width must be positive")
-    text = keyed_text(docs, id_col, text_col).where("doc_id is not null")
+    if width < 4:
+        raise ValueError("width must be at least 4")
+    text = _marked(docs, id_col, text_col).where("doc_id is not null")
     segments = stored(text.mapInArrow(_segments(width), _SEGMENT), "segments")
-    contents = segments.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start", "n")).alias("least"), F.max("doc_id").alias("last"))
-    contents = stored(contents.select("anchor", "content", F.col("least.doc_id").alias("doc_id"), F.col("least.start").alias("start"), F.col("least.n").alias("n"), "last"), "contents")
-    copied = contents.where("last > doc_id").select("anchor", "content", F.col("doc_id").alias("least"))
-    copies = segments.join(copied, ["anchor", "content"]).where("doc_id > least").select("doc_id", "start", "n")
+    content = ["anchor", "content", "content2"]
+    contents = segments.groupBy(*content).agg(F.min(F.struct("doc_id", "mark", "start", "n")).alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("places"))
+    contents = stored(contents.select(*content, "least.*", "last", "places"), "contents")
+    leaf = contents.where("places > 1").select(*content, F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), F.col("start").alias("of_start"))
+    again = stored(segments.join(leaf, content).where("doc_id > of_id or mark <> of_mark or start <> of_start").drop("content", "content2"), "again")
+    copies = again.where("doc_id > of_id").select(*_TEXT, "start", "n")
     mixed = contents.groupBy("anchor").agg(F.count("*").alias("k"), F.min("doc_id").alias("lo"), F.max("last").alias("hi")).where("k > 1 and lo < hi").select("anchor", "k")
-    open_ = stored(contents.join(mixed, "anchor").select("anchor", "doc_id", "start", "n", "k"), "open")
+    mixed = stored(mixed, "mixed")
+    open_ = stored(contents.join(mixed, "anchor").select("anchor", *_TEXT, F.col("start").alias("base"), "start", "n", "k"), "open")
+    twins = again.where("doc_id = of_id").join(mixed.select("anchor"), "anchor").select("doc_id", F.col("of_mark").alias("mark"), F.col("of_start").alias("base"), F.col("mark").alias("twin"), F.col("start").alias("place"))
 
     def with_text(part: DataFrame) -> DataFrame:
-        lists = part.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("parts"))
-        return text.join(lists, "doc_id").select("doc_id", "text", "parts")
+        lists = part.groupBy(*_TEXT).agg(F.collect_list(F.struct("anchor", "base", "start", "n")).alias("parts"))
+        return text.join(lists, list(_TEXT)).select(*_TEXT, "text", "parts")
+
+    parts, deep = open_.where(F.col("k") <= group_limit).drop("k"), None
+    hot = open_.where(F.col("k") > group_limit)
+    if not hot.isEmpty():
+        cut, like = _suffixes(width)
+        small, deep = _split_groups(stored(with_text(hot).mapInArrow(cut, like), "suffixes"), width, group_limit)
+        parts = parts.unionByName(small)
+    found = with_text(parts).mapInArrow(_cut(width), _PIECE).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_trees(width), _RUN)
+    found = stored(found if deep is None else found.unionByName(deep), "found")
+    of_twins = found.join(twins, [*_TEXT, "base"]).select("doc_id", F.col("twin").alias("mark"), (F.col("place") + F.col("start") - F.col("base")).alias("start"), "n")
+    return copies.unionByName(found.drop("base")).unionByName(of_twins)
+
 
-    pieces = with_text(open_.where(F.col("k") <= group_limit)).mapInArrow(_cut(width, False), _PIECE)
-    shared = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_trees(width), _RUN)
-    nodes = with_text(open_.where(F.col("k") > group_limit)).mapInArrow(_cut(width, True), _NODE)
-    least = nodes.groupBy("label", "label2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("last > least")
-    deep = nodes.join(least.drop("last"), ["label", "label2"]).where("doc_id > least").select("doc_id", "start", F.lit(1).alias("n"))
-    return copies.unionByName(shared).unionByName(deep)
+def _runs(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    return repeated_windows(docs, id_col, text_col, width).groupBy(*_TEXT).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+
+
+def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """(doc_id, start, n_words, words): the stretches of each text that earlier documents have, as long as they go, from word ``start`` on."""
+    joined = _marked(docs, id_col, text_col).join(_runs(docs, id_col, text_col, width), list(_TEXT)).select("doc_id", "text", "runs")
+    return joined.mapInArrow(_stretches(width), "doc_id long, start long, n_words long, words string")
+
+
+def _stretches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for doc, text, runs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "runs"))):
+                words = text.encode("utf-8", "surrogatepass").split()
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], _covered(len(words), runs, width).astype(int), [0]])))
+                out += [(doc, s, e - s, b" ".join(words[s:e]).decode("utf-8", "surrogatepass")) for s, e in edge.reshape(-1, 2).tolist()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "start", "n_words", "words"])
+
+    return run
 
 
 def _covered(n_words: int, runs, width: int) -> np.ndarray:
@@ -279,13 +367,12 @@ def _apply(width: int, with_text: bool):
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256.
+    """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256.
 
     See :func:`repeated_windows` for what is removed; a null text has no words
     and an empty digest.  Windows are judged on the input alone.
     """
-    runs = repeated_windows(docs, id_col, text_col, width).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    joined = keyed_text(docs, id_col, text_col).join(runs, "doc_id", "left").select("doc_id", "text", "runs")
+    joined = _marked(docs, id_col, text_col).join(_runs(docs, id_col, text_col, width), list(_TEXT), "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(_apply(width, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -295,13 +382,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A text without repeats is unchanged.  In a text with repeats the words
     that stay are joined by one space; if none stays it is empty.
     """
-    runs = repeated_windows(docs, id_col, text_col, width).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    others = [c for c in docs.columns if c != text_col]
-    left = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(c) for c in others]).alias("row"))
-    joined = left.join(runs, "doc_id", "left").select("doc_id", "text", "runs", "row")
-    kind = docs.select(F.struct(*[F.col(c) for c in others])).schema[0].dataType.simpleString()
+    text = plain(text_col).cast("string")
+    left = docs.select(id_of(id_col).alias("doc_id"), F.hash(text).alias("mark"), text.alias("text"), packed(docs, text_col).alias("row"))
+    joined = left.join(_runs(docs, id_col, text_col, width), list(_TEXT), "left").select("doc_id", "text", "runs", "row")
+    kind = joined.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(_apply(width, True), f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, row {kind}")
-    return out.select(*[F.col("kept_text").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    return out.select(*unpacked(docs, "row", **{text_col: F.col("kept_text")}))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ def texts():
     word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 4)))
     passage = [word() for _ in range(70)]
     out = [" ".join([*(word() for _ in range(rnd.randint(0, 60))), *passage[rnd.randint(0, 10) :], *(word() for _ in range(rnd.randint(0, 60)))]) for _ in range(12)]
+    shared = [word() for _ in range(56)]
+    out += [" ".join([*(word() for _ in range(20)), *shared[:55], word()]), " ".join(x for _ in range(6) for x in [*shared, "s", *(word() for _ in range(2))])]
     out += [out[0], out[0], out[1].replace(" ", "\t\n", 5), None, "", " \n", "one", "one two", "a b " * 200, "a b " * 150, "x" * 50_000]
     base = [word() for _ in range(300)]
     for k in range(10):
@@ -48,7 +50,11 @@ def _words(text):
     return (text or "").encode().split()
 
 
-@pytest.mark.parametrize("limit", [4096, 1])
+def _gone(words, me, first):
+    return [any(first[tuple(words[s : s + 50])] < me for s in range(max(0, k - 49), min(k, len(words) - 50) + 1)) for k in range(len(words))]
+
+
+@pytest.mark.parametrize("limit", [4096, 2, 1])
 def test_substring_dedup(docs, texts, limit, monkeypatch):
     first = {}
     for i, t in enumerate(texts):
@@ -63,10 +69,26 @@ def test_substring_dedup(docs, texts, limit, monkeypatch):
     assert len(got[3]) == 2 and got[None][0][1] == 0
     for i, t in enumerate(texts):
         w = _words(t)
-        gone = [any(first[tuple(w[s : s + 50])] < i for s in range(max(0, k - 49), min(k, len(w) - 50) + 1)) for k in range(len(w))]
+        gone = _gone(w, i, first)
         assert got[i][0] == (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
 
 
+def test_substring_dedup_of_shared_ids_and_odd_columns(spark):
+    ship(spark)
+    rnd = random.Random(4)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    text = lambda lo, hi, *more: " ".join([*words[lo:hi], *more])
+    rows = [("1", text(0, 120)), ("2", text(60, 200)), ("2", "short"), ("2", text(300, 400)), ("doc-a", text(0, 120)), (None, text(0, 120)), ("3", text(300, 400, "end")), ("4", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("a.b", F.monotonically_increasing_id()).withColumn("runs", F.lit(1)).withColumn("mark", F.lit("m"))
+    out = substring_dedup.remove_repeats(docs)
+    want = [("1", text(0, 120)), ("2", text(120, 200)), ("2", "short"), ("2", text(300, 400)), ("doc-a", text(0, 120)), (None, text(0, 120)), ("3", "end"), ("4", None)]
+    assert out.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, want))
+    found = sorted((r.doc_id, r.start, r.n_words, r.words) for r in substring_dedup.maximal_repeats(docs).collect())
+    assert found == [(2, 0, 60, text(60, 120)), (3, 0, 100, text(300, 400))]
+    with pytest.raises(ValueError):
+        substring_dedup.repeated_windows(docs, width=3)
+
+
 def test_remove_repeats_keeps_columns(docs):
     out = substring_dedup.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
