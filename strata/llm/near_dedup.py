@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import wordscan as ws
-from strata.llm.shared import id_of, keyed_text, stored, table
+from strata.llm.shared import discard, id_of, keyed_text, stored, table
 
 SYMBOLS = 64
 BITS = 16
@@ -326,7 +326,8 @@ def components(links: DataFrame) -> DataFrame:
         large = stored(large, "large")
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         pairs = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stored(pairs.select("e.*").where("u <> v").distinct(), "small")
+        last, edges = edges, stored(pairs.select("e.*").where("u <> v").distinct(), "small")
+        discard(last, least, large, low)
         after = _sum_of(edges)
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -340,7 +341,9 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, text: DataFrame, size: int, pe
     near = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_within(percent, bound), "a long, b long").distinct(), "near")
     texts = lambda x: text.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     full = near.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "text_a", "text_b")
-    return stored(full.mapInArrow(_verify(size, percent), "a long, b long"), "confirmed")
+    confirmed = stored(full.mapInArrow(_verify(size, percent), "a long, b long"), "confirmed")
+    discard(near)
+    return confirmed
 
 
 def _open_keys(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
@@ -372,9 +375,11 @@ def near_duplicate_links(reps: DataFrame, text: DataFrame, size: int, percent: i
     pivots = stored(best.select("key", (-F.col("m.d")).alias("pivot")), "pivots")
     met = members.join(pivots, "key").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).where("a <> b").distinct()
     links = _confirmed(met, reps, text, size, percent)
+    discard(sizes, pivots)
     own = components(links).select(F.col("node").alias("doc_id"), "component")
     placed = stored(members.select("key", "doc_id").join(own, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
     few, hot = _open_keys(placed, small)
+    discard(members, placed)
     links = links.unionByName(_confirmed(_minor_pairs(few, reps, percent, bound, min(block, 8 * max(small, 1))), reps, text, size, percent))
     hot = stored(hot.select("doc_id", "component").distinct(), "hot")
     return links if hot.isEmpty() else links.unionByName(_rare_links(hot, reps, text, size, percent, small, block))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import wordscan as ws
-from strata.llm.shared import id_of, keyed_text, packed, plain, stored, table, unpacked
+from strata.llm.shared import discard, id_of, keyed_text, packed, plain, stored, table, unpacked
 
 WIDTH = 50
 ANCHOR = 8
@@ -293,6 +293,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     mixed = contents.groupBy("anchor").agg(F.count("*").alias("k"), F.min("doc_id").alias("lo"), F.max("last").alias("hi")).where("k > 1 and lo < hi").select("anchor", "k")
     mixed = stored(mixed, "mixed")
     open_ = stored(contents.join(mixed, "anchor").select("anchor", *_TEXT, F.col("start").alias("base"), "start", "n", "k"), "open")
+    discard(segments, contents)
     twins = again.where("doc_id = of_id").join(mixed.select("anchor"), "anchor").select("doc_id", F.col("of_mark").alias("mark"), F.col("of_start").alias("base"), F.col("mark").alias("twin"), F.col("start").alias("place"))
 
     def with_text(part: DataFrame) -> DataFrame:
@@ -307,6 +308,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         parts = parts.unionByName(small)
     found = with_text(parts).mapInArrow(_cut(width), _PIECE).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_trees(width), _RUN)
     found = stored(found if deep is None else found.unionByName(deep), "found")
+    discard(open_)
     of_twins = found.join(twins, [*_TEXT, "base"]).select("doc_id", F.col("twin").alias("mark"), (F.col("place") + F.col("start") - F.col("base")).alias("start"), "n")
     return copies.unionByName(found.drop("base")).unionByName(of_twins)
 
