@@ -3,25 +3,28 @@
 A page becomes a flat list of text blocks: runs of text between block-level
 tags, with character references decoded and white space collapsed.  Each block
 has shallow features: its word count and link density, those of the blocks
-before and after it, whether it is a heading, and whether the element around
-it is named as the article or as a kind of boilerplate.  A decision tree,
-trained on the small labelled table :data:`TRAINING_PAGES`, tells text from
-boilerplate.
+before and after it, whether it is a heading or ends like a sentence, and
+whether the element around it is named as the article or as a kind of
+boilerplate.  A decision tree tells text from boilerplate.  It is trained on a
+small labelled table: the blocks of pages that :func:`labelled_pages` makes from
+page shapes, half of them without an element or a name for the article.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.shared import table
+from strata.llm.shared import packed, plain, table
 
 #: Elements whose content is never text.
 _SKIP = frozenset("script style noscript template svg math iframe object canvas head title select option button textarea audio video".split())
@@ -38,8 +41,9 @@ _BAD_NAMES = frozenset(
     "ad ads adbox advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus feedback foot footer form gdpr head header links login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget contentinfo complementary alert".split()
 )
 _GOOD_NAMES = frozenset("article articlebody content entry post story maincontent".split())
+#: Every alternative ends at the end of the page at the latest, so no part of a page is scanned twice.  Quotes count after an equals sign only.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"'=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[\"'=])*)(?:>|\Z)",
     re.I | re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -56,6 +60,10 @@ class Block:
     bad: bool
     good: bool
 
+    @property
+    def stop(self) -> bool:
+        return self.text[-1] in ".!?:;…。”\"'"
+
 
 def _attributes(raw: str) -> dict[str, str]:
     found: dict[str, str] = {}
@@ -85,10 +93,14 @@ def _is_hidden(attributes: dict[str, str]) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; markup that is not closed ends with the page."""
+    """The text blocks of a page in order, in time linear in the page; markup that is not closed ends with the page.
+
+    White space is what Unicode calls so, the no-break space included.
+    """
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # element, boilerplate, article, skipped
     bad = good = skip = False
+    open_: dict[str, int] = {}  # elements on the stack by name, so that stray end tags cost nothing
     link = heading = 0
     parts: list[str] = []
     linked = 0
@@ -103,6 +115,8 @@ def blocks(page: str) -> list[Block]:
 
     def leave(depth: int) -> None:
         nonlocal bad, good, skip
+        for gone, *_ in stack[depth:]:
+            open_[gone] -= 1
         del stack[depth:]
         bad, good, skip = stack[-1][1:] if stack else (False, False, False)
 
@@ -137,7 +151,7 @@ def blocks(page: str) -> list[Block]:
         if name not in _BLOCK and name not in _SKIP and name != "span" or name in _VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if open_.get(name) else ():
                 if stack[k][0] == name:
                     leave(k)
                     break
@@ -154,52 +168,160 @@ def blocks(page: str) -> list[Block]:
             good = (good or is_good) and not bad
             skip = skip or name in _SKIP or (bool(attributes) and _is_hidden(attributes))
             stack.append((name, bad, good, skip))
+            open_[name] = open_.get(name, 0) + 1
     put(page[at:])
     end()
     return out
 
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "boilerplate", "article")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "boilerplate", "article", "stop")
+#: Features of the neighbouring blocks.
+NEIGHBOURS = frozenset((2, 3, 4, 5))
 
 
 def features(found: list[Block]) -> np.ndarray:
     words = np.array([b.words for b in found], dtype=float)
     density = np.array([b.linked for b in found], dtype=float) / np.maximum(words, 1)
-    flags = np.array([(b.heading, b.bad, b.good) for b in found], dtype=float).reshape(-1, 3)
+    flags = np.array([(b.heading, b.bad, b.good, b.stop) for b in found], dtype=float).reshape(-1, 4)
     shift = lambda v, k: np.concatenate([[0.0], v[:-1]]) if k < 0 else np.concatenate([v[1:], [0.0]])
     return np.column_stack([words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), flags])
 
 
-_LONG = "The council met on Tuesday evening to discuss the plans for the new bridge, which engineers expect to take three years to build and to cost far more than was first thought."
-_MID = "Residents asked when work would start and who would pay."
-#: The labelled table: pages as (markup before and around a block, with its text; 1 for text and 0 for boilerplate).
-TRAINING_PAGES: list[list[tuple[str, int]]] = [
-    [("<nav><ul><li><a href='/'>Home</a>", 0), ("<li><a href='/n'>News and weather</a></ul></nav>", 0), ("<article><h1>Bridge plans</h1>", 1), (f"<p>{_LONG}</p>", 1), ("<p>No.</p>", 1), (f"<p>{_MID}</p></article>", 1), ("<footer>&copy; 2020 The Paper. All rights reserved by the publisher.</footer>", 0)],
-    [("<header><a href='/'>The Daily Paper</a></header>", 0), ("<div class='ad'>Buy the best shoes in town today, now at half the price for all of our members.</div>", 0), ("<main><h2>Weather</h2>", 1), (f"<p>{_MID}</p>", 1), ("<p>Rain.</p></main>", 1), ("<aside>Most read this week: bridge plans, weather and sport.</aside>", 0), (f"<div class='comments'><p>{_MID}</p>", 0), (f"<p>{_LONG}</p></div>", 0)],
-    [("<div id='menu'><a href='/a'>About</a> <a href='/b'>Contact</a></div>", 0), (f"<div><p>{_LONG}</p>", 1), (f"<p>{_LONG}</p>", 1), (f"<p>{_MID}</p>", 1), (f"<p>{_LONG}</p></div>", 1), ("<div><a href='/1'>One more story</a></div>", 0), ("<div><a href='/2'>Another story</a> <a href='/3'>and more</a></div>", 0), ("<p>Contact</p>", 0), ("<p>Terms</p>", 0)],
-    [("<p>Log in</p>", 0), ("<p><a href='/x'>Sign up here for free</a></p>", 0), (f"<h1>Council votes</h1><p>{_LONG}</p>", 1), (f"<p>{_LONG} <a href='/y'>See more</a></p>", 1), (f"<p>{_MID}</p>", 1), (f"<form><p>{_MID}</p></form>", 0), (f"<div class='cookie-notice'>{_LONG}</div>", 0), ("<p><a href='/z'>Top of page</a></p>", 0)],
-    [("<div class='sidebar'><h3>Archive</h3>", 0), ("<ul><li><a href='/m'>May</a>", 0), ("<li>June</ul></div>", 0), ("<div class='content'><h1>Sport</h1>", 1), ("<ul><li>First</li>", 1), ("<li>Second half</li></ul>", 1), ("<p><a href='/full'>The full table of results</a></p>", 1), (f"<blockquote>{_MID}</blockquote>", 1), ("<div class='share'>Share this</div></div>", 0), (f"<div class='footer'>{_MID}</div>", 0)],
-    [(f"<p>{_LONG}</p>", 1)],
-    [("<h1>Harvest begins early this year</h1>", 1), (f"<p>{_LONG}</p>", 1), (f"<p>{_LONG}</p>", 1), ("<p>Back to top</p>", 0)],
-    [("<div><a href='/'>All of our pages in one list</a></div>", 0), (f"<p>{_LONG}</p>", 1), (f"<p>{_MID}</p>", 1)],
-]
+class _Page:
+    """A labelled page in the making: markup, and a label for each block, 1 for text."""
+
+    def __init__(self, seed: int):
+        self.rnd, self.markup, self.labels = random.Random(seed), [], []
+
+    def say(self, low: int, high: int, stop: str = "") -> str:
+        return " ".join("word" for _ in range(self.rnd.randint(low, high))) + stop
+
+    def put(self, label: int, before: str, text: str, after: str = "") -> None:
+        self.markup += [before, text, after]
+        self.labels.append(label)
+
+    def raw(self, markup: str) -> None:
+        self.markup.append(markup)
+
+    def link(self, low: int = 1, high: int = 3) -> str:
+        return f"<a href='/x'>{self.say(low, high)}</a>"
+
+    def menu(self, tag: str = "div", item: str = "div", name: str = "") -> None:
+        self.raw(f"<{tag}{name}>")
+        for _ in range(self.rnd.randint(2, 6)):
+            self.put(0, f"<{item}>", self.link(), f"</{item}>")
+        self.raw(f"</{tag}>")
+
+    def small_print(self, tag: str = "div") -> None:
+        """Short lines without links at the top or the end of a page, by a block of links."""
+        for _ in range(self.rnd.randint(1, 3)):
+            self.put(0, f"<{tag}>", self.say(1, 6), f"</{tag}>")
+        self.put(0, f"<{tag}>", " ".join(self.link() for _ in range(3)), f"</{tag}>")
+
+    def text(self, tag: str = "p", low: int = 18, high: int = 80, short: float = 0.2, rich: float = 0.15) -> None:
+        """Paragraphs, with headings, short ones, and some with links between long ones."""
+        if self.rnd.random() < 0.8:
+            self.put(1, "<h1>", self.say(3, 9), "</h1>")
+        for k in range(self.rnd.randint(3, 8)):
+            if k and self.rnd.random() < short:
+                self.put(1, f"<{tag}>", self.say(1, 7, self.rnd.choice((".", "!", "?", ""))), f"</{tag}>")
+            if k and self.rnd.random() < 0.15:
+                self.put(1, "<h2>", self.say(1, 5), "</h2>")
+            links = f" {self.link(2, 5)}" if self.rnd.random() < rich else ""
+            self.put(1, f"<{tag}>", self.say(low, high, ".") + links, f"</{tag}>")
+
+
+def _soup(p: _Page) -> None:
+    p.menu()
+    p.raw("<div>")
+    p.text(tag=p.rnd.choice(("p", "div")))
+    p.raw("</div>")
+    p.small_print()
+
+
+def _bare(p: _Page) -> None:
+    p.text()
+
+
+def _table(p: _Page) -> None:
+    p.raw("<table><tr><td>")
+    p.menu("table", "tr")
+    p.raw("</td><td>")
+    p.text()
+    p.raw("</td></tr></table>")
+    p.small_print("p")
+
+
+def _related(p: _Page) -> None:
+    p.small_print()
+    p.text(short=0.4)
+    p.put(0, "<h3>", p.say(1, 3), "</h3>")
+    for _ in range(p.rnd.randint(3, 6)):
+        p.put(0, "<div>", p.link(4, 14), "</div>")
+    p.small_print("p")
+
+
+def _teasers(p: _Page) -> None:
+    p.menu("ul", "li")
+    p.text(rich=0.4)
+    for _ in range(p.rnd.randint(2, 4)):
+        p.put(0, "<h4>", p.link(3, 9), "</h4>")
+        p.put(0, "<div>", p.say(4, 9), "</div>")
+    p.menu("ul", "li")
+
+
+def _article(p: _Page) -> None:
+    p.menu("nav", "li")
+    p.put(0, "<div class='ad'>", p.say(4, 20, "."), "</div>")
+    p.raw("<article>")
+    p.text(low=1, high=60)
+    p.put(1, "<ul><li>", p.link(), "</ul>")
+    p.raw("</article>")
+    p.put(0, "<footer>", p.say(5, 40, "."), "</footer>")
+
+
+def _main(p: _Page) -> None:
+    p.put(0, "<header>", p.link(), "</header>")
+    p.raw("<main>")
+    p.text(low=2, high=50)
+    p.put(0, "<aside>", p.say(5, 30, "."), "</aside>")
+    p.raw("</main>")
+    p.put(0, "<div class='comments'><p>", p.say(10, 60, "."), "</p></div>")
+
+
+def _named(p: _Page) -> None:
+    p.put(0, "<div id='cookie-notice'>", p.say(15, 50, "."), "</div>")
+    p.menu(name=" class='sidebar'")
+    p.raw("<div class='entry-content'>")
+    p.text(low=2, high=50)
+    p.raw("</div>")
+    p.put(0, "<form>", p.say(3, 12), "</form>")
+    p.put(0, "<div class='footer'>", p.say(10, 40, "."), "</div>")
+
+
+#: Page shapes; every second one names the article.
+SHAPES = (_soup, _article, _bare, _main, _table, _named, _related, _article, _teasers, _main)
+
+
+def labelled_pages(variants: int = 8, seed: int = 1) -> list[tuple[str, list[int]]]:
+    """(markup, labels of its blocks) of ``variants`` pages of each shape."""
+    out = []
+    for k in range(variants):
+        for i, shape in enumerate(SHAPES):
+            page = _Page(seed * 10_007 + 101 * k + i)
+            shape(page)
+            out.append(("<body>" + "".join(page.markup), page.labels))
+    return out
 
 
-def training_rows() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache
+def training_rows(variants: int = 8, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the blocks of the labelled pages."""
-    xs, ys = [], []
-    for page in TRAINING_PAGES:
-        found = blocks("<body>" + "".join(m for m, _ in page))
-        labels: list[int] = []
-        for markup, label in page:
-            labels += [label] * markup.count("</h1><p>") + [label]
-        assert len(found) == len(labels), (len(found), len(labels), [b.text[:20] for b in found])
-        xs.append(features(found))
-        ys += labels
-    return np.concatenate(xs), np.array(ys)
-
-
-def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 5):
+    pages = labelled_pages(variants, seed)
+    return np.concatenate([features(blocks(markup)) for markup, _ in pages]), np.array([x for _, labels in pages for x in labels])
+
+
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 7):
     """A decision tree by Gini impurity: a label, or (feature, threshold, left, right).
 
     Equal splits go to the first feature and the lowest threshold.
@@ -207,7 +329,7 @@ def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 5):
     if depth == 0 or len(set(y.tolist())) == 1:
         return int(y.mean() >= 0.5)
     best = None
-    for f in list(range(6, x.shape[1])) + list(range(6)):
+    for f in [7, 8, 6, 9, *range(6)]:
         values = np.unique(x[:, f])
         for t in ((values[1:] + values[:-1]) / 2).tolist():
             left = x[:, f] <= t
@@ -221,6 +343,10 @@ def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 5):
     return (f, t, fit_tree(x[left], y[left], depth - 1), fit_tree(x[~left], y[~left], depth - 1))
 
 
+def used_features(tree) -> set[int]:
+    return set() if isinstance(tree, int) else {tree[0]} | used_features(tree[2]) | used_features(tree[3])
+
+
 def classify(tree, x: np.ndarray) -> np.ndarray:
     if isinstance(tree, int):
         return np.full(len(x), tree, dtype=bool)
@@ -252,10 +378,10 @@ def extract_text(pages: DataFrame, html_col: str = "html", training: tuple[np.nd
     ``training`` is a labelled table (features, labels) in place of the own one.
     """
     tree = fit_tree(*(training or training_rows()))
-    others = [c for c in pages.columns if c not in (html_col, "text")]
-    packed = pages.select(F.struct(*[F.col(c) for c in others], F.lit(0).alias("__")).alias("row"), F.col(html_col).cast("string").alias("html"))
-    out = packed.mapInArrow(_extract(tree), f"row {packed.schema['row'].dataType.simpleString()}, text string")
-    return out.select(*[F.col(f"row.{c}").alias(c) for c in others], "text")
+    rows = pages.select(packed(pages, html_col, "text").alias("row"), plain(html_col).cast("string").alias("html"))
+    out = rows.mapInArrow(_extract(tree), f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    others = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(pages.columns) if c not in (html_col, "text")]
+    return out.select(*others, "text")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

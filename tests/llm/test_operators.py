@@ -244,7 +244,7 @@ def test_html_extraction(spark, sf):
 
 def test_html_keeps_articles():
     tree = html_extract.fit_tree(*html_extract.training_rows())
-    long = html_extract._LONG
+    long = "The council met on Tuesday evening to discuss the plans for the new bridge, which engineers expect to take three years to build and to cost far more than was first thought."
     story = f"<article><h1>Plans</h1><p>{long}</p><p>{long}</p></article>"
     want = f"Plans\n{long}\n{long}"
     for wrap in ("class='overflow-hidden'", "style='overflow:hidden'", "title='The hidden valley'", "data-x='display:none'", "class='no-sidebar'", "class='has-header'", "class='sidebar'", "class='social tags'", "hidden='false'"):
