@@ -1,4 +1,15 @@
-"""Cross-validated ridge probes of layers against targets, as tables."""
+"""Cross-validated ridge probes of layers against targets, as tables.
+
+A row has a model (what the vector stands for, such as a layer), a fold, a
+vector and all targets of its id in one array.  Each task sums the products of
+(1, vector, targets) for one model, fold and pattern of missing targets after
+the other, so all targets share the products of the vector with itself, and a
+task holds one such matrix at a time.  The training sums of a fold are the
+total less its own.  With a penalty the normal equations have a solution for
+any number of rows, so few rows need no way of their own.
+
+Folds are dealt over the ids of a table once, so that all targets share them.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import vectors as V
 from strata.operators.ranking import checksum_ranks
 
+#: Names of targets that the driver holds at most, and parts of a model's rows when its coefficients join them.
+MAX_TARGETS, SALTS = 10_000, 16
 TAUS = (0.1, 0.25, 0.5, 1.0, 2.0, 4.0)
 _METRICS = "r2_score double, correlation double, rmse double, n_valid long"
 
@@ -38,70 +53,98 @@ def valid_targets(targets: DataFrame, n_folds: int = 5, scalar: bool = True) ->
 
 
 def _partial_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per (model, target, fold): the sums of products of (1, x, y), one row of the matrix per output row."""
-    sums: dict[tuple, np.ndarray] = {}
+    """Rows come sorted by (model, fold, pattern): the sums of products of (1, x, ys) of each, one row of the matrix per output row."""
+    held, current = None, None
+
+    def rows() -> pa.RecordBatch:
+        n = len(held)
+        model, fold, pattern = current
+        return pa.RecordBatch.from_arrays(
+            [pa.array([model] * n), pa.array([fold] * n, pa.int32()), pa.array([pattern] * n), pa.array(range(n), pa.int32()), pa.array(held.tolist(), pa.list_(pa.float64()))], names=["model", "fold", "pattern", "i", "row"]
+        )
+
     for b in batches:
         if not b.num_rows:
             continue
-        x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-        z = np.column_stack([np.ones(len(x)), x, b.column("y").to_numpy(zero_copy_only=False)])
-        keys = pd.DataFrame({c: b.column(c).to_pandas() for c in ("model", "target", "fold")})
-        for key, at in keys.groupby(["model", "target", "fold"], sort=False).indices.items():
-            gram = z[at].T @ z[at]
-            sums[key] = sums[key] + gram if key in sums else gram
-    for (model, target, fold), gram in sums.items():
-        n = len(gram)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(model)] * n, pa.int32()), pa.array([target] * n), pa.array([int(fold)] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(gram.tolist(), pa.list_(pa.float64()))],
-            names=["model", "target", "fold", "i", "row"],
-        )
+        matrix = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        z = np.column_stack([np.ones(b.num_rows), matrix("vec"), np.nan_to_num(matrix("ys").astype(float))])
+        keys = pd.DataFrame({c: b.column(c).to_pandas() for c in ("model", "fold", "pattern")})
+        edge = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+        for lo, hi in zip(edge, [*edge[1:], b.num_rows]):
+            key = (keys.model[lo], int(keys.fold[lo]), keys.pattern[lo])
+            if current is not None and key != current:
+                yield rows()
+                held = None
+            gram = z[lo:hi].T @ z[lo:hi]
+            held, current = gram if held is None else held + gram, key
+    if held is not None:
+        yield rows()
 
 
 def gram_sums(rows: DataFrame) -> DataFrame:
-    """(model, target, fold, i, j, v) of rows (model, target, fold, vec, y)."""
-    partial = rows.select("model", "target", "fold", V.doubles(F.col("vec")).alias("vec"), F.col("y").cast("double").alias("y")).mapInArrow(_partial_grams, "model int, target string, fold int, i int, row array<double>")
-    return partial.select("model", "target", "fold", "i", F.posexplode("row").alias("j", "v")).groupBy("model", "target", "fold", "i", "j").agg(F.sum("v").alias("v"))
+    """(model, fold, pattern, i, row): sums of products of (1, vec, ys) of rows (model, fold, vec, ys); a pattern says which ys are there."""
+    pattern = F.concat_ws("", F.transform("ys", lambda y: F.when(y.isNull(), "0").otherwise("1")))
+    plain = rows.select(F.col("model").cast("string").alias("model"), F.col("fold").cast("int").alias("fold"), pattern.alias("pattern"), V.doubles(F.col("vec")).alias("vec"), V.doubles(F.col("ys")).alias("ys"))
+    filled = plain.withColumn("ys", F.transform("ys", lambda y: F.coalesce(y, F.lit(0.0)))).sortWithinPartitions("model", "fold", "pattern")
+    partial = filled.mapInArrow(_partial_grams, "model string, fold int, pattern string, i int, row array<double>")
+    return partial.groupBy("model", "fold", "pattern", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
 
 
-def solve_ridge(gram: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept on raw columns, from the sums of products of (1, x, y) of the training rows.
+def solve_ridge(gram: np.ndarray, alpha: float, targets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and intercepts on raw columns for some targets, from the sums of products of (1, x, ys) of the training rows.
 
     Columns are standardised with the population deviation (1 where it is 0);
-    the intercept is not penalised.
+    the intercept is not penalised.  ``targets`` are the ys' places in the matrix.
     """
-    n = gram[0, 0]
-    mean, y_mean = gram[0, 1:-1] / n, gram[0, -1] / n
-    cov = gram[1:-1, 1:-1] - n * np.outer(mean, mean)
-    xy = gram[1:-1, -1] - n * mean * y_mean
+    n, d = gram[0, 0], min(targets)
+    mean, y_mean = gram[0, 1:d] / n, gram[0, targets] / n
+    cov = gram[1:d, 1:d] - n * np.outer(mean, mean)
+    xy = gram[1:d][:, targets] - n * np.outer(mean, y_mean)
     scale = np.sqrt(np.maximum(np.diag(cov) / n, 0))
     scale[scale < 1e-12] = 1.0
-    w = np.linalg.solve(cov / np.outer(scale, scale) + alpha * np.eye(len(mean)), xy / scale) / scale
-    return w, float(y_mean - w @ mean)
+    w = np.linalg.solve(cov / np.outer(scale, scale) + alpha * np.eye(len(mean)), xy / scale[:, None]) / scale[:, None]
+    return w, y_mean - mean @ w
+
+
+def _matrices(pdf: pd.DataFrame) -> dict[tuple[int, str], np.ndarray]:
+    """The matrix of each fold and pattern."""
+    return {(int(f), p): np.stack(g.sort_values("i").row.to_list()) for (f, p), g in pdf.groupby(["fold", "pattern"])}
 
 
 def _solve(alpha: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, folds = int(pdf.i.max()) + 1, sorted(pdf.fold.unique())
-        own = {f: np.zeros((n, n)) for f in folds}
-        for f, g in pdf.groupby("fold"):
-            own[f][g.i.to_numpy(), g.j.to_numpy()] = g.v.to_numpy()
-        total = sum(own.values())
-        out = []
-        for f in folds:
-            train = total - own[f]
-            if train[0, 0] > 0:
-                w, b = solve_ridge(train, alpha)
-                out.append((pdf.model.iloc[0], pdf.target.iloc[0], f, w.tolist(), b))
-        return pd.DataFrame(out, columns=["model", "target", "fold", "w", "b"])
+        own, out = _matrices(pdf), []
+        n_targets = len(pdf.pattern.iloc[0])
+        d = len(next(iter(own.values()))) - n_targets
+        alike: dict[tuple, list[int]] = {}  # targets that the same patterns have share one matrix
+        for t in range(n_targets):
+            alike.setdefault(tuple(sorted({p for _, p in own if p[t] == "1"})), []).append(t)
+        for patterns, targets in alike.items():
+            for fold in sorted({f for f, p in own if p in patterns}):
+                train = [m for (f, p), m in own.items() if f != fold and p in patterns]
+                if train:
+                    # Places behind d may have gaps where other targets are, so the targets of the group are put together.
+                    at = [*range(d), *(d + t for t in targets)]
+                    w, b = solve_ridge(sum(train)[np.ix_(at, at)], alpha, list(range(d, d + len(targets))))
+                    out += [(pdf.model.iloc[0], fold, t, w[:, k].tolist(), float(b[k])) for k, t in enumerate(targets)]
+        return pd.DataFrame(out, columns=["model", "fold", "t", "w", "b"])
 
     return run
 
 
 def ridge_predictions(rows: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """(model, target, fold, id, y, p): out-of-fold predictions of rows (model, target, fold, id, vec, y)."""
-    known = rows.where("y is not null")
-    fits = gram_sums(known).groupBy("model", "target").applyInPandas(_solve(alpha), "model int, target string, fold int, w array<double>, b double")
-    return known.join(fits, ["model", "target", "fold"]).select("model", "target", "fold", "id", "y", (V.dot(F.col("vec"), F.col("w")) + F.col("b")).alias("p"))
+    """(model, t, fold, id, y, p): out-of-fold predictions of rows (model, fold, id, vec, ys), where t is the target's place in ys.
+
+    The coefficients of a model and fold meet its rows over a salt, so one
+    model's rows are not all in one task.
+    """
+    rows = rows.withColumn("model", F.col("model").cast("string")).withColumn("fold", F.col("fold").cast("int"))
+    fits = gram_sums(rows).groupBy("model").applyInPandas(_solve(alpha), "model string, fold int, t int, w array<double>, b double")
+    fits = fits.groupBy("model", "fold").agg(F.collect_list(F.struct("t", "w", "b")).alias("fits"))
+    salted = fits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(salted, ["model", "fold", "salt"])
+    found = F.transform("fits", lambda f: F.struct(f["t"].alias("t"), F.get("ys", f["t"]).alias("y"), (V.dot(F.col("vec"), f["w"]) + f["b"]).alias("p")))
+    return met.select("model", "fold", "id", F.explode(found).alias("f")).select("model", "f.t", "fold", "id", "f.y", "f.p").where("y is not null")
 
 
 def fit_metrics(predictions: DataFrame, keys: list[str], n_folds: int = 5) -> DataFrame:
@@ -109,10 +152,8 @@ def fit_metrics(predictions: DataFrame, keys: list[str], n_folds: int = 5) -> Da
 
     Fewer rows than folds give (-999, 0, 999); a constant y or p has correlation 0.
     """
-    w = Window.partitionBy(*keys)
-    rows = predictions.withColumn("m", F.avg("y").over(w))
-    stats = rows.groupBy(*keys).agg(
-        F.sum((F.col("y") - F.col("p")) ** 2).alias("res"), F.sum((F.col("y") - F.col("m")) ** 2).alias("tot"), F.corr("y", "p").alias("c"),
+    stats = predictions.groupBy(*keys).agg(
+        F.sum((F.col("y") - F.col("p")) ** 2).alias("res"), (F.var_pop("y") * F.count("*")).alias("tot"), F.corr("y", "p").alias("c"),
         F.stddev_pop("y").alias("sy"), F.stddev_pop("p").alias("sp"), F.count("*").alias("n_valid"),
     )
     few = F.col("n_valid") < n_folds
@@ -130,45 +171,86 @@ def align(features: DataFrame, targets: DataFrame, folds: DataFrame) -> DataFram
     return features.join(targets, "id").join(folds, "id").select(F.col("layer").cast("int").alias("model"), "target", "fold", "id", "vec", "y")
 
 
+def target_arrays(targets: DataFrame, names: list[str]) -> DataFrame:
+    """(id, ys): the named targets of (id, target, y) in that order, null where missing."""
+    known = targets.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("target", "y"))).alias("m"))
+    return known.select("id", F.array(*[F.try_element_at("m", F.lit(n)).cast("double") for n in names]).alias("ys"))
+
+
+def _names(targets: DataFrame) -> list[str]:
+    """The targets' names, which are descriptors and not data: at most ``MAX_TARGETS``."""
+    names = sorted(r[0] for r in targets.select("target").distinct().limit(MAX_TARGETS + 1).collect())
+    if len(names) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets; probe them in parts")
+    return names
+
+
+def _named(df: DataFrame, names: list[str]) -> DataFrame:
+    """Column t, a place, as the target's name."""
+    return df.withColumn("target", F.get(F.array(*map(F.lit, names)), F.col("t"))).drop("t")
+
+
 def probe_layers(features: DataFrame, targets: DataFrame, folds: DataFrame, alpha: float = 1.0, n_folds: int = 5) -> DataFrame:
     """(layer, target, metrics): every layer against every scalar target, in one job."""
-    found = ridge_predictions(align(features, targets, folds), alpha)
-    return fit_metrics(found, ["model", "target"], n_folds).withColumnRenamed("model", "layer")
+    names = _names(targets)
+    if not names:
+        return targets.sparkSession.createDataFrame([], f"layer int, target string, {_METRICS}")
+    rows = features.join(target_arrays(targets, names), "id").join(folds, "id").select(F.col("layer").alias("model"), "fold", "id", "vec", "ys")
+    found = fit_metrics(_named(ridge_predictions(rows, alpha), names), ["model", "target"], n_folds)
+    return found.select(F.col("model").cast("int").alias("layer"), *[c for c in found.columns if c != "model"])
 
 
 def _first_components(pdf: pd.DataFrame) -> pd.DataFrame:
-    n, folds = int(pdf.i.max()) + 1, sorted(pdf.fold.unique())
-    own = {f: np.zeros((n, n)) for f in folds}
-    for f, g in pdf.groupby("fold"):
-        own[f][g.i.to_numpy(), g.j.to_numpy()] = g.v.to_numpy()
-    total, out = sum(own.values()), []
-    for f in folds:
-        g = total - own[f]
-        mean = g[0, 1:-1] / g[0, 0]
-        top = np.linalg.eigh(g[1:-1, 1:-1] / g[0, 0] - np.outer(mean, mean))[1][:, -1]
+    own, out = _matrices(pdf), []
+    for fold in sorted({f for f, _ in own}):
+        g = sum(m for (f, _), m in own.items() if f != fold)
+        if not np.ndim(g):
+            continue  # one fold only: nothing to fit on
+        mean = g[0, 1:] / g[0, 0]
+        top = np.linalg.eigh(g[1:, 1:] / g[0, 0] - np.outer(mean, mean))[1][:, -1]
         top = top * (1 if top[np.argmax(np.abs(top))] >= 0 else -1)
-        out.append((pdf.target.iloc[0], f, top.tolist(), float(top @ mean)))
+        out.append((pdf.model.iloc[0], fold, top.tolist(), float(top @ mean)))
     return pd.DataFrame(out, columns=["target", "out", "axis", "offset"])
 
 
+def _curve_metrics(predictions: DataFrame, keys: list[str], n_folds: int) -> DataFrame:
+    """(keys, r2_mean, rmse_mean, n_valid) of predictions of frames t; n_valid counts curves."""
+    per_frame = fit_metrics(predictions, [*keys, "t"], n_folds)
+    # The mean over frames of equal length of squared errors is the mean over all entries.
+    return per_frame.groupBy(*keys).agg(F.avg("r2_score").alias("r2_mean"), F.sqrt(F.avg(F.col("rmse") ** 2)).alias("rmse_mean"), F.max("n_valid").alias("n_valid"))
+
+
+_KEY = "\u0001"
+
+
+def _keyed(model: Column, target: Column) -> Column:
+    return F.concat_ws(_KEY, model.cast("string"), target)
+
+
+def _unkeyed(df: DataFrame) -> DataFrame:
+    parts = F.split("model", _KEY)
+    return df.withColumn("target", parts[1]).withColumn("model", parts[0])
+
+
 def probe_curves(features: DataFrame, curves: DataFrame, folds: DataFrame, alpha: float = 1.0, n_folds: int = 5) -> DataFrame:
-    """(layer, target, r2_mean, rmse_mean, r2_pc1) of curve targets (id, target, curve array).
+    """(layer, target, r2_mean, rmse_mean, n_valid, r2_pc1) of curve targets (id, target, curve array).
 
-    Frames are fitted as targets of their own.  The first component is fitted
+    All frames of a target are fitted at once.  The first component is fitted
     on the training folds only, once per fold left out.
     """
-    frames = curves.where("curve is not null").select("id", "target", F.posexplode("curve").alias("t", "y")).select("id", F.concat_ws("\u0001", "target", "t").alias("target"), "y")
-    name = F.split("target", "\u0001")[0]
-    fitted = ridge_predictions(align(features, frames, folds), alpha)
-    per_frame = fit_metrics(fitted, ["model", "target"], n_folds).withColumn("target", name)
-    # The mean over frames of equal length of squared errors is the mean over all entries.
-    means = per_frame.groupBy("model", "target").agg(F.avg("r2_score").alias("r2_mean"), F.sqrt(F.avg(F.col("rmse") ** 2)).alias("rmse_mean"))
-    stats = curves.where("curve is not null").join(folds, "id").select(F.lit(0).alias("model"), "target", "fold", F.col("curve").alias("vec"), F.lit(0.0).alias("y"))
-    axes = gram_sums(stats).groupBy("target").applyInPandas(_first_components, "target string, out int, axis array<double>, offset double")
-    scores = curves.where("curve is not null").join(axes, "target").select("id", F.concat_ws("\u0001", "target", "out").alias("target"), (V.dot(F.col("curve"), F.col("axis")) - F.col("offset")).alias("y"))
-    own = ridge_predictions(align(features, scores, folds), alpha).where(F.split("target", "\u0001")[1].cast("int") == F.col("fold")).withColumn("target", name)
-    pc1 = fit_metrics(own, ["model", "target"], n_folds).select("model", "target", F.col("r2_score").alias("r2_pc1"))
-    return means.join(pc1, ["model", "target"]).withColumnRenamed("model", "layer")
+    known = curves.where("curve is not null").select("id", "target", V.doubles(F.col("curve")).alias("curve"))
+    placed = features.join(known, "id").join(folds, "id").select(_keyed(F.col("layer"), F.col("target")).alias("model"), "fold", "id", "vec", "target", "curve")
+    means = _curve_metrics(_unkeyed(ridge_predictions(placed.select("model", "fold", "id", "vec", F.col("curve").alias("ys")), alpha)), ["model", "target"], n_folds)
+    stats = known.join(folds, "id").select(F.col("target").alias("model"), "fold", F.col("curve").alias("vec"), F.array().cast("array<double>").alias("ys"))
+    axes = gram_sums(stats).groupBy("model").applyInPandas(_first_components, "target string, out int, axis array<double>, offset double")
+    axes = axes.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("out", "axis", "offset"))).alias("axes"))
+    scores = F.transform("axes", lambda a: V.dot(F.col("curve"), a["axis"]) - a["offset"])
+    scored = placed.join(axes, "target").select("model", "fold", "id", "vec", scores.alias("ys"), F.col("axes.out").alias("outs"))
+    found = ridge_predictions(scored, alpha).join(axes, F.split("model", _KEY)[1] == F.col("target"))
+    own = found.where(F.get("axes.out", F.col("t")) == F.col("fold")).select("model", "y", "p")
+    pc1 = fit_metrics(_unkeyed(own), ["model", "target"], n_folds).select("model", "target", F.col("r2_score").alias("r2_pc1"))
+    out = means.join(pc1, ["model", "target"])
+    return out.select(F.col("model").cast("int").alias("layer"), "target", "r2_mean", "rmse_mean", "n_valid", "r2_pc1")
 
 
 def mix_candidates(layer_results: DataFrame, n_layers: int) -> DataFrame:
@@ -186,37 +268,91 @@ def mix_candidates(layer_results: DataFrame, n_layers: int) -> DataFrame:
     return spread.select("target", (F.col("kind") * len(TAUS) + F.col("t")).cast("int").alias("candidate"), V.softmax(F.transform("base", lambda v: v / F.col("tau"))).alias("weights"))
 
 
+def _stacks(features: DataFrame) -> DataFrame:
+    return features.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("layer", "vec"))).alias("s")).select("id", F.transform("s.vec", lambda v: V.doubles(v)).alias("layers"))
+
+
+def _mixed(features: DataFrame, ys: DataFrame, folds: DataFrame, mixes: DataFrame) -> DataFrame:
+    """Rows of the mixed vectors of (id, target, ys) for each candidate (target, candidate, weights)."""
+    rows = _stacks(features).join(ys, "id").join(folds, "id").join(mixes, "target")
+    return rows.select(_keyed(F.col("candidate"), F.col("target")).alias("model"), "fold", "id", V.weighted_sum(F.col("layers"), F.col("weights")).alias("vec"), "ys")
+
+
+def _best_mix(found: DataFrame, mixes: DataFrame, layer_results: DataFrame, score: str) -> DataFrame:
+    first = Window.partitionBy("target").orderBy(F.round(score, 12).desc(), F.col("model").cast("int"))
+    best = found.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").withColumn("candidate", F.col("model").cast("int"))
+    single = layer_results.groupBy("target").agg(F.max(score).alias("single"))
+    return best.join(mixes, ["target", "candidate"]).join(single, "target").withColumn("layer_weights", F.col("weights")).withColumn("r2_gain", F.col(score) - F.col("single"))
+
+
 def probe_mixes(features: DataFrame, targets: DataFrame, folds: DataFrame, layer_results: DataFrame, n_layers: int, alpha: float = 1.0, n_folds: int = 5) -> DataFrame:
-    """(target, r2_score, correlation, rmse, n_valid, layer_weights, r2_gain): the best mix of layers of each target."""
-    stacks = features.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("layer", "vec"))).alias("s")).select("id", F.transform("s.vec", lambda v: V.doubles(v)).alias("layers"))
+    """(target, r2_score, correlation, rmse, n_valid, layer_weights, r2_gain): the best mix of layers of each scalar target."""
     mixes = mix_candidates(layer_results, n_layers)
-    rows = stacks.join(targets, "id").join(folds, "id").join(mixes, "target")
-    fused = rows.select(F.col("candidate").alias("model"), "target", "fold", "id", V.weighted_sum(F.col("layers"), F.col("weights")).alias("vec"), "y")
-    found = fit_metrics(ridge_predictions(fused, alpha), ["model", "target"], n_folds).withColumnRenamed("model", "candidate")
-    first = Window.partitionBy("target").orderBy(F.round("r2_score", 12).desc(), "candidate")
-    best = found.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-    single = layer_results.groupBy("target").agg(F.max("r2_score").alias("single"))
-    return best.join(mixes, ["target", "candidate"]).join(single, "target").select("target", "r2_score", "correlation", "rmse", "n_valid", F.col("weights").alias("layer_weights"), (F.col("r2_score") - F.col("single")).alias("r2_gain"))
+    rows = _mixed(features, targets.where("y is not null").select("id", "target", F.array("y").alias("ys")), folds, mixes)
+    found = fit_metrics(_unkeyed(ridge_predictions(rows, alpha)), ["model", "target"], n_folds)
+    return _best_mix(found, mixes, layer_results, "r2_score").select("target", "r2_score", "correlation", "rmse", "n_valid", "layer_weights", "r2_gain")
+
 
+def probe_curve_mixes(features: DataFrame, curves: DataFrame, folds: DataFrame, layer_results: DataFrame, n_layers: int, alpha: float = 1.0, n_folds: int = 5) -> DataFrame:
+    """(target, r2_mean, rmse_mean, n_valid, layer_weights, r2_gain): the best mix of layers of each curve target, by r2_mean."""
+    mixes = mix_candidates(layer_results.withColumn("r2_score", F.col("r2_mean")), n_layers)
+    rows = _mixed(features, curves.where("curve is not null").select("id", "target", V.doubles(F.col("curve")).alias("ys")), folds, mixes)
+    found = _curve_metrics(_unkeyed(ridge_predictions(rows, alpha)), ["model", "target"], n_folds)
+    return _best_mix(found, mixes, layer_results, "r2_mean").select("target", "r2_mean", "rmse_mean", "n_valid", "layer_weights", "r2_gain")
 
-def discover(features: DataFrame, targets: DataFrame, n_layers: int, folds: int = 5, seed: int = 42, mixes: bool = True) -> DataFrame:
+
+RESULT_COLUMNS = ("mode", "layer", "target", "r2_score", "correlation", "rmse", "r2_mean", "r2_pc1", "rmse_mean", "n_valid", "layer_weights", "r2_gain")
+_RESULT_TYPES = {"layer": "int", "n_valid": "long", "layer_weights": "array<double>", "target": "string"}
+
+
+def _as_results(found: DataFrame, mode: str) -> DataFrame:
+    own = found.withColumn("mode", F.lit(mode))
+    return own.select(*[(F.col(c) if c in own.columns else F.lit(None)).cast(_RESULT_TYPES.get(c, "string" if c == "mode" else "double")).alias(c) for c in RESULT_COLUMNS])
+
+
+def first_ids(features: DataFrame, n: int) -> DataFrame:
+    """The first n ids in order, for a trial run on few tracks."""
+    return features.select("id").distinct().orderBy("id").limit(n)
+
+
+def discover(features: DataFrame, targets: DataFrame, n_layers: int, folds: int = 5, seed: int = 42, mixes: bool = True, curves: DataFrame | None = None, n_samples: int | None = None) -> DataFrame:
     """Probe results (mode, layer, target, metrics, layer_weights, r2_gain, coverage) of tracks.
 
-    ``features`` has (id, layer, vec), ``targets`` (id, target, y).
+    ``features`` has (id, layer, vec), ``targets`` (id, target, y), ``curves``
+    (id, target, curve).  Scalar rows have r2_score, correlation and rmse; curve
+    rows have r2_mean, r2_pc1 and rmse_mean.  Targets that fail the gate, and
+    tables with fewer ids than folds, give no row.
     """
-    both = features.select("id").distinct().intersect(targets.select("id").distinct())
-    known = targets.join(both, "id")
+    if n_samples is not None:
+        features = features.join(first_ids(features, n_samples), "id", "left_semi")
+    with_target = targets.select("id") if curves is None else targets.select("id").union(curves.select("id"))
+    both = features.select("id").distinct().intersect(with_target.distinct())
+    fold_table, known = kfold(both, "id", folds, seed), targets.join(both, "id")
     gate = valid_targets(known, folds)
-    return _discover(features, known.join(gate.select("target"), "target"), kfold(both, "id", folds, seed), gate, n_layers, folds, mixes)
+    out = _discover(features, known.join(gate.select("target"), "target"), fold_table, gate, n_layers, folds, mixes)
+    if curves is None:
+        return out
+    present = curves.join(both, "id")
+    shapes = valid_targets(present.select("target", F.when(F.col("curve").isNotNull(), 1.0).alias("y")), folds, scalar=False)
+    kept = present.join(shapes.select("target"), "target")
+    layers = probe_curves(features, kept, fold_table, n_folds=folds)
+    found = _as_results(layers, "best_layer")
+    if mixes:
+        found = found.unionByName(_as_results(probe_curve_mixes(features, kept, fold_table, layers, n_layers, n_folds=folds), "weighted_sum"))
+    return out.unionByName(found.join(shapes.select("target", "coverage"), "target"))
+
+
+def discover_and_save(features: DataFrame, targets: DataFrame, n_layers: int, path: str, **how) -> DataFrame:
+    """:func:`discover`, written as Parquet and read back."""
+    discover(features, targets, n_layers, **how).write.mode("overwrite").parquet(path)
+    return features.sparkSession.read.parquet(path)
 
 
 def _discover(features, targets, fold_table, gate, n_layers, folds, mixes) -> DataFrame:
     layers = probe_layers(features, targets, fold_table, n_folds=folds)
-    single = layers.select(F.lit("best_layer").alias("mode"), "layer", "target", "r2_score", "correlation", "rmse", "n_valid", F.lit(None).cast("array<double>").alias("layer_weights"), F.lit(None).cast("double").alias("r2_gain"))
-    out = single
+    out = _as_results(layers, "best_layer")
     if mixes:
-        ws = probe_mixes(features, targets, fold_table, layers, n_layers, n_folds=folds)
-        out = single.unionByName(ws.select(F.lit("weighted_sum").alias("mode"), F.lit(None).cast("int").alias("layer"), "target", "r2_score", "correlation", "rmse", "n_valid", "layer_weights", "r2_gain"))
+        out = out.unionByName(_as_results(probe_mixes(features, targets, fold_table, layers, n_layers, n_folds=folds), "weighted_sum"))
     return out.join(gate.select("target", "coverage"), "target")
 
 
@@ -232,7 +368,7 @@ def align_segments(features: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.withColumn("id", F.concat_ws(":", "track_id", "segment_idx"))
 
 
-def discover_segments(features: DataFrame, targets: DataFrame, n_layers: int, folds: int = 5, seed: int = 42, mixes: bool = False) -> DataFrame:
+def discover_segments(features: DataFrame, targets: DataFrame, n_layers: int, folds: int = 5, seed: int = 42, mixes: bool = True) -> DataFrame:
     """As :func:`discover`, on segments, with all segments of a track in one fold; adds n_groups and n_tracks."""
     rows = align_segments(features, targets)
     ys = rows.select("id", "track_id", "target", "y").distinct()
@@ -246,17 +382,21 @@ def discover_segments(features: DataFrame, targets: DataFrame, n_layers: int, fo
 
 def best_layers(results: DataFrame) -> DataFrame:
     """(target, layer, r2_score, confidence) of the best single layer; ties go to the lowest layer."""
-    single = results.where("mode = 'best_layer'")
+    single = results.where("mode = 'best_layer' and r2_score is not null")
     best = single.groupBy("target").agg(F.max_by(F.struct("layer", "r2_score"), F.struct("r2_score", -F.col("layer"))).alias("b"))
     return best.select("target", "b.layer", F.round("b.r2_score", 4).alias("r2_score"), V.confidence(F.col("b.r2_score")).alias("confidence"))
 
 
-def resolve_aspects(results: DataFrame, aspects: DataFrame, min_r2: float = 0.5, mode: str = "auto", margin: float = 0.02) -> DataFrame:
+def resolve_aspects(results: DataFrame, aspects: DataFrame, min_r2: float = 0.5, mode: str = "auto", margin: float = 0.02, curves: bool = True) -> DataFrame:
     """(aspect, target, mode, layer, layer_weights, r2_score, confidence, n_valid, coverage) of validated aspects.
 
     ``aspects`` has (aspect, target, ord): candidates in order.  In mode
-    ``auto`` a mix wins over the best layer by more than ``margin``.
+    ``auto`` a mix wins over the best layer by more than ``margin``.  With
+    ``curves`` the score of a curve target is its r2_mean.
     """
+    if curves and "r2_mean" in results.columns:
+        results = results.withColumn("r2_score", F.coalesce("r2_score", "r2_mean"))
+    results = results.where("r2_score is not null")
     if mode not in ("auto", "best_layer", "weighted_sum"):
         raise ValueError(f"unknown mode {mode}")
     fields = F.struct("layer", "layer_weights", "r2_score", "r2_gain", "n_valid", "coverage")

@@ -274,14 +274,18 @@ def r3(s, d):
     return _r(R.probe_layers(views.layer_vectors(s, d), views.targets(s, d), R.kfold(views.vectors(s, d))), "r2_score", "correlation", "rmse")
 
 
+def _bands(s, d):
+    """Six entries of the last layer as a curve target."""
+    return views.matrix(s, d).select("id", F.lit("band").alias("target"), F.slice(V.doubles(F.col("layers")[3]), 1, 6).alias("curve"))
+
+
 @query("r4_probe_curves")
 def r4(s, d):
-    curves = views.matrix(s, d).select("id", F.lit("band").alias("target"), F.slice(V.doubles(F.col("layers")[3]), 1, 6).alias("curve"))
-    return _r(R.probe_curves(views.layer_vectors(s, d), curves, R.kfold(views.vectors(s, d))), "r2_mean", "rmse_mean", "r2_pc1")
+    return _r(R.probe_curves(views.layer_vectors(s, d), _bands(s, d), R.kfold(views.vectors(s, d))), "r2_mean", "rmse_mean", "r2_pc1")
 
 
 def _results(s, d):
-    return R.discover(views.layer_vectors(s, d), views.targets(s, d), views.N_LAYERS)
+    return R.discover(views.layer_vectors(s, d), views.targets(s, d), views.N_LAYERS, curves=_bands(s, d))
 
 
 @query("r5_probe_mixes")
@@ -294,13 +298,14 @@ def r5(s, d):
 @query("r6_discover")
 def r6(s, d):
     out = _results(s, d).withColumn("layer_weights", F.transform("layer_weights", lambda w: F.round(w, 6)))
-    return _r(out, "r2_score", "correlation", "rmse", "r2_gain", "coverage")
+    return _r(out, "r2_score", "correlation", "rmse", "r2_mean", "r2_pc1", "rmse_mean", "r2_gain", "coverage")
 
 
 @query("r7_discover_segments")
 def r7(s, d):
-    t = views.targets(s, d).where("target in ('lin2', 'label_value')").select(F.format_string("t%04d", F.expr("id div 10")).alias("track_id"), (F.col("id") % 10).cast("int").alias("segment_idx"), "target", "y")
-    return _r(R.discover_segments(views.segments(s, d), t, views.N_LAYERS).drop("layer_weights"), "r2_score", "correlation", "rmse", "r2_gain", "coverage")
+    t = views.targets(s, d).select(F.format_string("t%04d", F.expr("id div 10")).alias("track_id"), (F.col("id") % 10).cast("int").alias("segment_idx"), "target", "y")
+    out = R.discover_segments(views.segments(s, d), t, views.N_LAYERS).withColumn("layer_weights", F.transform("layer_weights", lambda w: F.round(w, 6)))
+    return _r(out.drop("r2_mean", "r2_pc1", "rmse_mean"), "r2_score", "correlation", "rmse", "r2_gain", "coverage")
 
 
 @query("j4_align_segments", ", t as (select printf('t%04d', id // 10) as track_id, (id % 10)::int as segment_idx, y from v_targets where target = 'label_value' and y is not null and (id % 10 < 6 or id // 10 % 3 <> 0)), n as (select track_id from t join (select track_id, count(distinct segment_idx) as ns from v_seg group by 1) using (track_id) group by track_id having count(*) = max(ns)) select s.track_id, s.segment_idx, layer, y from v_seg s join t using (track_id, segment_idx) join n using (track_id)")

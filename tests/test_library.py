@@ -163,6 +163,53 @@ def test_curve_probe(spark, probe_tables):
     assert best[1].r2_mean > 0.95 and best[1].r2_pc1 > 0.95 and best[0].r2_mean < 0.5
 
 
+def test_probes_of_all_targets_equal_numpy(spark, sf):
+    """Every layer, target, fold and mix of the given tables, with missing targets, against direct solutions."""
+    from strata.plans import views
+
+    feats, ys = views.layer_vectors(spark, sf), views.targets(spark, sf)
+    folds = R.kfold(views.vectors(spark, sf))
+    x = {}
+    for r in feats.collect():
+        x.setdefault(r.id, {})[r.layer] = np.array(r.vec, dtype=float)
+    fold = {r.id: r.fold for r in folds.collect()}
+    y = {}
+    for r in ys.where("y is not null").collect():
+        y.setdefault(r.target, {})[r.id] = r.y
+    single = {}
+    layers = R.probe_layers(feats, ys, folds).cache()
+    for r in layers.collect():
+        ids = sorted(y[r.target])
+        own = np.array([fold[i] for i in ids])
+        single[r.target, r.layer] = _ridge(np.array([x[i][r.layer] for i in ids]), np.array([y[r.target][i] for i in ids]), own)
+        assert r.r2_score == pytest.approx(single[r.target, r.layer], abs=1e-8) and r.n_valid == len(ids)
+    for r in R.probe_mixes(feats, ys, folds, layers, 4).collect():
+        ids = sorted(y[r.target])
+        r2 = [single[r.target, k] for k in range(4)]
+        bases = [np.zeros(4), np.maximum(r2, 0), (np.arange(4) == int(np.argmax(r2))).astype(float)]
+        scores = []
+        for base in bases:
+            for tau in R.TAUS:
+                w = np.exp((base - base.max()) / tau)
+                w /= w.sum()
+                scores.append(_ridge(np.array([sum(w[k] * x[i][k] for k in range(4)) for i in ids]), np.array([y[r.target][i] for i in ids]), np.array([fold[i] for i in ids])))
+        assert r.r2_score == pytest.approx(max(scores), abs=1e-8) and r.r2_gain == pytest.approx(max(scores) - max(r2), abs=1e-8)
+
+
+def test_curves_in_discovery(spark, probe_tables, tmp_path):
+    x, y, feats, ys = probe_tables
+    rows = [(i, "c", [float(y[i]), float(-y[i]), float(2 * y[i])] if i % 10 else None) for i in range(60)]
+    curves = spark.createDataFrame(rows, "id long, target string, curve array<double>")
+    out = R.discover_and_save(feats, ys, 3, str(tmp_path / "results"), curves=curves)
+    found = {(r["mode"], r.layer, r.target): r for r in out.collect()}
+    assert found["best_layer", 1, "c"].r2_mean > 0.95 and found["best_layer", 1, "c"].n_valid == 54 and found["best_layer", 1, "c"].coverage == pytest.approx(0.9)
+    assert int(np.argmax(found["weighted_sum", None, "c"].layer_weights)) == 1 and found["best_layer", 1, "lin"].r2_mean is None
+    aspects = spark.createDataFrame([("shape", "c", 0)], "aspect string, target string, ord int")
+    assert R.resolve_aspects(out, aspects).first().aspect == "shape" and R.resolve_aspects(out, aspects, curves=False).count() == 0
+    assert R.discover(feats, ys, 3, n_samples=30, mixes=False).agg(F.max("n_valid")).first()[0] == 30
+    assert R.discover(feats.limit(0), ys, 3, mixes=False).count() == 0
+
+
 def test_few_rows_give_the_sentinel(spark):
     p = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 2.0)], "k string, y double, p double")
     r = R.fit_metrics(p, ["k"]).first()
