@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions import vectors as V
@@ -56,17 +56,42 @@ def ivf_index(vectors: DataFrame, nlist: int, seed: int = 7, sample: int = SAMPL
     return lists, table
 
 
+def _probe(centres: np.ndarray, names: np.ndarray, nprobe: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                q = b.column("q").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                near = names[(-2 * q @ centres.T + (centres**2).sum(axis=1)).argsort(axis=1, kind="stable")[:, :nprobe]]
+                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("q"), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["query_id", "q", "probed"])
+
+    return run
+
+
 def _routed(lists: DataFrame, centres: DataFrame, queries: DataFrame, nprobe: int) -> DataFrame:
     """Rows of the ``nprobe`` lists nearest to each query (query_id, vec), with the query's unit vector ``q``; each row once per query."""
-    table = [(r.list_id, r.centre) for r in centres.collect()]  # nlist rows
-    unit = queries.select("query_id", V.l2_normalise(F.col("vec")).alias("q"))
-    near = F.array_sort(F.array(*[F.struct((F.lit(float(np.dot(c, c))) - 2 * V.dot(F.col("q"), F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("list_id")) for i, c in table]))
-    probed = unit.select("query_id", "q", F.slice(near, 1, nprobe)["list_id"].alias("probed"))
+    table = centres.orderBy("list_id").collect()  # nlist rows, a parameter of the index
+    unit = queries.select(F.col("query_id").cast("long").alias("query_id"), V.l2_normalise(F.col("vec")).alias("q"))
+    found = _probe(np.array([r.centre for r in table]), np.array([r.list_id for r in table]), nprobe)
+    probed = unit.mapInArrow(found, "query_id long, q array<double>, probed array<int>")
     found = lists.join(probed.select("query_id", "q", "probed", F.explode("probed").alias("list_id")), "list_id")
     # A row in several probed lists counts in the one nearest to it.
     return found.where(F.get(F.array_intersect("list_ids", "probed"), 0) == F.col("list_id")) if "list_ids" in lists.columns else found
 
 
+def write_lists(lists: DataFrame, centres: DataFrame, path: str, nprobe: int) -> None:
+    """Save inverted lists in a folder per list, with the centres and the number of lists that a search probes by default."""
+    if nprobe <= 0:
+        raise ValueError("nprobe must be positive")
+    lists.repartition("list_id").write.partitionBy("list_id").parquet(f"{path}/lists")
+    centres.withColumn("nprobe", F.lit(nprobe)).coalesce(1).write.parquet(f"{path}/centres")
+
+
+def read_lists(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int]:
+    """(lists, centres, default nprobe); a search reads the folders of its probed lists only."""
+    centres = spark.read.parquet(f"{path}/centres")
+    return spark.read.parquet(f"{path}/lists"), centres.drop("nprobe"), centres.first().nprobe
+
+
 def _best(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -93,8 +118,8 @@ def pq_index(vectors: DataFrame, factory: str, seed: int = 7, sample: int = SAMP
     nlist, m, bits = parse_factory(factory)
     lists, centres = ivf_index(vectors, nlist, seed, sample, spill)
     kept = [c for c in lists.columns if c != "vec"]
-    once = lists.where(F.get("list_ids", 0) == F.col("list_id")) if spill > 1 else lists
-    dim = len(lists.select("vec").first()[0])
+    once = flat_index(vectors)
+    dim = len(once.select("vec").first()[0])
     if dim % m:
         raise ValueError("the dimension must be a multiple of the number of subspaces")
     width = dim // m

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from strata.functions import vectors as V
 
-QUERY_BLOCK = 2048
+#: Queries that a task holds, rows of the corpus that they meet in it, and rows that are scored at once.
+QUERY_BLOCK, CORPUS_BLOCK, CORPUS_SLICE = 2048, 1 << 16, 1024
 
 
 def _literal(values) -> Column:
@@ -40,56 +41,76 @@ def find_similar(corpus: DataFrame, query_id, k: int = 10, exclude_self: bool =
     return similar_to(corpus.where(F.col(id_col) != query_id) if exclude_self else corpus, vector, k, id_col, vec_col)
 
 
-def _block_topk(shared, k: int):
+def _unit(lists: pa.Array, n: int) -> np.ndarray:
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    length = np.linalg.norm(x, axis=1)
+    return x / np.where(length > 0, length, 1)[:, None]
+
+
+def _block_topk(k: int, exclude_self: bool):
+    """Rows come sorted by (left, right, corpus): the queries of a pair of blocks, then its corpus, of which a slice at a time is scored."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = shared.value
+        current, q_ids, q = None, [], []
+        best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                ids, scores, raw = best
+                rows, cols = np.nonzero(scores > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[0][rows]), pa.array(ids[rows, cols]), pa.array(raw[rows, cols]), pa.array(scores[rows, cols])], names=["query_id", "id", "similarity", "place"])
+
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            lists = b.column(1)
-            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-            length = np.linalg.norm(x, axis=1)
-            scores = q @ (x / np.where(length > 0, length, 1)[:, None]).T
-            # Rows in the order of ids, so equal scores keep the smaller id.
-            by_id = np.argsort(ids, kind="stable")
-            top = np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, : k + 1]
-            rows = np.repeat(np.arange(len(q_ids)), top.shape[1])
-            cols = by_id[top.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[cols]), pa.array(scores[rows, cols])], names=["query_id", "id", "similarity"])
+            left, right, kind, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right", "corpus", "id"))
+            edge = np.flatnonzero((left[1:] != left[:-1]) | (right[1:] != right[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows]):
+                if current != (left[lo], right[lo]):
+                    yield from done()
+                    current, q_ids, q, best = (left[lo], right[lo]), [], [], None
+                if not kind[lo]:
+                    q_ids.append(ids[lo:hi])
+                    q.append(_unit(b.column("vec").slice(lo, hi - lo), hi - lo))
+                    continue
+                if not q:
+                    continue
+                q_ids, q = [np.concatenate(q_ids)], [np.concatenate(q)]
+                for s in range(lo, hi, CORPUS_SLICE):
+                    e = min(s + CORPUS_SLICE, hi)
+                    raw = q[0] @ _unit(b.column("vec").slice(s, e - s), e - s).T
+                    scores, own = np.round(raw, 9), np.broadcast_to(ids[s:e], raw.shape)
+                    if exclude_self:
+                        scores[own == q_ids[0][:, None]] = -np.inf
+                    if best is not None:
+                        own, scores, raw = (np.concatenate(x, axis=1) for x in zip(best, (own, scores, raw)))
+                    top = np.lexsort((own, -scores), axis=1)[:, :k]
+                    best = tuple(np.take_along_axis(x, top, axis=1) for x in (own, scores, raw))
+        yield from done()
 
     return run
 
 
-def similar_to_all(corpus: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = True, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    """(query_id, id, similarity, rank) of the k rows most like each query.
+def similar_to_all(corpus: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = True, id_col: str = "id", vec_col: str = "vec", query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
+    """(query_id, id, similarity, rank) of the k rows most like each query; ties of the similarity to nine places go to the smaller id.
 
-    Queries are sent out in blocks of ``QUERY_BLOCK``; each task multiplies a
-    block with its rows and keeps the best of each batch.
+    Both sides are cut into blocks by id, and each pair of blocks meets in one
+    task, which keeps the best k of each query.  A block of queries is all that
+    a task holds; no vector passes through the driver.  Every query is compared
+    with every row; for a corpus as its own set of queries use an inverted-list
+    index instead.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    spark = corpus.sparkSession
-    plain = corpus.select(F.col(id_col).cast("long").alias("id"), V.doubles(F.col(vec_col)).alias("vec"))
-    out, block = None, []
-
-    def search(rows) -> DataFrame:
-        q = np.array([r[1] for r in rows], dtype=np.float64)
-        length = np.linalg.norm(q, axis=1)
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), q / np.where(length > 0, length, 1)[:, None]))
-        return plain.mapInArrow(_block_topk(shared, k), "query_id long, id long, similarity double")
-
-    for r in queries.select(F.col(id_col).cast("long"), V.doubles(F.col(vec_col))).toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out, block = search(block) if out is None else out.unionByName(search(block)), []
-    if block or out is None:
-        part = search(block) if block else spark.createDataFrame([], "query_id long, id long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    if exclude_self:
-        out = out.where("id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    side = lambda df, n: df.select(F.col(id_col).cast("long").alias("id"), V.doubles(F.col(vec_col)).alias("vec")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    n_left, n_right = -(-queries.count() // query_block) or 1, -(-corpus.count() // corpus_block) or 1
+    asked = side(queries, n_left).select(F.col("own").alias("left"), every(n_right).alias("right"), F.lit(0).alias("corpus"), "id", "vec")
+    known = side(corpus, n_right).select(every(n_left).alias("left"), F.col("own").alias("right"), F.lit(1).alias("corpus"), "id", "vec")
+    met = asked.unionByName(known).repartition("left", "right").sortWithinPartitions("left", "right", "corpus")
+    out = met.mapInArrow(_block_topk(k, exclude_self), "query_id long, id long, similarity double, place double")
+    order = Window.partitionBy("query_id").orderBy(F.col("place").desc(), "id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("place")
 
 
 def dedupe_in_time(hits: DataFrame, window: float, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
@@ -107,17 +128,45 @@ def dedupe_in_time(hits: DataFrame, window: float, keys: tuple[str, ...] = ("tra
     return ranked.select(*keys, F.explode(kept).alias("e")).select(*keys, "e.clip_id", "e.start_sec", (-F.col("e.s")).alias("similarity"))
 
 
-def search_by_clip(index: DataFrame, clip_id: str, k: int = 10, dedupe_window: float = 5.0, exclude_same_segment: bool = True) -> DataFrame:
+def query_clip(index: DataFrame, clip_id: str | None = None, track_id: str | None = None, start_sec: float | None = None) -> str:
+    """The clip that a query names: by its id, or as the clip of a track that starts nearest to a time (ties by clip id)."""
+    if clip_id is not None:
+        if track_id is not None or start_sec is not None:
+            raise ValueError("give either clip_id or track_id and start_sec")
+        return clip_id
+    if track_id is None or start_sec is None:
+        raise ValueError("give either clip_id or both track_id and start_sec")
+    if start_sec < 0:
+        raise ValueError("start_sec must not be negative")
+    row = index.where(F.col("track_id") == track_id).agg(F.min_by("clip_id", F.struct(F.abs(F.col("start_sec") - start_sec), "clip_id"))).first()
+    if row[0] is None:
+        raise KeyError(f"unknown track {track_id}")
+    return row[0]
+
+
+def search_by_clip(index: DataFrame, clip_id: str | None = None, k: int = 10, dedupe_window: float = 5.0, exclude_same_segment: bool = True, track_id: str | None = None, start_sec: float | None = None, fetch: int | None = None, centres: DataFrame | None = None, nprobe: int | None = None) -> DataFrame:
     """The k clips most like a clip; ``index`` has (clip_id, track_id, start_sec, vec).
 
-    The ranking is cut at max(25 k, k + 25) candidates before the walk through time.
+    The clip is named by its id, or by a track and a time.  The ranking is cut at
+    ``fetch`` candidates, max(25 k, k + 25) unless given, before the walk through
+    time; fewer than k clips may be left, and a larger ``fetch`` gives more.  If
+    ``index`` has a list_id and ``centres`` (list_id, centre) are given, only the
+    ``nprobe`` lists nearest to the clip are read; nprobe without lists is an error.
     """
-    vector = query_vector(index, clip_id, "clip_id")
-    fetch = max(25 * k, k + 25)
-    scored = index.select("clip_id", "track_id", "start_sec", V.cosine(F.col("vec"), _literal(vector)).alias("similarity"))
-    top = scored.orderBy(F.col("similarity").desc(), "clip_id").limit(fetch)
+    if k <= 0:
+        raise ValueError("k must be positive")
+    if nprobe is not None and (centres is None or nprobe <= 0):
+        raise ValueError("nprobe must be positive and needs an index with lists")
+    name = query_clip(index, clip_id, track_id, start_sec)
+    vector = query_vector(index, name, "clip_id")
+    rows = index
+    if centres is not None:
+        nearest = centres.orderBy(V.dot(F.col("centre"), F.col("centre")) - 2 * V.dot(F.col("centre"), V.l2_normalise(_literal(vector))), "list_id").limit(nprobe or 1)
+        rows = index.where(F.col("list_id").isin([r.list_id for r in nearest.collect()])).dropDuplicates(["clip_id"])  # nprobe numbers
+    scored = rows.select("clip_id", "track_id", "start_sec", V.cosine(F.col("vec"), _literal(vector)).alias("similarity"))
+    top = scored.orderBy(F.col("similarity").desc(), "clip_id").limit(fetch or max(25 * k, k + 25))
     if exclude_same_segment:
-        top = top.where(F.col("clip_id") != clip_id)
+        top = top.where(F.col("clip_id") != name)
     return dedupe_in_time(top, dedupe_window).select("clip_id", "track_id", "start_sec", "similarity").orderBy(F.col("similarity").desc(), "clip_id").limit(k)
 
 

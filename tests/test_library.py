@@ -50,6 +50,43 @@ def test_batch_search_equals_single_over_partitions(tiny):
         assert got == {1: 1, 2: 2, 3: 3, 4: 4}
 
 
+def test_batch_search_over_blocks(spark, sf):
+    from strata.plans import views
+
+    v = views.vectors(spark, sf)
+    x = {r.id: np.array(r.vec, dtype=float) for r in v.collect()}
+    ids = sorted(x)
+    m = np.array([x[i] / np.linalg.norm(x[i]) for i in ids])
+    scores = np.round(m @ m.T, 9)
+    for sizes in ((7, 100), (2048, 65536)):
+        got = {}
+        for r in S.similar_to_all(v, v.where("id % 50 = 0"), 4, query_block=sizes[0], corpus_block=sizes[1]).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == {q: [ids[j] for j in np.lexsort((ids, -scores[ids.index(q)])) if ids[j] != q][:4] for q in ids if q % 50 == 0}
+    ties = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)], "id long, vec array<double>")
+    assert [r.id for r in S.similar_to_all(ties, ties.where("id = 5"), 3, corpus_block=4).orderBy("rank").collect()] == [0, 1, 2]
+    assert S.similar_to_all(ties.limit(0), ties, 3).count() == 0 and S.similar_to_all(ties, ties.limit(0), 3).count() == 0
+
+
+def test_clip_queries(spark):
+    rows = [(f"c{i}", "t" if i < 4 else "u", 2.5 * (i % 4), [1.0, i / 10], i % 2) for i in range(8)]
+    index = spark.createDataFrame(rows, "clip_id string, track_id string, start_sec double, vec array<double>, list_id int")
+    by_id = [r.clip_id for r in S.search_by_clip(index, "c1", k=3, dedupe_window=0).collect()]
+    near = sorted((abs(math.atan(i / 10) - math.atan(0.1)), f"c{i}") for i in range(8) if i != 1)
+    assert by_id == [c for _, c in near[:3]]
+    assert [r.clip_id for r in S.search_by_clip(index, track_id="t", start_sec=2.9, k=3, dedupe_window=0).collect()] == by_id
+    assert S.query_clip(index, track_id="t", start_sec=1.25) == "c0"
+    centres = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.3])], "list_id int, centre array<double>")
+    assert {r.clip_id for r in S.search_by_clip(index, "c4", 10, 0, centres=centres, nprobe=2).collect()} == {f"c{i}" for i in range(8)} - {"c4"}
+    assert S.search_by_clip(index, "c4", 10, 0, centres=centres, nprobe=1).count() < 7
+    assert S.search_by_clip(index, "c1", 10, 0, fetch=2).count() <= 2
+    for wrong in ({"clip_id": "c1", "track_id": "t"}, {"track_id": "t"}, {"track_id": "t", "start_sec": -1.0}, {"clip_id": "c1", "nprobe": 2}):
+        with pytest.raises(ValueError):
+            S.search_by_clip(index, **wrong)
+    with pytest.raises(KeyError):
+        S.search_by_clip(index, track_id="none", start_sec=0.0)
+
+
 def test_dedupe_walks_down_the_ranking(spark):
     hits = [("t", "c0", 0.0, 0.9), ("t", "c1", 2.5, 0.8), ("t", "c2", 5.0, 0.7), ("u", "c3", 2.5, 0.6), ("t", "c4", 7.5, 0.5), ("t", "c5", 10.0, 0.4)]
     df = spark.createDataFrame(hits, "track_id string, clip_id string, start_sec double, similarity double")
@@ -346,7 +383,7 @@ def test_index_save_load_publish(spark, tiny, tmp_path):
         A.validate_manifest({k: v for k, v in manifest.items() if k != "metric"})
 
 
-def test_inverted_lists(spark, sf):
+def test_inverted_lists(spark, sf, tmp_path):
     from strata.plans import views
 
     v = views.vectors(spark, sf)
@@ -356,7 +393,10 @@ def test_inverted_lists(spark, sf):
     full = X.probe_ivf(lists, centres, q, 10, 4).select("query_id", "id")
     assert exact.exceptAll(full).count() == 0
     some = X.probe_ivf(lists, centres, q, 10, 2).select("query_id", "id")
-    assert some.intersect(exact).count() / exact.count() > 0.5
+    assert some.intersect(exact).count() / exact.count() > 0.5  # test_recall_of_indexes has the settings that reach 0.9
+    X.write_lists(lists, centres, str(tmp_path / "ivf"), 2)
+    stored, middle, nprobe = X.read_lists(spark, str(tmp_path / "ivf"))
+    assert nprobe == 2 and X.probe_ivf(stored, middle, q, 10, nprobe).select("query_id", "id").exceptAll(some).count() == 0
     with pytest.raises(ValueError):
         X.probe_ivf(lists, centres, q, 10, 0)
     with pytest.raises(ValueError):
