@@ -111,19 +111,20 @@ def gaussian_smooth(x: Column, sigma: float = 3.0, truncate: float = 4.0) -> Col
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.aggregate(terms(i), F.lit(0.0), lambda s, v: s + v))
 
 
-def savgol_weights(window: int, order: int) -> list[float]:
-    """Weights of the value that a least-squares polynomial takes in the middle of a window."""
-    import numpy as np
-
-    x = np.arange(window) - window // 2
-    return np.linalg.pinv(np.vander(x, order + 1, increasing=True))[0].tolist()
+def savgol_smooth(x, window: int = 51, order: int = 3):
+    """Polynomial smoothing of a numpy array; the edges take the values of the polynomial of the first or last window.
 
+    The window shrinks to the largest odd one that fits; below five values
+    the array stays as it is.
+    """
+    import numpy as np
 
-def savgol_smooth(x: Column, window: int = 51, order: int = 3) -> Column:
-    """Polynomial smoothing with the edge values repeated; the window shrinks to a short array."""
-    half, w = window // 2, F.array(*map(F.lit, savgol_weights(window, order)))
-    n = F.size(x)
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.aggregate(F.zip_with(F.sequence(F.lit(-half), F.lit(half)), w, lambda d, v: F.get(x, F.least(F.greatest(i + d, F.lit(0)), n - 1)) * v), F.lit(0.0), lambda s, v: s + v),
-    )
+    window = min(window, len(x) if len(x) % 2 else len(x) - 1)
+    if window < 5:
+        return x
+    half = window // 2
+    powers = np.vander(np.arange(window) - half, order + 1, increasing=True)
+    fit = np.linalg.pinv(powers)
+    out = np.convolve(x, fit[0][::-1], mode="same")
+    out[:half], out[-half:] = (powers @ (fit @ x[:window]))[:half], (powers @ (fit @ x[-window:]))[-half:]
+    return out

@@ -193,14 +193,14 @@ def weights_table(texts: DataFrame) -> DataFrame:
     return pairs.groupBy("text", "aspect").agg(F.when(F.count_if(F.col("w").isNull() | (F.col("w") < 0)) == 0, F.sum("w")).alias("weight"))
 
 
-def compose_layers(weights: DataFrame, aspects: DataFrame, n_layers: int, scale_by_r2: bool = False) -> DataFrame:
-    """(layer, weight) of weighted aspects (aspect, weight) over resolved aspects.
+def compose_layers(weights: DataFrame, aspects: DataFrame, n_layers: int, scale_by_r2: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, layer, weight) of weighted aspects (keys, aspect, weight) over resolved aspects.
 
     A resolved aspect has one ``layer`` or dense ``layer_weights``.
     """
     rows = weights.join(aspects, "aspect").withColumn("w", F.col("weight") * (F.col("r2_score") if scale_by_r2 else F.lit(1.0)))
     dense = F.coalesce("layer_weights", F.transform(F.sequence(F.lit(0), F.lit(n_layers - 1)), lambda i: F.when(i == F.col("layer"), 1.0).otherwise(0.0)))
-    return rows.select("w", F.posexplode(dense).alias("layer", "x")).groupBy("layer").agg(F.sum(F.col("w") * F.col("x")).alias("weight"))
+    return rows.select(*keys, "w", F.posexplode(dense).alias("layer", "x")).groupBy(*keys, "layer").agg(F.sum(F.col("w") * F.col("x")).alias("weight"))
 
 
 def layer_weights_of(weights: dict[str, float], aspects: DataFrame, n_layers: int, scale_by_r2: bool = False) -> list[float]:

@@ -135,12 +135,11 @@ def v17(s, d):
     return views.metadata(s, d).where("track_id = 't0003'").select("track_id", "recording_id", "work_id")
 
 
-@query("v8_compose_layers", "select 0 as layer, 0.3::double * 0.1 as weight union all select 1, 0.5::double + 0.3::double * 0.2 union all select 2, 0.3::double * 0.3 union all select 3, 0.3::double * 0.4 + 0.2 ")
+@query("v8_compose_layers", ", w as (select user_id, case event_type when 'click' then 'brightness' when 'view' then 'texture' else 'tempo' end as aspect, sum(value) as w from events group by all), a as (select 'brightness' as aspect, [0.0, 1.0, 0.0, 0.0] as l, 0.9 as r2 union all select 'texture', [0.1, 0.2, 0.3, 0.4], 0.7 union all select 'tempo', [0.0, 0.0, 0.0, 1.0], 0.6) select user_id, i::int as layer, round(sum(w * r2::double * l[i + 1]::double), 6) as weight from w join a using (aspect), (select unnest(range(4)) as i) group by user_id, i")
 def v8(s, d):
-    # The aspects' weights come from shares of event types: half of the types, three tenths, two tenths.
-    n = s.read.parquet(f"{d}/events.parquet").select("event_type").distinct().count() / 5.0
-    w = s.createDataFrame([("brightness", 0.5 * n), ("texture", 0.3 * n), ("tempo", 0.2 * n)], "aspect string, weight double")
-    return S.compose_layers(w, _aspects(s), 4)
+    aspect = F.when(F.col("event_type") == "click", "brightness").when(F.col("event_type") == "view", "texture").otherwise("tempo")
+    w = s.read.parquet(f"{d}/events.parquet").groupBy("user_id", aspect.alias("aspect")).agg(F.sum("value").alias("weight"))
+    return S.compose_layers(w, _aspects(s), 4, scale_by_r2=True, keys=("user_id",)).withColumn("weight", F.round("weight", 6))
 
 
 _KNN = "select id, round(list_cosine_similarity(vec, (select vec from v_vec where id = 0)), 6) as similarity from v_vec where id <> 0 order by list_cosine_similarity(vec, (select vec from v_vec where id = 0)) desc, id limit 10"
@@ -169,11 +168,19 @@ def k3(s, d):
     return _rounded(S.search_by_clip(_clip_vectors(s, d), "emb:t0002:00003", dedupe_window=0))
 
 
-@query("k4_clip_search_deduped")
+@query("k4_clip_search_deduped", _FETCH + ", t as (select *, row_number() over (partition by track_id order by top.similarity desc, clip_id) as n from top where clip_id <> 'emb:t0002:00003'), walk as (select *, true as ok, [start_sec] as kept from t where n = 1 union all select t.*, len(list_filter(kept, lambda y: abs(y - t.start_sec) < 5)) = 0 as ok, case when len(list_filter(kept, lambda y: abs(y - t.start_sec) < 5)) = 0 then list_append(kept, t.start_sec) else kept end from walk join t on t.track_id = walk.track_id and t.n = walk.n + 1) select clip_id, track_id, start_sec, round(similarity, 6) as similarity from walk where ok order by walk.similarity desc, clip_id limit 10")
 def k4(s, d):
     return _rounded(S.search_by_clip(_clip_vectors(s, d), "emb:t0002:00003"))
 
 
+ORACLES["k4_clip_search_deduped"] = ORACLES["k4_clip_search_deduped"].replace("with ", "with recursive ", 1)
+
+
+@query("k3_clip_search_by_time", _FETCH.replace("'emb:t0002:00003'", "'emb:t0004:00002'") + "select clip_id, track_id, start_sec, round(similarity, 6) as similarity from top where clip_id <> 'emb:t0004:00002' order by top.similarity desc, clip_id limit 10")
+def k3_time(s, d):
+    return _rounded(S.search_by_clip(_clip_vectors(s, d), track_id="t0004", start_sec=4.4, dedupe_window=0))
+
+
 @query("k5_aspect_search", ", l as (select id, vec from v_layer where layer = 1) select id, round(list_cosine_similarity(vec, (select vec from l where id = 3)), 6) as similarity from l where id <> 3 order by list_cosine_similarity(vec, (select vec from l where id = 3)) desc, id limit 10")
 def k5(s, d):
     return _rounded(S.search_by_aspect(views.matrix(s, d), 3, "brightness", _aspects(s), 4))
@@ -189,9 +196,9 @@ def k7(s, d):
     return views.metadata(s, d).select("track_id", "recording_id").orderBy("track_id").limit(20)
 
 
-@query("x1_flat_index", "select id, round(sqrt(list_dot_product(vec, vec)) / sqrt(list_dot_product(vec, vec)), 6) as length from v_vec")
+@query("x1_flat_index", "select id, i::int as i, round(vec[i + 1] / sqrt(list_dot_product(vec, vec)), 6) as x from v_vec, (select unnest(range(64)) as i)")
 def x1(s, d):
-    return X.flat_index(views.vectors(s, d)).select("id", F.round(V.norm(F.col("vec")), 6).alias("length"))
+    return _entries(X.flat_index(views.vectors(s, d)), "id")
 
 
 @query("x2_ivf_full_probe", ", p as (select q.id as query_id, c.id, list_cosine_similarity(q.vec, c.vec) as similarity from v_vec q, v_vec c where q.id % 50 = 0), r as (select *, row_number() over (partition by query_id order by round(similarity, 9) desc, id) as rank from p) select query_id, id, round(similarity, 6) as similarity, rank::int as rank from r where rank <= 10")

@@ -96,7 +96,7 @@ def t8(s, d):
     return _r(T.tonal_tension(views.chroma(s, d)), "x")
 
 
-@query("t8_tension_curve")
+@query("t8_tension_curve", ", n as (select track_id, frame, pc, energy / sum(energy) over (partition by track_id, frame) as p from v_chroma), k as (select unnest([1, 2, 3, 4, 5, 6]) as k, unnest([3.0, 8.0, 11.5, 15.0, 14.5, 7.5]) as r), f as (select track_id, frame, k, r::double as r, sum(p * cos(-2 * pi() * k * pc / 12)) as re, sum(p * sin(-2 * pi() * k * pc / 12)) as im from n, k group by all), q as (select track_id, frame, sqrt(sum((re * re + im * im) * r * r)) as x from f group by track_id, frame), g as (select t.track_id, t.i::int as frame, coalesce(q.x, 0) as x from (select distinct track_id, i from q, (select unnest(range(60)) as i)) t left join q on q.track_id = t.track_id and q.frame = t.i), z as (select *, avg(x) over p as m, stddev_pop(x) over p as sd from g window p as (partition by track_id)) select track_id, frame, round(case when sd < 1e-6::double then 0 else (x - m) / (sd + 1e-6::double) end, 6) as x from z")
 def t8_curve(s, d):
     return _r(T.tension_curve(views.chroma(s, d)), "x")
 
@@ -116,7 +116,7 @@ def t10(s, d):
     return _r(T.local_tempo(views.tempogram(s, d), 100.0, 5.0), "x")
 
 
-@query("t10_tempo_curve")
+@query("t10_tempo_curve", ", b as (select *, case when lag > 0 then 60.0::double * 100 / (5 * lag) end as bpm from v_tempogram), s as (select *, round(ln(1 + mag) * case when bpm >= 40 and bpm <= 240 then exp(-0.5::double * (log2(bpm) - log2(120)) * (log2(bpm) - log2(120))) else 0 end, 9) as score from b), r as (select *, row_number() over (partition by track_id, frame order by score desc, lag) as n from s), l as (select track_id, frame, case when score > 0 then bpm else 120 end as x, max(frame) over (partition by track_id) as z from r where n = 1), m as (select a.track_id, a.frame, log2(least(greatest(median(b.x), 40), 240) / 60) as x from l a, (select unnest([-2, -1, 0, 1, 2]) as k) join l b on b.track_id = a.track_id and b.frame = least(greatest(a.frame + k, 0), a.z) group by all) select t.track_id, t.i::int as frame, round(coalesce(x, 1), 6) as x from (select distinct track_id, i from l, (select unnest(range(60)) as i)) t left join m on m.track_id = t.track_id and m.frame = t.i")
 def t10_curve(s, d):
     return _points(T.tempo_curve(views.tempogram(s, d), 100.0, 5.0))
 
@@ -126,7 +126,7 @@ def t11(s, d):
     return _r(T.performance_tempo(views.notes(s, d)), "x")
 
 
-@query("t11_tempo_curve")
+@query("t11_tempo_curve", ", g as (select track_id, frame from (select track_id from v_notes group by 1 having count(*) >= 4), (select unnest(range(60)) as frame)), n as (select g.track_id, g.frame, onset, onset - lag(onset) over (partition by g.track_id, g.frame order by onset, seq) as ioi from g join v_notes v on v.track_id = g.track_id and onset >= frame * 0.5::double - 1 and onset <= frame * 0.5::double + 1), p as (select track_id, frame, log2(least(greatest(60 / median(ioi), 40), 240) / 60) as v from n group by all having count(*) >= 3 and median(ioi) > 0), c as (select track_id, frame, coalesce(last_value(v ignore nulls) over (partition by track_id order by frame rows unbounded preceding), 1) as x from g left join p using (track_id, frame)) select a.track_id, a.frame::int as frame, round(median(b.x), 6) as x from c a, (select unnest([-1, 0, 1]) as k) join c b on b.track_id = a.track_id and b.frame = least(greatest(a.frame + k, 0), 59) group by all")
 def t11_curve(s, d):
     return _points(T.performance_tempo_curve(views.notes(s, d)))
 
@@ -137,20 +137,31 @@ def t12(s, d):
     return _r(T.articulation(notes), "p")
 
 
-@query("t13_expressivity", ", i as (select *, onset - lag(onset) over (partition by track_id order by onset, seq) as ioi from v_notes) select track_id, round(stddev_pop(velocity), 6) as velocity_std, round(stddev_pop(ln(ioi + 1e-6::double)) filter (where ioi > 0), 6) as log_ioi_std from i group by 1")
+_T13 = ", i as (select *, onset - lag(onset) over (partition by track_id order by onset, seq) as ioi from v_notes), e as (select track_id, round(stddev_pop(velocity), 6) as velocity_std, round(stddev_pop(ln(ioi + 1e-6::double)) filter (where ioi > 0), 6) as log_ioi_std from i group by 1)"
+
+
+@query("t13_expressivity", _T13 + " select * from e")
 def t13(s, d):
     return _r(T.expressivity(views.notes(s, d)), "velocity_std", "log_ioi_std")
 
 
-@query("t14_align_notes", "select track_id, seq, round(least(onset + dur, 20), 6) as offset, row_number() over (partition by track_id order by onset, seq)::int as place from v_notes where onset <= 20")
+@query("t13_midi_scalars", _T13 + ", g as (select track_id, k * (0.5::double / 5) as t from (select distinct track_id from v_notes), (select unnest(range(300)) as k)), p as (select g.track_id, avg(coalesce((c.value >= 64)::int, 0)) as ratio from g asof left join v_controls c on g.track_id = c.track_id and g.t >= c.t group by 1) select track_id, velocity_std as midi_velocity_std, log_ioi_std as midi_ioi_std, round(ratio, 6) as midi_pedal_ratio from e join p using (track_id)")
+def t13_midi(s, d):
+    tracks = views.notes(s, d).select("track_id").distinct().withColumn("duration", F.lit(30.0))
+    return _r(T.midi_scalars(views.notes(s, d), views.controls(s, d), tracks, sub=5), "midi_velocity_std", "midi_ioi_std", "midi_pedal_ratio")
+
+
+@query("t14_align_notes", ", u as (select *, max(onset) over (partition by track_id) - 1 as z from v_notes) select track_id, seq, round(least(onset + dur, z), 6) as offset, row_number() over (partition by track_id order by onset, seq)::int as place from u where onset <= z")
 def t14(s, d):
+    """Each track ends a second before its last onset."""
     n = views.notes(s, d)
-    return _r(T.align_notes(n, n.select("track_id").distinct().withColumn("duration", F.lit(20.0))).select("track_id", "seq", "offset", "place"), "offset")
+    return _r(T.align_notes(n, n.groupBy("track_id").agg((F.max("onset") - 1).alias("duration"))).select("track_id", "seq", "offset", "place"), "offset")
 
 
-@query("t14_piano_roll", ", p as (select track_id, velocity % 12 as pitch, velocity, unnest(range(floor(onset * 4)::bigint, greatest(floor(onset * 4), ceil((onset + dur) * 4) - 1)::bigint + 1)) as frame from v_notes) select track_id, pitch, frame::int as frame, max(velocity) as velocity from p where frame < 100 group by all")
+@query("t14_piano_roll", ", p as (select track_id, velocity % 12 as pitch, velocity, unnest(range(floor(onset * 4)::bigint, greatest(floor(onset * 4), ceil((onset + dur) * 4) - 1)::bigint + 1)) as frame from v_notes) select track_id, pitch, frame::int as frame, max(velocity) as velocity from p where frame < 128 group by all")
 def t14_roll(s, d):
-    return T.piano_roll(views.notes(s, d).withColumn("pitch", F.col("velocity") % 12), 4.0, 100)
+    """Thirty seconds at four frames a second, and two seconds for notes that ring on."""
+    return T.piano_roll(views.notes(s, d).withColumn("pitch", F.col("velocity") % 12), 4.0, 128)
 
 
 @query("j6_pedal_state", ", g as (select track_id, k * 0.25::double as t from (select distinct track_id from v_notes), (select unnest(range(121)) as k)) select g.track_id, g.t, coalesce((c.value >= 64)::int, 0) as on from g asof left join v_controls c on g.track_id = c.track_id and g.t >= c.t")
@@ -210,34 +221,63 @@ def t21(s, d):
     return _r(T.attacks(x, onsets, 6), "slope", "sharpness")
 
 
-@query("t22_phrases", ", g as (select track_id, lead(onset) over (partition by track_id order by onset) - onset as g from v_notes where event_type = 'signup') select track_id, round(coalesce(stddev_pop(g) / avg(g), 0), 6) as regularity, count(g) as n from g group by 1")
+@query("t22_phrases", ", g as (select track_id, lead(onset) over (partition by track_id order by onset) - onset as g from v_notes) select track_id, round(coalesce(stddev_pop(g) / avg(g), 0), 6) as regularity, count(g) as n from g group by 1")
 def t22(s, d):
-    return _r(T.phrases(views.notes(s, d).where("event_type = 'signup'").select("track_id", F.col("onset").alias("t"))), "regularity")
+    return _r(T.phrases(views.notes(s, d).select("track_id", F.col("onset").alias("t"))), "regularity")
 
 
-def _long(s, d):
+@query("t17_dynamic_arc", ", q as (select track_id, frame // 2 as frame, greatest(20 * log10(avg(abs(x)) + 1e-10::double), -60) as x from v_sig group by 1, 2), k as (select unnest(range(-12, 13)) as k), w as (select k, exp(-0.5::double * (k / 3::double) * (k / 3::double)) as w from k), m as (select a.track_id, a.frame, sum(b.x * w) / (select sum(w) from w) as x from q a, w join q b on b.track_id = a.track_id and b.frame = least(greatest(a.frame + k, 0), 31) group by all), n as (select *, min(x) over p as lo, max(x) over p as hi from m window p as (partition by track_id)) select track_id, frame::int as frame, round(case when hi > lo then (x - lo) / (hi - lo) else 0 end, 6) as x from n")
+def t17_arc(s, d):
+    return _points(T.dynamic_arc(views.signals(s, d).withColumn("x", F.abs("x")), 32))
+
+
+@query("t6_centroid_curve", ", l as (select track_id, frame, log2(abs(x) + 1) as x from v_sig), p as (select track_id, least(floor(frame * 10 / 64), 9)::int as frame, avg(x) as x from l group by 1, 2), z as (select *, avg(x) over q as m, stddev_pop(x) over q as sd from p window q as (partition by track_id)) select track_id, frame, round(case when sd < 1e-6::double then 0 else (x - m) / (sd + 1e-6::double) end, 6) as x from z")
+def t6_centroid(s, d):
+    return _points(T.centroid_curve(views.signals(s, d).withColumn("x", F.abs("x")), 10))
+
+
+def _jobs(s, d):
+    """Targets of every signal, and the quality of those vectors that have a label."""
     x = views.signals(s, d)
-    dyn = T.dynamics(x.withColumn("x", F.abs("x")))
-    runs = T.monotonic_runs(x)
-    return T.targets_long({("dynamics", "range"): dyn.select("track_id", "dynamic_range"), ("dynamics", "variance"): dyn.select("track_id", "dynamic_variance"), ("phrasing", "rise"): runs.where("track_id % 7 <> 0").select("track_id", "rise")})
+    quality = views.targets(s, d).where("target = 'quality' and y is not null").select(F.col("id").alias("track_id"), "y")
+    dyn, runs = T.dynamics(x.withColumn("x", F.abs("x"))), T.monotonic_runs(x)
+    return {
+        "dynamics": lambda: {("dynamics", "range"): dyn.select("track_id", "dynamic_range"), ("dynamics", "variance"): dyn.select("track_id", "dynamic_variance")},
+        "phrasing": lambda: {("phrasing", "rise"): runs.select("track_id", "rise")},
+        "labels": lambda: {("labels", "quality"): quality},
+    }
+
+
+def _long(s, d):
+    return T.targets_long({k: v for job in _jobs(s, d).values() for k, v in job().items()})
 
 
-@query("t23_all_targets", "select track_id, 'dynamics' as category, 'range' as field, round(max(abs(x)) - min(abs(x)), 6) as value from v_sig group by 1")
+_LONG = ", a as (select *, lag(x) over w as p, sign(x - lag(x) over w) as sg from v_sig window w as (partition by track_id order by frame)), b as (select *, case when lag(sg) over w = sg then 0 else 1 end as nw from a window w as (partition by track_id order by frame)), c as (select *, sum(nw) over (partition by track_id order by frame) as run from b), r as (select track_id, run, count(*) + 1 as n, min(frame) as st, abs(arg_max(x, frame) - arg_min(p, frame)) * (count(*) + 1) as size from c where sg = 1 group by all), k as (select *, row_number() over (partition by track_id order by n desc, st) as o from r), y as (select track_id, abs(x) as y, abs(x) / (avg(abs(x)) over (partition by track_id) + 1e-8::double) as q from v_sig), long as (select track_id, 'dynamics' as category, 'range' as field, max(y) - min(y) as value from y group by 1 union all select track_id, 'dynamics', 'variance', var_pop(q) from y group by 1 union all select track_id, 'phrasing', 'rise', size from k where o = 1 union all select id, 'labels', 'quality', y from v_targets where target = 'quality' and y is not null)"
+
+
+@query("t23_all_targets", _LONG + " select track_id, category, field, round(value, 6) as value from long")
 def t23(s, d):
-    long = _long(s, d).where("field = 'range'")
+    long, errors = T.all_targets(_jobs(s, d))
+    if errors:
+        raise RuntimeError(str(errors))
     return long.select("track_id", "category", "field", F.round(F.get("values", F.lit(0)), 6).alias("value"))
 
 
-@query("t24_missing_targets", "select distinct track_id, 'phrasing' as category, 'rise' as field from v_sig where track_id % 7 = 0")
+@query("t24_missing_targets", "select distinct track_id, 'labels' as category, 'quality' as field from v_sig where track_id not in (select id from v_targets where target = 'quality' and y is not null)")
 def t24(s, d):
-    required = s.createDataFrame([("dynamics", "range"), ("phrasing", "rise")], "category string, field string")
+    required = s.createDataFrame([("dynamics", "range"), ("phrasing", "rise"), ("labels", "quality")], "category string, field string")
     return T.missing_targets(_long(s, d), required)
 
 
-@query("s10_read_targets", "select track_id, 'range' as target, round(max(abs(x)) - min(abs(x)), 6) as y from v_sig where track_id % 7 <> 0 group by 1 union all select distinct track_id, 'humour', null from v_sig where track_id % 7 <> 0")
+@query("s10_read_targets", _LONG + ", h as (select distinct track_id from long where field = 'quality') select track_id, field as target, round(value, 6) as y from long join h using (track_id) where field <> 'variance' union all select track_id, 'humour', null from h")
 def s10(s, d):
-    specs = s.createDataFrame([("range", "dynamics", "range", "mean", True), ("rise", "phrasing", "rise", "first", True), ("humour", "expression", "humour", "mean", False)], "target string, category string, field string, reduce string, required boolean")
-    return _r(tables.read_targets(_long(s, d), specs).where("target <> 'rise'"), "y")
+    specs = s.createDataFrame([("range", "dynamics", "range", "mean", True), ("rise", "phrasing", "rise", "first", True), ("quality", "labels", "quality", "first", True), ("humour", "expression", "humour", "mean", False)], "target string, category string, field string, reduce string, required boolean")
+    return _r(tables.read_targets(_long(s, d), specs), "y")
+
+
+@query("s11_registered_targets", _LONG + " select field as target, count(*) as n_valid, 1.0::double as coverage from long group by 1 having count(*) >= 5 and stddev_pop(value) > 1e-10::double")
+def s11(s, d):
+    return R.valid_targets(_long(s, d).select(F.col("field").alias("target"), F.get("values", F.lit(0)).alias("y")))
 
 
 @query("s12_segment_targets", "select 't' || (track_id // 10) as track_id, frame as segment_idx, 'signal.' || (track_id % 10) as target, round(x, 6) as y from v_sig")
@@ -308,16 +348,16 @@ def r7(s, d):
     return _r(out.drop("r2_mean", "r2_pc1", "rmse_mean"), "r2_score", "correlation", "rmse", "r2_gain", "coverage")
 
 
-@query("j4_align_segments", ", t as (select printf('t%04d', id // 10) as track_id, (id % 10)::int as segment_idx, y from v_targets where target = 'label_value' and y is not null and (id % 10 < 6 or id // 10 % 3 <> 0)), n as (select track_id from t join (select track_id, count(distinct segment_idx) as ns from v_seg group by 1) using (track_id) group by track_id having count(*) = max(ns)) select s.track_id, s.segment_idx, layer, y from v_seg s join t using (track_id, segment_idx) join n using (track_id)")
+@query("j4_align_segments", ", t as (select printf('t%04d', id // 10) as track_id, (id % 10)::int as segment_idx, y from v_targets where target = 'log_chars' and y is not null), n as (select track_id from t join (select track_id, count(distinct segment_idx) as ns from v_seg group by 1) using (track_id) group by track_id having count(*) = max(ns)) select s.track_id, s.segment_idx, layer, round(y, 6) as y from v_seg s join t using (track_id, segment_idx) join n using (track_id)")
 def j4(s, d):
-    t = views.targets(s, d).where("target = 'label_value' and y is not null and (id % 10 < 6 or (id div 10) % 3 <> 0)").select(F.format_string("t%04d", F.expr("id div 10")).alias("track_id"), (F.col("id") % 10).cast("int").alias("segment_idx"), "target", "y")
-    return R.align_segments(views.segments(s, d), t).select("track_id", "segment_idx", "layer", "y")
+    t = views.targets(s, d).where("target = 'log_chars' and y is not null").select(F.format_string("t%04d", F.expr("id div 10")).alias("track_id"), (F.col("id") % 10).cast("int").alias("segment_idx"), "target", "y")
+    return _r(R.align_segments(views.segments(s, d), t).select("track_id", "segment_idx", "layer", "y"), "y")
 
 
-@query("j3_align", "select id, target, y from v_targets")
+@query("j3_align", ", f as (select id, ((row_number() over (order by md5('42:' || id)) - 1) % 5)::int as fold from v_vec) select l.layer as model, t.target, f.fold, l.id, round(y, 6) as y, round(list_sum(l.vec), 6) as total from v_layer l join v_targets t using (id) join f using (id)")
 def j3(s, d):
-    v = views.layer_vectors(s, d).where("layer = 0")
-    return R.align(v, views.targets(s, d), R.kfold(v)).select("id", "target", "y")
+    rows = R.align(views.layer_vectors(s, d), views.targets(s, d), R.kfold(views.vectors(s, d)))
+    return _r(rows.select("model", "target", "fold", "id", "y", F.round(F.aggregate(V.doubles(F.col("vec")), F.lit(0.0), lambda a, x: a + x), 6).alias("total")), "y")
 
 
 _MET = ", p as (select layer, target, vec[1] as p, y from v_layer join v_targets using (id) where y is not null), q as (select layer, target, 1 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)) as r2, corr(y, p) as c, sqrt(avg((y - p) * (y - p))) as e, count(*) as n from (select *, avg(y) over (partition by layer, target) as m from p) group by all)"

@@ -7,6 +7,7 @@ number of frames.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,11 +160,17 @@ def tempo_curve(tempogram: DataFrame, rate: float, hop: float, n: int = CURVE_FR
     return curve_of(bucket_mean(smooth, n, 1.0), n, 1.0)
 
 
+#: Added to energies before the logarithm, and the lowest level; fixed values.
+LEVEL_EPS, LEVEL_FLOOR = 1e-10, -60.0
+
+
 def dynamic_arc(frames: DataFrame, n: int = CURVE_FRAMES) -> DataFrame:
-    """(track_id, curve): smoothed energy, scaled to 0..1, pooled in equal buckets; from (track_id, frame, x)."""
-    seq = frames.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "x"))), lambda e: e["x"]).alias("v"))
+    """(track_id, curve): energy (track_id, frame, x) pooled in equal buckets, in decibels above the floor, smoothed, scaled to 0..1."""
+    level = F.greatest(20 * F.log10(F.col("x") + LEVEL_EPS), F.lit(LEVEL_FLOOR))
+    pooled = bucket_mean_equal(frames, n).withColumn("x", level)
+    seq = pooled.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "x"))), lambda e: e["x"]).alias("v"))
     smooth = seq.select("track_id", F.posexplode(V.gaussian_smooth(F.col("v"))).alias("frame", "x"))
-    return curve_of(normalise(bucket_mean_equal(smooth, n), "minmax"), n)
+    return curve_of(normalise(smooth, "minmax"), n)
 
 
 def centroid_curve(centroids: DataFrame, n: int = CURVE_FRAMES) -> DataFrame:
@@ -244,6 +251,13 @@ def expressivity(notes: DataFrame) -> DataFrame:
     return g.select("track_id", F.when(F.col("n") >= 2, F.col("v")).alias("velocity_std"), F.when(F.col("n") >= 2, F.coalesce("s", F.lit(0.0))).alias("log_ioi_std"))
 
 
+def midi_scalars(notes: DataFrame, controls: DataFrame, tracks: DataFrame, n: int = CURVE_FRAMES, seconds: float = CURVE_SECONDS, sub: int | None = None) -> DataFrame:
+    """(track_id, midi_velocity_std, midi_ioi_std, midi_pedal_ratio): :func:`expressivity` and the mean of the pedal curve; null with fewer than two notes."""
+    pedal = pedal_curve(controls, tracks, n, seconds, sub).groupBy("track_id").agg(F.avg("x").alias("ratio"))
+    found = expressivity(notes).join(pedal, "track_id", "left")
+    return found.select("track_id", F.col("velocity_std").alias("midi_velocity_std"), F.col("log_ioi_std").alias("midi_ioi_std"), F.when(F.col("velocity_std").isNotNull(), F.coalesce("ratio", F.lit(0.0))).alias("midi_pedal_ratio"))
+
+
 def align_notes(notes: DataFrame, durations: DataFrame) -> DataFrame:
     """Notes (track_id, seq, onset, offset, velocity) that start within the duration, with clipped offsets, numbered by onset."""
     kept = notes.join(durations, "track_id").where(F.col("onset") <= F.col("duration")).withColumn("offset", F.least("offset", "duration")).drop("duration")
@@ -276,9 +290,21 @@ def dynamics(frames: DataFrame) -> DataFrame:
 
 
 def smoothed(frames: DataFrame, window: int = 51, order: int = 3) -> DataFrame:
-    """(track_id, frame, x): each track's frames after polynomial smoothing."""
+    """(track_id, frame, x): each track's frames after polynomial smoothing, numbered from 0."""
+
+    def run(batches):
+        for f in batches:
+            yield f.assign(v=[V.savgol_smooth(v, window, order) for v in f.v])
+
+    kind = frames.schema["track_id"].dataType.simpleString()
     seq = frames.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "x"))), lambda e: e["x"].cast("double")).alias("v"))
-    return seq.select("track_id", F.posexplode(V.savgol_smooth(F.col("v"), window, order)).alias("frame", "x"))
+    return seq.mapInPandas(run, f"track_id {kind}, v array<double>").select("track_id", F.posexplode("v").alias("frame", "x"))
+
+
+def dynamics_fields(frames: DataFrame) -> DataFrame:
+    """(track_id, dynamic_range, dynamic_variance, crescendo_strength, diminuendo_strength): runs are those of the smoothed energy."""
+    runs = monotonic_runs(smoothed(frames)).withColumnsRenamed({"rise": "crescendo_strength", "fall": "diminuendo_strength"})
+    return dynamics(frames).join(runs, "track_id")
 
 
 def onset_peaks(frames: DataFrame, distance: int = 1) -> DataFrame:
@@ -363,6 +389,24 @@ def targets_long(tables: dict[tuple[str, str], DataFrame]) -> DataFrame:
     return out
 
 
+def all_targets(jobs: dict[str, Callable[[], dict[tuple[str, str], DataFrame]]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """((track_id, category, field, values), errors by job): every job's targets in one table.
+
+    A job that can't be planned or fails on its first rows is left out with its
+    error, and the others go on.
+    """
+    tables, errors = {}, {}
+    for name, job in jobs.items():
+        try:
+            made = job()
+            for t in made.values():
+                t.limit(1).collect()
+            tables |= made
+        except Exception as e:
+            errors[name] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
+    return (targets_long(tables) if tables else None), errors
+
+
 def missing_targets(targets: DataFrame, required: DataFrame) -> DataFrame:
     """(track_id, category, field) that the required (category, field) table lists and a track lacks."""
     tracks = targets.select("track_id").distinct()

@@ -154,6 +154,35 @@ def encode_batches(segments: DataFrame, make_encoder: Callable[[], Callable[[np.
     return flat.select("track_id", "segment_idx", F.transform(F.sequence(F.lit(0), F.lit(n_layers - 1)), lambda k: F.slice("flat", (k * width + 1).cast("int"), width.cast("int"))).alias("layers"))
 
 
+def encode_safely(segments: DataFrame, make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 32) -> DataFrame:
+    """(track_id, segment_idx, layers, error): as :func:`encode_batches`, with a row's failure in ``error`` instead of an end of the job.
+
+    A batch that fails is encoded row by row, so that the other rows of it are kept.
+    """
+    kind = segments.schema["track_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = None
+        for f in frames:
+            for lo in range(0, len(f), batch_size):
+                part = f.iloc[lo : lo + batch_size]
+                try:
+                    encode = encode or make_encoder()
+                    found = [(x.tolist(), None) for x in encode(np.stack(part.samples.to_list()))]
+                except Exception:
+                    found = []
+                    for samples in part.samples:
+                        try:
+                            encode = encode or make_encoder()
+                            found.append((encode(np.asarray(samples)[None])[0].tolist(), None))
+                        except Exception as e:
+                            found.append((None, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame({"track_id": part.track_id, "segment_idx": part.segment_idx, "layers": [x for x, _ in found], "error": [e for _, e in found]})
+
+    rows = segments.select("track_id", "segment_idx", F.col("samples").cast("array<double>").alias("samples"))
+    return rows.mapInPandas(run, f"track_id {kind}, segment_idx int, layers array<array<double>>, error string")
+
+
 def random_projection(length: int, n_layers: int, dim: int, seed: int = 0) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
     """A deterministic encoder for tests: fixed random projections, one per layer."""
 

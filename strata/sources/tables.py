@@ -7,8 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.operators.clips import CLIP_COLUMNS, require_columns, require_unique
-from strata.operators.pooling import mean_vectors
+from strata.functions import vectors as V
+from strata.operators.clips import CLIP_COLUMNS, hop_seconds, require_columns, require_unique
+from strata.operators.pooling import layer_matrix, mean_vectors
 
 CLIP_SCHEMA = "clip_id string, dataset_id string, recording_id string, track_id string, segment_idx int, start_sec double, end_sec double, split string, embedding_path string, work_id string"
 REQUIRED_METADATA = ("recording_id", "work_id", "track_id")
@@ -77,6 +78,35 @@ def read_layer(spark: SparkSession, path: str, layer: int, n_layers: int, featur
     return mean_vectors(rows, ["track_id"], F.col("vec")).orderBy("track_id")
 
 
+def _features(spark: SparkSession, path: str, feature_type: str) -> DataFrame:
+    rows = spark.read.parquet(path).where(F.col("feature_type") == feature_type)
+    if rows.isEmpty():
+        raise FileNotFoundError(f"no {feature_type} features in {path}")
+    return rows
+
+
+def read_layer_matrix(spark: SparkSession, path: str, n_layers: int, dim: int, feature_type: str = "aggregated") -> DataFrame:
+    """(track_id, layers): all layers of each track, pooled over segments and time; a track with another shape is an error."""
+    stacks = layer_matrix(mean_vectors(_features(spark, path, feature_type), ["track_id", "layer"], F.col("vec")))
+    return stacks.select("track_id", V.require_shape(F.col("layers"), n_layers, dim, F.col("track_id")).alias("layers")).orderBy("track_id")
+
+
+def read_track_vectors(spark: SparkSession, path: str, n_layers: int, dim: int, layer: int | None = None, feature_type: str = "aggregated") -> DataFrame:
+    """(track_id, vec) of one layer, or of all layers end to end."""
+    if layer is not None:
+        return read_layer(spark, path, layer, n_layers, feature_type)
+    return read_layer_matrix(spark, path, n_layers, dim, feature_type).select("track_id", V.flatten_layers(F.col("layers")).alias("vec"))
+
+
+def read_clip_vectors(spark: SparkSession, path: str, layer: int, n_layers: int, duration: float = 5.0, overlap: float = 0.5, feature_type: str = "segments") -> DataFrame:
+    """(track_id, segment_idx, start_sec, end_sec, vec) of one layer, pooled over time, with the bounds that follow from the segment's number."""
+    if not 0 <= layer < n_layers:
+        raise ValueError(f"layer {layer} is not in 0..{n_layers - 1}")
+    start = F.col("segment_idx") * F.lit(hop_seconds(duration, overlap))
+    rows = mean_vectors(_features(spark, path, feature_type).where(F.col("layer") == layer), ["track_id", "segment_idx"], F.col("vec"))
+    return rows.select("track_id", "segment_idx", start.alias("start_sec"), (start + duration).alias("end_sec"), "vec").orderBy("track_id", "segment_idx")
+
+
 def cached_tracks(existing: DataFrame, types: Iterable[str]) -> DataFrame:
     """Tracks of (track_id, feature_type) that have all the types."""
     types = sorted(set(types))

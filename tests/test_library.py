@@ -290,9 +290,9 @@ def test_monotonic_runs(spark):
 
 def test_smoothing_keeps_polynomials(spark):
     x = [0.01 * i**3 - i for i in range(101)]
-    df = spark.createDataFrame([(x,)], "v array<double>")
-    smooth = df.select(V.savgol_smooth(F.col("v"))).first()[0]
-    assert smooth[50] == pytest.approx(x[50], abs=1e-6)
+    rows = [("long", i, v) for i, v in enumerate(x)] + [("short", i, v) for i, v in enumerate(x[:8])] + [("tiny", i, float(i % 2)) for i in range(4)]
+    got = {(r.track_id, r.frame): r.x for r in T.smoothed(spark.createDataFrame(rows, "track_id string, frame int, x double")).collect()}
+    assert all(got[t, i] == pytest.approx(v, abs=1e-6) for t, i, v in rows)
     flat = spark.createDataFrame([([2.0] * 9,)], "v array<double>")
     assert flat.select(V.gaussian_smooth(F.col("v"))).first()[0] == pytest.approx([2.0] * 9)
     assert spark.createDataFrame([([1.0, 9.0, 2.0],)], "v array<double>").select(V.median_of_window(F.col("v"), 3)).first()[0] == [1.0, 2.0, 2.0]
@@ -440,3 +440,87 @@ def test_audio_resolution(spark):
         C.resolve_audio(tracks, paths.union(spark.createDataFrame([("/y/a.mp3",)], "path string"))).collect()
     with pytest.raises(Exception, match="0 audio files"):
         C.resolve_audio(spark.createDataFrame([("z",)], "track_id string"), paths).collect()
+
+
+def test_readers_of_features(spark, tmp_path):
+    path = str(tmp_path / "features")
+    rows = [(t, kind, k, s, [float(k), float(s)]) for t in ("a", "b") for kind in ("aggregated", "segments") for k in range(3) for s in range(2 if kind == "segments" else 1)]
+    tables.write_features(spark.createDataFrame(rows, "track_id string, feature_type string, layer int, segment_idx int, vec array<double>"), path)
+    flat = {r.track_id: r.vec for r in tables.read_track_vectors(spark, path, 3, 2).collect()}
+    assert flat == {"a": [0.0, 0.0, 1.0, 0.0, 2.0, 0.0], "b": [0.0, 0.0, 1.0, 0.0, 2.0, 0.0]}
+    assert tables.read_track_vectors(spark, path, 3, 2, layer=1).first().vec == [1.0, 0.0]
+    assert [r.layers for r in tables.read_layer_matrix(spark, path, 3, 2).collect()] == [[[0.0, 0.0], [1.0, 0.0], [2.0, 0.0]]] * 2
+    clips = tables.read_clip_vectors(spark, path, 2, 3).collect()
+    assert [(r.track_id, r.start_sec, r.end_sec, r.vec) for r in clips[:2]] == [("a", 0.0, 5.0, [2.0, 0.0]), ("a", 2.5, 7.5, [2.0, 1.0])]
+    with pytest.raises(Exception, match="wrong embedding shape"):
+        tables.read_layer_matrix(spark, path, 4, 2).collect()
+    with pytest.raises(ValueError):
+        tables.read_clip_vectors(spark, path, 3, 3)
+    with pytest.raises(FileNotFoundError):
+        tables.read_layer_matrix(spark, path, 3, 2, "raw")
+
+
+def test_an_encoder_error_is_a_column(spark):
+    def make():
+        def encode(x):
+            if (x < 0).any():
+                raise ValueError("negative sample")
+            return np.stack([x, 2 * x], axis=1)
+
+        return encode
+
+    rows = spark.createDataFrame([("a", 0, [1.0, 2.0]), ("a", 1, [-1.0, 2.0]), ("b", 0, [3.0, 4.0])], "track_id string, segment_idx int, samples array<double>").coalesce(1)
+    got = {(r.track_id, r.segment_idx): (r.layers, r.error) for r in files.encode_safely(rows, make).collect()}
+    assert got == {("a", 0): ([[1.0, 2.0], [2.0, 4.0]], None), ("a", 1): (None, "ValueError: negative sample"), ("b", 0): ([[3.0, 4.0], [6.0, 8.0]], None)}
+
+
+def test_descriptors_and_aspects(spark):
+    from strata.functions import descriptors as D
+
+    assert D.target_specs(spark).count() == 22 and len(D.SEGMENT_TARGETS) == 11 and set(D.SEGMENT_TARGETS) <= {t[0] for t in D.SCALAR_TARGETS}
+    aspects = D.aspect_registry(spark)
+    assert aspects.select("aspect").distinct().count() == 16
+    known = {t[0] for t in D.SCALAR_TARGETS} | {t[0] for t in D.REGISTERED_TARGETS}
+    assert {r.target for r in aspects.collect()} <= known
+    results = spark.createDataFrame([("best_layer", 2, "spectral_centroid", 0.9, 10, None, None, 1.0)], "mode string, layer int, target string, r2_score double, n_valid long, layer_weights array<double>, r2_gain double, coverage double")
+    found = R.resolve_aspects(results, aspects)
+    assert {r.aspect: r.layer for r in found.collect()} == {"brightness": 2, "warmth": 2}
+    stacks = spark.createDataFrame([(i, [[0.0, 1.0], [0.0, 1.0], [1.0, float(i)]]) for i in range(4)], "id long, layers array<array<double>>")
+    assert S.search_by_aspect(stacks, 0, "brightness", found, 3, k=1).first().id == 1
+
+
+def test_target_jobs_fail_alone(spark):
+    good = lambda: {("a", "x"): spark.createDataFrame([(1, 2.0)], "track_id long, v double")}
+    bad = lambda: {("b", "y"): spark.createDataFrame([(1, "z")], "track_id long, v string").select("track_id", F.raise_error(F.lit("broken")).cast("double").alias("v"))}
+    long, errors = T.all_targets({"good": good, "bad": bad})
+    assert [tuple(r) for r in long.collect()] == [(1, "a", "x", [2.0])] and list(errors) == ["bad"]
+    assert T.all_targets({"bad": bad})[0] is None
+
+
+def test_dynamics_curves_and_midi_gate(spark):
+    x = [0.1 + 0.01 * i for i in range(60)] + [0.7 - 0.01 * i for i in range(60)]
+    frames = spark.createDataFrame([("t", i, v) for i, v in enumerate(x)] + [("flat", i, 0.5) for i in range(120)], "track_id string, frame int, x double")
+    arc = {r.track_id: r.curve for r in T.dynamic_arc(frames).collect()}
+    assert len(arc["t"]) == 60 and min(arc["t"]) == 0 and max(arc["t"]) == 1 and 25 < int(np.argmax(arc["t"])) < 35 and arc["flat"] == [0.0] * 60
+    fields = {r.track_id: r for r in T.dynamics_fields(frames).collect()}
+    assert fields["t"].crescendo_strength > 10 and fields["t"].dynamic_range == pytest.approx(0.6, abs=0.02) and fields["flat"].dynamic_variance == pytest.approx(0)
+    long = spark.createDataFrame([("t", "curves", "arc", [1.0] * 3), ("u", "curves", "arc", [1.0] * 2), ("v", "curves", "arc", [float("nan")] * 3)], "track_id string, category string, field string, values array<double>")
+    assert {r.track_id: r.curve for r in tables.read_curves(long, "curves", 3).collect()} == {"t": [1.0] * 3, "u": None, "v": None}
+    ys = spark.createDataFrame([("t", "m", 1.0), ("u", "m", 1.0), ("u", "n", 2.0)], "track_id string, target string, y double")
+    flags = spark.createDataFrame([("u", False)], "track_id string, midi_available boolean")
+    assert sorted((r.track_id, r.target, r.y) for r in tables.gate_midi(ys, flags, ["m"]).collect()) == [("t", "m", 1.0), ("u", "m", None), ("u", "n", 2.0)]
+
+
+def test_blobs_extra_tables_and_run_all(spark):
+    meta = spark.createDataFrame([("t", " Bach ", None), ("u", "", " ")], "track_id string, composer string, work string")
+    tracks = spark.createDataFrame([("t",), ("u",), ("x",)], "track_id string")
+    assert {r.track_id: r.blob for r in C.blob_of(tracks, meta).collect()} == {"t": "Bach", "u": "", "x": None}
+    clips = spark.createDataFrame([("c1",), ("c2",)], "clip_id string")
+    feats = spark.createDataFrame([("c1", [1.0])], "clip_id string, vec array<double>")
+    notes = spark.createDataFrame([("c2", "loud")], "clip_id string, note string")
+    ys = spark.createDataFrame([("c1", {"q": 1.0})], "clip_id string, targets map<string,double>")
+    got = {r.clip_id: (r.note, r.target_values, r.target_mask, r.has_targets) for r in C.training_view(clips, feats, ys, ["q", "z"], [notes]).collect()}
+    assert got["c1"] == (None, [1.0, None], [True, False], True) and got["c2"][0] == "loud" and not got["c2"][3]
+    registry.register("phrases_of", T.phrases)
+    made = registry.run_all({"phrases_of": spark.createDataFrame([("t", 0.0), ("t", 1.0)], "track_id string, t double"), "unknown": meta})
+    assert set(made) == {"phrases_of"} and made["phrases_of"].first().n == 1
