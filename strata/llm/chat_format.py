@@ -60,10 +60,11 @@ def fold_events(events: DataFrame) -> DataFrame:
     of the message or empty, unknown kinds change nothing, and events of one
     message with the same seq apply in the order of kind, role and text.  A
     message with no ``create``, ``regenerate``, ``edit`` or ``delta`` gives no row.
-    Rows with a null conversation are a conversation of their own.
+    Rows with a null conversation, or one that is no integer, are a conversation
+    of their own.
     """
     log = events.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("message").cast("long").alias("message"), F.col("seq").cast("long").alias("seq"),
+        F.col("conv_id").try_cast("long").alias("conv_id"), F.col("message").try_cast("long").alias("message"), F.col("seq").try_cast("long").alias("seq"),
         F.col("kind").cast("string").alias("kind"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     ordered = log.repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text")
@@ -148,19 +149,45 @@ def conversation_digests(rendered: DataFrame) -> DataFrame:
     return rendered.repartition("conv_id").sortWithinPartitions("conv_id", "message").mapInArrow(_read_back, _DIGEST)
 
 
+def conversation_documents(rendered: DataFrame) -> DataFrame:
+    """(conv_id, formatted, mask): each conversation as one text, with the ranges [start, end) of code points that count for the loss.
+
+    One conversation is one row here; for one that is too long for a row keep
+    the rendered messages, which hold the same.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("message", "formatted", "loss_start", "loss_end")))
+    own = rendered.groupBy("conv_id").agg(parts.alias("m"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
+    step = lambda acc, x: F.struct(
+        (acc["at"] + F.char_length(x["formatted"])).alias("at"),
+        F.when(x["loss_start"].isNull(), acc["mask"]).otherwise(F.concat(acc["mask"], F.array(F.struct((acc["at"] + x["loss_start"]).alias("start"), (acc["at"] + x["loss_end"]).alias("end"))))).alias("mask"),
+    )
+    return own.select("conv_id", F.array_join(F.col("m.formatted"), "").alias("formatted"), F.aggregate("m", start, step, lambda acc: acc["mask"]).alias("mask"))
+
+
 def conversation_events(turns: DataFrame) -> DataFrame:
-    """An event log of finished turns (conv_id, turn, role, text): each is created and streamed.
+    """An event log of finished turns (conv_id, turn, role, text), as a chat service would have written it.
 
-    Turns of one number are messages of their own, in the order of role and
-    text; null numbers come first.
+    By a checksum of conversation and place a turn is streamed in two parts,
+    drafted and generated anew, or begun and then edited; and each conversation
+    begins with a message that is deleted again.  Turns of one number are
+    messages of their own, in the order of role and text; null numbers come first.
     """
     place = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    numbered = turns.select("conv_id", "role", "text", F.row_number().over(place).cast("long").alias("message"))
-    events = F.array(
-        F.struct(F.lit(0).alias("seq"), F.lit("create").alias("kind"), F.lit("").alias("text")),
-        F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("kind"), F.coalesce("text", F.lit("")).alias("text")),
-    )
-    return numbered.select("conv_id", "message", "role", F.explode(events).alias("e")).select("conv_id", "message", "e.seq", "e.kind", "role", "e.text")
+    numbered = turns.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(place).cast("long").alias("message"))
+    half = (F.char_length("text") / 2).cast("int")
+    first, rest = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.char_length("text"))
+
+    def event(seq: int, kind: str, text: Column, before: int = 0) -> Column:
+        return F.struct((F.col("message") - before).alias("message"), F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    streamed = F.array(event(0, "create", first), event(1, "delta", rest))
+    again = F.array(event(0, "create", F.lit("draft ")), event(1, "delta", first), event(2, "regenerate", F.lit("")), event(3, "delta", F.col("text")))
+    edited = F.array(event(0, "create", first), event(1, "edit", F.col("text")))
+    gone = F.array(event(0, "create", F.lit("gone"), 1), event(1, "delete", F.lit(""), 1))
+    way = F.pmod(F.xxhash64("conv_id", "message"), F.lit(3))
+    events = F.concat(F.when(way == 0, streamed).when(way == 1, again).otherwise(edited), F.when(F.col("message") == 1, gone).otherwise(F.array().cast("array<struct<message:bigint,seq:int,kind:string,text:string>>")))
+    return numbered.select("conv_id", "role", F.explode(events).alias("e")).select("conv_id", "e.message", "e.seq", "e.kind", "role", "e.text")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

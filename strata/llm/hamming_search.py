@@ -70,7 +70,7 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = K, bits: int = B
         raise ValueError("k must be positive")
     spark = codes.sparkSession
     least = Window.partitionBy("code").orderBy("id")
-    ranked = codes.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).where("id is not null and code is not null").distinct()
+    ranked = codes.select(F.col("id").try_cast("long").alias("id"), F.col("code").try_cast("long").alias("code")).where("id is not null and code is not null").distinct()
     # One id more than k, as a query's own id is no answer.
     index = stored(ranked.withColumn("place", F.row_number().over(least)).where(F.col("place") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     n = index.count()

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.shared import table
+from strata.llm.shared import packed, plain, stored, table
 
 MAX_N = 3
 PROFILE = 400
-MAX_LANGUAGES = 1000
+LANGUAGES = 1000
 UNKNOWN = "und"
 
 _GRAM = "lang string, gram string, n long"
@@ -138,24 +138,24 @@ def language_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str
     Rows with a null text or language teach nothing.  Ties go to the shorter,
     then to the smaller n-gram.
     """
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    rows = labelled.select(plain(lang_col).cast("string").alias("lang"), plain(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(_count, _GRAM).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.char_length("gram"), "gram")
     return counts.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("rank") < size).select("lang", "gram", "rank")
 
 
 def _predict(shared, size: int):
+    """Rows with the better of what they have and the best of some languages; of equal ones what they have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, place, ranks = shared.value
         absent = len(ranks) - 1
         most = float(size)
         for b in _parts(batches):
-            best, score = [], []
-            for text in b.column("text").to_pylist():
+            best, score = b.column("lang_pred").to_pylist(), b.column("score").to_pylist()
+            for i, text in enumerate(b.column("text").to_pylist()):
                 p = code_points(text) if text else ()
-                if not len(p) or not langs:
-                    best.append(UNKNOWN)
-                    score.append(0.0)
+                if not len(p):
                     continue
                 grams = top_grams(p, size)
                 at = np.fromiter((place.get(g, absent) for g in grams), dtype=np.int64, count=len(grams))
@@ -163,44 +163,47 @@ def _predict(shared, size: int):
                 known = ranks[at]
                 distance = np.where(known < 0, size, np.abs(known - own)).sum(axis=0)
                 k = int(distance.argmin())
-                best.append(langs[k])
-                score.append(max(0.0, 1.0 - float(distance[k]) / (most * len(grams))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column("text"), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["row", "text", "lang_pred", "score"])
+                found = max(0.0, 1.0 - float(distance[k]) / (most * len(grams)))
+                if best[i] == UNKNOWN or found > score[i]:
+                    best[i], score[i] = langs[k], found
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["row", "text", "lang_pred", "score"])
 
     return run
 
 
-def _model(profiles: DataFrame):
-    """Profiles on the driver: at most MAX_LANGUAGES times the profile size rows, which is checked."""
-    langs = sorted(r.lang for r in profiles.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rows = profiles.collect()
+def _model(profiles: DataFrame, langs: list[str]):
+    """The profiles of at most LANGUAGES languages: LANGUAGES times the profile size rows."""
+    rows = profiles.where(F.col("lang").isin(langs)).collect()
     column = {x: k for k, x in enumerate(langs)}
     place: dict[str, int] = {}
     for r in rows:
         place.setdefault(r.gram, len(place))
-    ranks = np.full((len(place) + 1, max(1, len(langs))), -1, dtype=np.int64)
+    ranks = np.full((len(place) + 1, len(langs)), -1, dtype=np.int64)
     for r in rows:
         ranks[place[r.gram], column[r.lang]] = r.rank
     return langs, place, ranks
 
 
-def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = PROFILE) -> DataFrame:
+def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = PROFILE, languages: int = LANGUAGES) -> DataFrame:
     """``docs`` with lang_pred and score added (columns of these names are replaced).
 
     The score is one minus the distance over the largest one; texts that are
-    null or have no letter get ``und`` and 0.  Equal distances go to the
-    language that sorts first.
+    null or have no letter get ``und`` and 0, as do all if there is no profile.
+    Equal distances go to the language that sorts first.  Profiles are broadcast
+    for ``languages`` languages at a time; with more of them every text is
+    compared in several passes, with the same result.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_model(profiles.persist()))
-    profiles.unpersist()
-    others = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
-    packed = docs.select(F.struct(*[F.col(c) for c in others], F.lit(0).alias("__")).alias("row"), F.col(text_col).cast("string").alias("text"))
-    out = packed.mapInArrow(_predict(shared, size), f"row {packed.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double")
-    kept = [F.col("text").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns if c in (*others, text_col)]
-    return out.select(*kept, "lang_pred", "score")
+    known = stored(profiles, "profiles")
+    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(packed(docs, text_col, "lang_pred", "score").alias("row"), plain(text_col).cast("string").alias("text"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    like = f"row {rows.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double"
+    for lo in range(0, len(langs), languages):
+        shared = spark.sparkContext.broadcast(_model(known, langs[lo : lo + languages]))
+        rows = rows.mapInArrow(_predict(shared, size), like)
+    place = {c: i for i, c in enumerate(docs.columns)}
+    return rows.select(*[(F.col("text") if c == text_col else F.col(f"row.c{place[c]}")).alias(c) for c in kept], "lang_pred", "score")
 
 
 def held_out(id_column):

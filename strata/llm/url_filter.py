@@ -8,8 +8,8 @@ of its fetch day, finds the interval that is active for each; ``allow`` beats
 ``block`` on the same capture.  Hosts and URLs are normalised first.
 
 The as-of join is an equality join on the key with a range condition on the
-day, so a key that a third of all captures share is split like any skewed join
-key; a list below Spark's broadcast threshold is broadcast by its size.
+day.  The intervals are a table of their own, so Spark broadcasts them if they
+are below its threshold, and splits a key that many captures share if not.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.shared import table
+from strata.llm.shared import plain, stored, table
 
 ACTIONS = ("block", "allow", "remove")
 
@@ -55,12 +55,12 @@ def capture_keys(host: Column, url: Column) -> Column:
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """(scope, key, action, valid_from, valid_to) of dated entries; valid_to is null while open.
 
-    Entries with a null scope, key, action or day count for nothing, as do
-    entries with an unknown action.  Keys are normalised as captures are.  Of entries of one key and day ``allow``
+    Entries with a null scope, key, action or day, or a day that is no integer,
+    count for nothing, as do entries with an unknown action.  Keys are normalised as captures are.  Of entries of one key and day ``allow``
     wins over ``block`` and ``block`` over ``remove``; repeated rows are one.
     Each key's entries are the list's history of that key.
     """
-    known = entries.select(F.lower("scope").alias("scope"), list_key(F.lower("scope"), F.col("key").cast("string")).alias("key"), F.lower("action").alias("action"), F.col("day").cast("int").alias("day"))
+    known = entries.select(F.lower("scope").alias("scope"), list_key(F.lower("scope"), F.col("key").cast("string")).alias("key"), F.lower("action").alias("action"), F.col("day").try_cast("int").alias("day"))
     known = known.where(F.col("action").isin(*ACTIONS) & F.col("scope").isNotNull() & F.col("key").isNotNull() & F.col("day").isNotNull())
     strength = F.when(F.col("action") == "allow", 2).when(F.col("action") == "block", 1).otherwise(0)
     daily = known.groupBy("scope", "key", "day").agg(F.max_by("action", strength).alias("action"))
@@ -75,8 +75,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str, url_col: s
     A capture with a null or odd URL, or a null day, meets no entry and is not
     blocked.  Captures that share an id, URL and day give one row.
     """
-    spans = validity_intervals(entries)
-    seen = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(day_col).cast("int").alias("day")).withColumn("host", host_of(F.col("url")))
+    spans = stored(validity_intervals(entries), "intervals")
+    seen = captures.select(plain(id_col).alias("id"), plain(url_col).cast("string").alias("url"), plain(day_col).try_cast("int").alias("day")).withColumn("host", host_of(F.col("url")))
     keys = seen.select("id", "day", "url", F.explode(capture_keys(F.col("host"), canonical_url(F.col("url")))).alias("k")).select("id", "day", "url", "k.scope", "k.key")
     active = keys.join(spans, ["scope", "key"]).where((F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))
     hits = active.select("id", "day", "url", F.lit(None).cast("string").alias("host"), F.lit(1).alias("n"), F.col("action"))
