@@ -13,7 +13,7 @@ from strata.llm.decontamination import decontaminate
 from strata.llm.language_id import UNKNOWN, held_out, identify, language_profiles
 from strata.llm.near_dedup import drop_near_duplicates
 from strata.llm.piece_coding import PieceModel, code_pieces
-from strata.llm.shared import stored, table
+from strata.llm.shared import discard, stored, table
 from strata.llm.substring_dedup import remove_repeats
 
 
@@ -68,12 +68,15 @@ STAGES = [
     ("piece_coding", encoding_stage),
 ]
 
-#: No SQL has the near-duplicate components or the piece search; tests hold language ID and single operators against brute force.
+#: No SQL has the near-duplicate components or the piece search; tests hold the stages and run() against a brute-force pipeline.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)  # the next stage's documents are written
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
