@@ -217,4 +217,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_language_id": op10_language_id}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op10_language_id": r"""
+with d as (select doc_id, lang, trim(regexp_replace(lower(coalesce(text, '')), '\P{L}+', ' ', 'g')) as t, doc_id::varchar as s from documents),
+h as (select doc_id, lang, t, xor(4294967295, list_reduce(range(8 * len(s)), lambda c, k: xor(case when k % 8 = 0 then xor(c, ascii(s[k // 8 + 1])::bigint) else c end >> 1, case when (case when k % 8 = 0 then xor(c, ascii(s[k // 8 + 1])::bigint) else c end) % 2 = 1 then 3988292384::bigint else 0::bigint end), 4294967295::bigint)) % 5 = 0 as held_out from d),
+x as (select doc_id, regexp_extract_all(' ' || t || ' ', '.') as c from d where t <> ''),
+g as (select doc_id, unnest(list_concat(list_filter(c, lambda y: y <> ' '), list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]), list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))) as gram from x),
+own as (select doc_id, gram, count(*) as n from g group by all),
+total as (select lang, gram, sum(n) as n from own join h using (doc_id) where not held_out and lang is not null group by all),
+profile as (select lang, gram, row_number() over (partition by lang order by n desc, len(gram), gram) - 1 as rank from total qualify rank < 400),
+top as (select doc_id, gram, row_number() over (partition by doc_id order by n desc, len(gram), gram) - 1 as place from own qualify place < 400),
+size as (select doc_id, count(*) as n from top group by 1),
+near as (select doc_id, lang, sum(400 - abs(rank - place)) as gain from top join profile using (gram) group by all),
+far as (select size.doc_id, l.lang, 400 * n - coalesce(gain, 0) as distance, n from size cross join (select distinct lang from profile) l left join near on near.doc_id = size.doc_id and near.lang = l.lang),
+best as (select doc_id, lang, greatest(0, 1 - distance::double / (400::double * n)) as score from far qualify row_number() over (partition by doc_id order by distance, lang) = 1)
+select h.doc_id, held_out, coalesce(best.lang, 'und') as lang_pred, coalesce(score, 0)::double as score from h left join best on best.doc_id = h.doc_id
+"""
+}

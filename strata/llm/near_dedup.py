@@ -436,4 +436,16 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_near_dedup": op3_near_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_near_dedup": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) < 3 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) as set from w where len(ws) > 0),
+e as (select doc_id, len(set) as n, unnest(set) as shingle from s),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k, any_value(a.n + b.n) as total from e a join e b on a.shingle = b.shingle and a.doc_id < b.doc_id and 100 * b.n >= 85 * a.n and 100 * a.n >= 85 * b.n group by all),
+link as (select a, b from shared where 100 * k >= 85 * (total - k)),
+sides as (select a, b from link union all select b, a from link),
+reach as (select doc_id as node, doc_id as root from documents union select sides.b, root from reach join sides on sides.a = node where root < sides.b),
+c as (select node, min(root) as root from reach group by node)
+select d.doc_id, coalesce(len(set), 0) as n_shingles, root as component_id, root = d.doc_id as kept from documents d left join s on s.doc_id = d.doc_id join c on c.node = d.doc_id
+"""
+}

@@ -397,4 +397,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_substring_dedup": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, unnest(range(1, len(ws) - 48)) as i, unnest(list_transform(range(1, len(ws) - 48), lambda k: sha256(array_to_string(ws[k:k + 49], ' ')))) as h from w where len(ws) >= 50),
+hit as (select doc_id, i from win join (select h, min(doc_id) as first from win group by h) using (h) where first < doc_id),
+word as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as j from w),
+near as (select word.doc_id, j, word, coalesce(max(i) over (partition by word.doc_id order by j) > j - 50, false) as gone from word left join hit on hit.doc_id = word.doc_id and hit.i = word.j)
+select w.doc_id, count(j) as n_words, count(j) filter (where gone) as n_removed, sha256(coalesce(string_agg(word, ' ' order by j) filter (where not gone), '')) as kept_sha256
+from w left join near on near.doc_id = w.doc_id group by w.doc_id
+"""
+}
