@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.operators import search_queries, target_queries
+from strata.operators import search_queries, source_queries, target_queries
 
-_MODULES = (search_queries, target_queries)
+_MODULES = (search_queries, target_queries, source_queries)
 FLAGSHIP = search_queries.flagship
 
 

@@ -49,7 +49,7 @@ def t2(s, d):
     return _r(T.frame_energy(T.sliding_segments(_signals(s, d), 20, 10)), "rms", "zcr")
 
 
-@query("t3_spectral_moments")
+@query("t3_spectral_moments", _SEGS + ", k as (select unnest(range(11)) as k), b as (select track_id, segment_idx::int as frame, k, sum(x * cos(2 * pi() * k * (frame - start) / 20)) as re, sum(x * sin(2 * pi() * k * (frame - start) / 20)) as im from g join v_sig using (track_id), k where frame >= start and frame < start + 20 group by track_id, segment_idx, k), m as (select track_id, frame, k * 3.2::double as freq, sqrt(re * re + im * im) as mag from b), w as (select *, sum(mag) over (partition by track_id, frame) as total, sum(mag) over (partition by track_id, frame order by freq rows unbounded preceding) as cum, sum(freq * mag) over (partition by track_id, frame) as f from m) select track_id, frame, round(max(f / total), 6) as centroid, round(sqrt(sum(mag * (freq - f / total) * (freq - f / total)) / max(total)), 6) as bandwidth, round(min(freq) filter (where cum >= 0.85::double * total), 6) as rolloff from w group by track_id, frame")
 def t3(s, d):
     return _r(T.spectral_moments(files.spectra(T.sliding_segments(_signals(s, d), 20, 10), 64.0)), "centroid", "bandwidth", "rolloff")
 
@@ -86,7 +86,7 @@ def t7_gauss(s, d):
     return _points(_signals(s, d).select("track_id", V.gaussian_smooth(F.col("samples")).alias("curve")))
 
 
-@query("t7_polynomial_smooth")
+@query("t7_polynomial_smooth", ", p as (select unnest(range(-25, 26))::double as u), n as (select count(*) as n0, sum(u * u) as s2, sum(u * u * u * u) as s4 from p), b as (select u, u * u - s2 / n0 as p2, u * u * u - s4 / s2 * u as p3 from p, n), q as (select count(*) as q0, sum(u * u) as q1, sum(p2 * p2) as q2, sum(p3 * p3) as q3 from b), g as (select track_id, frame, least(greatest(frame - 25, 0), 13) as st from v_sig), c as (select g.track_id, g.frame, st, sum(x) as c0, sum(x * u) as c1, sum(x * p2) as c2, sum(x * p3) as c3 from g join v_sig v on v.track_id = g.track_id and v.frame >= st and v.frame < st + 51 join b on b.u = v.frame - st - 25 group by all) select track_id, frame, round(c0 / q0 + c1 * u / q1 + c2 * p2 / q2 + c3 * p3 / q3, 6) as x from c join b on b.u = frame - st - 25, q")
 def t7_savgol(s, d):
     return _r(T.smoothed(views.signals(s, d)), "x")
 
@@ -106,7 +106,10 @@ def t9(s, d):
     return _r(T.novelty(views.chroma(s, d)), "x")
 
 
-@query("t9_novelty_curve")
+_NOVELTY = "v{n} as (select track_id, frame, list(energy order by pc) as v from {src} group by all), t{n} as (select track_id, frame, max(frame) over (partition by track_id) as z from v{n}), r{n} as (select t{n}.track_id, t{n}.frame, sum(w * list_cosine_similarity(a.v, b.v)) as x from t{n}, w join v{n} a on a.track_id = t{n}.track_id and a.frame = t{n}.frame + x join v{n} b on b.track_id = t{n}.track_id and b.frame = t{n}.frame + y where t{n}.frame >= 8 and t{n}.frame <= z - 7 group by all), f{n} as (select t{n}.track_id, t{n}.frame, greatest(coalesce(x, 0), 0) as x from t{n} left join r{n} using (track_id, frame)), p{n} as (select track_id, frame, case when max(x) over (partition by track_id) > 0 then x / max(x) over (partition by track_id) else 0 end as x, count(*) over (partition by track_id) as frames from f{n})"
+
+
+@query("t9_novelty_curve", ", o as (select unnest([-8, -7, -6, -5, -4, -3, -2, -1, 1, 2, 3, 4, 5, 6, 7, 8]) as o, unnest(range(16)) - 8 as p), w as (select a.p as x, b.p as y, exp(-0.5::double * (a.o / 4::double) * (a.o / 4::double)) * exp(-0.5::double * (b.o / 4::double) * (b.o / 4::double)) * sign(a.o) * sign(b.o) as w from o a, o b), v_other as (select vec_id // 50 as track_id, (vec_id % 50)::int as frame, i::int as pc, abs(embedding[i + 21]::double) as energy from embeddings, (select unnest(range(12)) as i)), " + _NOVELTY.format(n=1, src="v_chroma") + ", " + _NOVELTY.format(n=2, src="v_other") + " select p1.track_id, (p1.frame // (p1.frames // 10))::int as frame, round(avg((p1.x + p2.x) / 2), 6) as x from p1 join p2 on p1.track_id = p2.track_id and p1.frame = p2.frame where p1.frame < p1.frames // 10 * 10 group by 1, 2")
 def t9_curve(s, d):
     return _r(T.novelty_curve(views.chroma(s, d), views.chroma(s, d, 20), 10), "x")
 
@@ -191,11 +194,14 @@ def t18(s, d):
     return _r(T.onset_density(views.signals(s, d).withColumn("x", F.abs("x")), 0.1), "density")
 
 
-@query("t18_spaced_peaks")
+@query("t18_spaced_peaks", ", a as (select track_id, frame, abs(x) as x from v_sig), b as (select *, lag(x) over w as p, lead(x) over w as q, avg(x) over (partition by track_id) as m from a window w as (partition by track_id order by frame)), t as (select track_id, frame, x, row_number() over (partition by track_id order by x desc, frame) as n from b where x > p and x > q and x >= 0.5::double * m), walk as (select *, true as ok, [frame] as kept from t where n = 1 union all select t.*, len(list_filter(kept, lambda y: abs(y - t.frame) < 4)) = 0 as ok, case when len(list_filter(kept, lambda y: abs(y - t.frame) < 4)) = 0 then list_append(kept, t.frame) else kept end from walk join t on t.track_id = walk.track_id and t.n = walk.n + 1) select track_id, frame, round(x, 6) as x from walk where ok")
 def t18_spaced(s, d):
     return _r(T.onset_peaks(views.signals(s, d).withColumn("x", F.abs("x")), 4), "x")
 
 
+ORACLES["t18_spaced_peaks"] = ORACLES["t18_spaced_peaks"].replace("with ", "with recursive ", 1)
+
+
 @query("t19_autocorrelation", "select a.track_id, (b.frame - a.frame)::int as lag, round(sum(a.x * b.x), 6) as r from v_sig a join v_sig b on a.track_id = b.track_id and b.frame >= a.frame group by 1, 2")
 def t19(s, d):
     return _r(T.autocorrelation(views.signals(s, d)), "r")

@@ -1,9 +1,10 @@
-"""Making the package importable on executors."""
+"""What a session needs: the package on executors and a folder that all of them share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -31,3 +32,18 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below the folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a folder of its own; on a
+    cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/data/{label}-{uuid.uuid4().hex}"

@@ -181,7 +181,7 @@ def read_probe_results(spark: SparkSession, path: str) -> DataFrame:
     if not path.endswith(".json"):
         return spark.read.parquet(path)
     metric = "struct<r2_score:double,r2_mean:double,correlation:double,rmse:double,n_valid:bigint,coverage:double,layer_weights:array<double>,gain:double>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     by_layer = text.select(F.explode(F.from_json("value", f"map<string,map<string,{metric}>>")).alias("key", "targets"))
     rows = by_layer.select("key", F.explode("targets").alias("target", "m")).where("key = 'weighted_sum' or key rlike '^[0-9]+$'")
     mixed = F.col("key") == "weighted_sum"

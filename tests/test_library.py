@@ -524,3 +524,12 @@ def test_blobs_extra_tables_and_run_all(spark):
     registry.register("phrases_of", T.phrases)
     made = registry.run_all({"phrases_of": spark.createDataFrame([("t", 0.0), ("t", 1.0)], "track_id string, t double"), "unknown": meta})
     assert set(made) == {"phrases_of"} and made["phrases_of"].first().n == 1
+
+
+def test_results_of_indented_json(spark, tmp_path):
+    import json
+
+    path = tmp_path / "indented.json"
+    path.write_text(json.dumps({"3": {"tempo": {"r2_score": 0.5}}, "weighted_sum": {"tempo": {"r2_score": 0.6, "layer_weights": [0.5, 0.5]}}}, indent=2))
+    rows = {(r.mode, r.layer, r.target, r.r2_score) for r in tables.read_probe_results(spark, str(path)).collect()}
+    assert rows == {("best_layer", 3, "tempo", 0.5), ("weighted_sum", None, "tempo", 0.6)}
