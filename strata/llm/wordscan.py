@@ -106,14 +106,14 @@ def _string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row edges in them) of consecutive slices of a string column."""
     if len(column) == 0:
         return
     data, offsets = _string_buffers(column)
     row, n = 0, len(offsets) - 1
     while row < n:
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
         stop = min(stop, n)
         lo, hi = int(offsets[row]), int(offsets[stop])
         yield row, data[lo:hi], offsets[row : stop + 1] - lo
