@@ -68,14 +68,6 @@ def _crc32(low: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarr
     return out
 
 
-def _strings(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
-    """The spans as an Arrow array, without a Python string for each."""
-    offsets = np.zeros(len(size) + 1, dtype=np.int32)
-    np.cumsum(size, out=offsets[1:])
-    at = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
-    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.tobytes()), pa.py_buffer(low[at].tobytes()))
-
-
 def _count(mistype: int, min_length: int):
     """Counts of words, slice by slice.  With ``mistype`` a word whose checksum with its document's id that number divides loses a letter."""
     fold = np.arange(256, dtype=np.uint8)
@@ -113,7 +105,7 @@ def _count(mistype: int, min_length: int):
             key, check = (ws.span_hashes(low, start, end, ws.keyed(256, seed)) for seed in (7, 19))
             _, first, place, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             if (check[first][place] == check).all():
-                yield pa.RecordBatch.from_arrays([_strings(low, start[first], (end - start)[first]), pa.array(n)], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([ws.span_strings(low, start[first], (end - start)[first]), pa.array(n)], names=["word", "n"])
             else:  # two words with one hash
                 for s, e in zip(start.tolist(), end.tolist()):
                     mistyped[low[s:e].tobytes().decode()] += 1

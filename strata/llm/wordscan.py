@@ -128,6 +128,14 @@ def span_hashes(part: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.
     return mix64((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(0xA0761D6478BD642F))
 
 
+def span_strings(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The spans as an Arrow array, without a Python string for each."""
+    offsets = np.zeros(len(size) + 1, dtype=np.int32)
+    np.cumsum(size, out=offsets[1:])
+    at = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.tobytes()), pa.py_buffer(low[at].tobytes()))
+
+
 def byte_values(lower: bool, seed: int = 7) -> np.ndarray:
     value = keyed(256, seed)
     if lower:
