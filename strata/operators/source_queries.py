@@ -24,7 +24,7 @@ from strata.operators import target_queries as TQ
 from strata.operators import targets as T
 from strata.plans import views
 from strata.plans.session import scratch
-from strata.sources import artifacts, files, tables
+from strata.sources import artifacts, feature_store, files, tables
 from strata.streaming.incremental import ingest_new_files
 
 QUERIES, ORACLES = {}, {}
@@ -47,8 +47,8 @@ def _features(s, d) -> str:
     """A feature folder with all segments and the means of all tracks."""
     path = scratch(s, "features")
     rows = views.segments(s, d).withColumn("vec", F.col("vec").cast("array<double>"))
-    tables.write_features(rows.withColumn("feature_type", F.lit("segments")), path)
-    tables.write_features(P.track_means(rows).withColumns({"segment_idx": F.lit(0), "feature_type": F.lit("aggregated")}), path)
+    feature_store.write_features(rows.withColumn("feature_type", F.lit("segments")), path)
+    feature_store.write_features(P.track_means(rows).withColumns({"segment_idx": F.lit(0), "feature_type": F.lit("aggregated")}), path)
     return path
 
 
@@ -200,13 +200,20 @@ def s15(s, d):
     return out.select(files.stem(F.col("path")).alias("track_id"), "valid", "readable", "sample_rate", F.round("duration", 6).alias("duration"), F.concat_ws(", ", "errors").alias("errors"))
 
 
-@query("s16_write_features", "select 'segments' as feature_type, layer, count(*) as n from v_seg group by 2 union all select 'aggregated', layer, count(distinct track_id) from v_seg where layer > 0 or segment_idx = 9 group by 2")
+@query("s16_write_features", """, m as (select track_id, layer, i, avg(vec[i + 1]) as x from v_seg, (select unnest(range(16)) as i) group by all),
+w as (select track_id, layer, i, case when layer < 2 and substr(track_id, 5) in ('0', '2', '4', '6', '8') then max(vec[i + 1]) else avg(vec[i + 1]) end as x from v_seg, (select unnest(range(16)) as i) group by track_id, layer, i)
+select 'segments' as feature_type, track_id, layer, count(*) as n, round(sum(list_sum(vec)), 6) as total from v_seg group by all union all select 'aggregated', track_id, layer, 1, round(sum(x), 6) from w group by all union all select 'best', track_id, 0, 1, round(sum(x), 6) from m where layer = 0 group by all""")
 def s16(s, d):
-    """The means of layer 0 are written again for full tracks only; what else was there stays."""
+    """Of the means of all tracks, those of layers 0 and 1 are written again for half of the tracks, as maxima; a new type comes last, and the batches become one."""
     path = _features(s, d)
-    full = views.segments(s, d).where("segment_idx = 9 and layer = 0").withColumns({"segment_idx": F.lit(0), "vec": F.col("vec").cast("array<double>"), "feature_type": F.lit("aggregated")})
-    tables.write_features(full, path)
-    return s.read.parquet(path).groupBy("feature_type", "layer").agg(F.count("*").alias("n"))
+    half = views.segments(s, d).where("layer < 2 and substr(track_id, 5) in ('0', '2', '4', '6', '8')")
+    tops = half.select("track_id", "layer", F.posexplode("vec").alias("i", "x")).groupBy("track_id", "layer", "i").agg(F.max(F.col("x").cast("double")).alias("x"))
+    tops = tops.groupBy("track_id", "layer").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("vec"))
+    feature_store.write_features(tops.withColumns({"segment_idx": F.lit(0), "feature_type": F.lit("aggregated")}), path)
+    means = P.track_means(views.segments(s, d).where("layer = 0").withColumn("vec", F.col("vec").cast("array<double>")))
+    feature_store.write_features(means.withColumns({"segment_idx": F.lit(0), "feature_type": F.lit("best")}), path)
+    feature_store.compact_features(s, path)
+    return feature_store.read_feature_rows(s, path).groupBy("feature_type", "track_id", "layer").agg(F.count("*").alias("n"), F.round(F.sum(F.aggregate(V.doubles(F.col("vec")), F.lit(0.0), lambda a, x: a + x)), 6).alias("total"))
 
 
 @query("s18_read_features", ", q as (select printf('t%04d', vec_id // 10) as track_id from embeddings group by 1 having max(label) >= 5) select track_id, 'segments' as feature_type, count(*) as n from v_seg join q using (track_id) group by 1 union all select track_id, 'aggregated', 4 from q")
@@ -215,9 +222,9 @@ def s18(s, d):
     path = scratch(s, "features")
     seg = views.segments(s, d).withColumn("vec", F.col("vec").cast("array<double>"))
     marked = views.embeddings(s, d).groupBy(F.format_string("t%04d", F.expr("vec_id div 10")).alias("track_id")).agg(F.max("label").alias("top")).where("top >= 5")
-    tables.write_features(seg.withColumn("feature_type", F.lit("segments")), path)
+    feature_store.write_features(seg.withColumn("feature_type", F.lit("segments")), path)
     means = P.track_means(seg.join(marked, "track_id", "left_semi")).withColumns({"segment_idx": F.lit(0), "feature_type": F.lit("aggregated")})
-    tables.write_features(means, path)
+    feature_store.write_features(means, path)
     return tables.read_features(s, path, ["segments", "aggregated"]).groupBy("track_id", "feature_type").agg(F.count("*").alias("n"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strata.functions import vectors as V
 from strata.operators.clips import CLIP_COLUMNS, hop_seconds, require_columns, require_unique
 from strata.operators.pooling import layer_matrix, mean_vectors
+from strata.sources.feature_store import read_feature_rows, write_features  # noqa: F401
 
 CLIP_SCHEMA = "clip_id string, dataset_id string, recording_id string, track_id string, segment_idx int, start_sec double, end_sec double, split string, embedding_path string, work_id string"
 REQUIRED_METADATA = ("recording_id", "work_id", "track_id")
@@ -63,23 +64,18 @@ def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in (*REQUIRED_METADATA, *extras)]).write.option("header", True).csv(path)
 
 
-def write_features(features: DataFrame, path: str) -> None:
-    """Features (track_id, feature_type, layer, ...) in a folder per type and layer; writing a type again replaces it."""
-    features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feature_type", "layer").parquet(path)
-
-
 def read_layer(spark: SparkSession, path: str, layer: int, n_layers: int, feature_type: str = "aggregated") -> DataFrame:
     """(track_id, vec) of one layer, pooled to one vector per track; other layers' files are not read."""
     if not 0 <= layer < n_layers:
         raise ValueError(f"layer {layer} is not in 0..{n_layers - 1}")
-    rows = spark.read.parquet(path).where((F.col("feature_type") == feature_type) & (F.col("layer") == layer))
+    rows = read_feature_rows(spark, path).where((F.col("feature_type") == feature_type) & (F.col("layer") == layer))
     if rows.isEmpty():
         raise FileNotFoundError(f"no {feature_type} features of layer {layer} in {path}")
     return mean_vectors(rows, ["track_id"], F.col("vec")).orderBy("track_id")
 
 
 def _features(spark: SparkSession, path: str, feature_type: str) -> DataFrame:
-    rows = spark.read.parquet(path).where(F.col("feature_type") == feature_type)
+    rows = read_feature_rows(spark, path).where(F.col("feature_type") == feature_type)
     if rows.isEmpty():
         raise FileNotFoundError(f"no {feature_type} features in {path}")
     return rows
@@ -120,7 +116,7 @@ def missing_tracks(wanted: DataFrame, existing: DataFrame, types: Iterable[str])
 
 def read_features(spark: SparkSession, path: str, types: Iterable[str]) -> DataFrame:
     """Features of the types, of tracks that have all of them."""
-    rows = spark.read.parquet(path).where(F.col("feature_type").isin(sorted(set(types))))
+    rows = read_feature_rows(spark, path).where(F.col("feature_type").isin(sorted(set(types))))
     return rows.join(cached_tracks(rows.select("track_id", "feature_type"), types), "track_id", "left_semi")
 
 

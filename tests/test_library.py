@@ -18,7 +18,7 @@ from strata.operators import probing as R
 from strata.operators import search as S
 from strata.operators import targets as T
 from strata.sources import artifacts as A
-from strata.sources import files, tables
+from strata.sources import feature_store, files, tables
 from strata.streaming.incremental import ingest_new_files
 
 #: Four-dimensional vectors; a is nearest to b, then c, then d.
@@ -358,7 +358,7 @@ def test_feature_store(spark, tmp_path):
     assert tables.read_features(spark, path, ["aggregated", "segments"]).select("track_id").distinct().collect()[0][0] == "a"
     with pytest.raises(ValueError):
         tables.read_layer(spark, path, 2, 2)
-    plan = spark.read.parquet(path).where("layer = 1")._jdf.queryExecution().toString()
+    plan = feature_store.read_feature_rows(spark, path).where("layer = 1")._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan
 
 
