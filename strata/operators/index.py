@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from strata.functions import vectors as V
 
 SAMPLE = 100_000
+#: Rows of a list that one task takes; larger lists are in numbered parts.
+LIST_ROWS = 20_000
 
 
 def flat_index(vectors: DataFrame) -> DataFrame:
@@ -22,7 +24,7 @@ def flat_index(vectors: DataFrame) -> DataFrame:
     return vectors.where("vec is not null").withColumn("vec", V.l2_normalise(F.col("vec")))
 
 
-def _centroids(vectors: DataFrame, n: int, seed: int, sample: int) -> list[list[float]]:
+def centroids(vectors: DataFrame, n: int, seed: int, sample: int) -> list[list[float]]:
     """Centres of a k-means over the ``sample`` rows of the smallest checksums; n rows of numbers."""
     part = vectors.orderBy(F.md5(F.col("id").cast("string").cast("binary"))).limit(sample).select(array_to_vector("vec").alias("features"))
     model = KMeans(k=n, seed=seed, maxIter=15, distanceMeasure="euclidean").fit(part)
@@ -40,29 +42,33 @@ def _assign(centres: np.ndarray, spill: int):
     return run
 
 
-def ivf_index(vectors: DataFrame, nlist: int, seed: int = 7, sample: int = SAMPLE, spill: int = 1) -> tuple[DataFrame, DataFrame]:
-    """((id, vec, list_id), (list_id, centre)); centres are fitted on a bounded sample, every row is in a list.
+def ivf_index(vectors: DataFrame, nlist: int, seed: int = 7, sample: int = SAMPLE, spill: int = 1, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """((id, vec, list_id, part), (list_id, centre, parts)); centres are fitted on a bounded sample, every row is in a list.
 
     With ``spill`` over 1 a row is in that many lists, the nearest ones, and
-    has all of them in ``list_ids``.
+    has all of them in ``list_ids``.  A list of more than ``list_rows`` rows is in
+    several parts, by id, so that a cluster with most of the rows is many tasks.
     """
     if nlist <= 0 or not 0 < spill <= nlist:
         raise ValueError("nlist must be positive, and spill from 1 to nlist")
     flat = flat_index(vectors).select(F.col("id").cast("long").alias("id"), "vec")
-    centres = _centroids(flat, nlist, seed, sample)
+    centres = centroids(flat, nlist, seed, sample)
     lists = flat.mapInArrow(_assign(np.array(centres), spill), "id long, vec array<double>, list_ids array<int>")
     lists = lists.select("id", "vec", F.explode("list_ids").alias("list_id"), "list_ids") if spill > 1 else lists.select("id", "vec", F.get("list_ids", 0).alias("list_id"))
-    table = vectors.sparkSession.createDataFrame([(i, c) for i, c in enumerate(centres)], "list_id int, centre array<double>")
-    return lists, table
+    sizes = {r.list_id: r["count"] for r in lists.groupBy("list_id").count().collect()}  # nlist rows
+    table = vectors.sparkSession.createDataFrame([(i, c, max(1, -(-sizes.get(i, 0) // list_rows))) for i, c in enumerate(centres)], "list_id int, centre array<double>, parts int")
+    parts = F.broadcast(table.select("list_id", "parts"))
+    return lists.join(parts, "list_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("id", "vec", "list_id", *(["list_ids"] if spill > 1 else []), "part"), table
 
 
-def _probe(centres: np.ndarray, names: np.ndarray, nprobe: int):
+def _probe(centres: np.ndarray, names: np.ndarray, parts: np.ndarray, nprobe: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 q = b.column("q").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                near = names[(-2 * q @ centres.T + (centres**2).sum(axis=1)).argsort(axis=1, kind="stable")[:, :nprobe]]
-                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("q"), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["query_id", "q", "probed"])
+                near = (-2 * q @ centres.T + (centres**2).sum(axis=1)).argsort(axis=1, kind="stable")[:, :nprobe]
+                lists, counts = (pa.array(x[near].astype(np.int32).tolist(), pa.list_(pa.int32())) for x in (names, parts))
+                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("q"), lists, counts], names=["query_id", "q", "probed", "parts"])
 
     return run
 
@@ -71,9 +77,11 @@ def _routed(lists: DataFrame, centres: DataFrame, queries: DataFrame, nprobe: in
     """Rows of the ``nprobe`` lists nearest to each query (query_id, vec), with the query's unit vector ``q``; each row once per query."""
     table = centres.orderBy("list_id").collect()  # nlist rows, a parameter of the index
     unit = queries.select(F.col("query_id").cast("long").alias("query_id"), V.l2_normalise(F.col("vec")).alias("q"))
-    found = _probe(np.array([r.centre for r in table]), np.array([r.list_id for r in table]), nprobe)
-    probed = unit.mapInArrow(found, "query_id long, q array<double>, probed array<int>")
-    found = lists.join(probed.select("query_id", "q", "probed", F.explode("probed").alias("list_id")), "list_id")
+    found = _probe(np.array([r.centre for r in table]), np.array([r.list_id for r in table]), np.array([r.parts for r in table]), nprobe)
+    probed = unit.mapInArrow(found, "query_id long, q array<double>, probed array<int>, parts array<int>")
+    each = probed.select("query_id", "q", "probed", F.explode(F.arrays_zip("probed", "parts")).alias("p"))
+    dealt = each.select("query_id", "q", "probed", F.col("p.probed").alias("list_id"), F.explode(F.sequence(F.lit(0), F.col("p.parts") - 1)).alias("part"))
+    found = lists.join(dealt, ["list_id", "part"])
     # A row in several probed lists counts in the one nearest to it.
     return found.where(F.get(F.array_intersect("list_ids", "probed"), 0) == F.col("list_id")) if "list_ids" in lists.columns else found
 
@@ -82,7 +90,7 @@ def write_lists(lists: DataFrame, centres: DataFrame, path: str, nprobe: int) ->
     """Save inverted lists in a folder per list, with the centres and the number of lists that a search probes by default."""
     if nprobe <= 0:
         raise ValueError("nprobe must be positive")
-    lists.repartition("list_id").write.partitionBy("list_id").parquet(f"{path}/lists")
+    lists.repartition("list_id", "part").write.partitionBy("list_id").parquet(f"{path}/lists")
     centres.withColumn("nprobe", F.lit(nprobe)).coalesce(1).write.parquet(f"{path}/centres")
 
 
@@ -123,7 +131,7 @@ def pq_index(vectors: DataFrame, factory: str, seed: int = 7, sample: int = SAMP
     if dim % m:
         raise ValueError("the dimension must be a multiple of the number of subspaces")
     width = dim // m
-    books = [_centroids(once.select("id", F.slice("vec", s * width + 1, width).alias("vec")), 1 << bits, seed + s, sample) for s in range(m)]
+    books = [centroids(once.select("id", F.slice("vec", s * width + 1, width).alias("vec")), 1 << bits, seed + s, sample) for s in range(m)]
     fitted = [np.array(x) for x in books]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +141,7 @@ def pq_index(vectors: DataFrame, factory: str, seed: int = 7, sample: int = SAMP
                 codes = np.stack([((x[:, s, None, :] - fitted[s][None]) ** 2).sum(axis=2).argmin(axis=1) for s in range(m)], axis=1)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(codes.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=[*kept, "codes"])
 
-    return lists.mapInArrow(encode, f"id long, list_id int, {'list_ids array<int>, ' if spill > 1 else ''}codes array<int>"), centres, books
+    return lists.mapInArrow(encode, f"id long, list_id int, {'list_ids array<int>, ' if spill > 1 else ''}part int, codes array<int>"), centres, books
 
 
 def search_pq(codes: DataFrame, books: list[list[list[float]]], query: list[float], k: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import vectors as V
+from strata.plans.session import scratch
 
 #: Queries that a task holds, rows of the corpus that they meet in it, and rows that are scored at once.
 QUERY_BLOCK, CORPUS_BLOCK, CORPUS_SLICE = 2048, 1 << 16, 1024
@@ -47,7 +48,17 @@ def _unit(lists: pa.Array, n: int) -> np.ndarray:
     return x / np.where(length > 0, length, 1)[:, None]
 
 
-def _block_topk(k: int, exclude_self: bool):
+def _leading(k: int, own: np.ndarray, scores: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The columns that may be among a row's best k: of those as good as its k-th the ones with the smallest ids too, without sorting the rest."""
+    if scores.shape[1] <= 4 * k:
+        return own, scores, raw
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    width = int((scores >= least).sum(axis=1).max())  # k, and more where scores tie
+    top = np.argpartition(-scores, width - 1, axis=1)[:, :width]
+    return tuple(np.take_along_axis(x, top, axis=1) for x in (own, scores, raw))
+
+
+def block_topk(k: int, exclude_self: bool):
     """Rows come sorted by (left, right, corpus): the queries of a pair of blocks, then its corpus, of which a slice at a time is scored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,6 +95,7 @@ def _block_topk(k: int, exclude_self: bool):
                         scores[own == q_ids[0][:, None]] = -np.inf
                     if best is not None:
                         own, scores, raw = (np.concatenate(x, axis=1) for x in zip(best, (own, scores, raw)))
+                    own, scores, raw = _leading(k, own, scores, raw)
                     top = np.lexsort((own, -scores), axis=1)[:, :k]
                     best = tuple(np.take_along_axis(x, top, axis=1) for x in (own, scores, raw))
         yield from done()
@@ -97,8 +109,8 @@ def similar_to_all(corpus: DataFrame, queries: DataFrame, k: int = 10, exclude_s
     Both sides are cut into blocks by id, and each pair of blocks meets in one
     task, which keeps the best k of each query.  A block of queries is all that
     a task holds; no vector passes through the driver.  Every query is compared
-    with every row; for a corpus as its own set of queries use an inverted-list
-    index instead.
+    with every row; for a corpus as its own set of queries
+    ``lists.similar_through_lists`` gives the same rows with fewer comparisons.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -108,7 +120,7 @@ def similar_to_all(corpus: DataFrame, queries: DataFrame, k: int = 10, exclude_s
     asked = side(queries, n_left).select(F.col("own").alias("left"), every(n_right).alias("right"), F.lit(0).alias("corpus"), "id", "vec")
     known = side(corpus, n_right).select(every(n_left).alias("left"), F.col("own").alias("right"), F.lit(1).alias("corpus"), "id", "vec")
     met = asked.unionByName(known).repartition("left", "right").sortWithinPartitions("left", "right", "corpus")
-    out = met.mapInArrow(_block_topk(k, exclude_self), "query_id long, id long, similarity double, place double")
+    out = met.mapInArrow(block_topk(k, exclude_self), "query_id long, id long, similarity double, place double")
     order = Window.partitionBy("query_id").orderBy(F.col("place").desc(), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("place")
 
@@ -147,11 +159,14 @@ def query_clip(index: DataFrame, clip_id: str | None = None, track_id: str | Non
 def search_by_clip(index: DataFrame, clip_id: str | None = None, k: int = 10, dedupe_window: float = 5.0, exclude_same_segment: bool = True, track_id: str | None = None, start_sec: float | None = None, fetch: int | None = None, centres: DataFrame | None = None, nprobe: int | None = None) -> DataFrame:
     """The k clips most like a clip; ``index`` has (clip_id, track_id, start_sec, vec).
 
-    The clip is named by its id, or by a track and a time.  The ranking is cut at
-    ``fetch`` candidates, max(25 k, k + 25) unless given, before the walk through
-    time; fewer than k clips may be left, and a larger ``fetch`` gives more.  If
-    ``index`` has a list_id and ``centres`` (list_id, centre) are given, only the
-    ``nprobe`` lists nearest to the clip are read; nprobe without lists is an error.
+    The clip is named by its id, or by a track and a time.  k clips are returned
+    whenever there are k that no better one suppresses: pages of the ranking are
+    walked one after the other, each without what the clips kept so far suppress,
+    so every page keeps a clip at least, and what is held is a page and k clips.
+    With ``fetch`` the ranking is cut at that many candidates, and fewer than k
+    clips may be left.  If ``index`` has a list_id and ``centres`` (list_id, centre)
+    are given, only the ``nprobe`` lists nearest to the clip are read; nprobe
+    without lists is an error.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -164,10 +179,44 @@ def search_by_clip(index: DataFrame, clip_id: str | None = None, k: int = 10, de
         nearest = centres.orderBy(V.dot(F.col("centre"), F.col("centre")) - 2 * V.dot(F.col("centre"), V.l2_normalise(_literal(vector))), "list_id").limit(nprobe or 1)
         rows = index.where(F.col("list_id").isin([r.list_id for r in nearest.collect()])).dropDuplicates(["clip_id"])  # nprobe numbers
     scored = rows.select("clip_id", "track_id", "start_sec", V.cosine(F.col("vec"), _literal(vector)).alias("similarity"))
-    top = scored.orderBy(F.col("similarity").desc(), "clip_id").limit(fetch or max(25 * k, k + 25))
-    if exclude_same_segment:
-        top = top.where(F.col("clip_id") != name)
-    return dedupe_in_time(top, dedupe_window).select("clip_id", "track_id", "start_sec", "similarity").orderBy(F.col("similarity").desc(), "clip_id").limit(k)
+    if exclude_same_segment and fetch is None:
+        scored = scored.where(F.col("clip_id") != name)
+    if fetch is not None:
+        top = scored.orderBy(F.col("similarity").desc(), "clip_id").limit(fetch)
+        if exclude_same_segment:
+            top = top.where(F.col("clip_id") != name)
+        return dedupe_in_time(top, dedupe_window).select("clip_id", "track_id", "start_sec", "similarity").orderBy(F.col("similarity").desc(), "clip_id").limit(k)
+    if dedupe_window < 0:
+        raise ValueError("window must not be negative")
+    if dedupe_window == 0:
+        return scored.orderBy(F.col("similarity").desc(), "clip_id").limit(k)
+    return _walk_pages(scored, k, dedupe_window)
+
+
+def _walk_pages(scored: DataFrame, k: int, window: float, page: int | None = None) -> DataFrame:
+    """The first k rows of the ranking that no better kept one of the same track suppresses.
+
+    Ranked rows (clip_id, track_id, start_sec, similarity) are written once; a
+    page reads on from the last row's place (similarity, clip_id).
+    """
+    spark, page = scored.sparkSession, page or max(25 * k, k + 25)
+    path = scratch(spark, "ranking")
+    scored.write.parquet(path)
+    ranking, kept, after = spark.read.schema(scored.schema).parquet(path), [], None
+    while len(kept) < k:
+        rest = ranking
+        if after is not None:
+            rest = rest.where((F.col("similarity") < after[0]) | ((F.col("similarity") == after[0]) & (F.col("clip_id") > after[1])))
+            near = spark.createDataFrame([(c.track_id, c.start_sec) for c in kept], "track_id string, at double")
+            rest = rest.join(F.broadcast(near), (rest.track_id == near.track_id) & (F.abs(rest.start_sec - near["at"]) < window), "left_anti")  # at most k rows
+        rows = rest.orderBy(F.col("similarity").desc(), "clip_id").limit(page).collect()
+        for r in rows:
+            if len(kept) < k and all(c.track_id != r.track_id or abs(c.start_sec - r.start_sec) >= window for c in kept):
+                kept.append(r)
+        if len(rows) < page:
+            break
+        after = (rows[-1].similarity, rows[-1].clip_id)
+    return spark.createDataFrame([tuple(r) for r in kept], scored.schema)
 
 
 def parse_weights(text: str) -> dict[str, float]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strata.functions import vectors as V
 from strata.operators import clips as C
 from strata.operators import index as X
+from strata.operators import lists as L
 from strata.operators import pooling as P
 from strata.operators import search as S
 from strata.plans import views
@@ -208,6 +209,14 @@ def x2(s, d):
     return _rounded(X.probe_ivf(lists, centres, queries, 10, 8))
 
 
+@query("x2_exact_lists", ", p as (select q.id as query_id, c.id, list_cosine_similarity(q.vec, c.vec) as similarity from v_vec q join v_vec c on q.id <> c.id), r as (select *, row_number() over (partition by query_id order by round(similarity, 9) desc, id) as rank from p) select query_id, id, round(similarity, 6) as similarity, rank::int as rank from r where rank <= 10")
+def x2_exact(s, d):
+    """All rows as their own queries, through lists of some 50 rows."""
+    v = views.vectors(s, d)
+    lists, centres = L.balanced_lists(v, 50)
+    return _rounded(L.similar_through_lists(lists, centres, v.select(F.col("id").alias("query_id"), "vec"))[0])
+
+
 @query("x2_ivf_four_probes")
 def x2_some(s, d):
     lists, centres = X.ivf_index(views.vectors(s, d), 8, spill=2)
