@@ -1,33 +1,25 @@
 """Cross-validated ridge probes of layers against targets, as tables.
 
-A row has a model (what the vector stands for, such as a layer), a fold, a
-vector and all targets of its id in one array.  Each task sums the products of
-(1, vector, targets) for one model, fold and pattern of missing targets after
-the other, so all targets share the products of the vector with itself, and a
-task holds one such matrix at a time.  The training sums of a fold are the
-total less its own.  With a penalty the normal equations have a solution for
-any number of rows, so few rows need no way of their own.
-
-Folds are dealt over the ids of a table once, so that all targets share them.
+The sums of products of vectors and targets per layer and fold are made in one
+pass, and all fits and metrics follow from them; see :mod:`strata.operators.grams`.
+With a penalty the normal equations have a solution for any number of rows, so few
+rows need no way of their own.
+
+Folds are dealt over the ids of a table once, so that all targets share them; a
+target may have folds of its own (target, id, fold).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import vectors as V
+from strata.operators import grams as G
 from strata.operators.ranking import checksum_ranks
 
-#: Names of targets that the driver holds at most, and parts of a model's rows when its coefficients join them.
-MAX_TARGETS, SALTS = 10_000, 16
+#: Target columns that share one matrix; more targets are probed in several blocks.
+BLOCK_COLUMNS = 1000
 TAUS = (0.1, 0.25, 0.5, 1.0, 2.0, 4.0)
 _METRICS = "r2_score double, correlation double, rmse double, n_valid long"
 
@@ -38,13 +30,64 @@ def kfold(ids: DataFrame, key: str = "id", folds: int = 5, seed: int = 42) -> Da
 
 
 def grouped_kfold(rows: DataFrame, key: str, group: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """(key, fold) with all rows of a group in one fold; one single group falls back to :func:`kfold`."""
-    groups = kfold(rows.select(group), group, folds, seed)
-    if groups.limit(2).count() < 2:
+    """(key, fold) with all rows of a group in one fold; one single group falls back to :func:`kfold`.
+
+    Groups go by size, largest first, to the fold with the fewest rows so far;
+    which groups of one size go where is by checksum.  The sizes that there are,
+    at most the square root of twice the rows, pass through the driver, groups
+    do not.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("size"))
+    counts = sizes.groupBy("size").count().orderBy(F.col("size").desc()).collect()
+    total = sum(r["count"] for r in counts)
+    if total < 2:
         return kfold(rows, key, folds, seed)
+    shares = _deal([(r["size"], r["count"]) for r in counts], min(folds, total))
+    table = rows.sparkSession.createDataFrame(shares, "size long, even long, k int, cuts array<long>")
+    past = F.col("place") - F.col("even") * F.col("k")
+    fold = F.when(past <= 0, (F.col("place") - 1) % F.col("k")).otherwise(F.size(F.filter("cuts", lambda c: c < past)))
+    groups = _ranked_in_size(sizes, group, seed).join(F.broadcast(table), "size").select(group, fold.cast("int").alias("fold"))
     return rows.select(key, group).join(groups, group).select(key, "fold")
 
 
+def _deal(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, groups of it that every fold gets, k, running sums of what the folds get beyond) of (size, count), largest size first."""
+    loads, out = [0] * k, []
+    for size, count in sizes:
+        low, high = min(loads), max(loads) + size * (count + 1)
+        while high - low > 1:  # the highest level that the groups of this size can fill all folds to
+            level = (low + high) // 2
+            low, high = (level, high) if sum(max(0, level - x) // size for x in loads) <= count else (low, level)
+        got = [max(0, low - x) // size for x in loads]
+        for f in sorted(range(k), key=lambda f: (loads[f] + got[f] * size, f))[: count - sum(got)]:
+            got[f] += 1
+        loads = [x + g * size for x, g in zip(loads, got)]
+        even, cuts = min(got), []
+        for g in got:
+            cuts.append((cuts[-1] if cuts else 0) + g - even)
+        out.append((size, even, k, cuts))
+    return out
+
+
+def _ranked_in_size(sizes: DataFrame, group: str, seed: int) -> DataFrame:
+    """(group, size, place): the place from 1 by checksum among the groups of one size, ranked by prefixes of the checksum."""
+    keyed = sizes.withColumn("sum", F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")).cast("binary"))).withColumn("head", F.substring("sum", 1, 3))
+    heads = keyed.groupBy("size", "head").count()
+    before = heads.withColumn("before", F.sum("count").over(Window.partitionBy("size").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)))  # 4096 rows a size
+    inside = F.row_number().over(Window.partitionBy("size", "head").orderBy("sum", group))
+    return keyed.withColumn("n", inside).join(before.drop("count"), ["size", "head"]).select(group, "size", (F.coalesce("before", F.lit(0)) + F.col("n")).alias("place"))
+
+
+def folds_of_single_groups(values: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
+    """(target, id, fold) for targets whose values (target, id, group, y) lie in one group only: ungrouped folds over those rows."""
+    known = values.where("y is not null")
+    alone = known.groupBy("target").agg(F.min("group").alias("lowest"), F.max("group").alias("highest")).where("lowest = highest").select("target")
+    rows = known.join(F.broadcast(alone), "target").select("target", "id")
+    order = Window.partitionBy("target").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), "id")  # the rows of one group
+    ranked = rows.withColumn("place", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("target")))
+    return ranked.select("target", "id", (F.col("place") % F.least(F.lit(folds).cast("long"), F.col("n"))).cast("int").alias("fold"))
+
+
 def valid_targets(targets: DataFrame, n_folds: int = 5, scalar: bool = True) -> DataFrame:
     """(target, n_valid, coverage) of targets with enough values and, if scalar, some variance."""
     stats = targets.groupBy("target").agg(F.count("y").alias("n_valid"), (F.count("y") / F.count("*")).alias("coverage"), F.stddev_pop("y").alias("sd"))
@@ -52,101 +95,6 @@ def valid_targets(targets: DataFrame, n_folds: int = 5, scalar: bool = True) ->
     return stats.where(keep).select("target", "n_valid", "coverage")
 
 
-def _partial_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (model, fold, pattern): the sums of products of (1, x, ys) of each, one row of the matrix per output row."""
-    held, current = None, None
-
-    def rows() -> pa.RecordBatch:
-        n = len(held)
-        model, fold, pattern = current
-        return pa.RecordBatch.from_arrays(
-            [pa.array([model] * n), pa.array([fold] * n, pa.int32()), pa.array([pattern] * n), pa.array(range(n), pa.int32()), pa.array(held.tolist(), pa.list_(pa.float64()))], names=["model", "fold", "pattern", "i", "row"]
-        )
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        matrix = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-        z = np.column_stack([np.ones(b.num_rows), matrix("vec"), np.nan_to_num(matrix("ys").astype(float))])
-        keys = pd.DataFrame({c: b.column(c).to_pandas() for c in ("model", "fold", "pattern")})
-        edge = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
-        for lo, hi in zip(edge, [*edge[1:], b.num_rows]):
-            key = (keys.model[lo], int(keys.fold[lo]), keys.pattern[lo])
-            if current is not None and key != current:
-                yield rows()
-                held = None
-            gram = z[lo:hi].T @ z[lo:hi]
-            held, current = gram if held is None else held + gram, key
-    if held is not None:
-        yield rows()
-
-
-def gram_sums(rows: DataFrame) -> DataFrame:
-    """(model, fold, pattern, i, row): sums of products of (1, vec, ys) of rows (model, fold, vec, ys); a pattern says which ys are there."""
-    pattern = F.concat_ws("", F.transform("ys", lambda y: F.when(y.isNull(), "0").otherwise("1")))
-    plain = rows.select(F.col("model").cast("string").alias("model"), F.col("fold").cast("int").alias("fold"), pattern.alias("pattern"), V.doubles(F.col("vec")).alias("vec"), V.doubles(F.col("ys")).alias("ys"))
-    filled = plain.withColumn("ys", F.transform("ys", lambda y: F.coalesce(y, F.lit(0.0)))).sortWithinPartitions("model", "fold", "pattern")
-    partial = filled.mapInArrow(_partial_grams, "model string, fold int, pattern string, i int, row array<double>")
-    return partial.groupBy("model", "fold", "pattern", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
-
-
-def solve_ridge(gram: np.ndarray, alpha: float, targets: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and intercepts on raw columns for some targets, from the sums of products of (1, x, ys) of the training rows.
-
-    Columns are standardised with the population deviation (1 where it is 0);
-    the intercept is not penalised.  ``targets`` are the ys' places in the matrix.
-    """
-    n, d = gram[0, 0], min(targets)
-    mean, y_mean = gram[0, 1:d] / n, gram[0, targets] / n
-    cov = gram[1:d, 1:d] - n * np.outer(mean, mean)
-    xy = gram[1:d][:, targets] - n * np.outer(mean, y_mean)
-    scale = np.sqrt(np.maximum(np.diag(cov) / n, 0))
-    scale[scale < 1e-12] = 1.0
-    w = np.linalg.solve(cov / np.outer(scale, scale) + alpha * np.eye(len(mean)), xy / scale[:, None]) / scale[:, None]
-    return w, y_mean - mean @ w
-
-
-def _matrices(pdf: pd.DataFrame) -> dict[tuple[int, str], np.ndarray]:
-    """The matrix of each fold and pattern."""
-    return {(int(f), p): np.stack(g.sort_values("i").row.to_list()) for (f, p), g in pdf.groupby(["fold", "pattern"])}
-
-
-def _solve(alpha: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, out = _matrices(pdf), []
-        n_targets = len(pdf.pattern.iloc[0])
-        d = len(next(iter(own.values()))) - n_targets
-        alike: dict[tuple, list[int]] = {}  # targets that the same patterns have share one matrix
-        for t in range(n_targets):
-            alike.setdefault(tuple(sorted({p for _, p in own if p[t] == "1"})), []).append(t)
-        for patterns, targets in alike.items():
-            for fold in sorted({f for f, p in own if p in patterns}):
-                train = [m for (f, p), m in own.items() if f != fold and p in patterns]
-                if train:
-                    # Places behind d may have gaps where other targets are, so the targets of the group are put together.
-                    at = [*range(d), *(d + t for t in targets)]
-                    w, b = solve_ridge(sum(train)[np.ix_(at, at)], alpha, list(range(d, d + len(targets))))
-                    out += [(pdf.model.iloc[0], fold, t, w[:, k].tolist(), float(b[k])) for k, t in enumerate(targets)]
-        return pd.DataFrame(out, columns=["model", "fold", "t", "w", "b"])
-
-    return run
-
-
-def ridge_predictions(rows: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """(model, t, fold, id, y, p): out-of-fold predictions of rows (model, fold, id, vec, ys), where t is the target's place in ys.
-
-    The coefficients of a model and fold meet its rows over a salt, so one
-    model's rows are not all in one task.
-    """
-    rows = rows.withColumn("model", F.col("model").cast("string")).withColumn("fold", F.col("fold").cast("int"))
-    fits = gram_sums(rows).groupBy("model").applyInPandas(_solve(alpha), "model string, fold int, t int, w array<double>, b double")
-    fits = fits.groupBy("model", "fold").agg(F.collect_list(F.struct("t", "w", "b")).alias("fits"))
-    salted = fits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(salted, ["model", "fold", "salt"])
-    found = F.transform("fits", lambda f: F.struct(f["t"].alias("t"), F.get("ys", f["t"]).alias("y"), (V.dot(F.col("vec"), f["w"]) + f["b"]).alias("p")))
-    return met.select("model", "fold", "id", F.explode(found).alias("f")).select("model", "f.t", "fold", "id", "f.y", "f.p").where("y is not null")
-
-
 def fit_metrics(predictions: DataFrame, keys: list[str], n_folds: int = 5) -> DataFrame:
     """r2_score, correlation, rmse and n_valid of pooled predictions (y, p).
 
@@ -177,80 +125,81 @@ def target_arrays(targets: DataFrame, names: list[str]) -> DataFrame:
     return known.select("id", F.array(*[F.try_element_at("m", F.lit(n)).cast("double") for n in names]).alias("ys"))
 
 
-def _names(targets: DataFrame) -> list[str]:
-    """The targets' names, which are descriptors and not data: at most ``MAX_TARGETS``."""
-    names = sorted(r[0] for r in targets.select("target").distinct().limit(MAX_TARGETS + 1).collect())
-    if len(names) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets; probe them in parts")
-    return names
-
-
-def _named(df: DataFrame, names: list[str]) -> DataFrame:
-    """Column t, a place, as the target's name."""
-    return df.withColumn("target", F.get(F.array(*map(F.lit, names)), F.col("t"))).drop("t")
-
+def _curve_arrays(curves: DataFrame, names: list[str], widths: list[int]) -> DataFrame:
+    """(id, ys): the frames of the named curves (id, target, curve) end to end, null where a curve is missing or has another length."""
+    known = curves.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("target", "curve"))).alias("m"))
+    frames = lambda n, k: F.try_element_at("m", F.lit(n))
+    each = [F.when(F.size(frames(n, k)) == k, frames(n, k)).otherwise(F.array_repeat(F.lit(None).cast("double"), k)) for n, k in zip(names, widths)]
+    return known.select("id", F.concat(*each).alias("ys"))
 
-def probe_layers(features: DataFrame, targets: DataFrame, folds: DataFrame, alpha: float = 1.0, n_folds: int = 5) -> DataFrame:
-    """(layer, target, metrics): every layer against every scalar target, in one job."""
-    names = _names(targets)
-    if not names:
-        return targets.sparkSession.createDataFrame([], f"layer int, target string, {_METRICS}")
-    rows = features.join(target_arrays(targets, names), "id").join(folds, "id").select(F.col("layer").alias("model"), "fold", "id", "vec", "ys")
-    found = fit_metrics(_named(ridge_predictions(rows, alpha), names), ["model", "target"], n_folds)
-    return found.select(F.col("model").cast("int").alias("layer"), *[c for c in found.columns if c != "model"])
 
+class _Plan:
+    """The rows that the sums are made of, and which target is which place of which model.
 
-def _first_components(pdf: pd.DataFrame) -> pd.DataFrame:
-    own, out = _matrices(pdf), []
-    for fold in sorted({f for f, _ in own}):
-        g = sum(m for (f, _), m in own.items() if f != fold)
-        if not np.ndim(g):
-            continue  # one fold only: nothing to fit on
-        mean = g[0, 1:] / g[0, 0]
-        top = np.linalg.eigh(g[1:, 1:] / g[0, 0] - np.outer(mean, mean))[1][:, -1]
-        top = top * (1 if top[np.argmax(np.abs(top))] >= 0 else -1)
-        out.append((pdf.model.iloc[0], fold, top.tolist(), float(top @ mean)))
-    return pd.DataFrame(out, columns=["target", "out", "axis", "offset"])
-
-
-def _curve_metrics(predictions: DataFrame, keys: list[str], n_folds: int) -> DataFrame:
-    """(keys, r2_mean, rmse_mean, n_valid) of predictions of frames t; n_valid counts curves."""
-    per_frame = fit_metrics(predictions, [*keys, "t"], n_folds)
-    # The mean over frames of equal length of squared errors is the mean over all entries.
-    return per_frame.groupBy(*keys).agg(F.avg("r2_score").alias("r2_mean"), F.sqrt(F.avg(F.col("rmse") ** 2)).alias("rmse_mean"), F.max("n_valid").alias("n_valid"))
-
-
-_KEY = "\u0001"
-
-
-def _keyed(model: Column, target: Column) -> Column:
-    return F.concat_ws(_KEY, model.cast("string"), target)
-
+    Targets are in blocks of ``BLOCK_COLUMNS`` columns, one model each; a target
+    with folds of its own is a model of its own.  The driver holds the targets'
+    names, which are descriptors, and their widths.
+    """
 
-def _unkeyed(df: DataFrame) -> DataFrame:
-    parts = F.split("model", _KEY)
-    return df.withColumn("target", parts[1]).withColumn("model", parts[0])
+    def __init__(self, stacks: DataFrame, targets: DataFrame, folds: DataFrame, own_folds: DataFrame | None, curves: bool):
+        width = F.max(F.size("curve")).alias("w") if curves else F.lit(1).alias("w")
+        value = "curve" if curves else "y"
+        known = targets.where(F.col(value).isNotNull())
+        sizes = [(r.target, r.w) for r in known.groupBy("target").agg(width).orderBy("target").collect()]
+        apart = {r.target for r in own_folds.select("target").distinct().collect()} if own_folds is not None else set()
+        blocks: list[list[tuple[str, int]]] = []
+        for name, w in sizes:
+            if name not in apart:
+                if not blocks or sum(x for _, x in blocks[-1]) + w > BLOCK_COLUMNS:
+                    blocks.append([])
+                blocks[-1].append((name, w))
+        self.models = {f"block{i}": b for i, b in enumerate(blocks)} | {f"own{i}": [x] for i, x in enumerate(x for x in sizes if x[0] in apart)}
+        self.widths = {m: [w for _, w in b] for m, b in self.models.items()}
+        self.names = targets.sparkSession.createDataFrame([(m, t, n) for m, b in self.models.items() for t, (n, _) in enumerate(b)], "model string, t int, target string")
+        self.rows = None
+        for model, block in self.models.items():
+            names, widths = [n for n, _ in block], [w for _, w in block]
+            part = known.where(F.col("target").isin(names))
+            ys = _curve_arrays(part, names, widths) if curves else target_arrays(part, names)
+            by = own_folds.where(F.col("target") == names[0]).select("id", "fold") if model.startswith("own") else folds
+            starts = [sum(widths[:i]) for i in range(len(widths))]
+            made = stacks.join(ys, "id").join(by, "id").select(F.lit(model).alias("model"), F.col("fold").cast("int").alias("fold"), "id", "layers", "ys", G.gaps_of(F.col("ys"), starts).alias("gaps"))
+            self.rows = made if self.rows is None else self.rows.unionByName(made)
+
+    def named(self, found: DataFrame) -> DataFrame:
+        return found.join(F.broadcast(self.names), ["model", "t"])
+
+
+def _layer_maps(features: DataFrame) -> DataFrame:
+    """(id, layers): the vectors of each id by layer."""
+    return features.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("layer").cast("int"), V.doubles(F.col("vec")).alias("vec")))).alias("layers"))
+
+
+def _probe(features: DataFrame, targets: DataFrame, folds: DataFrame, alpha: float, n_folds: int, own_folds: DataFrame | None, curves: bool) -> DataFrame:
+    plan = _Plan(_layer_maps(features), targets, folds, own_folds, curves)
+    if plan.rows is None:
+        return targets.sparkSession.createDataFrame([], f"layer int, target string, {G.METRICS}")
+    return plan.named(G.layer_metrics(G.sums_of_products(plan.rows), plan.widths, alpha, n_folds, curves))
+
+
+def probe_layers(features: DataFrame, targets: DataFrame, folds: DataFrame, alpha: float = 1.0, n_folds: int = 5, own_folds: DataFrame | None = None) -> DataFrame:
+    """(layer, target, metrics): every layer against every scalar target, in one job.
+
+    ``own_folds`` (target, id, fold) replaces the folds of the targets in it.
+    """
+    found = _probe(features, targets, folds, alpha, n_folds, own_folds, False)
+    return found.select("layer", "target", "r2_score", "correlation", "rmse", "n_valid")
 
 
 def probe_curves(features: DataFrame, curves: DataFrame, folds: DataFrame, alpha: float = 1.0, n_folds: int = 5) -> DataFrame:
     """(layer, target, r2_mean, rmse_mean, n_valid, r2_pc1) of curve targets (id, target, curve array).
 
     All frames of a target are fitted at once.  The first component is fitted
-    on the training folds only, once per fold left out.
+    on the training folds only, once per fold left out.  A curve of another
+    length than the longest of its target counts as missing; n_valid counts curves.
     """
-    known = curves.where("curve is not null").select("id", "target", V.doubles(F.col("curve")).alias("curve"))
-    placed = features.join(known, "id").join(folds, "id").select(_keyed(F.col("layer"), F.col("target")).alias("model"), "fold", "id", "vec", "target", "curve")
-    means = _curve_metrics(_unkeyed(ridge_predictions(placed.select("model", "fold", "id", "vec", F.col("curve").alias("ys")), alpha)), ["model", "target"], n_folds)
-    stats = known.join(folds, "id").select(F.col("target").alias("model"), "fold", F.col("curve").alias("vec"), F.array().cast("array<double>").alias("ys"))
-    axes = gram_sums(stats).groupBy("model").applyInPandas(_first_components, "target string, out int, axis array<double>, offset double")
-    axes = axes.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("out", "axis", "offset"))).alias("axes"))
-    scores = F.transform("axes", lambda a: V.dot(F.col("curve"), a["axis"]) - a["offset"])
-    scored = placed.join(axes, "target").select("model", "fold", "id", "vec", scores.alias("ys"), F.col("axes.out").alias("outs"))
-    found = ridge_predictions(scored, alpha).join(axes, F.split("model", _KEY)[1] == F.col("target"))
-    own = found.where(F.get("axes.out", F.col("t")) == F.col("fold")).select("model", "y", "p")
-    pc1 = fit_metrics(_unkeyed(own), ["model", "target"], n_folds).select("model", "target", F.col("r2_score").alias("r2_pc1"))
-    out = means.join(pc1, ["model", "target"])
-    return out.select(F.col("model").cast("int").alias("layer"), "target", "r2_mean", "rmse_mean", "n_valid", "r2_pc1")
+    found = _probe(features, curves.withColumn("curve", V.doubles(F.col("curve"))), folds, alpha, n_folds, None, True)
+    return found.select("layer", "target", "r2_mean", "rmse_mean", "n_valid", "r2_pc1")
 
 
 def mix_candidates(layer_results: DataFrame, n_layers: int) -> DataFrame:
@@ -268,36 +217,35 @@ def mix_candidates(layer_results: DataFrame, n_layers: int) -> DataFrame:
     return spread.select("target", (F.col("kind") * len(TAUS) + F.col("t")).cast("int").alias("candidate"), V.softmax(F.transform("base", lambda v: v / F.col("tau"))).alias("weights"))
 
 
-def _stacks(features: DataFrame) -> DataFrame:
-    return features.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("layer", "vec"))).alias("s")).select("id", F.transform("s.vec", lambda v: V.doubles(v)).alias("layers"))
-
-
-def _mixed(features: DataFrame, ys: DataFrame, folds: DataFrame, mixes: DataFrame) -> DataFrame:
-    """Rows of the mixed vectors of (id, target, ys) for each candidate (target, candidate, weights)."""
-    rows = _stacks(features).join(ys, "id").join(folds, "id").join(mixes, "target")
-    return rows.select(_keyed(F.col("candidate"), F.col("target")).alias("model"), "fold", "id", V.weighted_sum(F.col("layers"), F.col("weights")).alias("vec"), "ys")
+def _probe_mixes(features: DataFrame, targets: DataFrame, folds: DataFrame, mixes: DataFrame, n_layers: int, alpha: float, n_folds: int, own_folds: DataFrame | None, curves: bool) -> DataFrame:
+    """(target, candidate, metrics) of ids that have all layers."""
+    every = F.array(*map(F.lit, range(n_layers)))
+    stacks = _layer_maps(features.where(F.col("layer").between(0, n_layers - 1))).where(F.size(F.array_except(every, F.map_keys("layers"))) == 0)
+    plan = _Plan(stacks, targets, folds, own_folds, curves)
+    if plan.rows is None:
+        return targets.sparkSession.createDataFrame([], f"target string, candidate int, {G.METRICS}")
+    sums = G.sums_of_products(plan.rows, cross=True)
+    return plan.named(G.mix_metrics(sums, mixes.join(F.broadcast(plan.names), "target"), plan.widths, n_layers, alpha, n_folds, curves))
 
 
 def _best_mix(found: DataFrame, mixes: DataFrame, layer_results: DataFrame, score: str) -> DataFrame:
-    first = Window.partitionBy("target").orderBy(F.round(score, 12).desc(), F.col("model").cast("int"))
-    best = found.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").withColumn("candidate", F.col("model").cast("int"))
+    first = Window.partitionBy("target").orderBy(F.round(score, 10).desc(), "candidate")
+    best = found.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
     single = layer_results.groupBy("target").agg(F.max(score).alias("single"))
     return best.join(mixes, ["target", "candidate"]).join(single, "target").withColumn("layer_weights", F.col("weights")).withColumn("r2_gain", F.col(score) - F.col("single"))
 
 
-def probe_mixes(features: DataFrame, targets: DataFrame, folds: DataFrame, layer_results: DataFrame, n_layers: int, alpha: float = 1.0, n_folds: int = 5) -> DataFrame:
+def probe_mixes(features: DataFrame, targets: DataFrame, folds: DataFrame, layer_results: DataFrame, n_layers: int, alpha: float = 1.0, n_folds: int = 5, own_folds: DataFrame | None = None) -> DataFrame:
     """(target, r2_score, correlation, rmse, n_valid, layer_weights, r2_gain): the best mix of layers of each scalar target."""
-    mixes = mix_candidates(layer_results, n_layers)
-    rows = _mixed(features, targets.where("y is not null").select("id", "target", F.array("y").alias("ys")), folds, mixes)
-    found = fit_metrics(_unkeyed(ridge_predictions(rows, alpha)), ["model", "target"], n_folds)
+    mixes = G.stored(mix_candidates(layer_results, n_layers), "mixes")
+    found = _probe_mixes(features, targets, folds, mixes, n_layers, alpha, n_folds, own_folds, False)
     return _best_mix(found, mixes, layer_results, "r2_score").select("target", "r2_score", "correlation", "rmse", "n_valid", "layer_weights", "r2_gain")
 
 
 def probe_curve_mixes(features: DataFrame, curves: DataFrame, folds: DataFrame, layer_results: DataFrame, n_layers: int, alpha: float = 1.0, n_folds: int = 5) -> DataFrame:
     """(target, r2_mean, rmse_mean, n_valid, layer_weights, r2_gain): the best mix of layers of each curve target, by r2_mean."""
-    mixes = mix_candidates(layer_results.withColumn("r2_score", F.col("r2_mean")), n_layers)
-    rows = _mixed(features, curves.where("curve is not null").select("id", "target", V.doubles(F.col("curve")).alias("ys")), folds, mixes)
-    found = _curve_metrics(_unkeyed(ridge_predictions(rows, alpha)), ["model", "target"], n_folds)
+    mixes = G.stored(mix_candidates(layer_results.withColumn("r2_score", F.col("r2_mean")), n_layers), "mixes")
+    found = _probe_mixes(features, curves.withColumn("curve", V.doubles(F.col("curve"))), folds, mixes, n_layers, alpha, n_folds, None, True)
     return _best_mix(found, mixes, layer_results, "r2_mean").select("target", "r2_mean", "rmse_mean", "n_valid", "layer_weights", "r2_gain")
 
 
@@ -335,7 +283,7 @@ def discover(features: DataFrame, targets: DataFrame, n_layers: int, folds: int
     present = curves.join(both, "id")
     shapes = valid_targets(present.select("target", F.when(F.col("curve").isNotNull(), 1.0).alias("y")), folds, scalar=False)
     kept = present.join(shapes.select("target"), "target")
-    layers = probe_curves(features, kept, fold_table, n_folds=folds)
+    layers = G.stored(probe_curves(features, kept, fold_table, n_folds=folds), "layers")
     found = _as_results(layers, "best_layer")
     if mixes:
         found = found.unionByName(_as_results(probe_curve_mixes(features, kept, fold_table, layers, n_layers, n_folds=folds), "weighted_sum"))
@@ -348,11 +296,11 @@ def discover_and_save(features: DataFrame, targets: DataFrame, n_layers: int, pa
     return features.sparkSession.read.parquet(path)
 
 
-def _discover(features, targets, fold_table, gate, n_layers, folds, mixes) -> DataFrame:
-    layers = probe_layers(features, targets, fold_table, n_folds=folds)
+def _discover(features, targets, fold_table, gate, n_layers, folds, mixes, own_folds=None) -> DataFrame:
+    layers = G.stored(probe_layers(features, targets, fold_table, n_folds=folds, own_folds=own_folds), "layers")
     out = _as_results(layers, "best_layer")
     if mixes:
-        out = out.unionByName(_as_results(probe_mixes(features, targets, fold_table, layers, n_layers, n_folds=folds), "weighted_sum"))
+        out = out.unionByName(_as_results(probe_mixes(features, targets, fold_table, layers, n_layers, n_folds=folds, own_folds=own_folds), "weighted_sum"))
     return out.join(gate.select("target", "coverage"), "target")
 
 
@@ -369,13 +317,18 @@ def align_segments(features: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def discover_segments(features: DataFrame, targets: DataFrame, n_layers: int, folds: int = 5, seed: int = 42, mixes: bool = True) -> DataFrame:
-    """As :func:`discover`, on segments, with all segments of a track in one fold; adds n_groups and n_tracks."""
+    """As :func:`discover`, on segments, with all segments of a track in one fold; adds n_groups and n_tracks.
+
+    A target with values in one track only is probed with ungrouped folds over its segments.
+    """
     rows = align_segments(features, targets)
     ys = rows.select("id", "track_id", "target", "y").distinct()
     groups = ys.where("y is not null").groupBy("target").agg(F.countDistinct("track_id").alias("n_groups"))
     gate = valid_targets(ys, folds)
     fold_table = grouped_kfold(ys.select("id", "track_id").distinct(), "id", "track_id", folds, seed)
-    found = _discover(rows.select("id", "layer", "vec").distinct(), ys.join(gate.select("target"), "target").select("id", "target", "y"), fold_table, gate, n_layers, folds, mixes)
+    own = folds_of_single_groups(ys.join(gate.select("target"), "target").select("target", "id", F.col("track_id").alias("group"), "y"), folds, seed)
+    own = G.stored(own, "folds")
+    found = _discover(rows.select("id", "layer", "vec").distinct(), ys.join(gate.select("target"), "target").select("id", "target", "y"), fold_table, gate, n_layers, folds, mixes, own)
     tracks = rows.agg(F.countDistinct("track_id").alias("n_tracks"))
     return found.join(groups, "target").join(F.broadcast(tracks))
 
