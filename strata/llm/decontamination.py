@@ -71,7 +71,7 @@ def _slots(bits: int) -> Column:
 
 
 def hash_set(windows: DataFrame, filter_bits: int = FILTER_BITS) -> np.ndarray:
-    """The windows' hashes as a set of bits, two for each; at most ``filter_bits`` / 64 words of it come to the driver."""
+    """The hashes of a table (hash) as a set of bits, two for each; at most ``filter_bits`` / 64 words of it come to the driver."""
     bits = min(filter_bits, max(64, 1 << (BITS_PER_WINDOW * windows.count()).bit_length()))
     slots = windows.select(F.explode(_slots(bits)).alias("slot"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
@@ -81,7 +81,8 @@ def hash_set(windows: DataFrame, filter_bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def _may_hold(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def may_hold(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in a set of :func:`hash_set`."""
     mask = np.uint64(64 * len(known) - 1)
     ok = np.ones(len(hashes), dtype=bool)
     for slot in (hashes & mask, (hashes >> np.uint64(32)) & mask):
@@ -101,7 +102,7 @@ def _scan(shared, lengths: list[int]):
                 raw = b""
                 for length in lengths:
                     at, hashes, doc = ws.windows(w, length)
-                    for k in np.flatnonzero(_may_hold(known, hashes)).tolist():
+                    for k in np.flatnonzero(may_hold(known, hashes)).tolist():
                         raw = raw or w.data.tobytes().translate(_LOWER)
                         i, first = int(doc[k]), int(at[k])
                         hits[i] = hits[i] or []

@@ -410,7 +410,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents link when 100 * |intersection| >= percent * |union| of their sets
     of ``size``-word shingles (words between white space, A-Z folded).  Texts
     without words, and null texts, link with nothing.  The component is the
-    smallest id reachable.  Rows with a null id, or one that is no integer, are
+    smallest id reachable.  Rows with a null id are
     kept, without a component; rows that share an id count as one document with
     several texts and are kept or dropped together.
     """

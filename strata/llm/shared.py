@@ -62,8 +62,13 @@ def plain(name: str) -> Column:
 
 
 def id_of(name: str) -> Column:
-    """An id column as a long; an id that is no integer counts as null."""
-    return plain(name).try_cast("long")
+    """An id column as a long; a null id stays null, and an id that is no integer ends the job with an error.
+
+    Ids such as URLs are given numbers first, for example ``xxhash64`` of the
+    URL, or the row number of a sorted table where the order of ids matters.
+    """
+    number = plain(name).try_cast("long")
+    return F.when(plain(name).isNotNull() & number.isNull(), F.raise_error(F.concat(F.lit(f"{name} is no integer: "), plain(name).cast("string")))).otherwise(number)
 
 
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -275,8 +275,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Returns (doc_id, mark, start, n): the ``n`` windows that start at word
     ``start`` and the words after it, in the text of that id and mark.  A row
-    may come more than once.  Rows with a null id, or one that is no integer,
-    take no part; a null text has no words.  Texts of fewer than ``width`` words
+    may come more than once.  Rows with a null id
+    take no part, an id that is no integer is an error; a null text has no words.  Texts of fewer than ``width`` words
     have no window.  Rows that share an id are texts of one document: none of
     them repeats another.
     """

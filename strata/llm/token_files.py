@@ -9,6 +9,7 @@ skips the stripes and row groups that can't hold it.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,16 +30,28 @@ _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer of this worker process, and its control strings."""
+    """The tokenizer of this worker process, its control strings, and whether it takes a text in spans."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        _tokenizers[path] = (t, [x.content.encode() for x in t.get_added_tokens_decoder().values()])
+        _tokenizers[path] = (t, [x.content.encode() for x in t.get_added_tokens_decoder().values()], splits_at_spans(t.to_str()))
     return _tokenizers[path]
 
 
+#: The normaliser and the pre-tokenizer of a lower-casing word tokenizer, as its file has them.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORDS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def splits_at_spans(description: str) -> bool:
+    """Whether :func:`spans` holds for a tokenizer, by its JSON: its words and case folding are the ones known to allow it, and it has no random choices."""
+    d = json.loads(description)
+    return d["normalizer"] == _NORMALIZER and d["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_WORDS, _BYTES]} and not d["model"].get("dropout") and not d["truncation"] and not d["padding"]
+
+
 def _letter_table() -> tuple[np.ndarray, np.ndarray]:
     b = np.arange(256)
     letter = ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122))
@@ -66,11 +79,24 @@ def spans(part: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.flatnonzero(is_text & stop) + 1
 
 
+def _whole(tokenizer, tail: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every text encoded as a whole, for tokenizers that may look across words or keep case; up to a slice of texts at a time."""
+    for b in batches:
+        for row, part, edge in ws.slices(b.column(1)):
+            raw = part.tobytes()
+            found = tokenizer.encode_batch_fast([raw[s:e].decode("utf-8", "replace") for s, e in zip(edge[:-1].tolist(), edge[1:].tolist())], add_special_tokens=False)
+            ids = pa.array([e.ids + tail for e in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(ids)), ids], names=["doc_id", "ids"])
+
+
 def _encode(path: str, end_id: int | None):
     tail = [] if end_id is None else [end_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, special = _tokenizer(path)
+        tokenizer, special, in_spans = _tokenizer(path)
+        if not in_spans:
+            yield from _whole(tokenizer, tail, batches)
+            return
         # One pool for each task: an idle worker process keeps none of it.
         pool = IdPool(lambda found: [e.ids for e in tokenizer.encode_batch_fast([s.decode("utf-8", "replace") for s in found], add_special_tokens=False)], limit=400_000)
         value, second = ws.byte_values(lower=True), ws.byte_values(lower=True, seed=29)
@@ -98,8 +124,10 @@ def _encode(path: str, end_id: int | None):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, partitions: int | None = None) -> None:
     """Encode every text and write (doc_id, ids) as ORC files in ascending id order.
 
-    A null text is empty; a null id, or one that is no integer, sorts first as
-    null; rows that share an id are all written.  ``end_id`` is put after each document unless it is None.
+    A null text is empty; a null id sorts first, and an id that is no integer is
+    an error; rows that share an id are all written.  ``end_id`` is put after each
+    document unless it is None.  Texts go to the tokenizer in spans where it is
+    known to take them so, and whole otherwise.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed_text(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")

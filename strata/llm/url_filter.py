@@ -14,9 +14,12 @@ are below its threshold, and splits a key that many captures share if not.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strata.llm.decontamination import hash_set, may_hold
 from strata.llm.shared import plain, stored, table
 
 ACTIONS = ("block", "allow", "remove")
@@ -73,23 +76,36 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str, url_col: s
     """Per capture: id, host, n_active (active entries), n_block, n_allow, blocked.
 
     A capture with a null or odd URL, or a null day, meets no entry and is not
-    blocked.  Captures that share an id, URL and day give one row.
+    blocked.  Captures that share an id, URL and day give one row, with each
+    active entry once.  Keys of captures that no entry has, such as those of
+    whole top-level domains, are dropped before the join by a set of bits of the
+    list's keys, of a bounded size; what it lets through by chance meets nothing.
     """
     spans = stored(validity_intervals(entries), "intervals")
+    listed = hash_set(spans.select(_key_hash(F.col("scope"), F.col("key")).alias("hash")).distinct())
+    shared = captures.sparkSession.sparkContext.broadcast(listed)
+
+    @F.pandas_udf("boolean")
+    def may_be_listed(hashes: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(shared.value, hashes.to_numpy().view(np.uint64)))
+
     seen = captures.select(plain(id_col).alias("id"), plain(url_col).cast("string").alias("url"), plain(day_col).try_cast("int").alias("day")).withColumn("host", host_of(F.col("url")))
     keys = seen.select("id", "day", "url", F.explode(capture_keys(F.col("host"), canonical_url(F.col("url")))).alias("k")).select("id", "day", "url", "k.scope", "k.key")
+    keys = keys.where(may_be_listed(_key_hash(F.col("scope"), F.col("key"))))
     active = keys.join(spans, ["scope", "key"]).where((F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))
     hits = active.select("id", "day", "url", F.lit(None).cast("string").alias("host"), F.lit(1).alias("n"), F.col("action"))
     rows = seen.select("id", "day", "url", "host", F.lit(0).alias("n"), F.lit(None).cast("string").alias("action")).unionByName(hits)
+    total = lambda test: (F.count_if(test) / F.count_if(F.col("n") == 0)).cast("long")  # noqa: E731  each copy of a capture has met the same entries
     counted = rows.groupBy("id", "url", "day").agg(
-        F.max("host").alias("host"),
-        F.sum("n").cast("long").alias("n_active"),
-        F.count_if(F.col("action") == "block").cast("long").alias("n_block"),
-        F.count_if(F.col("action") == "allow").cast("long").alias("n_allow"),
-    )
+        F.max("host").alias("host"), total(F.col("n") == 1).alias("n_active"), total(F.col("action") == "block").alias("n_block"), total(F.col("action") == "allow").alias("n_allow"),
+    )
     return counted.select("id", "url", "day", "host", "n_active", "n_block", "n_allow", ((F.col("n_block") > 0) & (F.col("n_allow") == 0)).alias("blocked"))
 
 
+def _key_hash(scope: Column, key: Column) -> Column:
+    return F.xxhash64(scope, key)
+
+
 def _fetched(pages: DataFrame) -> DataFrame:
     """Captures with a fetch day of the year derived from the page id."""
     return pages.select("page_id", "url", F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int").alias("fetch_day"))

@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from strata.llm import chat_format, hamming_search, language_id, piece_coding, url_filter
+from strata.llm import chat_format, decontamination, hamming_search, language_id, near_dedup, piece_coding, substring_dedup, url_filter
 from strata.llm.shared import table
 from strata.plans.session import ship
 
@@ -34,10 +34,23 @@ def test_empty_tables(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     model = piece_coding.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
     assert piece_coding.code_pieces(none("doc_id long, text string"), model).count() == 0
-    odd = spark.createDataFrame([("doc-a", "hi"), (None, None), ("5", "x" * 100_000)], "id string, text string").select(F.col("id").alias("a.id"), "text", F.lit(1).alias("ids"))
+    odd = spark.createDataFrame([(None, "hi"), (None, None), ("5", "x" * 100_000)], "id string, text string").select(F.col("id").alias("a.id"), "text", F.lit(1).alias("ids"))
     assert sorted((r.doc_id or 0, len(r.decoded)) for r in piece_coding.code_pieces(odd, model, id_col="a.id").collect()) == [(0, 0), (0, 2), (5, 100_000)]
 
 
+def test_ids_that_are_no_integers_are_errors_and_not_nulls(spark):
+    """Near copies under such ids must not pass through undeduplicated without a word."""
+    ship(spark)
+    docs = spark.createDataFrame([(f"doc-{x}", "one two three four five six " * 20) for x in "abc"], "doc_id string, text string")
+    benchmark = spark.createDataFrame([("i", "one two three")], "item_id string, text string")
+    for run in (near_dedup.near_dedup, near_dedup.drop_near_duplicates, substring_dedup.substring_dedup, substring_dedup.remove_repeats):
+        with pytest.raises(Exception, match="is no integer: doc-"):
+            run(docs).collect()
+    assert decontamination.decontaminate(docs.union(spark.createDataFrame([("doc-d", "one")], docs.schema)), benchmark).collect() == [("doc-d", "one")]  # judges rows, not ids
+    numbered = docs.withColumn("doc_id", F.xxhash64("doc_id"))
+    assert near_dedup.drop_near_duplicates(numbered).count() == 1
+
+
 def test_languages_over_several_passes_ties_and_columns(spark):
     ship(spark)
     taught = spark.createDataFrame([("aab", "bb"), ("aab", "aa"), ("xyz zyx", "cc"), ("quq", "dd")], "text string, lang string")
@@ -114,4 +127,14 @@ def test_captures_with_odd_columns(spark):
     entries = spark.createDataFrame([("host", "a.org", "block", "3"), ("host", "a.org", "allow", "x"), ("host", "a.org", "block", "3")], "scope string, key string, action string, day string")
     caps = spark.createDataFrame([("p", "http://a.org/" + "x" * 100_000, "4"), ("p", "http://a.org/", "2"), ("p", "http://a.org/", "2"), (None, "http://a.org", "n")], "id string, url string, day string").withColumnsRenamed({"id": "c.id", "url": "c.url"})
     out = url_filter.filter_urls(caps, entries, "c.id", "c.url", "day")
+    assert {r.n_active for r in out.where("id = 'p' and day = '2'").collect()} == {0}
     assert sorted((str(r.id), len(r.url), r.blocked) for r in out.collect()) == [("None", 12, False), ("p", 13, False), ("p", 100_013, True)]
+
+
+def test_repeated_captures_meet_each_entry_once(spark):
+    ship(spark)
+    entries = spark.createDataFrame([("host", "a.org", "block", 3), ("domain", "org", "allow", 1), ("domain", "com", "block", 9)], "scope string, key string, action string, day int")
+    rows = [(1, "http://a.org/x", 5)] * 3 + [(1, "http://a.org/x", 2), (2, "http://a.org/x", 5), (3, "http://b.com/", 5), (3, "http://b.com/", 5)]
+    out = url_filter.filter_urls(spark.createDataFrame(rows, "id int, url string, d int").repartition(4), entries, "id", "url", "d")
+    found = {(r.id, r.day): (r.n_active, r.n_block, r.n_allow, r.blocked) for r in out.collect()}
+    assert found == {(1, 5): (2, 1, 1, False), (1, 2): (1, 0, 1, False), (2, 5): (2, 1, 1, False), (3, 5): (0, 0, 0, False)} and out.count() == 4

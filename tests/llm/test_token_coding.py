@@ -122,3 +122,33 @@ def test_token_files_of_edge_rows(spark):
     assert [g[1] for g in sorted(got, key=lambda g: g[1])] == [sum(x[2] for x in sorted(got, key=lambda g: g[1])[:k]) for k in range(6)]
     token_files.write_token_files(docs.limit(0), path + "-none", public_tokenizers.path("word_bpe_49k.json"), id_col="d.id")
     assert token_files.token_file_index(spark, path + "-none").count() == 0
+
+
+@pytest.mark.parametrize("lower", [False, True])
+def test_tokenizers_that_take_no_spans_get_whole_texts(spark, tmp_path, lower):
+    """A word tokenizer that keeps case, and one whose words have signs inside."""
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    ship(spark)
+    t = Tokenizer(models.WordLevel({"?": 0, "Apple": 1, "apple": 2, "a.b": 3, "pie": 4}, unk_token="?"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    if lower:
+        t.normalizer = normalizers.Lowercase()
+    t.save(str(tmp_path / "t.json"))
+    texts = ["Apple apple pie", "a.b pie", "", None, "pie " * 5000, "apple a.b"]
+    path = new_path(spark, "tokens")
+    token_files.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, str(tmp_path / "t.json"), end_id=9)
+    found = {r.doc_id: r.ids for r in token_files.read_token_files(spark, path).collect()}
+    assert found == {i: [*t.encode(x or "").ids, 9] for i, x in enumerate(texts)}
+    assert found[0] == ([2, 2, 4, 9] if lower else [1, 2, 4, 9]) and found[1] == [3, 4, 9]
+
+
+def test_spans_are_used_for_the_known_tokenizer_only():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import json
+
+    known = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    assert token_files.splits_at_spans(json.dumps(known))
+    known["normalizer"]["normalizers"].pop()
+    assert not token_files.splits_at_spans(json.dumps(known))
+    assert not token_files.splits_at_spans(json.dumps(json.load(open(public_tokenizers.path("byte_bpe_50k.json")))))
