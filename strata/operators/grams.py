@@ -76,14 +76,15 @@ def _sum_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield rows()
 
 
-def sums_of_products(rows: DataFrame, cross: bool = False) -> DataFrame:
+def sums_of_products(rows: DataFrame, n: int, cross: bool = False) -> DataFrame:
     """(model, a, b, fold, gap, i, row) of rows (model, fold, id, layers map of layer to vector, ys, gaps).
 
     ``gaps`` are the places of the targets that the row lacks.  With gap -1 the
     matrix is that of all rows; else of those that lack that target.  With
-    ``cross`` there is a block for each pair of layers.
+    ``cross`` there is a block for each pair of layers.  ``n`` is about the number
+    of rows, which sets the parts that they are dealt to.
     """
-    parts = max(1, -(-rows.count() // PART_ROWS))
+    parts = max(1, -(-n // PART_ROWS))
     keyed = rows.select("model", "fold", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "layers", "ys", F.explode(F.concat(F.array(F.lit(-1)), "gaps")).alias("gap"))
     one = keyed.select(*("model", "fold", "part", "gap", "ys"), "layers", F.explode("layers").alias("a", "left"))
     if cross:

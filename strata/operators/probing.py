@@ -156,7 +156,7 @@ class _Plan:
         self.models = {f"block{i}": b for i, b in enumerate(blocks)} | {f"own{i}": [x] for i, x in enumerate(x for x in sizes if x[0] in apart)}
         self.widths = {m: [w for _, w in b] for m, b in self.models.items()}
         self.names = targets.sparkSession.createDataFrame([(m, t, n) for m, b in self.models.items() for t, (n, _) in enumerate(b)], "model string, t int, target string")
-        self.rows = None
+        self.rows, self.n = None, folds.count()
         for model, block in self.models.items():
             names, widths = [n for n, _ in block], [w for _, w in block]
             part = known.where(F.col("target").isin(names))
@@ -179,7 +179,7 @@ def _probe(features: DataFrame, targets: DataFrame, folds: DataFrame, alpha: flo
     plan = _Plan(_layer_maps(features), targets, folds, own_folds, curves)
     if plan.rows is None:
         return targets.sparkSession.createDataFrame([], f"layer int, target string, {G.METRICS}")
-    return plan.named(G.layer_metrics(G.sums_of_products(plan.rows), plan.widths, alpha, n_folds, curves))
+    return plan.named(G.layer_metrics(G.sums_of_products(plan.rows, plan.n), plan.widths, alpha, n_folds, curves))
 
 
 def probe_layers(features: DataFrame, targets: DataFrame, folds: DataFrame, alpha: float = 1.0, n_folds: int = 5, own_folds: DataFrame | None = None) -> DataFrame:
@@ -224,7 +224,7 @@ def _probe_mixes(features: DataFrame, targets: DataFrame, folds: DataFrame, mixe
     plan = _Plan(stacks, targets, folds, own_folds, curves)
     if plan.rows is None:
         return targets.sparkSession.createDataFrame([], f"target string, candidate int, {G.METRICS}")
-    sums = G.sums_of_products(plan.rows, cross=True)
+    sums = G.sums_of_products(plan.rows, plan.n, cross=True)
     return plan.named(G.mix_metrics(sums, mixes.join(F.broadcast(plan.names), "target"), plan.widths, n_layers, alpha, n_folds, curves))
 
 
@@ -275,7 +275,7 @@ def discover(features: DataFrame, targets: DataFrame, n_layers: int, folds: int
         features = features.join(first_ids(features, n_samples), "id", "left_semi")
     with_target = targets.select("id") if curves is None else targets.select("id").union(curves.select("id"))
     both = features.select("id").distinct().intersect(with_target.distinct())
-    fold_table, known = kfold(both, "id", folds, seed), targets.join(both, "id")
+    fold_table, known = G.stored(kfold(both, "id", folds, seed), "folds"), targets.join(both, "id")
     gate = valid_targets(known, folds)
     out = _discover(features, known.join(gate.select("target"), "target"), fold_table, gate, n_layers, folds, mixes)
     if curves is None:
@@ -325,7 +325,7 @@ def discover_segments(features: DataFrame, targets: DataFrame, n_layers: int, fo
     ys = rows.select("id", "track_id", "target", "y").distinct()
     groups = ys.where("y is not null").groupBy("target").agg(F.countDistinct("track_id").alias("n_groups"))
     gate = valid_targets(ys, folds)
-    fold_table = grouped_kfold(ys.select("id", "track_id").distinct(), "id", "track_id", folds, seed)
+    fold_table = G.stored(grouped_kfold(ys.select("id", "track_id").distinct(), "id", "track_id", folds, seed), "folds")
     own = folds_of_single_groups(ys.join(gate.select("target"), "target").select("target", "id", F.col("track_id").alias("group"), "y"), folds, seed)
     own = G.stored(own, "folds")
     found = _discover(rows.select("id", "layer", "vec").distinct(), ys.join(gate.select("target"), "target").select("id", "target", "y"), fold_table, gate, n_layers, folds, mixes, own)

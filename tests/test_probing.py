@@ -64,11 +64,11 @@ def test_matrices_do_not_grow_with_patterns(spark, gappy):
     ship(spark)
     x, y, feats, ys = gappy
     plan = R._Plan(R._layer_maps(feats), ys, R.kfold(feats.select("id")), None, False)
-    sums = G.sums_of_products(plan.rows)
+    sums = G.sums_of_products(plan.rows, plan.n)
     keys = sums.select("model", "a", "b", "fold", "gap").distinct().count()
     patterns = len({tuple(np.isnan(r)) for r in y})
     assert patterns > 100 and keys <= 3 * 5 * (1 + 20)
-    cross = G.sums_of_products(plan.rows, cross=True).where("gap < 0").select("a", "b", "fold").distinct().count()
+    cross = G.sums_of_products(plan.rows, plan.n, cross=True).where("gap < 0").select("a", "b", "fold").distinct().count()
     assert cross == 6 * 5
 
 
