@@ -96,20 +96,20 @@ def t8(s, d):
     return _r(T.tonal_tension(views.chroma(s, d)), "x")
 
 
-@query("t8_tension_curve", ", n as (select track_id, frame, pc, energy / sum(energy) over (partition by track_id, frame) as p from v_chroma), k as (select unnest([1, 2, 3, 4, 5, 6]) as k, unnest([3.0, 8.0, 11.5, 15.0, 14.5, 7.5]) as r), f as (select track_id, frame, k, r::double as r, sum(p * cos(-2 * pi() * k * pc / 12)) as re, sum(p * sin(-2 * pi() * k * pc / 12)) as im from n, k group by all), q as (select track_id, frame, sqrt(sum((re * re + im * im) * r * r)) as x from f group by track_id, frame), g as (select t.track_id, t.i::int as frame, coalesce(q.x, 0) as x from (select distinct track_id, i from q, (select unnest(range(60)) as i)) t left join q on q.track_id = t.track_id and q.frame = t.i), z as (select *, avg(x) over p as m, stddev_pop(x) over p as sd from g window p as (partition by track_id)) select track_id, frame, round(case when sd < 1e-6::double then 0 else (x - m) / (sd + 1e-6::double) end, 6) as x from z")
+@query("t8_tension_curve", ", n0 as (select track_id, count(distinct frame) as hops from v_chroma group by 1), b as (select track_id, pc, case when hops <= 20 then frame else least(frame * 20 // hops, 19) end as frame, avg(energy) as energy from v_chroma join n0 using (track_id) group by all), n as (select t.track_id, t.i::int as frame, t.pc, coalesce(energy, 0) / nullif(sum(coalesce(energy, 0)) over (partition by t.track_id, t.i), 0) as p from (select distinct track_id, pc, i from v_chroma, (select unnest(range(20)) as i)) t left join b on b.track_id = t.track_id and b.frame = t.i and b.pc = t.pc), k as (select unnest([1, 2, 3, 4, 5, 6]) as k, unnest([3.0, 8.0, 11.5, 15.0, 14.5, 7.5]) as r), f as (select track_id, frame, k, r::double as r, sum(coalesce(p, 0) * cos(-2 * pi() * k * pc / 12)) as re, sum(coalesce(p, 0) * sin(-2 * pi() * k * pc / 12)) as im from n, k group by all), q as (select track_id, frame, sqrt(sum((re * re + im * im) * r * r)) as x from f group by track_id, frame), z as (select *, min(x) over p as lo, max(x) over p as hi from q window p as (partition by track_id)) select track_id, frame, round(case when hi > lo then (x - lo) / (hi - lo) else 0 end, 6) as x from z")
 def t8_curve(s, d):
-    return _r(T.tension_curve(views.chroma(s, d)), "x")
+    return _r(T.tension_curve(views.chroma(s, d), 20), "x")
 
 
-@query("t9_novelty", ", v as (select track_id, frame, list(energy order by pc) as v from v_chroma group by all), o as (select unnest([-8, -7, -6, -5, -4, -3, -2, -1, 1, 2, 3, 4, 5, 6, 7, 8]) as o, unnest(range(16)) - 8 as p), w as (select a.p as x, b.p as y, exp(-0.5::double * (a.o / 4::double) * (a.o / 4::double)) * exp(-0.5::double * (b.o / 4::double) * (b.o / 4::double)) * sign(a.o) * sign(b.o) as w from o a, o b), t as (select track_id, frame, max(frame) over (partition by track_id) as z from v), n as (select t.track_id, t.frame, sum(w * list_cosine_similarity(a.v, b.v)) as x from t, w join v a on a.track_id = t.track_id and a.frame = t.frame + x join v b on b.track_id = t.track_id and b.frame = t.frame + y where t.frame >= 8 and t.frame <= z - 7 group by all) select t.track_id, t.frame, round(greatest(coalesce(x, 0), 0), 6) as x from t left join n using (track_id, frame)")
+@query("t9_novelty", ", v as (select track_id, frame, list(energy order by pc) as v from v_chroma group by all), o as (select unnest([-8, -7, -6, -5, -4, -3, -2, -1, 1, 2, 3, 4, 5, 6, 7, 8]) as o, unnest(range(16)) - 8 as p), w as (select a.p as x, b.p as y, exp(-(a.o * a.o + b.o * b.o) / 64::double) * sign(a.o) * sign(b.o) as w from o a, o b), t as (select track_id, frame, max(frame) over (partition by track_id) as z from v), n as (select t.track_id, t.frame, sum(w * list_cosine_similarity(a.v, b.v)) as x from t, w join v a on a.track_id = t.track_id and a.frame = t.frame + x join v b on b.track_id = t.track_id and b.frame = t.frame + y where t.frame >= 8 and t.frame <= z - 7 group by all) select t.track_id, t.frame, round(coalesce(x, 0), 6) as x from t left join n using (track_id, frame)")
 def t9(s, d):
     return _r(T.novelty(views.chroma(s, d)), "x")
 
 
-_NOVELTY = "v{n} as (select track_id, frame, list(energy order by pc) as v from {src} group by all), t{n} as (select track_id, frame, max(frame) over (partition by track_id) as z from v{n}), r{n} as (select t{n}.track_id, t{n}.frame, sum(w * list_cosine_similarity(a.v, b.v)) as x from t{n}, w join v{n} a on a.track_id = t{n}.track_id and a.frame = t{n}.frame + x join v{n} b on b.track_id = t{n}.track_id and b.frame = t{n}.frame + y where t{n}.frame >= 8 and t{n}.frame <= z - 7 group by all), f{n} as (select t{n}.track_id, t{n}.frame, greatest(coalesce(x, 0), 0) as x from t{n} left join r{n} using (track_id, frame)), p{n} as (select track_id, frame, case when max(x) over (partition by track_id) > 0 then x / max(x) over (partition by track_id) else 0 end as x, count(*) over (partition by track_id) as frames from f{n})"
+_NOVELTY = "v{n} as (select track_id, frame, list(energy order by pc) as v from {src} group by all), t{n} as (select track_id, frame, max(frame) over (partition by track_id) as z from v{n}), r{n} as (select t{n}.track_id, t{n}.frame, sum(w * list_cosine_similarity(a.v, b.v)) as x from t{n}, w join v{n} a on a.track_id = t{n}.track_id and a.frame = t{n}.frame + x join v{n} b on b.track_id = t{n}.track_id and b.frame = t{n}.frame + y where t{n}.frame >= 8 and t{n}.frame <= z - 7 group by all), f{n} as (select t{n}.track_id, t{n}.frame, coalesce(x, 0) as x from t{n} left join r{n} using (track_id, frame)), p{n} as (select track_id, frame, case when max(x) over (partition by track_id) > 0 then x / max(x) over (partition by track_id) else 0 end as x, count(*) over (partition by track_id) as frames from f{n})"
 
 
-@query("t9_novelty_curve", ", o as (select unnest([-8, -7, -6, -5, -4, -3, -2, -1, 1, 2, 3, 4, 5, 6, 7, 8]) as o, unnest(range(16)) - 8 as p), w as (select a.p as x, b.p as y, exp(-0.5::double * (a.o / 4::double) * (a.o / 4::double)) * exp(-0.5::double * (b.o / 4::double) * (b.o / 4::double)) * sign(a.o) * sign(b.o) as w from o a, o b), v_other as (select vec_id // 50 as track_id, (vec_id % 50)::int as frame, i::int as pc, abs(embedding[i + 21]::double) as energy from embeddings, (select unnest(range(12)) as i)), " + _NOVELTY.format(n=1, src="v_chroma") + ", " + _NOVELTY.format(n=2, src="v_other") + " select p1.track_id, (p1.frame // (p1.frames // 10))::int as frame, round(avg((p1.x + p2.x) / 2), 6) as x from p1 join p2 on p1.track_id = p2.track_id and p1.frame = p2.frame where p1.frame < p1.frames // 10 * 10 group by 1, 2")
+@query("t9_novelty_curve", ", o as (select unnest([-8, -7, -6, -5, -4, -3, -2, -1, 1, 2, 3, 4, 5, 6, 7, 8]) as o, unnest(range(16)) - 8 as p), w as (select a.p as x, b.p as y, exp(-(a.o * a.o + b.o * b.o) / 64::double) * sign(a.o) * sign(b.o) as w from o a, o b), v_other as (select vec_id // 50 as track_id, (vec_id % 50)::int as frame, i::int as pc, abs(embedding[i + 21]::double) as energy from embeddings, (select unnest(range(12)) as i)), " + _NOVELTY.format(n=1, src="v_chroma") + ", " + _NOVELTY.format(n=2, src="v_other") + " select p1.track_id, (p1.frame // (p1.frames // 10))::int as frame, round(avg((p1.x + p2.x) / 2), 6) as x from p1 join p2 on p1.track_id = p2.track_id and p1.frame = p2.frame where p1.frame < p1.frames // 10 * 10 group by 1, 2")
 def t9_curve(s, d):
     return _r(T.novelty_curve(views.chroma(s, d), views.chroma(s, d, 20), 10), "x")
 
@@ -124,12 +124,12 @@ def t10_curve(s, d):
     return _points(T.tempo_curve(views.tempogram(s, d), 100.0, 5.0))
 
 
-@query("t11_performance_tempo", ", g as (select track_id, frame from (select track_id from v_notes group by 1 having count(*) >= 4), (select unnest(range(60)) as frame)), n as (select g.track_id, g.frame, onset, onset - lag(onset) over (partition by g.track_id, g.frame order by onset, seq) as ioi from g join v_notes v on v.track_id = g.track_id and onset >= frame * 0.5::double - 1 and onset <= frame * 0.5::double + 1), p as (select track_id, frame, log2(least(greatest(60 / median(ioi), 40), 240) / 60) as v from n group by all having count(*) >= 3 and median(ioi) > 0) select track_id, frame::int as frame, round(coalesce(last_value(v ignore nulls) over (partition by track_id order by frame rows unbounded preceding), 1), 6) as x from g left join p using (track_id, frame)")
+@query("t11_performance_tempo", ", g as (select track_id, frame from (select track_id from v_notes group by 1 having count(*) >= 4), (select unnest(range(60)) as frame)), n as (select g.track_id, g.frame, onset, onset - lag(onset) over (partition by g.track_id, g.frame order by onset, seq) as ioi from g join v_notes v on v.track_id = g.track_id and onset >= (frame + 0.5::double) * 0.5::double - 1 and onset <= (frame + 0.5::double) * 0.5::double + 1), p as (select track_id, frame, log2(least(greatest(60 / median(ioi), 40), 240) / 60) as v from n group by all having count(*) >= 3 and median(ioi) > 0) select track_id, frame::int as frame, round(coalesce(last_value(v ignore nulls) over (partition by track_id order by frame rows unbounded preceding), 1), 6) as x from g left join p using (track_id, frame)")
 def t11(s, d):
     return _r(T.performance_tempo(views.notes(s, d)), "x")
 
 
-@query("t11_tempo_curve", ", g as (select track_id, frame from (select track_id from v_notes group by 1 having count(*) >= 4), (select unnest(range(60)) as frame)), n as (select g.track_id, g.frame, onset, onset - lag(onset) over (partition by g.track_id, g.frame order by onset, seq) as ioi from g join v_notes v on v.track_id = g.track_id and onset >= frame * 0.5::double - 1 and onset <= frame * 0.5::double + 1), p as (select track_id, frame, log2(least(greatest(60 / median(ioi), 40), 240) / 60) as v from n group by all having count(*) >= 3 and median(ioi) > 0), c as (select track_id, frame, coalesce(last_value(v ignore nulls) over (partition by track_id order by frame rows unbounded preceding), 1) as x from g left join p using (track_id, frame)) select a.track_id, a.frame::int as frame, round(median(b.x), 6) as x from c a, (select unnest([-1, 0, 1]) as k) join c b on b.track_id = a.track_id and b.frame = least(greatest(a.frame + k, 0), 59) group by all")
+@query("t11_tempo_curve", ", g as (select track_id, frame from (select track_id from v_notes group by 1 having count(*) >= 4), (select unnest(range(60)) as frame)), n as (select g.track_id, g.frame, onset, onset - lag(onset) over (partition by g.track_id, g.frame order by onset, seq) as ioi from g join v_notes v on v.track_id = g.track_id and onset >= (frame + 0.5::double) * 0.5::double - 1 and onset <= (frame + 0.5::double) * 0.5::double + 1), p as (select track_id, frame, log2(least(greatest(60 / median(ioi), 40), 240) / 60) as v from n group by all having count(*) >= 3 and median(ioi) > 0), c as (select track_id, frame, coalesce(last_value(v ignore nulls) over (partition by track_id order by frame rows unbounded preceding), 1) as x from g left join p using (track_id, frame)) select a.track_id, a.frame::int as frame, round(median(b.x), 6) as x from c a, (select unnest([-1, 0, 1]) as k) join c b on b.track_id = a.track_id and b.frame = least(greatest(a.frame + k, 0), 59) group by all")
 def t11_curve(s, d):
     return _points(T.performance_tempo_curve(views.notes(s, d)))
 
@@ -148,17 +148,17 @@ def t13(s, d):
     return _r(T.expressivity(views.notes(s, d)), "velocity_std", "log_ioi_std")
 
 
-@query("t13_midi_scalars", _T13 + ", g as (select track_id, k * (0.5::double / 5) as t from (select distinct track_id from v_notes), (select unnest(range(300)) as k)), p as (select g.track_id, avg(coalesce((c.value >= 64)::int, 0)) as ratio from g asof left join v_controls c on g.track_id = c.track_id and g.t >= c.t group by 1) select track_id, velocity_std as midi_velocity_std, log_ioi_std as midi_ioi_std, round(ratio, 6) as midi_pedal_ratio from e join p using (track_id)")
+@query("t13_midi_scalars", _T13 + ", g as (select track_id, (k + 0.5::double) * (0.5::double / 5) as t from (select distinct track_id from v_notes), (select unnest(range(300)) as k)), p as (select g.track_id, avg(coalesce((c.value >= 64)::int, 0)) as ratio from g asof left join v_controls c on g.track_id = c.track_id and g.t >= c.t group by 1) select track_id, velocity_std as midi_velocity_std, log_ioi_std as midi_ioi_std, round(ratio, 6) as midi_pedal_ratio from e join p using (track_id)")
 def t13_midi(s, d):
     tracks = views.notes(s, d).select("track_id").distinct().withColumn("duration", F.lit(30.0))
     return _r(T.midi_scalars(views.notes(s, d), views.controls(s, d), tracks, sub=5), "midi_velocity_std", "midi_ioi_std", "midi_pedal_ratio")
 
 
-@query("t14_align_notes", ", u as (select *, max(onset) over (partition by track_id) - 1 as z from v_notes) select track_id, seq, round(least(onset + dur, z), 6) as offset, row_number() over (partition by track_id order by onset, seq)::int as place from u where onset <= z")
+@query("t14_align_notes", ", u as (select *, max(onset) over (partition by track_id) as z from v_notes) select track_id, seq, round(least(onset + dur, z), 6) as offset, row_number() over (partition by track_id order by onset, seq)::int as place from u where onset <= z")
 def t14(s, d):
-    """Each track ends a second before its last onset."""
+    """Each track ends with its last onset, so that notes that ring on are cut."""
     n = views.notes(s, d)
-    return _r(T.align_notes(n, n.groupBy("track_id").agg((F.max("onset") - 1).alias("duration"))).select("track_id", "seq", "offset", "place"), "offset")
+    return _r(T.align_notes(n, n.groupBy("track_id").agg((F.max("onset")).alias("duration"))).select("track_id", "seq", "offset", "place"), "offset")
 
 
 @query("t14_piano_roll", ", p as (select track_id, velocity % 12 as pitch, velocity, unnest(range(floor(onset * 4)::bigint, greatest(floor(onset * 4), ceil((onset + dur) * 4) - 1)::bigint + 1)) as frame from v_notes) select track_id, pitch, frame::int as frame, max(velocity) as velocity from p where frame < 128 group by all")
@@ -173,13 +173,14 @@ def j6(s, d):
     return T.pedal_state(views.controls(s, d), grid)
 
 
-@query("t15_pedal_curve", ", g as (select track_id, k // 5 as frame, k * (0.5::double / 5) as t from (select distinct track_id from v_notes), (select unnest(range(300)) as k)), p as (select g.track_id, frame, g.t, coalesce((c.value >= 64)::int, 0) as on from g asof left join v_controls c on g.track_id = c.track_id and g.t >= c.t) select track_id, frame::int as frame, round(avg(case when t < 25 then p.on else 0 end), 6) as x from p group by track_id, frame")
+@query("t15_pedal_curve", ", g as (select track_id, k // 5 as frame, (k + 0.5::double) * (0.5::double / 5) as t from (select distinct track_id from v_notes), (select unnest(range(300)) as k)), p as (select g.track_id, frame, g.t, coalesce((c.value >= 64)::int, 0) as on from g asof left join v_controls c on g.track_id = c.track_id and g.t >= c.t) select track_id, frame::int as frame, round(avg(case when t < z then p.on else 0 end), 6) as x from p join (select track_id, max(onset + dur) as z from v_notes group by 1) using (track_id) group by track_id, frame")
 def t15(s, d):
-    tracks = views.notes(s, d).select("track_id").distinct().withColumn("duration", F.lit(25.0))
+    """Each track ends when its last note does."""
+    tracks = views.notes(s, d).groupBy("track_id").agg(F.max(F.col("onset") + F.col("dur")).alias("duration"))
     return _r(T.pedal_curve(views.controls(s, d), tracks, sub=5), "x")
 
 
-@query("t16_monotonic_runs", ", a as (select *, lag(x) over w as p, sign(x - lag(x) over w) as sg from v_sig window w as (partition by track_id order by frame)), b as (select *, case when lag(sg) over w = sg then 0 else 1 end as nw from a window w as (partition by track_id order by frame)), c as (select *, sum(nw) over (partition by track_id order by frame) as run from b), r as (select track_id, run, sg, count(*) + 1 as n, min(frame) as st, abs(arg_max(x, frame) - arg_min(p, frame)) * (count(*) + 1) as size from c where sg <> 0 group by all), k as (select *, row_number() over (partition by track_id, sg order by n desc, st) as o from r) select track_id, round(max(size) filter (where sg = 1), 6) as rise, round(max(size) filter (where sg = -1), 6) as fall from k where o = 1 group by 1")
+@query("t16_monotonic_runs", ", a as (select *, lag(x) over w as p, sign(x - lag(x) over w) as sg from v_sig window w as (partition by track_id order by frame)), b as (select *, case when lag(sg) over w = sg then 0 else 1 end as nw from a window w as (partition by track_id order by frame)), c as (select *, sum(nw) over (partition by track_id order by frame) as run from b), r as (select track_id, run, sg, count(*) as n, min(frame) as st, abs(arg_max(x, frame) - arg_min(p, frame)) * count(*) as size from c where sg <> 0 group by all), k as (select *, row_number() over (partition by track_id, sg order by n desc, st) as o from r) select track_id, round(max(size) filter (where sg = 1), 6) as rise, round(max(size) filter (where sg = -1), 6) as fall from k where o = 1 group by 1")
 def t16(s, d):
     return _r(T.monotonic_runs(views.signals(s, d)), "rise", "fall")
 
@@ -215,15 +216,17 @@ def t20(s, d):
     return _r(T.key_profile(views.chroma(s, d)), "r")
 
 
-@query("t20_chroma_scalars", ", f as (select *, abs(energy - lag(energy) over (partition by track_id, pc order by frame)) as d from v_chroma), a as (select track_id, avg(d) as change, 1 / (1 + var_pop(energy)) as stability from f group by 1), e as (select track_id, pc, avg(energy) as e from v_chroma group by all), p as (select track_id, e / sum(e) over (partition by track_id) as p from e), b as (select track_id, -sum(p * ln(p + 1e-8::double)) as entropy from p group by 1) select track_id, round(change, 6) as change, round(stability, 6) as stability, round(entropy, 6) as entropy from a join b using (track_id)")
+@query("t20_chroma_scalars", ", f as (select track_id, frame, abs(lead(energy) over (partition by track_id, pc order by frame) - energy) as d from v_chroma), e as (select track_id, pc, avg(energy) as e from v_chroma group by all), p as (select track_id, e / (sum(e) over (partition by track_id) + 1e-8::double) as p from e) select 'change' as field, track_id, frame as i, round(avg(d), 6) as x from f where d is not null group by 2, 3 union all select 'stability', track_id, pc, round(1 / (1 + var_pop(energy)), 6) from v_chroma group by 2, 3 union all select 'complexity', track_id, 0, round(-sum(p * ln(p + 1e-8::double)), 6) from p group by 2")
 def t20_scalars(s, d):
-    return _r(T.chroma_scalars(views.chroma(s, d)), "change", "stability", "entropy")
+    c = views.chroma(s, d)
+    part = lambda name, t, i: t.select(F.lit(name).alias("field"), "track_id", F.col(i).cast("int").alias("i") if i else F.lit(0).alias("i"), F.round("x", 6).alias("x"))
+    return part("change", T.harmonic_change(c), "frame").unionByName(part("stability", T.tonal_stability(c), "pc")).unionByName(part("complexity", T.harmonic_complexity(c), None))
 
 
-@query("t21_attacks", ", a as (select track_id, frame, abs(x) as x from v_sig), db as (select track_id, frame, 20 * log10(greatest(x, 1e-5::double) / max(x) over (partition by track_id)) as db from a), st as (select *, abs(db - lag(db) over (partition by track_id order by frame)) as step from db), o as (select distinct track_id, unnest([0, 7, 30]) as onset from v_sig) select o.track_id, onset::int as onset, round(greatest(coalesce(regr_slope(db, frame::double), 0), 0), 6) as slope, round(coalesce(max(step) filter (where frame = onset), 0), 6) as sharpness from o join st on o.track_id = st.track_id and frame >= onset and frame < onset + 6 group by o.track_id, onset")
+@query("t21_attacks", ", a as (select track_id, frame, abs(x) as x from v_sig), db as (select track_id, frame, greatest(20 * log10(greatest(x, 1e-5::double) / max(x) over (partition by track_id)), -80) as db from a), st as (select *, abs(lead(db) over (partition by track_id order by frame) - db) as step from db), o as (select distinct track_id, unnest([0, 7, 30, 58, 60, 63]) as onset from v_sig) select o.track_id, onset::int as onset, round(case when count(*) = 6 then greatest(regr_slope(db, frame::double), 0) end, 6) as slope, round(max(step) filter (where frame = onset), 6) as sharpness from o join st on o.track_id = st.track_id and frame >= onset and frame < onset + 6 group by o.track_id, onset")
 def t21(s, d):
     x = views.signals(s, d).withColumn("x", F.abs("x"))
-    onsets = x.select("track_id").distinct().select("track_id", F.explode(F.array(*map(F.lit, (0, 7, 30)))).alias("onset"))
+    onsets = x.select("track_id").distinct().select("track_id", F.explode(F.array(*map(F.lit, (0, 7, 30, 58, 60, 63)))).alias("onset"))
     return _r(T.attacks(x, onsets, 6), "slope", "sharpness")
 
 
@@ -237,7 +240,7 @@ def t17_arc(s, d):
     return _points(T.dynamic_arc(views.signals(s, d).withColumn("x", F.abs("x")), 32))
 
 
-@query("t6_centroid_curve", ", l as (select track_id, frame, log2(abs(x) + 1) as x from v_sig), p as (select track_id, least(floor(frame * 10 / 64), 9)::int as frame, avg(x) as x from l group by 1, 2), z as (select *, avg(x) over q as m, stddev_pop(x) over q as sd from p window q as (partition by track_id)) select track_id, frame, round(case when sd < 1e-6::double then 0 else (x - m) / (sd + 1e-6::double) end, 6) as x from z")
+@query("t6_centroid_curve", ", p as (select track_id, least(floor(frame * 10 / 64), 9)::int as frame, log2(avg(abs(x)) + 1) as x from v_sig group by 1, 2), z as (select *, avg(x) over q as m, stddev_pop(x) over q as sd from p window q as (partition by track_id)) select track_id, frame, round(case when sd < 1e-6::double then 0 else (x - m) / (sd + 1e-6::double) end, 6) as x from z")
 def t6_centroid(s, d):
     return _points(T.centroid_curve(views.signals(s, d).withColumn("x", F.abs("x")), 10))
 
@@ -258,7 +261,7 @@ def _long(s, d):
     return T.targets_long({k: v for job in _jobs(s, d).values() for k, v in job().items()})
 
 
-_LONG = ", a as (select *, lag(x) over w as p, sign(x - lag(x) over w) as sg from v_sig window w as (partition by track_id order by frame)), b as (select *, case when lag(sg) over w = sg then 0 else 1 end as nw from a window w as (partition by track_id order by frame)), c as (select *, sum(nw) over (partition by track_id order by frame) as run from b), r as (select track_id, run, count(*) + 1 as n, min(frame) as st, abs(arg_max(x, frame) - arg_min(p, frame)) * (count(*) + 1) as size from c where sg = 1 group by all), k as (select *, row_number() over (partition by track_id order by n desc, st) as o from r), y as (select track_id, abs(x) as y, abs(x) / (avg(abs(x)) over (partition by track_id) + 1e-8::double) as q from v_sig), long as (select track_id, 'dynamics' as category, 'range' as field, max(y) - min(y) as value from y group by 1 union all select track_id, 'dynamics', 'variance', var_pop(q) from y group by 1 union all select track_id, 'phrasing', 'rise', size from k where o = 1 union all select id, 'labels', 'quality', y from v_targets where target = 'quality' and y is not null)"
+_LONG = ", a as (select *, lag(x) over w as p, sign(x - lag(x) over w) as sg from v_sig window w as (partition by track_id order by frame)), b as (select *, case when lag(sg) over w = sg then 0 else 1 end as nw from a window w as (partition by track_id order by frame)), c as (select *, sum(nw) over (partition by track_id order by frame) as run from b), r as (select track_id, run, count(*) as n, min(frame) as st, abs(arg_max(x, frame) - arg_min(p, frame)) * count(*) as size from c where sg = 1 group by all), k as (select *, row_number() over (partition by track_id order by n desc, st) as o from r), y as (select track_id, abs(x) as y, abs(x) / (avg(abs(x)) over (partition by track_id) + 1e-8::double) as q from v_sig), long as (select track_id, 'dynamics' as category, 'range' as field, max(y) - min(y) as value from y group by 1 union all select track_id, 'dynamics', 'variance', var_pop(q) from y group by 1 union all select track_id, 'phrasing', 'rise', size from k where o = 1 union all select id, 'labels', 'quality', y from v_targets where target = 'quality' and y is not null)"
 
 
 @query("t23_all_targets", _LONG + " select track_id, category, field, round(value, 6) as value from long")
@@ -269,6 +272,23 @@ def t23(s, d):
     return long.select("track_id", "category", "field", F.round(F.get("values", F.lit(0)), 6).alias("value"))
 
 
+def _loudness(pdf):
+    return {"range": pdf.x.abs().max() - pdf.x.abs().min(), "curve": pdf.x.abs().to_numpy()[:3]}
+
+
+def _quietness(pdf):
+    if pdf.x.max() > 0.3:
+        raise ValueError("too loud")
+    return {"mean": pdf.x.mean()}
+
+
+@query("t23_isolated_failures", ", m as (select track_id, max(x) as top, avg(x) as m, max(abs(x)) - min(abs(x)) as r from v_sig group by 1) select track_id, 'loud' as category, 'range' as field, 0 as i, round(r, 6) as x, null as error from m union all select track_id, 'loud', 'curve', frame, round(abs(x), 6), null from v_sig where frame < 3 union all select track_id, 'quiet', case when top > 0.3::double then null else 'mean' end, case when top > 0.3::double then null else 0 end, case when top > 0.3::double then null else round(m, 6) end, case when top > 0.3::double then 'ValueError: too loud' end from m")
+def t23_isolated(s, d):
+    """Tracks above a level fail in one category and keep the other."""
+    out = T.targets_of_tracks(views.signals(s, d), {"loud": _loudness, "quiet": _quietness})
+    return out.select("track_id", "category", "field", "error", F.posexplode_outer("values").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
 @query("t24_missing_targets", "select distinct track_id, 'labels' as category, 'quality' as field from v_sig where track_id not in (select id from v_targets where target = 'quality' and y is not null)")
 def t24(s, d):
     required = s.createDataFrame([("dynamics", "range"), ("phrasing", "rise"), ("labels", "quality")], "category string, field string")

@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,22 +66,24 @@ def spectral_moments(spectra: DataFrame, rolloff: float = 0.85) -> DataFrame:
     )
 
 
-def bucket_mean(frames: DataFrame, n: int, fill: float = 0.0) -> DataFrame:
-    """Proportional pooling of (track_id, frame, x) to n frames; short tracks stay left-aligned and are filled."""
-    size = F.count("*").over(Window.partitionBy("track_id"))
-    place = F.row_number().over(_by("track_id", order="frame")) - 1
+def bucket_mean(frames: DataFrame, n: int, fill: float = 0.0, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
+    """Proportional pooling of (keys, frame, x) to n frames; short tracks stay left-aligned and are filled."""
+    size = F.count("*").over(Window.partitionBy(*keys))
+    place = F.row_number().over(_by(*keys, order="frame")) - 1
     at = F.when(F.col("size") <= n, F.col("place")).otherwise(F.least(F.floor(F.col("place") * n / F.col("size")), F.lit(n - 1)))
-    pooled = frames.select("track_id", "frame", "x").withColumn("size", size).withColumn("place", place).groupBy("track_id", at.cast("int").alias("frame")).agg(F.avg("x").alias("x"))
-    grid = frames.select("track_id").distinct().select("track_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("frame"))
-    return grid.join(pooled, ["track_id", "frame"], "left").withColumn("x", F.coalesce("x", F.lit(fill)))
+    pooled = frames.select(*keys, "frame", "x").withColumn("size", size).withColumn("place", place).groupBy(*keys, at.cast("int").alias("frame")).agg(F.avg("x").alias("x"))
+    grid = frames.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("frame"))
+    return grid.join(pooled, [*keys, "frame"], "left").withColumn("x", F.coalesce("x", F.lit(fill)))
 
 
 def bucket_mean_equal(frames: DataFrame, n: int) -> DataFrame:
-    """Pooling to n frames of equal width; the remainder is left out."""
+    """Pooling to n frames of equal width; the remainder is left out, and tracks of fewer frames stay left-aligned with zeros behind."""
     size = F.count("*").over(Window.partitionBy("track_id"))
     place = F.row_number().over(_by("track_id", order="frame")) - 1
-    rows = frames.select("track_id", "frame", "x").withColumn("width", F.floor(size / n)).withColumn("at", F.floor(place / F.col("width")))
-    return rows.where(F.col("at") < n).groupBy("track_id", F.col("at").cast("int").alias("frame")).agg(F.avg("x").alias("x"))
+    rows = frames.select("track_id", "frame", "x").withColumn("width", F.greatest(F.floor(size / n), F.lit(1))).withColumn("at", F.floor(place / F.col("width")))
+    pooled = rows.where(F.col("at") < n).groupBy("track_id", F.col("at").cast("int").alias("frame")).agg(F.avg("x").alias("x"))
+    short = frames.groupBy("track_id").agg(F.count("*").cast("int").alias("size")).where(F.col("size") < n)
+    return pooled.unionByName(short.select("track_id", F.explode(F.sequence(F.col("size"), F.lit(n - 1))).alias("frame"), F.lit(0.0).alias("x")))
 
 
 def normalise(frames: DataFrame, how: str) -> DataFrame:
@@ -111,14 +115,18 @@ def tonal_tension(chroma: DataFrame) -> DataFrame:
 
 
 def tension_curve(chroma: DataFrame, n: int = CURVE_FRAMES) -> DataFrame:
-    return normalise(bucket_mean(tonal_tension(chroma), n), "zscore")
+    """(track_id, frame, x): the tension of the chroma pooled to n frames, scaled to 0..1 within the track."""
+    pooled = bucket_mean(chroma.select("track_id", "pc", "frame", F.col("energy").alias("x")), n, keys=("track_id", "pc"))
+    return normalise(tonal_tension(pooled.withColumnRenamed("x", "energy")), "minmax")
 
 
 def novelty(chroma: DataFrame, radius: int = 8) -> DataFrame:
     """(track_id, frame, x): checkerboard novelty of the cosine self-similarity along its diagonal.
 
-    A frame meets only the frames within the kernel around it, by an equality
-    join on the offset, so the work is linear in the number of frames.
+    The score is signed.  Frames that the kernel does not fit around, and all of
+    tracks shorter than the kernel, have 0.  A frame meets only the frames within
+    the kernel around it, by an equality join on the offset, so the work is
+    linear in the number of frames.
     """
     vec = chroma.groupBy("track_id", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("pc", "energy"))), lambda e: e["energy"].cast("double")).alias("v"))
     vec = vec.withColumn("v", V.l2_normalise(F.col("v")))
@@ -127,7 +135,7 @@ def novelty(chroma: DataFrame, radius: int = 8) -> DataFrame:
     pairs = left.join(vec.select("track_id", (F.col("frame")).alias("j"), F.col("v").alias("b")), (F.col("j") == F.col("i") + F.col("d")) & (left["track_id"] == vec["track_id"])).select(left["track_id"], "i", "j", V.dot(F.col("a"), F.col("b")).alias("s"))
     # Offsets -radius .. -1 and 1 .. radius stand for the 2 * radius rows of the kernel, without an axis at zero.
     offsets = [d for d in range(-radius, radius + 1) if d]
-    kernel = F.array(*[F.lit(math.exp(-0.5 * (d / (radius / 2.0)) ** 2)) for d in offsets])
+    kernel = F.array(*[F.lit(math.exp(-((d / radius) ** 2))) for d in offsets])
     last = F.max("j").over(Window.partitionBy("track_id"))
     spread = pairs.withColumn("last", last).select("track_id", "i", "j", "s", "last", F.explode(F.sequence(F.greatest(F.col("j") - radius + 1, F.lit(radius)), F.least(F.col("i") + radius, F.col("last") - radius + 1))).alias("frame"))
     x, y = F.col("i") - F.col("frame"), F.col("j") - F.col("frame")
@@ -135,12 +143,14 @@ def novelty(chroma: DataFrame, radius: int = 8) -> DataFrame:
     w = F.get(kernel, x + radius) * F.get(kernel, y + radius) * F.when((x < 0) == (y < 0), 1.0).otherwise(-1.0) * F.when(x == y, 1.0).otherwise(2.0)
     raw = spread.where(inside & (F.col("frame") >= radius) & (F.col("frame") <= F.col("last") - radius + 1)).groupBy("track_id", "frame").agg(F.sum(F.col("s") * w).alias("x"))
     grid = vec.select("track_id", "frame")
-    return grid.join(raw, ["track_id", "frame"], "left").select("track_id", "frame", F.greatest(F.coalesce("x", F.lit(0.0)), F.lit(0.0)).alias("x"))
+    return grid.join(raw, ["track_id", "frame"], "left").select("track_id", "frame", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
 def novelty_curve(first: DataFrame, second: DataFrame, n: int = CURVE_FRAMES) -> DataFrame:
-    """Average of the peak-normalised novelties of two feature tables, pooled to n frames."""
-    a, b = normalise(novelty(first), "peak"), normalise(novelty(second), "peak")
+    """Average of the peak-normalised novelties of two feature tables, over the frames that both have, pooled to n frames."""
+    frames = lambda t: t.select("track_id", "frame").distinct()
+    a = normalise(novelty(first.join(frames(second), ["track_id", "frame"], "left_semi")), "peak")
+    b = normalise(novelty(second.join(frames(first), ["track_id", "frame"], "left_semi")), "peak")
     both = a.join(b.withColumnRenamed("x", "z"), ["track_id", "frame"]).select("track_id", "frame", ((F.col("x") + F.col("z")) / 2).alias("x"))
     return bucket_mean_equal(both, n)
 
@@ -174,9 +184,9 @@ def dynamic_arc(frames: DataFrame, n: int = CURVE_FRAMES) -> DataFrame:
 
 
 def centroid_curve(centroids: DataFrame, n: int = CURVE_FRAMES) -> DataFrame:
-    """(track_id, curve): log2(hz + 1) pooled and standardised, from (track_id, frame, x)."""
-    level = centroids.withColumn("x", F.log2(F.col("x") + 1))
-    return curve_of(normalise(bucket_mean(level, n), "zscore"), n)
+    """(track_id, curve): hertz (track_id, frame, x) pooled, as log2(hz + 1), standardised."""
+    level = bucket_mean(centroids, n).withColumn("x", F.log2(F.col("x") + 1))
+    return curve_of(normalise(level, "zscore"), n)
 
 
 def inter_onset(notes: DataFrame) -> DataFrame:
@@ -185,7 +195,7 @@ def inter_onset(notes: DataFrame) -> DataFrame:
 
 
 def performance_tempo(notes: DataFrame, n: int = CURVE_FRAMES, seconds: float = CURVE_SECONDS) -> DataFrame:
-    """(track_id, frame, x): log2 tempo from the median of the onset distances within a second of each frame.
+    """(track_id, frame, x): log2 tempo from the median of the onset distances within a second of each frame's centre.
 
     Fewer than three onsets carry the last value on, from 1; tracks with
     fewer than four onsets have no rows.  Onsets meet frames by half-second bins.
@@ -193,8 +203,9 @@ def performance_tempo(notes: DataFrame, n: int = CURVE_FRAMES, seconds: float =
     step = seconds / n
     many = notes.groupBy("track_id").agg(F.count("*").alias("n")).where("n >= 4").select("track_id")
     own = notes.join(many, "track_id").select("track_id", "onset", "seq")
-    first, last = F.ceil((F.col("onset") - 1.0) / step - 1e-9), F.floor((F.col("onset") + 1.0) / step + 1e-9)
-    near = own.select("track_id", "onset", "seq", F.explode(F.sequence(first, last)).alias("frame")).where((F.col("frame") >= 0) & (F.col("frame") < n))
+    first, last = F.ceil((F.col("onset") - 1.0) / step - 0.5 - 1e-6), F.floor((F.col("onset") + 1.0) / step - 0.5 + 1e-6)
+    centre = (F.col("frame") + 0.5) * F.lit(step)
+    near = own.select("track_id", "onset", "seq", F.explode(F.sequence(first, last)).alias("frame")).where((F.col("frame") >= 0) & (F.col("frame") < n) & (F.col("onset") >= centre - 1.0) & (F.col("onset") <= centre + 1.0))
     gaps = near.withColumn("ioi", F.col("onset") - F.lag("onset").over(Window.partitionBy("track_id", "frame").orderBy("onset", "seq")))
     per = gaps.groupBy("track_id", "frame").agg(F.count("*").alias("n"), F.expr("percentile(ioi, 0.5)").alias("gap")).where((F.col("n") >= 3) & (F.col("gap") > 0)).select("track_id", "frame", V.tempo_level(60.0 / F.col("gap")).alias("v"))
     grid = many.select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("frame"))
@@ -233,13 +244,13 @@ def pedal_state(controls: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def pedal_curve(controls: DataFrame, tracks: DataFrame, n: int = CURVE_FRAMES, seconds: float = CURVE_SECONDS, sub: int | None = None) -> DataFrame:
-    """(track_id, frame, x): share of each frame with the pedal down, on a grid of about 10 ms.
+    """(track_id, frame, x): share of each frame with the pedal down, at the centres of a grid of about 10 ms.
 
     ``tracks`` has (track_id, duration); the pedal is up past the duration.
     """
     sub = sub or max(4, int(round(seconds / n / 0.01)))
     step = seconds / n / sub
-    grid = tracks.select("track_id", "duration", F.explode(F.sequence(F.lit(0), F.lit(n * sub - 1))).alias("g")).withColumn("t", F.col("g") * F.lit(step))
+    grid = tracks.select("track_id", "duration", F.explode(F.sequence(F.lit(0), F.lit(n * sub - 1))).alias("g")).withColumn("t", (F.col("g") + 0.5) * F.lit(step))
     state = pedal_state(controls, grid.select("track_id", "t"))
     joined = grid.join(state, ["track_id", "t"])
     return joined.groupBy("track_id", F.floor(F.col("g") / sub).cast("int").alias("frame")).agg(F.avg(F.when(F.col("t") < F.col("duration"), F.col("on")).otherwise(0)).alias("x"))
@@ -272,11 +283,11 @@ def piano_roll(notes: DataFrame, rate: float, frames: int) -> DataFrame:
 
 
 def monotonic_runs(frames: DataFrame) -> DataFrame:
-    """(track_id, rise, fall): |change| times length of the first longest rising and falling run of (track_id, frame, x)."""
+    """(track_id, rise, fall): |change| times number of steps of the first longest rising and falling run of (track_id, frame, x)."""
     w = _by("track_id", order="frame")
     d = frames.withColumn("sign", F.signum(F.col("x") - F.lag("x").over(w)).cast("int"))
     d = d.withColumn("new", F.when(F.coalesce(F.lag("sign").over(w) == F.col("sign"), F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("prior", F.lag("x").over(w))
-    runs = d.where("sign <> 0").groupBy("track_id", "run", "sign").agg((F.count("*") + 1).alias("n"), F.min("frame").alias("start"), F.min_by("prior", "frame").alias("first"), F.max_by("x", "frame").alias("last"))
+    runs = d.where("sign <> 0").groupBy("track_id", "run", "sign").agg(F.count("*").alias("n"), F.min("frame").alias("start"), F.min_by("prior", "frame").alias("first"), F.max_by("x", "frame").alias("last"))
     size = F.abs(F.col("last") - F.col("first")) * F.col("n")
     best = lambda s: F.max_by(F.when(F.col("sign") == s, size), F.when(F.col("sign") == s, F.struct("n", -F.col("start"))))
     found = runs.groupBy("track_id").agg(best(1).alias("rise"), best(-1).alias("fall"))
@@ -308,15 +319,34 @@ def dynamics_fields(frames: DataFrame) -> DataFrame:
 
 
 def onset_peaks(frames: DataFrame, distance: int = 1) -> DataFrame:
-    """(track_id, frame, x) of local maxima of at least half the mean, the higher first, at least ``distance`` apart."""
+    """(track_id, frame, x) of local maxima of at least half the mean, the higher first, at least ``distance`` apart.
+
+    A track's peaks are thinned in one group, in time linear but for a sort.
+    """
     w = _by("track_id", order="frame")
     mean = F.avg("x").over(Window.partitionBy("track_id"))
     top = frames.withColumn("p", F.lag("x").over(w)).withColumn("q", F.lead("x").over(w)).withColumn("m", mean).where((F.col("x") > F.col("p")) & (F.col("x") > F.col("q")) & (F.col("x") >= 0.5 * F.col("m"))).select("track_id", "frame", "x")
     if distance <= 1:
         return top
-    ranked = top.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("x")).alias("s"), F.col("frame").cast("int").alias("frame")))).alias("h"))
-    kept = F.aggregate("h", F.array().cast("array<struct<s:double,frame:int>>"), lambda acc, e: F.when(F.exists(acc, lambda y: F.abs(y["frame"] - e["frame"]) < distance), acc).otherwise(F.concat(acc, F.array(e))))
-    return ranked.select("track_id", F.explode(kept).alias("e")).select("track_id", "e.frame", (-F.col("e.s")).alias("x"))
+    kind, frame = (frames.schema[c].dataType.simpleString() for c in ("track_id", "frame"))
+    return top.withColumn("x", F.col("x").cast("double")).groupBy("track_id").applyInPandas(_thin(distance), f"track_id {kind}, frame {frame}, x double")
+
+
+def _thin(distance: int):
+    """Peaks from the highest down, each without those nearer than the distance that are left; linear but for the sort."""
+
+    def run(pdf):
+        pdf = pdf.sort_values("frame", ignore_index=True)
+        at, x = pdf.frame.to_numpy(), pdf.x.to_numpy()
+        low, high = np.searchsorted(at, at - distance, side="right"), np.searchsorted(at, at + distance, side="left")
+        keep = np.ones(len(at), dtype=bool)
+        for i in np.lexsort((at, -x)).tolist():
+            if keep[i]:
+                keep[low[i] : high[i]] = False
+                keep[i] = True
+        return pdf.loc[keep, ["track_id", "frame", "x"]]
+
+    return run
 
 
 def onset_density(frames: DataFrame, seconds_per_frame: float, distance: int = 1) -> DataFrame:
@@ -349,27 +379,53 @@ def key_profile(chroma: DataFrame) -> DataFrame:
     return mean.join(profiles, "pc").groupBy("track_id", "mode", "tonic").agg(F.corr("e", "v").alias("r"))
 
 
-def chroma_scalars(chroma: DataFrame) -> DataFrame:
-    """(track_id, change, stability, entropy): mean |difference| of frames, 1 / (1 + variance), entropy of the mean chroma."""
-    diff = chroma.withColumn("d", F.abs(F.col("energy") - F.lag("energy").over(Window.partitionBy("track_id", "pc").orderBy("frame"))))
-    a = diff.groupBy("track_id").agg(F.avg("d").alias("change"), (1 / (1 + F.var_pop("energy"))).alias("stability"))
-    mean = chroma.groupBy("track_id", "pc").agg(F.avg("energy").alias("e")).withColumn("p", F.col("e") / F.sum("e").over(Window.partitionBy("track_id")))
-    b = mean.groupBy("track_id").agg((-F.sum(F.col("p") * F.log(F.col("p") + 1e-8))).alias("entropy"))
-    return a.join(b, "track_id")
+def harmonic_change(chroma: DataFrame) -> DataFrame:
+    """(track_id, frame, x): the mean over pitch classes of the |difference| to the next frame; the last frame has none."""
+    after = F.lead("energy").over(Window.partitionBy("track_id", "pc").orderBy("frame"))
+    steps = chroma.withColumn("d", F.abs(after - F.col("energy"))).where("d is not null")
+    return steps.groupBy("track_id", "frame").agg(F.avg("d").alias("x"))
+
+
+def tonal_stability(chroma: DataFrame) -> DataFrame:
+    """(track_id, pc, x): 1 / (1 + variance over time) of each pitch class."""
+    return chroma.groupBy("track_id", "pc").agg((1 / (1 + F.var_pop("energy"))).alias("x"))
+
+
+def harmonic_complexity(chroma: DataFrame) -> DataFrame:
+    """(track_id, x): entropy of the mean chroma."""
+    mean = chroma.groupBy("track_id", "pc").agg(F.avg("energy").alias("e"))
+    p = mean.withColumn("p", F.col("e") / (F.sum("e").over(Window.partitionBy("track_id")) + 1e-8))
+    return p.groupBy("track_id").agg((-F.sum(F.col("p") * F.log(F.col("p") + 1e-8))).alias("x"))
+
+
+#: Decibels below the track's peak that a level is cut at; a fixed value.
+LEVEL_RANGE = -80.0
 
 
 def attacks(frames: DataFrame, onsets: DataFrame, span: int) -> DataFrame:
     """(track_id, onset, slope, sharpness) of onsets (track_id, onset frame) on energy frames.
 
-    The envelope is in decibels below the track's peak; slopes are fitted over
-    ``span`` frames from the onset on and are not negative.
+    The envelope is in decibels below the track's peak.  Slopes are fitted over
+    ``span`` frames from the onset on and are not negative; a window that runs past
+    the end has none.  The sharpness is the |step| from the onset to the next
+    frame; an onset on the last frame has none.
     """
     top = F.max("x").over(Window.partitionBy("track_id"))
     w = _by("track_id", order="frame")
-    db = frames.withColumn("db", 20 * F.log10(F.greatest(F.col("x"), F.lit(1e-5)) / F.greatest(top, F.lit(1e-5)))).withColumn("step", F.abs(F.col("db") - F.lag("db").over(w)))
+    level = F.greatest(20 * F.log10(F.greatest(F.col("x"), F.lit(1e-5)) / F.greatest(top, F.lit(1e-5))), F.lit(LEVEL_RANGE))
+    db = frames.withColumn("db", level).withColumn("step", F.abs(F.lead("db").over(w) - F.col("db")))
     asks = onsets.select("track_id", "onset", F.explode(F.sequence(F.col("onset"), F.col("onset") + span - 1)).alias("frame"))
     near = asks.join(db, ["track_id", "frame"])
-    return near.groupBy("track_id", "onset").agg(F.greatest(F.coalesce(F.regr_slope("db", F.col("frame").cast("double")), F.lit(0.0)), F.lit(0.0)).alias("slope"), F.coalesce(F.max(F.when(F.col("frame") == F.col("onset"), F.col("step"))), F.lit(0.0)).alias("sharpness"))
+    slope = F.when((F.count("*") == span) & F.lit(span > 1), F.greatest(F.regr_slope("db", F.col("frame").cast("double")), F.lit(0.0)))
+    return near.groupBy("track_id", "onset").agg(slope.alias("slope"), F.max(F.when(F.col("frame") == F.col("onset"), F.col("step"))).alias("sharpness"))
+
+
+def attack_fields(frames: DataFrame, onsets: DataFrame, span: int) -> DataFrame:
+    """(track_id, attack_slopes, attack_sharpness): the values of :func:`attacks` in the order of the onsets, without missing ones; a single 0 if there is none."""
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("onset", c)))), lambda e: e[c])
+    values = attacks(frames, onsets, span).groupBy("track_id").agg(ordered("slope").alias("a"), ordered("sharpness").alias("b"))
+    filled = lambda c: F.when(F.size(F.coalesce(c, F.array().cast("array<double>"))) == 0, F.array(F.lit(0.0))).otherwise(F.col(c))
+    return frames.select("track_id").distinct().join(values, "track_id", "left").select("track_id", filled("a").alias("attack_slopes"), filled("b").alias("attack_sharpness"))
 
 
 def phrases(boundaries: DataFrame) -> DataFrame:
@@ -407,6 +463,29 @@ def all_targets(jobs: dict[str, Callable[[], dict[tuple[str, str], DataFrame]]])
     return (targets_long(tables) if tables else None), errors
 
 
+def targets_of_tracks(frames: DataFrame, generators: dict[str, Callable[[pd.DataFrame], dict[str, object]]]) -> DataFrame:
+    """(track_id, category, field, values, error): every category's fields of every track, failures kept to their track and category.
+
+    A generator takes the rows of one track, in the order of ``frame``, and returns
+    its fields, numbers or arrays.  One that raises, or returns what is no number,
+    gives one row with the error and no field; the track's other categories and all
+    other tracks go on.  A track is one group.
+    """
+    kind = frames.schema["track_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, own = [], pdf.sort_values("frame", ignore_index=True)
+        for category, generate in generators.items():
+            try:
+                made = {f: np.atleast_1d(np.asarray(v, dtype=float)).ravel().tolist() for f, v in generate(own.copy()).items()}
+                rows += [(own.track_id[0], category, f, v, None) for f, v in made.items()]
+            except Exception as e:
+                rows.append((own.track_id[0], category, None, None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["track_id", "category", "field", "values", "error"])
+
+    return frames.groupBy("track_id").applyInPandas(run, f"track_id {kind}, category string, field string, values array<double>, error string")
+
+
 def missing_targets(targets: DataFrame, required: DataFrame) -> DataFrame:
     """(track_id, category, field) that the required (category, field) table lists and a track lacks."""
     tracks = targets.select("track_id").distinct()

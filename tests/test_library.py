@@ -285,7 +285,7 @@ def test_pedal_share(spark):
 def test_monotonic_runs(spark):
     env = [0.1, 0.2, 0.3, 0.4, 0.5, 0.4, 0.3, 0.2, 0.1]
     r = T.monotonic_runs(spark.createDataFrame([("t", i, v) for i, v in enumerate(env)], "track_id string, frame int, x double")).first()
-    assert r.rise == pytest.approx(0.4 * 5) and r.fall == pytest.approx(0.4 * 5)
+    assert r.rise == pytest.approx(0.4 * 4) and r.fall == pytest.approx(0.4 * 4)
 
 
 def test_smoothing_keeps_polynomials(spark):
