@@ -252,14 +252,13 @@ def s24(s, d):
     return _loaded(artifacts.load_latest(s, f"{root}/public", "emb"))
 
 
-@query("s21_checksums", "select sum(octet_length(encode(coalesce(text, ''))) + 1)::bigint as bytes, true as complete from documents")
+@query("s21_checksums", ", t as (select coalesce(source, 'none') as source, string_agg(coalesce(text, '') || chr(10), '' order by doc_id) as body from documents group by 1) select source, octet_length(encode(body))::bigint as size, sha256(body) as sha256, md5(body) as md5 from t")
 def s21(s, d):
-    """Sizes of the texts' files; each file's checksum is that of its content read as a text."""
+    """The texts of each source as one file, in the order of their ids, with a line feed after each."""
     path = scratch(s, "texts")
-    _texts(s, d).select("text").write.text(path)
-    listed = files.checksum_table(s, path).where("size > 0")
-    content = s.read.text(path, wholetext=True).select(F.sha2(F.col("value").cast("binary"), 256).alias("sha256"), F.lit(True).alias("same"))
-    return listed.join(content.distinct(), "sha256", "left").agg(F.sum("size").alias("bytes"), F.every(F.coalesce("same", F.lit(False))).alias("complete"))
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(path)
+    return files.checksum_table(s, path).select(F.regexp_extract("file", "source=([^/]*)/", 1).alias("source"), "size", "sha256", "md5")
 
 
 @query("s22_index_catalog", "select 'first' as name, '20240101T000000Z' as stamp, count(*) as ntotal from v_vec union all select 'first', '20240301T000000Z', count(*) from v_layer where layer = 0 union all select 'second', '20240201T000000Z', count(*) from v_seg where layer = 1")

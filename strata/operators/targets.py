@@ -123,7 +123,7 @@ def tension_curve(chroma: DataFrame, n: int = CURVE_FRAMES) -> DataFrame:
 def novelty(chroma: DataFrame, radius: int = 8) -> DataFrame:
     """(track_id, frame, x): checkerboard novelty of the cosine self-similarity along its diagonal.
 
-    The score is signed.  Frames that the kernel does not fit around, and all of
+    Frames that the kernel does not fit around, and all of
     tracks shorter than the kernel, have 0.  A frame meets only the frames within
     the kernel around it, by an equality join on the offset, so the work is
     linear in the number of frames.

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.sources.files import checksum_table
+from strata.sources.files import checksum_table, copy_files
 
 SCHEMA_VERSION = 2
 STAMP = r"^\d{8}T\d{6}Z$"
@@ -86,13 +86,18 @@ def latest_index(spark: SparkSession, root: str, name: str) -> str:
 
 
 def publish_index(spark: SparkSession, folder: str, uri: str) -> str:
-    """Copy a checked index below ``uri``, check the copy, and only then write the pointer to it."""
-    vectors, manifest = load_index(spark, folder)
-    stamp = folder.rstrip("/").rsplit("/", 1)[-1]
-    target = f"{uri}/{manifest['name']}/{stamp}"
-    vectors.write.mode("errorifexists").parquet(f"{target}/vectors")
-    spark.read.json(f"{folder}/manifest").coalesce(1).write.option("ignoreNullFields", "false").json(f"{target}/manifest")
-    checksum_table(spark, f"{target}/vectors").write.parquet(f"{target}/checksums")
+    """Copy a checked index below ``uri`` byte by byte, compare the copy with the source, and only then write the pointer to it.
+
+    A copy that was stopped goes on where it ended.  Where a file of the copy
+    differs from the source's, the pointer stays what it was.
+    """
+    _, manifest = load_index(spark, folder)
+    folder = folder.rstrip("/")
+    target = f"{uri}/{manifest['name']}/{folder.rsplit('/', 1)[-1]}"
+    read = copy_files(spark, folder, target)
+    there = checksum_table(spark, target)
+    if not (read.exceptAll(there).isEmpty() and there.exceptAll(read).isEmpty()):
+        raise ValueError("the copy differs from its source")
     load_index(spark, target)
     pointer = [(SCHEMA_VERSION, manifest["name"], manifest["index_id"], target)]
     spark.createDataFrame(pointer, "schema_version int, name string, index_id string, folder string").coalesce(1).write.mode("overwrite").json(f"{uri}/{manifest['name']}-latest")

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import re
+import uuid
 import wave
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.plans.session import scratch
+
 
 def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
@@ -118,12 +125,109 @@ def validate_audio(files: DataFrame, min_duration: float = 1.0) -> DataFrame:
     return found.select("path", (F.size(errors) == 0).alias("valid"), "readable", "sample_rate", "duration", "channels", errors.alias("errors"))
 
 
-def checksum_table(spark: SparkSession, path: str) -> DataFrame:
-    """(file, size, sha256, md5) of every file below a folder."""
-    rows = binary_files(spark, path)
+#: Bytes of a file that a task holds while it reads it.
+BLOCK = 1 << 22
+
+
+def file_names(spark: SparkSession, path: str) -> DataFrame:
+    """(file, path, size) of the files below a folder, by a listing; no content is read.  Empty and hidden files are left out, as Spark's reader does."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     base = path.rstrip("/").rsplit("/", 1)[-1]
-    name = F.regexp_extract("path", f"/{base}/(.*)$", 1)
-    return rows.select(name.alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    return rows.select(F.regexp_extract("path", f"/{base}/(.*)$", 1).alias("file"), "path", F.col("length").alias("size"))
+
+
+def _one_a_task(files: DataFrame) -> DataFrame:
+    """Files dealt to tasks by name, a few to each, so that listing many small ones and few large ones both spread."""
+    return files.repartition(max(1, min(10_000, files.count())), "path")
+
+
+def _digest(blocks: Iterator[bytes]) -> tuple[int, str, str]:
+    size, sha, md5 = 0, hashlib.sha256(), hashlib.md5(usedforsecurity=False)
+    for b in blocks:
+        size += len(b)
+        sha.update(b)
+        md5.update(b)
+    return size, sha.hexdigest(), md5.hexdigest()
+
+
+#: Schemes that tasks open by themselves; files of other stores come through Spark's reader, whole.
+STREAMED = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
+
+
+def _open(path: str):
+    """(Arrow file system, name in it) of a path, or of a URI that is not escaped, as Spark lists it; ``s3a`` is the same store as ``s3``."""
+    if not re.match("^(?!file:)[a-z0-9]+://", path):
+        return pa_fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return pa_fs.FileSystem.from_uri(quote(path.replace("s3a://", "s3://", 1), safe=":/@"))
+
+
+def _blocks(path: str, block: int) -> Iterator[bytes]:
+    """A file in blocks, through the file system of its URI."""
+    fs, name = _open(path)
+    with fs.open_input_stream(name) as stream:
+        while b := stream.read(block):
+            yield b
+
+
+def checksum_table(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
+    """(file, size, sha256, md5) of every file below a folder.
+
+    Files of the stores in ``STREAMED`` are read in blocks and may be larger than
+    memory.  Other stores are read by Spark, a file as one value, which ends at 2 GB.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [(name, *_digest(_blocks(p, block))) for name, p in zip(f.file, f.path)]
+            yield pd.DataFrame(found, columns=["file", "size", "sha256", "md5"])
+
+    listed = file_names(spark, path).select("file", "path")
+    if _streamed(listed):
+        return _one_a_task(listed).mapInPandas(run, "file string, size long, sha256 string, md5 string")
+    whole = binary_files(spark, path).join(listed, "path")
+    return whole.select("file", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+
+
+def _streamed(listed: DataFrame) -> bool:
+    """Whether tasks open these files by themselves; the files below one folder are in one store."""
+    row = listed.select("path").first()
+    return row is None or (re.match("^([a-z0-9]+):", row.path) or ["", "file"])[1] in STREAMED
+
+
+def copy_files(spark: SparkSession, source: str, target: str, block: int = BLOCK) -> DataFrame:
+    """Copy every file below a folder byte by byte between stores of ``STREAMED``; return (file, size, sha256, md5) of what was read.
+
+    A file is written under another name and renamed when it is whole; one that
+    is there with the same size and digest is left, so a run that was stopped
+    goes on where it ended, and a damaged one is written again.  Files of the
+    target that the source lacks stay.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = []
+            for name, path in zip(f.file, f.path):
+                own = _digest(_blocks(path, block))
+                to, base = _open(target)
+                there = to.get_file_info(f"{base}/{name}")
+                if not (there.is_file and there.size == own[0] and _digest(_blocks(f"{target}/{name}", block)) == own):
+                    draft = f"{base}/{name}.{uuid.uuid4().hex}.part"
+                    to.create_dir(draft.rsplit("/", 1)[0], recursive=True)
+                    with to.open_output_stream(draft) as out:
+                        for b in _blocks(path, block):
+                            out.write(b)
+                    to.move(draft, f"{base}/{name}")
+                found.append((name, *own))
+            yield pd.DataFrame(found, columns=["file", "size", "sha256", "md5"])
+
+    source, target = source.rstrip("/"), target.rstrip("/")
+    listed = file_names(spark, source).select("file", "path")
+    if not _streamed(listed):
+        raise ValueError(f"files of {source} can't be copied by tasks")
+    done = _one_a_task(listed).mapInPandas(run, "file string, size long, sha256 string, md5 string")
+    path = scratch(spark, "copied")
+    done.write.parquet(path)  # the copy happens once, here
+    return spark.read.schema(done.schema).parquet(path)
 
 
 def spectra(segments: DataFrame, rate: float) -> DataFrame:
