@@ -312,6 +312,8 @@ def mine_words(rows: DataFrame, size: int = MINED) -> list[str]:
     spread = lambda x, n: 1 / (F.col(x) + 0.5) + 1 / (F.lit(n) - F.col(x) + 0.5)
     bound = odds("a", total[0]) - odds("b", total[1]) - 1.64 * F.sqrt(spread("a", total[0]) + spread("b", total[1]))
     best = counts.withColumn("bound", F.round(bound, 9)).where("bound > 1 and length(gram) >= 3").orderBy(F.col("bound").desc(), F.length("gram").desc(), "open", "gram").limit(10 * size).collect()
+    if not best:
+        return []
     names = [r.gram + "*" * r.open for r in best]
     lists = _Lists([(x, i + 1) for i, x in enumerate(names)])
 
