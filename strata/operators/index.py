@@ -121,17 +121,41 @@ def parse_factory(text: str) -> tuple[int, int, int]:
     return int(m[1]), int(m[2]), int(m[3])
 
 
+def _residuals(centres: np.ndarray):
+    """Vectors less the centre of their list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - centres[b.column("list_id").to_numpy()]
+                yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())) if c == "vec" else b.column(c) for c in b.schema.names], names=b.schema.names)
+
+    return run
+
+
+def _centre_table(centres: DataFrame) -> np.ndarray:
+    """The centres by their number; nlist rows, a parameter of the index."""
+    rows = centres.select("list_id", "centre").orderBy("list_id").collect()
+    return np.array([r.centre for r in rows])
+
+
 def pq_index(vectors: DataFrame, factory: str, seed: int = 7, sample: int = SAMPLE, spill: int = 1) -> tuple[DataFrame, DataFrame, list[list[list[float]]]]:
-    """((id, list_id, codes), centres, codebooks) of product-quantised unit vectors; ``list_ids`` as in :func:`ivf_index`."""
+    """((id, list_id, part, codes), centres, codebooks) of product-quantised unit vectors; ``list_ids`` as in :func:`ivf_index`.
+
+    Codes stand for what is left of a vector after its list's centre, which is
+    shorter than the vector, so the same codes come nearer to it.  A row in several
+    lists has codes for each.
+    """
     nlist, m, bits = parse_factory(factory)
     lists, centres = ivf_index(vectors, nlist, seed, sample, spill)
     kept = [c for c in lists.columns if c != "vec"]
-    once = flat_index(vectors)
-    dim = len(once.select("vec").first()[0])
+    dim = len(centres.first().centre)
     if dim % m:
         raise ValueError("the dimension must be a multiple of the number of subspaces")
     width = dim // m
-    books = [centroids(once.select("id", F.slice("vec", s * width + 1, width).alias("vec")), 1 << bits, seed + s, sample) for s in range(m)]
+    table = _centre_table(centres)
+    left = lists.mapInArrow(_residuals(table), lists.schema)
+    books = [centroids(left.select(F.xxhash64("id", "list_id").alias("id"), F.slice("vec", s * width + 1, width).alias("vec")), 1 << bits, seed + s, sample) for s in range(m)]
     fitted = [np.array(x) for x in books]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,17 +165,32 @@ def pq_index(vectors: DataFrame, factory: str, seed: int = 7, sample: int = SAMP
                 codes = np.stack([((x[:, s, None, :] - fitted[s][None]) ** 2).sum(axis=2).argmin(axis=1) for s in range(m)], axis=1)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(codes.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=[*kept, "codes"])
 
-    return lists.mapInArrow(encode, f"id long, list_id int, {'list_ids array<int>, ' if spill > 1 else ''}part int, codes array<int>"), centres, books
+    return left.mapInArrow(encode, f"id long, list_id int, {'list_ids array<int>, ' if spill > 1 else ''}part int, codes array<int>"), centres, books
+
+
+def _by_codes(codes: DataFrame, centres: DataFrame, books: list[list[list[float]]], queries: DataFrame, nprobe: int) -> DataFrame:
+    """(query_id, id, similarity) of the rows of the probed lists: the query's product with the centre, and with the entry of each code."""
+    fitted, table = np.array(books), _centre_table(centres)
+    m, _, width = fitted.shape
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                q = b.column("q").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, m, width)
+                c = b.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, m)
+                centre = (q.reshape(b.num_rows, -1) * table[b.column("list_id").to_numpy()]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("id"), pa.array(centre + (q * fitted[np.arange(m), c]).sum(axis=(1, 2)))], names=["query_id", "id", "similarity"])
+
+    found = _routed(codes, centres, queries.select(F.col("query_id").cast("long").alias("query_id"), "vec"), nprobe)
+    return found.select("query_id", "id", "q", "list_id", "codes").mapInArrow(score, "query_id long, id long, similarity double")
 
 
-def search_pq(codes: DataFrame, books: list[list[list[float]]], query: list[float], k: int) -> DataFrame:
-    """(id, similarity) by look-up tables of inner products, one per subspace."""
-    width = len(books[0][0])
-    unit = np.array(query, dtype=float)
-    unit = unit / (np.linalg.norm(unit) or 1.0)
-    tables = F.array(*[F.array(*[F.lit(float(np.dot(c, unit[s * width : (s + 1) * width]))) for c in book]) for s, book in enumerate(books)])
-    score = F.aggregate(F.zip_with("codes", tables, lambda c, t: F.get(t, c)), F.lit(0.0), lambda s, x: s + x)
-    return codes.select("id", score.alias("similarity")).orderBy(F.col("similarity").desc(), "id").limit(k)
+def search_pq(codes: DataFrame, centres: DataFrame, books: list[list[list[float]]], query: list[float], k: int, nprobe: int) -> DataFrame:
+    """(id, similarity) of one query by codes only, from the ``nprobe`` lists nearest to it."""
+    if nprobe <= 0 or k <= 0:
+        raise ValueError("k and nprobe must be positive")
+    one = codes.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, vec array<double>")
+    return _by_codes(codes, centres, books, one, nprobe).select("id", "similarity").orderBy(F.col("similarity").desc(), "id").limit(k)
 
 
 def probe_pq(codes: DataFrame, centres: DataFrame, books: list[list[list[float]]], vectors: DataFrame, queries: DataFrame, k: int, nprobe: int, candidates: int) -> DataFrame:
@@ -162,18 +201,7 @@ def probe_pq(codes: DataFrame, centres: DataFrame, books: list[list[list[float]]
     """
     if nprobe <= 0 or k <= 0 or candidates < k:
         raise ValueError("k and nprobe must be positive, and candidates at least k")
-    fitted = np.array(books)
-    m, _, width = fitted.shape
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                q = b.column("q").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, m, width)
-                c = b.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, m)
-                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("id"), pa.array((q * fitted[np.arange(m), c]).sum(axis=(1, 2)))], names=["query_id", "id", "similarity"])
-
-    found = _routed(codes, centres, queries.select(F.col("query_id").cast("long").alias("query_id"), "vec"), nprobe)
-    near = _best(found.select("query_id", "id", "q", "codes").mapInArrow(score, "query_id long, id long, similarity double"), candidates).select("query_id", "id")
+    near = _best(_by_codes(codes, centres, books, queries, nprobe), candidates).select("query_id", "id")
     exact = near.join(flat_index(vectors).select(F.col("id").cast("long").alias("id"), "vec"), "id").join(queries.select("query_id", V.l2_normalise(F.col("vec")).alias("q")), "query_id")
     return _best(exact.select("query_id", "id", V.dot(F.col("vec"), F.col("q")).alias("similarity")), k)
 

@@ -229,7 +229,7 @@ def x3(s, d):
     v = views.vectors(s, d)
     codes, centres, books = X.pq_index(v, "IVF8,PQ16x6", spill=2)
     queries = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
-    return _rounded(X.probe_pq(codes, centres, books, v, queries, 10, 5, 100))
+    return _rounded(X.probe_pq(codes, centres, books, v, queries, 10, 5, 50))
 
 
 @query("j2_clips_metadata", "select clip_id, recording_id, work_id from v_clips")

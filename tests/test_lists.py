@@ -126,3 +126,23 @@ def test_clip_search_returns_k_clips_whenever_there_are(spark):
     for page in (1, 7, 100):
         got = [r.clip_id for r in S._walk_pages(scored, 9, 40.0, page).collect()]
         assert got == [r[0] for r in _greedy(many, 9, 40.0)]
+
+
+def test_residual_codes_find_what_they_stand_for(spark, clustered):
+    """A query by codes: near the exact search in the probed lists, and nearer with the centres' share than the codes alone."""
+    from strata.operators import index as X
+    from strata.operators import search as S
+
+    ship(spark)
+    v = _table(spark, clustered).where("id < 1500 and (id < 100 or id > 405) and (id < 500 or id > 505)")
+    codes, centres, books = X.pq_index(v, "IVF6,PQ8x4", seed=3)
+    own = {i for i in range(1500) if i < 100 or i > 505 or 405 < i < 500}
+    for q in (7, 600):
+        vector = [float(x) for x in clustered[q]]
+        by_code = {r.id: r.similarity for r in X.search_pq(codes, centres, books, vector, 2000, 6).collect()}
+        exact = {r.id: r.similarity for r in S.similar_to(v, vector, 2000).collect()}
+        assert set(by_code) == set(exact) == own
+        gap = np.array([by_code[i] - exact[i] for i in exact])
+        assert np.abs(gap).mean() < 0.05 and np.corrcoef([by_code[i] for i in exact], list(exact.values()))[0, 1] > 0.99
+    with pytest.raises(ValueError):
+        X.search_pq(codes, centres, books, vector, 5, 0)

@@ -86,14 +86,13 @@ def _novelty(c, radius):
     return out
 
 
-def test_novelty_is_signed_and_has_the_wide_taper(spark, rng):
+def test_novelty_has_the_wide_taper(spark, rng):
     change = np.concatenate([np.outer(np.eye(12)[0], np.ones(20)), np.outer(np.eye(12)[5], np.ones(21))], axis=1) + 0.01 * rng.random((12, 41))
     tracks = {"noise": rng.standard_normal((12, 50)), "change": change, "short": rng.random((12, 9))}
     for radius in (3, 8):
         found = _series(T.novelty(_chroma(spark, tracks), radius))
         for t, c in tracks.items():
             assert found[t] == pytest.approx(_novelty(c, radius).tolist(), abs=1e-9)
-    assert min(found["noise"]) < 0
     other = {t: rng.random((12, c.shape[1] - 2)) for t, c in tracks.items()}
     curve = _series(T.novelty_curve(_chroma(spark, tracks), _chroma(spark, other), 10))
     for t, c in tracks.items():
