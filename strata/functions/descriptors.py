@@ -50,24 +50,24 @@ REGISTERED_TARGETS = (
     ("midi_pedal_ratio", "midi_scalar", None),
 )
 
-#: Aspects: name, the targets that can validate it in order, and what it is about; fixed names.
+#: Aspects: name and the targets that can validate it, in order; fixed names.
 ASPECTS = (
-    ("brightness", ("spectral_centroid",), "bright or dark sound"),
-    ("texture", ("spectral_rolloff", "zero_crossing_rate"), "smooth or rough sound"),
-    ("warmth", ("spectral_bandwidth", "spectral_centroid"), "fullness of the sound"),
-    ("tempo", ("tempo",), "overall speed"),
-    ("rhythmic_energy", ("onset_density",), "notes in a unit of time"),
-    ("dynamics", ("dynamic_range", "dynamic_variance"), "contrast of loudness"),
-    ("harmonic_richness", ("harmonic_complexity",), "spread over pitch classes"),
-    ("articulation", ("attack_slopes", "attack_sharpness"), "how notes begin"),
-    ("phrasing", ("phrase_regularity", "num_phrases"), "regularity and number of phrases"),
-    ("tension", ("tis_tension",), "course of harmonic tension"),
-    ("dynamic_arc", ("dynamic_arc",), "course of loudness"),
-    ("rhythmic_flow", ("local_tempo",), "course of tempo"),
-    ("brightness_trajectory", ("centroid_trajectory",), "course of brightness"),
-    ("structure", ("novelty",), "boundaries between parts"),
-    ("micro_articulation", ("midi_articulation_hist",), "note lengths against note distances"),
-    ("performance_expression", ("midi_velocity_std", "midi_ioi_std", "midi_pedal_ratio"), "variation of touch, timing and pedal"),
+    ("brightness", ("spectral_centroid",)),
+    ("texture", ("spectral_rolloff", "zero_crossing_rate")),
+    ("warmth", ("spectral_bandwidth", "spectral_centroid")),
+    ("tempo", ("tempo",)),
+    ("rhythmic_energy", ("onset_density",)),
+    ("dynamics", ("dynamic_range", "dynamic_variance")),
+    ("harmonic_richness", ("harmonic_complexity",)),
+    ("articulation", ("attack_slopes", "attack_sharpness")),
+    ("phrasing", ("phrase_regularity", "num_phrases")),
+    ("tension", ("tis_tension",)),
+    ("dynamic_arc", ("dynamic_arc",)),
+    ("rhythmic_flow", ("local_tempo",)),
+    ("brightness_trajectory", ("centroid_trajectory",)),
+    ("structure", ("novelty",)),
+    ("micro_articulation", ("midi_articulation_hist",)),
+    ("performance_expression", ("midi_velocity_std", "midi_ioi_std", "midi_pedal_ratio")),
 )
 
 
@@ -82,6 +82,6 @@ def registered_targets(spark: SparkSession) -> DataFrame:
 
 
 def aspect_registry(spark: SparkSession) -> DataFrame:
-    """(aspect, target, ord, description): candidates in order, as ``resolve_aspects`` takes them."""
-    rows = [(name, target, k, about) for name, targets, about in ASPECTS for k, target in enumerate(targets)]
-    return spark.createDataFrame(rows, "aspect string, target string, ord int, description string")
+    """(aspect, target, ord): candidates in order, as ``resolve_aspects`` takes them."""
+    rows = [(name, target, k) for name, targets in ASPECTS for k, target in enumerate(targets)]
+    return spark.createDataFrame(rows, "aspect string, target string, ord int")
