@@ -2,33 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share for intermediate tables.
-
-    It is ``spark.checkpoint.dir`` of the session.  Where that is unset and
-    the master is local (tests), a temporary folder is made and set; on a
-    cluster an unset folder is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master.startswith("local[") or master == "local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+from strata.plans.session import scratch as new_path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
