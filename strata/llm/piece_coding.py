@@ -179,6 +179,7 @@ class StreamingEncoder:
         self.back: dict[int, tuple[int, int]] = {0: (_NONE, _NONE)}  # position -> (id, position before it)
         self.total: dict[int, float] = {0: 0.0}  # of the best path to a position, for scored pieces
         self.done = 0  # position up to which ids are committed
+        self.mark: dict[int, int] = {0: 0}  # the position that the path to a position had in the window of the last meeting
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merges leave piece a beside piece b."""
@@ -222,7 +223,7 @@ class StreamingEncoder:
             window = self.tail + part
             step(window, len(self.tail), self.base)
             at = self.base + len(window)
-            if len(self.back) > 4 * longest:
+            if at - self.done > longest:
                 out += self._commit(at)
             keep = min(len(window), longest)
             self.tail, self.base = window[len(window) - keep :], at - keep
@@ -247,6 +248,7 @@ class StreamingEncoder:
                     if not (self.compatible(last, piece) if known is None else known):
                         continue
                 back[base + i] = (piece, base + i - length)
+                self.mark[base + i] = self.mark[base + i - length]
                 break
 
     def _scored(self, window: str, first: int, base: int) -> None:
@@ -266,6 +268,7 @@ class StreamingEncoder:
                 if best is None or own > best[0]:
                     best = (own, piece, base + i - length)
             total[base + i], back[base + i] = best[0], best[1:]
+            self.mark[base + i] = self.mark[best[2]]
 
     def _path(self, at: int) -> list[int]:
         path = [at]
@@ -274,16 +277,23 @@ class StreamingEncoder:
         return path
 
     def _commit(self, at: int) -> list[int]:
-        """Ids up to the last boundary that the paths to all positions of the window share."""
-        first = max(self.done, at - self.model.longest)
-        alive = [p for p in range(first, at + 1) if p in self.back]
-        shared = set(self._path(alive[0]))
-        for p in alive[1:]:
-            shared.intersection_update(self._path(p))
-        out = self._ids(max(shared)) if shared else []
-        for p in [p for p in self.back if p < first and p < self.done]:
-            del self.back[p]
+        """Ids up to the boundary on which the paths to all positions of the window have met, if they have.
+
+        Each position knows through which position of an earlier window its path
+        went, so a look costs a window, however far back the paths meet.  Once
+        they do, the positions of this window are the next ones to look for.
+        """
+        alive = [p for p in range(max(self.done, at - self.model.longest), at + 1) if p in self.back]
+        met = {self.mark[p] for p in alive}
+        if len(met) > 1:
+            return []
+        before, (meeting,) = self.done, met
+        out = self._ids(meeting) if meeting > before else []
+        for p in range(before, self.done):
+            self.back.pop(p, None)
             self.total.pop(p, None)
+            self.mark.pop(p, None)
+        self.mark.update((p, p) for p in alive)
         return out
 
     def _ids(self, at: int) -> list[int]:

@@ -152,3 +152,37 @@ def test_spans_are_used_for_the_known_tokenizer_only():
     known["normalizer"]["normalizers"].pop()
     assert not token_files.splits_at_spans(json.dumps(known))
     assert not token_files.splits_at_spans(json.dumps(json.load(open(public_tokenizers.path("byte_bpe_50k.json")))))
+
+
+@pytest.mark.parametrize("kind", ["unigram", "bpe"])
+def test_ids_are_committed_where_all_paths_meet(kind):
+    """Long texts: ids come out while the text goes in, what is kept stays small, and a look costs a window."""
+    rnd = random.Random(7)
+    pieces = ["a", "b", "ab", "ba", "c", "cab", "▁", "▁c"] + [f"<0x{k:02X}>" for k in range(256)]
+    if kind == "unigram":
+        model = piece_coding.PieceModel.unigram(pieces, {i: -1.0 - i / 10 for i in range(8)}, [8 + k for k in range(256)])
+    else:
+        public_tokenizers = pytest.importorskip("public_tokenizers")
+        model = piece_coding.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
+    encoder, out, early, most = piece_coding.StreamingEncoder(model), [], 0, 0
+    text = "".join(rnd.choice("abc▁") for _ in range(6000))
+    for k in range(0, len(text), 50):
+        out += encoder.feed(text[k : k + 50])
+        early, most = max(early, len(out)), max(most, len(encoder.back))
+    out += encoder.finish()
+    assert out == piece_coding.StreamingEncoder(model).encode(text)
+    assert early > 0.9 * len(out) and most < 12 * model.longest + 100
+
+
+def test_paths_that_never_meet_take_linear_time():
+    """Two paths through abab... of equal scores run side by side to the end."""
+    import time
+
+    pieces = ["a", "b", "ab", "ba"] + [f"<0x{k:02X}>" for k in range(256)]
+    model = piece_coding.PieceModel.unigram(pieces, {0: -3.0, 1: -3.0, 2: -1.0, 3: -1.0}, [4 + k for k in range(256)])
+    took = []
+    for n in (20_000, 160_000):
+        start = time.process_time()
+        assert piece_coding.StreamingEncoder(model).encode("ab" * (n // 2)) == [2] * (n // 2)
+        took.append(time.process_time() - start)
+    assert took[1] < 20 * took[0]
