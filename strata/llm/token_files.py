@@ -29,6 +29,11 @@ ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.
 _tokenizers: dict[str, tuple] = {}
 
 
+#: Spans that a worker process keeps the ids of, some 60 bytes each.
+POOL = 1_500_000
+_pools: dict[str, IdPool] = {}
+
+
 def _tokenizer(path: str):
     """The tokenizer of this worker process, its control strings, and whether it takes a text in spans."""
     if path not in _tokenizers:
@@ -52,6 +57,14 @@ def splits_at_spans(description: str) -> bool:
     return d["normalizer"] == _NORMALIZER and d["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_WORDS, _BYTES]} and not d["model"].get("dropout") and not d["truncation"] and not d["padding"]
 
 
+def _pool(path: str) -> IdPool:
+    """The spans that this worker process knows: the next task's texts have many of the same ones."""
+    if path not in _pools:
+        tokenizer = _tokenizer(path)[0]
+        _pools[path] = IdPool(lambda found: [e.ids for e in tokenizer.encode_batch_fast([s.decode("utf-8", "replace") for s in found], add_special_tokens=False)], limit=POOL)
+    return _pools[path]
+
+
 def _letter_table() -> tuple[np.ndarray, np.ndarray]:
     b = np.arange(256)
     letter = ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122))
@@ -97,8 +110,7 @@ def _encode(path: str, end_id: int | None):
         if not in_spans:
             yield from _whole(tokenizer, tail, batches)
             return
-        # One pool for each task: an idle worker process keeps none of it.
-        pool = IdPool(lambda found: [e.ids for e in tokenizer.encode_batch_fast([s.decode("utf-8", "replace") for s in found], add_special_tokens=False)], limit=400_000)
+        pool = _pool(path)
         value, second = ws.byte_values(lower=True), ws.byte_values(lower=True, seed=29)
         for b in batches:
             for row, part, edge in ws.slices(b.column(1)):
