@@ -155,14 +155,12 @@ def conversation_documents(rendered: DataFrame) -> DataFrame:
     One conversation is one row here; for one that is too long for a row keep
     the rendered messages, which hold the same.
     """
-    parts = F.array_sort(F.collect_list(F.struct("message", "formatted", "loss_start", "loss_end")))
-    own = rendered.groupBy("conv_id").agg(parts.alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.char_length(x["formatted"])).alias("at"),
-        F.when(x["loss_start"].isNull(), acc["mask"]).otherwise(F.concat(acc["mask"], F.array(F.struct((acc["at"] + x["loss_start"]).alias("start"), (acc["at"] + x["loss_end"]).alias("end"))))).alias("mask"),
-    )
-    return own.select("conv_id", F.array_join(F.col("m.formatted"), "").alias("formatted"), F.aggregate("m", start, step, lambda acc: acc["mask"]).alias("mask"))
+    before = Window.partitionBy("conv_id").orderBy("message", "formatted").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rendered.withColumn("at", F.coalesce(F.sum(F.char_length("formatted")).over(before), F.lit(0)).cast("int"))
+    own = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("message", "formatted", "at", "loss_start", "loss_end"))).alias("m"))
+    learned = F.filter("m", lambda x: x["loss_start"].isNotNull())
+    mask = F.transform(learned, lambda x: F.struct((x["at"] + x["loss_start"]).alias("start"), (x["at"] + x["loss_end"]).alias("end")))
+    return own.select("conv_id", F.array_join(F.col("m.formatted"), "").alias("formatted"), mask.alias("mask"))
 
 
 def conversation_events(turns: DataFrame) -> DataFrame:

@@ -138,3 +138,13 @@ def test_repeated_captures_meet_each_entry_once(spark):
     out = url_filter.filter_urls(spark.createDataFrame(rows, "id int, url string, d int").repartition(4), entries, "id", "url", "d")
     found = {(r.id, r.day): (r.n_active, r.n_block, r.n_allow, r.blocked) for r in out.collect()}
     assert found == {(1, 5): (2, 1, 1, False), (1, 2): (1, 0, 1, False), (2, 5): (2, 1, 1, False), (3, 5): (0, 0, 0, False)} and out.count() == 4
+
+
+def test_a_long_conversation_is_one_document(spark):
+    """20,000 turns: the ranges follow one another and hold each assistant text, in time that grows with the turns."""
+    ship(spark)
+    n = 20_000
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("message"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    row = chat_format.conversation_documents(chat_format.render(turns.repartition(5))).first()
+    assert len(row.mask) == n // 2 and all(a.end <= b.start for a, b in zip(row.mask, row.mask[1:]))
+    assert [row.formatted[m.start : m.end] for m in row.mask] == [f"t{i}" for i in range(1, n, 2)]
