@@ -52,6 +52,8 @@ BITS = 16
 MISS = 1e-7
 SMALL = 16
 BLOCK = 512
+#: Documents whose values are counted at once, and most frequent values that are known, where rare values are keys.
+COUNTED, COMMON = 8192, 1 << 16
 
 _SIGNED = "doc_id long, n_shingles long, set_hash long, set_hash2 long, signature binary"
 
@@ -155,15 +157,49 @@ def _emit_keys(bound: int):
     return run
 
 
-def _emit_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The values of each signature as keys of their own."""
+def _values(signatures: pa.Array) -> np.ndarray:
+    """The values of each signature as keys of their own, a row each."""
+    return ws.mix64(_matrix(signatures).astype(np.uint64) + (np.arange(SYMBOLS, dtype=np.uint64) << np.uint64(32)))
+
+
+def _emit_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Values that at least two of up to ``COUNTED`` rows have, and their number there."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["key", "n"])
+
+    held, rows = [], 0
     for b in batches:
-        for lo in range(0, b.num_rows, 2048):
-            part = b.slice(lo, 2048)
-            sig = _matrix(part.column(1)).astype(np.uint64)
-            keys = ws.mix64(sig + (np.arange(SYMBOLS, dtype=np.uint64) << np.uint64(32)))
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, SYMBOLS))], names=["key", "doc_id"])
+        for lo in range(0, b.num_rows, COUNTED):
+            part = b.slice(lo, COUNTED)
+            held.append(_values(part.column(0)).ravel())
+            rows += part.num_rows
+            if rows >= COUNTED:
+                yield counted(held)
+                held, rows = [], 0
+    if held:
+        yield counted(held)
+
+
+def _emit_rarest(bound: int, common: np.ndarray, count: np.ndarray):
+    """The ``bound + 1`` rarest values of each signature; ``common`` are sorted keys of known numbers, and all others count as rarer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2048):
+                part = b.slice(lo, 2048)
+                keys = _values(part.column(2))
+                n = np.zeros(keys.shape, dtype=np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+                    n = np.where(common[at] == keys, count[at], 0)
+                first = np.lexsort((keys, n), axis=1)[:, : bound + 1]
+                keys = np.take_along_axis(keys, first, axis=1)
+                ids, own = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), keys.shape[1]) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids), pa.array(own)], names=["key", "doc_id", "component"])
+
+    return run
 
 
 def _within(percent: int, bound: int):
@@ -305,21 +341,22 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _sum_of(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u of the edges (u, v) has one v, which is no u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes of undirected links (a, b): the smallest node reachable.
 
-    Alternating large-star and small-star rounds until a round changes
-    nothing; each round is written to the shared folder.  The smallest
-    neighbours are a table of their own, so that Spark can split the join of a
-    node that has many links.
+    Alternating large-star and small-star rounds until all links are between a
+    node and its component; each round is written to the shared folder.  The
+    smallest neighbours are a table of their own, so that Spark can split the
+    join of a node that has many links.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    before = _sum_of(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -328,10 +365,7 @@ def components(links: DataFrame) -> DataFrame:
         pairs = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         last, edges = edges, stored(pairs.select("e.*").where("u <> v").distinct(), "small")
         discard(last, least, large, low)
-        after = _sum_of(edges)
-        if after == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = after
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, text: DataFrame, size: int, percent: int) -> DataFrame:
@@ -365,7 +399,11 @@ def _minor_pairs(members: DataFrame, reps: DataFrame, percent: int, bound: int,
 
 
 def near_duplicate_links(reps: DataFrame, text: DataFrame, size: int, percent: int, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of representatives that give the same components as all links; see the module's text."""
+    """Pairs (a, b) that give the same components as all links between representatives; see the module's text.
+
+    These are the documents of the pivots' components with the smallest one, and
+    those pairs of components that later steps link.
+    """
     bound = distance_bound(percent / 100)
     keys = reps.select("doc_id", "signature").mapInArrow(_emit_keys(bound), "key long, doc_id long")
     sizes = stored(keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
@@ -374,34 +412,51 @@ def near_duplicate_links(reps: DataFrame, text: DataFrame, size: int, percent: i
     best = members.join(score, "doc_id").groupBy("key").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("m"))
     pivots = stored(best.select("key", (-F.col("m.d")).alias("pivot")), "pivots")
     met = members.join(pivots, "key").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).where("a <> b").distinct()
-    links = _confirmed(met, reps, text, size, percent)
+    own = components(_confirmed(met, reps, text, size, percent)).select(F.col("node").alias("doc_id"), "component")
     discard(sizes, pivots)
-    own = components(links).select(F.col("node").alias("doc_id"), "component")
     placed = stored(members.select("key", "doc_id").join(own, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
     few, hot = _open_keys(placed, small)
     discard(members, placed)
-    links = links.unionByName(_confirmed(_minor_pairs(few, reps, percent, bound, min(block, 8 * max(small, 1))), reps, text, size, percent))
+    pairs = _minor_pairs(few, reps, percent, bound, min(block, 8 * max(small, 1)))
     hot = stored(hot.select("doc_id", "component").distinct(), "hot")
-    return links if hot.isEmpty() else links.unionByName(_rare_links(hot, reps, text, size, percent, small, block))
+    n, joined = hot.count(), None
+    if n:
+        few, many = _open_keys(stored(_rarest_values(hot, n, reps, bound), "rare"), small)
+        pairs = pairs.unionByName(_minor_pairs(few, reps, percent, bound, min(block, 8 * max(small, 1))))
+        joined = _block_links(many, text, size, percent, block)
+    links = _confirmed(pairs, reps, text, size, percent)
+    links = links.unionByName(joined) if joined is not None else links
+    side = lambda x: own.select(F.col("doc_id").alias(x), F.col("component").alias(f"own_{x}"))
+    root = lambda x: F.coalesce(f"own_{x}", x).alias(x)
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(root("a"), root("b")).where("a <> b")
+    return own.select(F.col("component").alias("a"), F.col("doc_id").alias("b")).unionByName(between)
+
+
+def _rarest_values(hot: DataFrame, n: int, reps: DataFrame, bound: int) -> DataFrame:
+    """(key, doc_id, component) of the n documents (doc_id, component): the bound + 1 values of their signatures that are rarest among them.
+
+    Two signatures within the bound share one of these values whatever the order
+    of all values is, as long as it is the same for both; frequent values come last
+    so that they are no keys.  So it is enough to count in tasks, and to know the
+    ``COMMON`` most frequent values.
+    """
+    signed = hot.join(reps, "doc_id").select("doc_id", "component", "signature")
+    counted = signed.select("signature").coalesce(max(1, n // COUNTED)).mapInArrow(_emit_common, "key long, n long")
+    top = counted.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "key").limit(COMMON).collect()
+    common, count = np.array([r.key for r in top], dtype=np.int64).view(np.uint64), np.array([r.n for r in top], dtype=np.int64)
+    order = np.argsort(common)
+    return signed.mapInArrow(_emit_rarest(bound, common[order], count[order]), "key long, doc_id long, component long")
 
 
-def _rare_links(hot: DataFrame, reps: DataFrame, text: DataFrame, size: int, percent: int, small: int, block: int) -> DataFrame:
-    """Links between documents (doc_id, component) of different components, by the rarest values of their signatures."""
-    bound = distance_bound(percent / 100)
-    values = stored(hot.join(reps, "doc_id").select("doc_id", "signature").mapInArrow(_emit_values, "key long, doc_id long"), "values")
-    known = stored(values.groupBy("key").agg(F.count("*").alias("n")), "frequency")
-    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "key"))), 1, bound + 1)
-    rare = values.join(known, "key").groupBy("doc_id").agg(rarest.alias("r")).select("doc_id", F.explode("r").alias("r")).where("r.n > 1").select(F.col("r.key").alias("key"), "doc_id")
-    few, many = _open_keys(stored(rare.join(hot, "doc_id"), "rare"), small)
-    links = _confirmed(_minor_pairs(few, reps, percent, bound, min(block, 8 * max(small, 1))), reps, text, size, percent)
+def _block_links(many: DataFrame, text: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """Links of keys with a large minority, on full sets, by pairs of blocks."""
     # Blocks of the minority are numbered first; two blocks of the largest component need not meet.
     of_minor, of_major = F.ceil(F.col("rest") / block).cast("int"), F.ceil((F.col("k") - F.col("rest")) / block).cast("int")
     place = F.when(F.col("minor") == 0, F.pmod(F.xxhash64("doc_id"), of_minor)).otherwise(of_minor + F.pmod(F.xxhash64("doc_id"), of_major)).cast("int")
     placed = many.select("key", "doc_id", place.alias("block"), F.when(F.col("minor") == 0, of_minor + of_major).otherwise(of_minor).alias("others"))
     met = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right")))
     dealt = placed.select("key", "doc_id", F.explode(met).alias("m")).select("key", "m.left", "m.right", "doc_id").join(text, "doc_id").select("key", "left", "right", "doc_id", "text")
-    joined = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right").mapInArrow(_hot_links(size, percent), "a long, b long")
-    return links.unionByName(joined)
+    return dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right").mapInArrow(_hot_links(size, percent), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

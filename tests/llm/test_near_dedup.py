@@ -74,3 +74,34 @@ def test_odd_ids_empty_tables_and_clashing_names(spark):
     kept = near_dedup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and sorted(r["a.b"] for r in kept.collect()) == [1, 2, 4, 5, 6]
     assert near_dedup.near_dedup(docs.limit(0)).count() == 0 and near_dedup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_rarest_values_are_few_and_shared_and_frequent_ones_are_no_keys(spark):
+    ship(spark)
+    bound, rng = near_dedup.distance_bound(0.85), np.random.default_rng(3)
+    sig = rng.integers(0, 1 << 16, (300, near_dedup.SYMBOLS)).astype(np.uint16)
+    sig[:200, :20] = sig[0, :20]  # a passage that many have
+    for i in range(200, 300, 2):
+        sig[i + 1] = sig[i]
+        sig[i + 1, rng.permutation(near_dedup.SYMBOLS)[:bound]] += 1
+    reps = spark.createDataFrame([(i, 50, bytearray(x.tobytes())) for i, x in enumerate(sig)], "doc_id long, n_shingles long, signature binary")
+    hot = spark.createDataFrame([(i, i) for i in range(300)], "doc_id long, component long")
+    rows = near_dedup._rarest_values(hot, 300, reps, bound).collect()
+    assert len(rows) == 300 * (bound + 1) and all(r.component == r.doc_id for r in rows)
+    keys: dict[int, set] = {}
+    for r in rows:
+        keys.setdefault(r.doc_id, set()).add(r.key)
+    assert all(keys[i] & keys[i + 1] for i in range(200, 300, 2))
+    assert not set.intersection(*(keys[i] for i in range(200)))
+    common = near_dedup._values(near_dedup.pa.array([sig[0].tobytes()]))[0, :20].view(np.int64).tolist()
+    assert not any(set(common) & keys[i] for i in range(200))
+
+
+def test_links_that_are_stars_need_no_round(spark, monkeypatch):
+    ship(spark)
+    labels, stored = [], near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, label: labels.append(label) or stored(df, label))
+    links = spark.createDataFrame([(1, 5), (7, 1), (2, 9), (3, 3)], "a long, b long")
+    assert {tuple(r) for r in near_dedup.components(links).collect()} == {(5, 1), (7, 1), (9, 2)} and labels == ["links"]
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 41), (50, 42)], "a long, b long")
+    assert {tuple(r) for r in near_dedup.components(links).collect()} == {(i, 1) for i in range(2, 41)} | {(42, 41), (50, 41)}
