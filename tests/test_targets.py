@@ -213,3 +213,20 @@ def test_spaced_peaks_of_a_long_track(spark, rng):
         if all(t != u or abs(f - g) >= 7 for u, g in kept):
             kept.append((t, f))
     assert {(r.track_id, r.frame) for r in T.onset_peaks(small, 7).collect()} == set(kept)
+
+
+def test_pedal_state_is_found_without_a_join(spark, rng):
+    """A grid has hundreds of rows a track, which Spark takes for as many as tracks and broadcast from the driver's memory."""
+    rows = [(int(rng.integers(3)), int(rng.integers(2)), i, float(rng.integers(40)) / 4, 64, int(rng.choice([0, 63, 64, 127]))) for i in range(120)]
+    rows += [(None, 0, 998, 1.0, 64, 127), (0, 0, 999, None, 64, 127)]
+    controls = spark.createDataFrame(rows, "track_id int, instrument int, event_id long, t double, cc int, value int")
+    grid = spark.range(200).selectExpr("cast(id div 50 as int) as track_id", "(id % 50) * 0.25d as t")
+    found = T.pedal_state(controls, grid)
+    for df in (found, T.pedal_curve(controls, spark.createDataFrame([(0, 9.0), (3, 5.0)], "track_id int, duration double"))):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.track_id, r.t): r.on for r in found.collect()}
+    for track in range(4):
+        for k in range(50):
+            last = [max(((t, i, v) for a, b, i, t, _, v in rows if a == track and b == own and t is not None and t <= k / 4), default=(0, 0, 0)) for own in (0, 1)]
+            assert got[track, k / 4] == int(any(v >= 64 for _, _, v in last))
+    assert len(got) == 200
