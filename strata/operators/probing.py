@@ -29,14 +29,17 @@ def kfold(ids: DataFrame, key: str = "id", folds: int = 5, seed: int = 42) -> Da
     return checksum_ranks(ids, key, seed).select(key, ((F.col("place") - 1) % F.least(F.lit(folds), F.col("total"))).cast("int").alias("fold"))
 
 
-def grouped_kfold(rows: DataFrame, key: str, group: str, folds: int = 5, seed: int = 42) -> DataFrame:
+def grouped_kfold(rows: DataFrame, key: str, group: str, folds: int = 5, seed: int = 42, by_size: bool = True) -> DataFrame:
     """(key, fold) with all rows of a group in one fold; one single group falls back to :func:`kfold`.
 
     Groups go by size, largest first, to the fold with the fewest rows so far;
     which groups of one size go where is by checksum.  The sizes that there are,
     at most the square root of twice the rows, pass through the driver, groups
-    do not.
+    do not.  Without ``by_size`` groups are dealt in checksum order, whatever their
+    sizes, and a single group is fold 0.
     """
+    if not by_size:
+        return rows.select(key, group).join(kfold(rows.select(group).distinct(), group, folds, seed), group).select(key, "fold")
     sizes = rows.groupBy(group).agg(F.count("*").alias("size"))
     counts = sizes.groupBy("size").count().orderBy(F.col("size").desc()).collect()
     total = sum(r["count"] for r in counts)

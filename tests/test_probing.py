@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 
 import numpy as np
 import pytest
@@ -138,3 +139,12 @@ def test_a_target_of_one_track_is_probed_with_ungrouped_folds(spark):
     order = sorted(range(8), key=lambda s: __import__("hashlib").md5(f"42:t4:{s}".encode()).hexdigest())
     fold = np.array([order.index(s) % 5 for s in range(8)])
     assert r.r2_score == pytest.approx(_ridge(x[4, :, 0], np.array([value(4, s) for s in range(8)]), fold), abs=1e-8)
+
+
+def test_groups_are_dealt_in_checksum_order_whatever_their_sizes(spark):
+    """As row_number() over (order by md5('42:' || group)) - 1, modulo 5."""
+    ids = list(range(0, 57)) + [91, 92, 93]
+    rows = spark.createDataFrame([(i, i // 10) for i in ids], "id long, g long")
+    order = sorted({i // 10 for i in ids}, key=lambda g: hashlib.md5(f"42:{g}".encode()).hexdigest())
+    assert {r.id: r.fold for r in R.grouped_kfold(rows, "id", "g", by_size=False).collect()} == {i: order.index(i // 10) % 5 for i in ids}
+    assert {r.fold for r in R.grouped_kfold(rows.where("g = 0"), "id", "g", by_size=False).collect()} == {0}
