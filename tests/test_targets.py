@@ -230,3 +230,24 @@ def test_pedal_state_is_found_without_a_join(spark, rng):
             last = [max(((t, i, v) for a, b, i, t, _, v in rows if a == track and b == own and t is not None and t <= k / 4), default=(0, 0, 0)) for own in (0, 1)]
             assert got[track, k / 4] == int(any(v >= 64 for _, _, v in last))
     assert len(got) == 200
+
+
+def test_autocorrelation_of_long_tracks_gaps_and_nulls_sends_a_frame_twice_at_most(spark, rng):
+    ship(spark)
+    tracks = {"long": rng.normal(size=2300), "short": rng.normal(size=5), "gap": rng.normal(size=40)}
+    rows = [(t, i, float(v)) for t, x in tracks.items() for i, v in enumerate(x) if not (t == "gap" and 3 <= i < 30)]
+    rows += [("null", 0, 1.0), ("null", 1, None), ("bad", 0, float("nan")), ("bad", 1, 2.0), ("bad", 2, 3.0)]
+    frames = spark.createDataFrame(rows, "track_id string, frame int, x double")
+    found = T.autocorrelation(frames, 50)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.track_id, r.lag): r.r for r in found.collect()}
+    want: dict = {}
+    at = {(t, i): v for t, i, v in rows}
+    for (t, i), v in at.items():
+        for lag in range(50):
+            if (t, i + lag) in at:
+                own = want.setdefault((t, lag), [])
+                own += [v * at[t, i + lag]] if v is not None and at[t, i + lag] is not None else []
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(sum(v), abs=1e-9, nan_ok=True) if v else got[k] is None
