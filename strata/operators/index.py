@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions import vectors as V
+from strata.operators.search import QUERY_BLOCK, _unit_rows, block_topk
+from strata.plans.session import scratch
 
 SAMPLE = 100_000
 #: Rows of a list that one task takes; larger lists are in numbered parts.
@@ -73,17 +75,31 @@ def _probe(centres: np.ndarray, names: np.ndarray, parts: np.ndarray, nprobe: in
     return run
 
 
-def _routed(lists: DataFrame, centres: DataFrame, queries: DataFrame, nprobe: int) -> DataFrame:
-    """Rows of the ``nprobe`` lists nearest to each query (query_id, vec), with the query's unit vector ``q``; each row once per query."""
+def _best_of_lists(lists: DataFrame, centres: DataFrame, queries: DataFrame, k: int, nprobe: int, vectors: Callable[[pa.RecordBatch], np.ndarray] = _unit_rows) -> DataFrame:
+    """(query_id, id, similarity, place): the k best rows of each part of the ``nprobe`` lists nearest to each query (query_id, vec); each row once per query.
+
+    The queries of a list are dealt to blocks, and each block meets each part in
+    one task as one product of matrices.  ``vectors`` makes the rows' vectors.
+    """
     table = centres.orderBy("list_id").collect()  # nlist rows, a parameter of the index
-    unit = queries.select(F.col("query_id").cast("long").alias("query_id"), V.l2_normalise(F.col("vec")).alias("q"))
+    unit = queries.where("vec is not null").select(F.col("query_id").cast("long").alias("query_id"), V.l2_normalise(F.col("vec")).alias("q"))
     found = _probe(np.array([r.centre for r in table]), np.array([r.list_id for r in table]), np.array([r.parts for r in table]), nprobe)
     probed = unit.mapInArrow(found, "query_id long, q array<double>, probed array<int>, parts array<int>")
     each = probed.select("query_id", "q", "probed", F.explode(F.arrays_zip("probed", "parts")).alias("p"))
-    dealt = each.select("query_id", "q", "probed", F.col("p.probed").alias("list_id"), F.explode(F.sequence(F.lit(0), F.col("p.parts") - 1)).alias("part"))
-    found = lists.join(dealt, ["list_id", "part"])
-    # A row in several probed lists counts in the one nearest to it.
-    return found.where(F.get(F.array_intersect("list_ids", "probed"), 0) == F.col("list_id")) if "list_ids" in lists.columns else found
+    each = each.select("query_id", "q", "probed", F.col("p.probed").alias("list_id"), F.col("p.parts").alias("parts"))
+    asked_of = F.broadcast(each.groupBy("list_id").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks")))  # nlist rows
+    left = lambda block: (F.col("list_id").cast("long") * (1 << 31) + block).alias("left")
+    spill, more = "list_ids" in lists.columns, [c for c in lists.columns if c not in ("id", "list_id", "list_ids", "part", "vec")]
+    none = lambda c: F.lit(None).cast(lists.schema[c].dataType if c in lists.columns else "array<double>").alias(c)
+    asked = each.join(asked_of, "list_id").select(
+        left(F.pmod(F.xxhash64("query_id"), F.col("blocks"))), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("right"), F.lit(0).alias("corpus"), F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("vec"), "list_id",
+        *([F.col("probed"), none("list_ids")] if spill else []), *[none(c) for c in more],
+    )
+    vec = F.col("vec").cast("array<double>").alias("vec") if "vec" in lists.columns else none("vec")
+    rows = lists.join(asked_of, "list_id").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = rows.select(left(F.col("block")), F.col("part").alias("right"), F.lit(1).alias("corpus"), "id", vec, "list_id", *([F.lit(None).cast("array<int>").alias("probed"), "list_ids"] if spill else []), *more)
+    met = asked.unionByName(rows).repartition("left", "right").sortWithinPartitions("left", "right", "corpus")
+    return met.mapInArrow(block_topk(k, False, vectors, len(table) if spill else 0), "query_id long, id long, similarity double, place double")
 
 
 def write_lists(lists: DataFrame, centres: DataFrame, path: str, nprobe: int) -> None:
@@ -102,15 +118,14 @@ def read_lists(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, in
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.select("query_id", "id", "similarity", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
 
 def probe_ivf(lists: DataFrame, centres: DataFrame, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
     """(query_id, id, similarity, rank) from the ``nprobe`` lists nearest to each query (query_id, vec)."""
     if nprobe <= 0 or k <= 0:
         raise ValueError("k and nprobe must be positive")
-    found = _routed(lists, centres, queries, nprobe)
-    return _best(found.select("query_id", "id", V.dot(F.col("vec"), F.col("q")).alias("similarity")), k)
+    return _best(_best_of_lists(lists, centres, queries, k, nprobe), k)
 
 
 def parse_factory(text: str) -> tuple[int, int, int]:
@@ -155,7 +170,12 @@ def pq_index(vectors: DataFrame, factory: str, seed: int = 7, sample: int = SAMP
     width = dim // m
     table = _centre_table(centres)
     left = lists.mapInArrow(_residuals(table), lists.schema)
-    books = [centroids(left.select(F.xxhash64("id", "list_id").alias("id"), F.slice("vec", s * width + 1, width).alias("vec")), 1 << bits, seed + s, sample) for s in range(m)]
+    # All subspaces take the same rows of the sample, which is written once.
+    path = scratch(vectors.sparkSession, "sample")
+    keyed = left.select(F.xxhash64("id", "list_id").alias("id"), "vec")
+    keyed.orderBy(F.md5(F.col("id").cast("string").cast("binary"))).limit(sample).write.parquet(path)
+    part = vectors.sparkSession.read.schema(keyed.schema).parquet(path)
+    books = [centroids(part.select("id", F.slice("vec", s * width + 1, width).alias("vec")), 1 << bits, seed + s, sample) for s in range(m)]
     fitted = [np.array(x) for x in books]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,21 +188,16 @@ def pq_index(vectors: DataFrame, factory: str, seed: int = 7, sample: int = SAMP
     return left.mapInArrow(encode, f"id long, list_id int, {'list_ids array<int>, ' if spill > 1 else ''}part int, codes array<int>"), centres, books
 
 
-def _by_codes(codes: DataFrame, centres: DataFrame, books: list[list[list[float]]], queries: DataFrame, nprobe: int) -> DataFrame:
-    """(query_id, id, similarity) of the rows of the probed lists: the query's product with the centre, and with the entry of each code."""
+def _by_codes(codes: DataFrame, centres: DataFrame, books: list[list[list[float]]], queries: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """(query_id, id, similarity) with the k best rows of each part of the probed lists: products with the vectors that the codes stand for, the centre and the entry of each code."""
     fitted, table = np.array(books), _centre_table(centres)
-    m, _, width = fitted.shape
+    m = len(fitted)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                q = b.column("q").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, m, width)
-                c = b.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, m)
-                centre = (q.reshape(b.num_rows, -1) * table[b.column("list_id").to_numpy()]).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("id"), pa.array(centre + (q * fitted[np.arange(m), c]).sum(axis=(1, 2)))], names=["query_id", "id", "similarity"])
+    def decoded(b: pa.RecordBatch) -> np.ndarray:
+        c = b.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, m)
+        return table[b.column("list_id").to_numpy()] + fitted[np.arange(m), c].reshape(b.num_rows, -1)
 
-    found = _routed(codes, centres, queries.select(F.col("query_id").cast("long").alias("query_id"), "vec"), nprobe)
-    return found.select("query_id", "id", "q", "list_id", "codes").mapInArrow(score, "query_id long, id long, similarity double")
+    return _best_of_lists(codes, centres, queries, k, nprobe, decoded)
 
 
 def search_pq(codes: DataFrame, centres: DataFrame, books: list[list[list[float]]], query: list[float], k: int, nprobe: int) -> DataFrame:
@@ -190,7 +205,7 @@ def search_pq(codes: DataFrame, centres: DataFrame, books: list[list[list[float]
     if nprobe <= 0 or k <= 0:
         raise ValueError("k and nprobe must be positive")
     one = codes.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, vec array<double>")
-    return _by_codes(codes, centres, books, one, nprobe).select("id", "similarity").orderBy(F.col("similarity").desc(), "id").limit(k)
+    return _by_codes(codes, centres, books, one, k, nprobe).select("id", "similarity").orderBy(F.col("similarity").desc(), "id").limit(k)
 
 
 def probe_pq(codes: DataFrame, centres: DataFrame, books: list[list[list[float]]], vectors: DataFrame, queries: DataFrame, k: int, nprobe: int, candidates: int) -> DataFrame:
@@ -201,7 +216,7 @@ def probe_pq(codes: DataFrame, centres: DataFrame, books: list[list[list[float]]
     """
     if nprobe <= 0 or k <= 0 or candidates < k:
         raise ValueError("k and nprobe must be positive, and candidates at least k")
-    near = _best(_by_codes(codes, centres, books, queries, nprobe), candidates).select("query_id", "id")
+    near = _best(_by_codes(codes, centres, books, queries, candidates, nprobe), candidates).select("query_id", "id")
     exact = near.join(flat_index(vectors).select(F.col("id").cast("long").alias("id"), "vec"), "id").join(queries.select("query_id", V.l2_normalise(F.col("vec")).alias("q")), "query_id")
     return _best(exact.select("query_id", "id", V.dot(F.col("vec"), F.col("q")).alias("similarity")), k)
 

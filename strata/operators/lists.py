@@ -24,13 +24,16 @@ from pyspark.sql import functions as F
 
 from strata.functions import vectors as V
 from strata.operators.index import LIST_ROWS, SAMPLE, centroids, flat_index
-from strata.operators.search import QUERY_BLOCK, block_topk
+from strata.operators.search import QUERY_BLOCK, best_of_all, block_topk
 from strata.plans.session import scratch
 
 #: Centres that tasks hold, give or take a factor of two.
 MAX_CENTRES = 4096
 #: Lists that a query probes in each round; the last round probes all that are left within the bound.
 ROUNDS = (2, 8)
+#: A query that has more lists than this left after the rounds is compared with all rows, in blocks of ``WIDE_BLOCK`` rows on
+#: both sides: its vector is then sent once for each block of rows, not once for each list.
+WIDE_LISTS, WIDE_BLOCK = 32, 1 << 14
 _SLACK = 2e-9
 
 
@@ -108,8 +111,8 @@ def balanced_lists(vectors: DataFrame, list_rows: int = LIST_ROWS, seed: int = 7
     return _stored(dealt, "parts"), _stored(known, "centres")
 
 
-def _probes(centres: np.ndarray, radius: np.ndarray, names: np.ndarray, parts: np.ndarray, rows: np.ndarray, step: int | None):
-    """Queries (query_id, q, reach, done) with the lists of their next ``step`` places (all, if None) that may hold a row of similarity ``reach``."""
+def _probes(centres: np.ndarray, radius: np.ndarray, names: np.ndarray, parts: np.ndarray, rows: np.ndarray, step: int | None, count: bool = False):
+    """Queries (query_id, q, reach, done) with the lists of their next ``step`` places (all, if None) that may hold a row of similarity ``reach``; with ``count`` the queries with the number of these lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
@@ -124,6 +127,9 @@ def _probes(centres: np.ndarray, radius: np.ndarray, names: np.ndarray, parts: n
             chosen = (place >= done) & (sorted_bound >= reach - _SLACK)
             if step is not None:
                 chosen &= place < done + step
+            if count:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chosen.sum(axis=1).astype(np.int32))], names=[*b.schema.names, "lists"])
+                continue
             row, at = np.nonzero(chosen)
             found = order[row, at]
             yield pa.RecordBatch.from_arrays(
@@ -140,7 +146,8 @@ def similar_through_lists(lists: DataFrame, centres: DataFrame, queries: DataFra
     ``exclude_self`` a row is no neighbour of the query of its id.  Fewer than k
     rows give fewer neighbours.  Query ids must be unique; null vectors have no
     neighbours.  The queries of a list meet each of its parts in blocks, so a
-    task holds a block of queries and streams a part.
+    task holds a block of queries and streams a part.  Queries that no bound keeps
+    from most lists meet all rows in larger blocks.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -155,6 +162,14 @@ def similar_through_lists(lists: DataFrame, centres: DataFrame, queries: DataFra
     order = Window.partitionBy("query_id").orderBy(F.col("place").desc(), "id")
     counts = []
     for number, step in enumerate((*rounds, None)):
+        if step is None:
+            left_over = _stored(open_.mapInArrow(_probes(*known, None, count=True), "query_id long, q array<double>, reach double, done int, lists int"), "queries")
+            wide, open_ = left_over.where(F.col("lists") > WIDE_LISTS).select(F.col("query_id").alias("id"), F.col("q").alias("vec")), left_over.where(F.col("lists") <= WIDE_LISTS).drop("lists")
+            n_wide = wide.count()
+            if n_wide:
+                counts.append(spark.range(1).select(F.lit(number).alias("round"), F.lit(n_wide * int(known[4].sum())).cast("long").alias("pairs")))
+                every = best_of_all(lists.select("id", "vec"), wide, k, exclude_self, WIDE_BLOCK, WIDE_BLOCK)
+                best = best.join(wide.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(every)
         probes = _stored(open_.mapInArrow(_probes(*known, step), "query_id long, q array<double>, list_id int, parts int, n long"), "probes")
         counts.append(probes.agg(F.lit(number).alias("round"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")))
         # The queries of a list are dealt to blocks; each block meets each part of the list.

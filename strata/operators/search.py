@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +58,27 @@ def _leading(k: int, own: np.ndarray, scores: np.ndarray, raw: np.ndarray) -> tu
     return tuple(np.take_along_axis(x, top, axis=1) for x in (own, scores, raw))
 
 
-def block_topk(k: int, exclude_self: bool):
-    """Rows come sorted by (left, right, corpus): the queries of a pair of blocks, then its corpus, of which a slice at a time is scored."""
+def _unit_rows(b: pa.RecordBatch) -> np.ndarray:
+    return _unit(b.column("vec"), b.num_rows)
+
+
+def block_topk(k: int, exclude_self: bool, vectors: Callable[[pa.RecordBatch], np.ndarray] = _unit_rows, lists: int = 0):
+    """Rows come sorted by (left, right, corpus): the queries of a pair of blocks, then its corpus, of which a slice at a time is scored.
+
+    ``vectors`` makes the corpus' vectors.  With a number of ``lists`` a query has
+    the lists it probes in ``probed`` and a row of the corpus its lists in
+    ``list_ids``; the row counts only in the first of them that the query probes.
+    """
+
+    def earlier(b: pa.RecordBatch) -> np.ndarray:
+        own = b.column("list_ids").flatten().to_numpy().reshape(b.num_rows, -1)
+        out = np.zeros((b.num_rows, lists), dtype=np.float32)
+        row, at = np.nonzero(np.cumsum(own == b.column("list_id").to_numpy()[:, None], axis=1) == 0)
+        out[row, own[row, at]] = 1
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, q_ids, q = None, [], []
+        current, q_ids, q, probed = None, [], [], []
         best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -79,20 +95,27 @@ def block_topk(k: int, exclude_self: bool):
             for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows]):
                 if current != (left[lo], right[lo]):
                     yield from done()
-                    current, q_ids, q, best = (left[lo], right[lo]), [], [], None
+                    current, q_ids, q, probed, best = (left[lo], right[lo]), [], [], [], None
                 if not kind[lo]:
                     q_ids.append(ids[lo:hi])
                     q.append(_unit(b.column("vec").slice(lo, hi - lo), hi - lo))
+                    if lists:
+                        probed.append(np.zeros((hi - lo, lists), dtype=np.float32))
+                        np.put_along_axis(probed[-1], b.column("probed").slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1), 1, axis=1)
                     continue
                 if not q:
                     continue
                 q_ids, q = [np.concatenate(q_ids)], [np.concatenate(q)]
-                for s in range(lo, hi, CORPUS_SLICE):
-                    e = min(s + CORPUS_SLICE, hi)
-                    raw = q[0] @ _unit(b.column("vec").slice(s, e - s), e - s).T
+                probed = [np.concatenate(probed)] if lists else []
+                width = max(64, CORPUS_SLICE * QUERY_BLOCK // max(QUERY_BLOCK, len(q[0])))
+                for s in range(lo, hi, width):
+                    e = min(s + width, hi)
+                    raw = q[0] @ vectors(b.slice(s, e - s)).T
                     scores, own = np.round(raw, 9), np.broadcast_to(ids[s:e], raw.shape)
                     if exclude_self:
                         scores[own == q_ids[0][:, None]] = -np.inf
+                    if lists:
+                        scores[probed[0] @ earlier(b.slice(s, e - s)).T > 0] = -np.inf
                     if best is not None:
                         own, scores, raw = (np.concatenate(x, axis=1) for x in zip(best, (own, scores, raw)))
                     own, scores, raw = _leading(k, own, scores, raw)
@@ -114,15 +137,21 @@ def similar_to_all(corpus: DataFrame, queries: DataFrame, k: int = 10, exclude_s
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    side = lambda df, n: df.select(F.col(id_col).cast("long").alias("id"), V.doubles(F.col(vec_col)).alias("vec")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    side = lambda df: df.select(F.col(id_col).cast("long").alias("id"), V.doubles(F.col(vec_col)).alias("vec"))
+    out = best_of_all(side(corpus), side(queries), k, exclude_self, query_block, corpus_block)
+    order = Window.partitionBy("query_id").orderBy(F.col("place").desc(), "id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("place")
+
+
+def best_of_all(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool, query_block: int, corpus_block: int) -> DataFrame:
+    """(query_id, id, similarity, place): the k best rows of each block of the corpus (id, vec) for each query (id, vec)."""
+    side = lambda df, n: df.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     n_left, n_right = -(-queries.count() // query_block) or 1, -(-corpus.count() // corpus_block) or 1
     asked = side(queries, n_left).select(F.col("own").alias("left"), every(n_right).alias("right"), F.lit(0).alias("corpus"), "id", "vec")
     known = side(corpus, n_right).select(every(n_left).alias("left"), F.col("own").alias("right"), F.lit(1).alias("corpus"), "id", "vec")
     met = asked.unionByName(known).repartition("left", "right").sortWithinPartitions("left", "right", "corpus")
-    out = met.mapInArrow(block_topk(k, exclude_self), "query_id long, id long, similarity double, place double")
-    order = Window.partitionBy("query_id").orderBy(F.col("place").desc(), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("place")
+    return met.mapInArrow(block_topk(k, exclude_self), "query_id long, id long, similarity double, place double")
 
 
 def dedupe_in_time(hits: DataFrame, window: float, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:

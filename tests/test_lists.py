@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strata.operators import index as X
 from strata.operators import lists as L
 from strata.plans.session import ship
 
@@ -146,3 +147,48 @@ def test_residual_codes_find_what_they_stand_for(spark, clustered):
         assert np.abs(gap).mean() < 0.05 and np.corrcoef([by_code[i] for i in exact], list(exact.values()))[0, 1] > 0.99
     with pytest.raises(ValueError):
         X.search_pq(codes, centres, books, vector, 5, 0)
+
+
+def test_queries_and_rows_of_lists_meet_in_blocks_and_spilled_rows_count_once(spark):
+    ship(spark)
+    x = np.random.default_rng(5).normal(size=(400, 8))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>")
+    lists, centres = X.ivf_index(v, 6, spill=2, list_rows=60)
+    found = X.probe_ivf(lists, centres, v.select(F.col("id").alias("query_id"), "vec"), 12, 3)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and all("strategy=broadcast" in line for line in joins)  # with the sizes of lists only
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    middle = np.array([r.centre for r in centres.orderBy("list_id").collect()])
+    near = lambda n: (-2 * unit @ middle.T + (middle**2).sum(axis=1)).argsort(axis=1, kind="stable")[:, :n]
+    own, probed = near(2), near(3)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    for q in range(400):
+        rows = np.flatnonzero(np.isin(own, probed[q]).any(axis=1))
+        assert got[q] == rows[np.lexsort((rows, -np.round(unit[rows] @ unit[q], 9)))][:12].tolist()
+
+
+def test_queries_with_many_lists_left_are_compared_in_few_large_blocks(spark, monkeypatch):
+    """Vectors without clusters: probes hold a query's vector for ten lists at most, not for all of them."""
+    ship(spark)
+    x = np.random.default_rng(6).normal(size=(600, 32))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>")
+    lists, centres = L.balanced_lists(v, 8)
+    rows, stored = [], L._stored
+
+    def counted(df, label):
+        out = stored(df, label)
+        if label == "probes":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "_stored", counted)
+    found, _ = L.similar_through_lists(lists, centres, v.select(F.col("id").alias("query_id"), "vec"), 5)
+    assert centres.count() > 43 and sum(rows) <= 600 * (10 + L.WIDE_LISTS)
+    got = {(r.query_id, r["rank"]): r.id for r in found.collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    score = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(score, -2)
+    best = np.argsort(-score, axis=1, kind="stable")[:, :5]
+    assert got == {(q, r + 1): int(best[q, r]) for q in range(600) for r in range(5)}
