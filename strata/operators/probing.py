@@ -122,10 +122,14 @@ def align(features: DataFrame, targets: DataFrame, folds: DataFrame) -> DataFram
     return features.join(targets, "id").join(folds, "id").select(F.col("layer").cast("int").alias("model"), "target", "fold", "id", "vec", "y")
 
 
+def _named_values(values: str, names: list[str]) -> Column:
+    return F.array(*[F.try_element_at(values, F.lit(n)).cast("double") for n in names])
+
+
 def target_arrays(targets: DataFrame, names: list[str]) -> DataFrame:
     """(id, ys): the named targets of (id, target, y) in that order, null where missing."""
     known = targets.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("target", "y"))).alias("m"))
-    return known.select("id", F.array(*[F.try_element_at("m", F.lit(n)).cast("double") for n in names]).alias("ys"))
+    return known.select("id", _named_values("m", names).alias("ys"))
 
 
 def _curve_arrays(curves: DataFrame, names: list[str], widths: list[int]) -> DataFrame:
@@ -142,6 +146,9 @@ class _Plan:
     Targets are in blocks of ``BLOCK_COLUMNS`` columns, one model each; a target
     with folds of its own is a model of its own.  The driver holds the targets'
     names, which are descriptors, and their widths.
+
+    Stacks that have ``values``, a map of scalar targets, are not joined with the
+    targets, which then only name what is probed.
     """
 
     def __init__(self, stacks: DataFrame, targets: DataFrame, folds: DataFrame, own_folds: DataFrame | None, curves: bool):
@@ -162,11 +169,14 @@ class _Plan:
         self.rows, self.n = None, folds.count()
         for model, block in self.models.items():
             names, widths = [n for n, _ in block], [w for _, w in block]
-            part = known.where(F.col("target").isin(names))
-            ys = _curve_arrays(part, names, widths) if curves else target_arrays(part, names)
+            if "values" in stacks.columns:
+                with_ys = stacks.withColumn("ys", _named_values("values", names)).where(F.exists("ys", lambda y: y.isNotNull()))
+            else:
+                part = known.where(F.col("target").isin(names))
+                with_ys = stacks.join(_curve_arrays(part, names, widths) if curves else target_arrays(part, names), "id")
             by = own_folds.where(F.col("target") == names[0]).select("id", "fold") if model.startswith("own") else folds
             starts = [sum(widths[:i]) for i in range(len(widths))]
-            made = stacks.join(ys, "id").join(by, "id").select(F.lit(model).alias("model"), F.col("fold").cast("int").alias("fold"), "id", "layers", "ys", G.gaps_of(F.col("ys"), starts).alias("gaps"))
+            made = with_ys.join(by, "id").select(F.lit(model).alias("model"), F.col("fold").cast("int").alias("fold"), "id", "layers", "ys", G.gaps_of(F.col("ys"), starts).alias("gaps"))
             self.rows = made if self.rows is None else self.rows.unionByName(made)
 
     def named(self, found: DataFrame) -> DataFrame:
@@ -174,7 +184,9 @@ class _Plan:
 
 
 def _layer_maps(features: DataFrame) -> DataFrame:
-    """(id, layers): the vectors of each id by layer."""
+    """(id, layers): the vectors of each id by layer; features that have ``layers`` are stacks already."""
+    if "layers" in features.columns:
+        return features
     return features.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("layer").cast("int"), V.doubles(F.col("vec")).alias("vec")))).alias("layers"))
 
 
@@ -223,7 +235,8 @@ def mix_candidates(layer_results: DataFrame, n_layers: int) -> DataFrame:
 def _probe_mixes(features: DataFrame, targets: DataFrame, folds: DataFrame, mixes: DataFrame, n_layers: int, alpha: float, n_folds: int, own_folds: DataFrame | None, curves: bool) -> DataFrame:
     """(target, candidate, metrics) of ids that have all layers."""
     every = F.array(*map(F.lit, range(n_layers)))
-    stacks = _layer_maps(features.where(F.col("layer").between(0, n_layers - 1))).where(F.size(F.array_except(every, F.map_keys("layers"))) == 0)
+    stacks = _layer_maps(features).withColumn("layers", F.map_filter("layers", lambda k, _: k.between(0, n_layers - 1)))
+    stacks = stacks.where(F.size(F.array_except(every, F.map_keys("layers"))) == 0)
     plan = _Plan(stacks, targets, folds, own_folds, curves)
     if plan.rows is None:
         return targets.sparkSession.createDataFrame([], f"target string, candidate int, {G.METRICS}")
@@ -319,21 +332,38 @@ def align_segments(features: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.withColumn("id", F.concat_ws(":", "track_id", "segment_idx"))
 
 
+def _segment_stacks(features: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, track_id, layers, known) of the segments of :func:`align_segments`, one row each: vectors by layer and an array of (target, y).
+
+    Both tables meet in one grouping by track, so no row is made for each layer and target.
+    """
+    keys = ["track_id", "segment_idx"]
+    vecs = features.select(*keys, F.struct(F.col("layer").cast("int").alias("layer"), V.doubles(F.col("vec")).alias("vec")).alias("f"))
+    met = vecs.unionByName(targets.select(*keys, F.struct("target", "y").alias("t")), allowMissingColumns=True).where("track_id is not null and segment_idx is not null")
+    segments = met.repartition("track_id").groupBy(*keys).agg(F.collect_set("f").alias("f"), F.collect_set("t").alias("known"))
+    in_track = lambda c: F.count(F.when(F.size(c) > 0, 1)).over(Window.partitionBy("track_id"))
+    equal = segments.withColumn("equal", in_track("f") == in_track("known")).where("equal and size(f) > 0 and size(known) > 0")
+    return equal.select(F.concat_ws(":", *keys).alias("id"), "track_id", F.map_from_entries("f").alias("layers"), "known")
+
+
 def discover_segments(features: DataFrame, targets: DataFrame, n_layers: int, folds: int = 5, seed: int = 42, mixes: bool = True) -> DataFrame:
     """As :func:`discover`, on segments, with all segments of a track in one fold; adds n_groups and n_tracks.
 
     A target with values in one track only is probed with ungrouped folds over its segments.
+
+    The given tables are read once, for a table of one row a segment; all that follows reads that.
     """
-    rows = align_segments(features, targets)
-    ys = rows.select("id", "track_id", "target", "y").distinct()
+    rows = G.stored(_segment_stacks(features, targets), "segments")
+    ys = rows.select("id", "track_id", F.inline("known"))
     groups = ys.where("y is not null").groupBy("target").agg(F.countDistinct("track_id").alias("n_groups"))
-    gate = valid_targets(ys, folds)
-    fold_table = G.stored(grouped_kfold(ys.select("id", "track_id").distinct(), "id", "track_id", folds, seed), "folds")
-    own = folds_of_single_groups(ys.join(gate.select("target"), "target").select("target", "id", F.col("track_id").alias("group"), "y"), folds, seed)
-    own = G.stored(own, "folds")
-    found = _discover(rows.select("id", "layer", "vec").distinct(), ys.join(gate.select("target"), "target").select("id", "target", "y"), fold_table, gate, n_layers, folds, mixes, own)
     tracks = rows.agg(F.countDistinct("track_id").alias("n_tracks"))
-    return found.join(groups, "target").join(F.broadcast(tracks))
+    gate = G.stored(valid_targets(ys, folds).join(groups, "target").join(F.broadcast(tracks)), "gate")
+    fold_table = G.stored(grouped_kfold(rows.select("id", "track_id"), "id", "track_id", folds, seed), "folds")
+    kept = ys.join(F.broadcast(gate.select("target")), "target")
+    own = G.stored(folds_of_single_groups(kept.select("target", "id", F.col("track_id").alias("group"), "y"), folds, seed), "folds")
+    values = F.map_from_entries(F.filter("known", lambda e: e["target"].isNotNull() & e["y"].isNotNull()))
+    found = _discover(rows.select("id", "layers", values.alias("values")), kept.select("id", "target", "y"), fold_table, gate, n_layers, folds, mixes, own)
+    return found.join(F.broadcast(gate.select("target", "n_groups", "n_tracks")), "target")
 
 
 def best_layers(results: DataFrame) -> DataFrame:

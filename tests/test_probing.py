@@ -141,6 +141,37 @@ def test_a_target_of_one_track_is_probed_with_ungrouped_folds(spark):
     assert r.r2_score == pytest.approx(_ridge(x[4, :, 0], np.array([value(4, s) for s in range(8)]), fold), abs=1e-8)
 
 
+def test_segments_are_read_once_and_are_those_of_align_segments(spark):
+    """Tracks whose numbers of segments differ are left out, segments that one side lacks too, and rows given twice count once."""
+    ship(spark)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((12, 6, 2, 3))
+    vecs = [(f"t{t}", s, k, x[t, s, k].tolist()) for t in range(12) for s in range(6) for k in range(2) if (t, s) not in ((1, 5), (2, 0))]
+    values = [(f"t{t}", s, n, None if n == "gaps" and s == t % 6 else float(x[t, s, 0].sum())) for t in range(12) for s in range(6) for n in ("all", "gaps") if (t, s) != (2, 5)]
+    read = {n: spark.sparkContext.accumulator(0) for n in ("vecs", "values")}
+
+    def counted(rows, name, schema):
+        def run(batches):
+            for b in batches:
+                read[name].add(b.num_rows)
+                yield b
+
+        return spark.createDataFrame(rows, schema).mapInArrow(run, schema)
+
+    feats = counted(vecs + vecs[:8], "vecs", "track_id string, segment_idx int, layer int, vec array<double>")
+    ys = counted(values + values[:8], "values", "track_id string, segment_idx int, target string, y double")
+    out = {(r["mode"], r.layer, r.target): r for r in R.discover_segments(feats, ys, 2).collect()}
+    assert {n: a.value for n, a in read.items()} == {"vecs": len(vecs) + 8, "values": len(values) + 8}
+    rows = R.align_segments(feats, ys).toPandas()
+    assert set(rows.track_id) == {f"t{t}" for t in range(12) if t != 1} and set(rows.segment_idx[rows.track_id == "t2"]) == {1, 2, 3, 4}
+    assert {k[2]: (r.n_valid, r.n_groups, r.n_tracks) for k, r in out.items()} == {n: (rows[(rows.target == n) & rows.y.notna()].id.nunique(), 11, 11) for n in ("all", "gaps")}
+    ids = spark.createDataFrame(rows[["id", "track_id"]].drop_duplicates())
+    long = spark.createDataFrame(rows[["id", "target", "y"]].drop_duplicates()).withColumn("y", F.nanvl("y", F.lit(None)))
+    plain = R.probe_layers(spark.createDataFrame(rows.drop_duplicates(["id", "layer"])[["id", "layer", "vec"]]), long, R.grouped_kfold(ids, "id", "track_id"))
+    for r in plain.collect():
+        assert out["best_layer", r.layer, r.target].r2_score == pytest.approx(r.r2_score, abs=1e-9)
+
+
 def test_groups_are_dealt_in_checksum_order_whatever_their_sizes(spark):
     """As row_number() over (order by md5('42:' || group)) - 1, modulo 5."""
     ids = list(range(0, 57)) + [91, 92, 93]
