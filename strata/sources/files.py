@@ -13,6 +13,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -230,17 +231,33 @@ def copy_files(spark: SparkSession, source: str, target: str, block: int = BLOCK
     return spark.read.schema(done.schema).parquet(path)
 
 
-def spectra(segments: DataFrame, rate: float) -> DataFrame:
-    """(track_id, frame, freq, mag) of segments with samples: one row per bin of each segment's spectrum."""
+#: Samples that one transform of a batch of segments takes.
+TRANSFORMED = 1 << 20
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for track, frame, x in zip(f.track_id, f.segment_idx, f.samples):
-                mag = np.abs(np.fft.rfft(np.asarray(x, dtype=float)))
-                yield pd.DataFrame({"track_id": track, "frame": frame, "freq": np.fft.rfftfreq(len(x), 1 / rate), "mag": mag})
 
+def _spectra(rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (track_id, segment_idx, samples) to rows of bins; segments of one length are transformed together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths = b.column("samples").value_lengths().to_numpy(zero_copy_only=False)
+            for n in map(int, np.unique(lengths)):
+                at, step, freq = np.flatnonzero(lengths == n), max(1, TRANSFORMED // max(1, n)), np.fft.rfftfreq(n, 1 / rate)
+                for lo in range(0, len(at), step):
+                    part = b.take(pa.array(at[lo : lo + step]))
+                    x = part.column("samples").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+                    mag = np.abs(np.fft.rfft(x))
+                    own = pa.array(np.repeat(np.arange(len(x)), len(freq)))
+                    bins = [pa.array(np.tile(freq, len(x))), pa.array(mag.ravel(), from_pandas=True)]
+                    yield pa.RecordBatch.from_arrays([part.column("track_id").take(own), part.column("segment_idx").take(own), *bins], names=["track_id", "frame", "freq", "mag"])
+
+    return run
+
+
+def spectra(segments: DataFrame, rate: float) -> DataFrame:
+    """(track_id, frame, freq, mag) of segments with samples: one row per bin of each segment's spectrum."""
     kind = segments.schema["track_id"].dataType.simpleString()
-    return segments.select("track_id", "segment_idx", "samples").mapInPandas(run, f"track_id {kind}, frame int, freq double, mag double")
+    return segments.select("track_id", F.col("segment_idx").cast("int").alias("segment_idx"), "samples").mapInArrow(_spectra(rate), f"track_id {kind}, frame int, freq double, mag double")
 
 
 def encode_batches(segments: DataFrame, make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], length: int, n_layers: int, batch_size: int = 32) -> DataFrame:

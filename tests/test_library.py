@@ -7,6 +7,7 @@ import math
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,6 +330,20 @@ def test_audio_jobs(spark, tmp_path):
     assert peak == pytest.approx(440, abs=2)
 
 
+def test_spectra_of_a_batch_are_transformed_together(spark, monkeypatch):
+    """One batch of rows for each length of segments, in stretches of bounded size; the bins are those of each segment alone."""
+    rng = np.random.default_rng(6)
+    rows = [(f"t{i}", i % 3, rng.standard_normal(20 if i % 4 else 9).tolist()) for i in range(200)]
+    expected = sorted((t, s, f, m) for t, s, x in rows for f, m in zip(np.fft.rfftfreq(len(x), 1 / 64.0), np.abs(np.fft.rfft(x))))
+    batch = pa.RecordBatch.from_pydict({"track_id": [r[0] for r in rows], "segment_idx": [r[1] for r in rows], "samples": [r[2] for r in rows]})
+    made = list(files._spectra(64.0)(iter([batch])))
+    assert [b.num_rows for b in made] == [50 * 5, 150 * 11]
+    monkeypatch.setattr(files, "TRANSFORMED", 200)
+    assert max(b.num_rows for b in files._spectra(64.0)(iter([batch]))) == 22 * 5
+    found = files.spectra(spark.createDataFrame(rows, "track_id string, segment_idx int, samples array<double>"), 64.0).collect()
+    assert np.allclose([r[2:] for r in sorted(map(tuple, found))], [e[2:] for e in expected]) and [r[:2] for r in sorted(map(tuple, found))] == [e[:2] for e in expected]
+
+
 def test_array_and_target_files(spark, tmp_path):
     x = np.arange(24, dtype=np.float32).reshape(2, 3, 4)
     np.save(tmp_path / "one.npy", x)
