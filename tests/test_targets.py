@@ -232,6 +232,51 @@ def test_pedal_state_is_found_without_a_join(spark, rng):
     assert len(got) == 200
 
 
+def test_pedal_curve_counts_the_points_of_the_grid_without_making_them(spark, rng):
+    """Events at, just before and just after points, before the grid and past it, at one time, without a track; ends in all places."""
+    centres = (np.arange(3000) + 0.5) * 0.01
+    at = [float(v) for c in rng.choice(centres, 60) for v in (c, np.nextafter(c, 0), np.nextafter(c, 99))] + [-3.0, 0.0, 0.005, 29.995, 30.0, 44.0, float("nan")] + [7.5] * 6
+    rows = [(int(rng.integers(5)), int(rng.integers(2)), i, t, 64, int(rng.choice([0, 63, 64, 127]))) for i, t in enumerate(at * 4)]
+    controls = spark.createDataFrame(rows, "track_id int, instrument int, event_id long, t double, cc int, value int")
+    ends = {0: 26.305, 1: float("inf"), 2: 0.005, 3: None, 7: float("nan")}  # track 4 has events only, 7 has none
+    curve = T.pedal_curve(controls, spark.createDataFrame(list(ends.items()), "track_id int, duration double"))
+    assert "Join" not in curve._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.track_id, r.frame): r.x for r in curve.collect()}
+    assert got.keys() == {(t, f) for t in ends for f in range(60)}
+    for track, end in ends.items():
+        on = np.zeros(3000, bool)
+        for k in (0, 1):
+            own = sorted((t, i, v) for a, b, i, t, _, v in rows if (a, b) == (track, k) and t == t)
+            place = np.searchsorted([t for t, _, _ in own], centres, side="right") - 1
+            on |= np.array([p >= 0 and own[p][2] >= 64 for p in place])
+        on &= np.array([end is not None and (end != end or c < end) for c in centres])
+        assert [got[track, f] for f in range(60)] == (on.reshape(60, 50).sum(axis=1) / 50).tolist()
+    held = spark.createDataFrame([(0, 0, 0, 5.1, 64, 127), (0, 0, 1, 15.3, 64, 0)], controls.schema)
+    fine = T.pedal_curve(held, spark.createDataFrame([(0, 30.0)], "track_id int, duration double"), sub=10**7)  # 6e8 points
+    assert _series(fine)[0] == pytest.approx([0] * 10 + [0.8] + [1] * 19 + [0.6] + [0] * 29, abs=1e-6)
+
+
+def test_pedal_query_samples_every_ten_milliseconds(spark, sf):
+    """Half a second is 50 points, not five; held against the events of each track."""
+    from strata.operators import target_queries as Q
+    from strata.plans import views
+
+    ship(spark)
+    events, ends = {}, {}
+    for r in views.controls(spark, sf).orderBy("t", "event_id").collect():
+        events.setdefault(r.track_id, []).append((r.t, r.value))
+    for r in views.notes(spark, sf).selectExpr("track_id", "onset + dur as z").collect():
+        ends[r.track_id] = max(ends.get(r.track_id, 0.0), r.z)
+    got = _series(Q.t15(spark, sf))
+    assert got.keys() == ends.keys()
+    centres = (np.arange(3000) + 0.5) * (0.5 / 50)
+    for track, end in ends.items():
+        own = events.get(track, [])
+        place = np.searchsorted([t for t, _ in own], centres, side="right") - 1
+        on = np.array([p >= 0 and own[p][1] >= 64 for p in place]) & (centres < end)
+        assert got[track] == pytest.approx(on.reshape(60, 50).mean(axis=1).tolist(), abs=1e-9)
+
+
 def test_autocorrelation_of_long_tracks_gaps_and_nulls_sends_a_frame_twice_at_most(spark, rng):
     ship(spark)
     tracks = {"long": rng.normal(size=2300), "short": rng.normal(size=5), "gap": rng.normal(size=40)}
