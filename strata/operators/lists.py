@@ -15,6 +15,7 @@ pairs, and what is compared depends on how the vectors cluster.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,17 +24,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import vectors as V
-from strata.operators.index import LIST_ROWS, SAMPLE, centroids, flat_index
-from strata.operators.search import QUERY_BLOCK, best_of_all, block_topk
+from strata.operators.index import LIST_ROWS, SAMPLE, centroids
+from strata.operators.search import QUERY_BLOCK, _unit_rows, best_of_all, block_topk
 from strata.plans.session import scratch
 
 #: Centres that tasks hold, give or take a factor of two.
 MAX_CENTRES = 4096
 #: Lists that a query probes in each round; the last round probes all that are left within the bound.
 ROUNDS = (2, 8)
-#: A query that has more lists than this left after the rounds is compared with all rows, in blocks of ``WIDE_BLOCK`` rows on
-#: both sides: its vector is then sent once for each block of rows, not once for each list.
-WIDE_LISTS, WIDE_BLOCK = 32, 1 << 14
+#: A query that has more lists than this left after the rounds, or after an earlier round with at least ``WIDE_SHARE`` of all rows,
+#: is compared with all rows, in blocks of at most ``WIDE_BLOCK`` rows on both sides, ``WIDE_BLOCKS`` or more where there are
+#: rows enough: its vector is then sent once for each block of rows, not once for each list.
+WIDE_LISTS, WIDE_SHARE, WIDE_BLOCK, WIDE_BLOCKS = 32, 0.9, 1 << 16, 8
+#: Rows that meet all centres at once.
+_ROWS = 128
 _SLACK = 2e-9
 
 
@@ -43,6 +47,19 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _units(vectors: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, vec) with unit vectors, stored in parts for all cores however few files they come from; null vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _unit_rows(b)
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], names=[key, "vec"])
+
+    rows = vectors.where("vec is not null").select(F.col(key).cast("long").alias(key), F.col("vec").cast("array<double>").alias("vec"))
+    return _stored(rows.repartition(key).mapInArrow(run, f"{key} long, vec array<double>"), label)
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (-2 * x @ centres.T + (centres**2).sum(axis=1)).argmin(axis=1)
 
@@ -65,7 +82,7 @@ def _assigned(centres: np.ndarray):
     unit = centres / np.maximum(np.linalg.norm(centres, axis=1), 1e-12)[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, _ROWS) for whole in batches for lo in range(0, whole.num_rows, _ROWS)):
             if b.num_rows:
                 x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 near = (x @ unit.T).argmax(axis=1)
@@ -86,7 +103,7 @@ def balanced_lists(vectors: DataFrame, list_rows: int = LIST_ROWS, seed: int = 7
     if list_rows <= 0:
         raise ValueError("list_rows must be positive")
     spark = vectors.sparkSession
-    flat = _stored(flat_index(vectors).select(F.col("id").cast("long").alias("id"), "vec"), "unit")
+    flat = _units(vectors, "id", "unit")
     n = flat.count()
     table = "list_id int, centre array<double>, radius double, n long, parts int"
     if not n:
@@ -111,27 +128,47 @@ def balanced_lists(vectors: DataFrame, list_rows: int = LIST_ROWS, seed: int = 7
     return _stored(dealt, "parts"), _stored(known, "centres")
 
 
+def _first(bound: np.ndarray, n: int) -> np.ndarray:
+    """The columns of each row's first n places by bound, ties by column; a few places without sorting the rest."""
+    if n > 32:
+        return np.argsort(-bound, axis=1, kind="stable")[:, :n]
+    left, at, out = bound.copy(), np.arange(len(bound)), np.empty((len(bound), n), dtype=np.int64)
+    for i in range(n):
+        out[:, i] = left.argmax(axis=1)
+        left[at, out[:, i]] = -np.inf
+    return out
+
+
 def _probes(centres: np.ndarray, radius: np.ndarray, names: np.ndarray, parts: np.ndarray, rows: np.ndarray, step: int | None, count: bool = False):
-    """Queries (query_id, q, reach, done) with the lists of their next ``step`` places (all, if None) that may hold a row of similarity ``reach``; with ``count`` the queries with the number of these lists."""
+    """Queries (query_id, q, reach, done) with the lists of their next ``step`` places (all, if None) that may hold a row of similarity ``reach``; with ``count`` the queries with the number of these lists and of their rows."""
+    wide = np.minimum(radius, np.pi)
+    cos, sin = np.cos(wide), np.sin(wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
+        for b in (whole.slice(lo, _ROWS) for whole in batches for lo in range(0, whole.num_rows, _ROWS)):
             q = b.column("q").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            gap = np.arccos(np.clip(q @ centres.T, -1, 1)) - radius
-            bound = np.cos(np.clip(gap, 0, np.pi))
+            s = q @ centres.T
+            np.clip(s, -1, 1, out=s)
+            bound = np.square(s)
+            np.sqrt(np.subtract(1, bound, out=bound), out=bound)
+            bound *= sin
+            bound += s * cos
+            bound[s >= cos] = 1.0  # the cosine of the angle to the centre less the radius
             bound[np.linalg.norm(q, axis=1) == 0] = 0.0  # all similarities of a zero vector are 0
-            order = np.lexsort((np.broadcast_to(names, bound.shape), -bound), axis=1)
-            sorted_bound = np.take_along_axis(bound, order, axis=1)
-            place = np.arange(len(names))
-            done, reach = b.column("done").to_numpy()[:, None], b.column("reach").to_numpy()[:, None]
-            chosen = (place >= done) & (sorted_bound >= reach - _SLACK)
-            if step is not None:
-                chosen &= place < done + step
-            if count:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chosen.sum(axis=1).astype(np.int32))], names=[*b.schema.names, "lists"])
-                continue
-            row, at = np.nonzero(chosen)
-            found = order[row, at]
+            done, reach = b.column("done").to_numpy(), b.column("reach").to_numpy()
+            last = min(int(done.max()) + (step or 0), len(names))
+            first = _first(bound, last)
+            near = (np.take_along_axis(bound, first, axis=1) >= reach[:, None] - _SLACK) & (np.arange(last) >= done[:, None])
+            if step is None:
+                chosen = bound >= reach[:, None] - _SLACK
+                np.put_along_axis(chosen, first, near, axis=1)
+                if count:
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chosen.sum(axis=1).astype(np.int32)), pa.array((chosen @ rows.astype(np.float64)).astype(np.int64))], names=[*b.schema.names, "lists", "rows"])
+                    continue
+                row, found = np.nonzero(chosen)
+            else:
+                row, place = np.nonzero(near & (np.arange(last) < done[:, None] + step))
+                found = first[row, place]
             yield pa.RecordBatch.from_arrays(
                 [b.column("query_id").take(pa.array(row)), b.column("q").take(pa.array(row)), pa.array(names[found]), pa.array(parts[found]), pa.array(rows[found])], names=["query_id", "q", "list_id", "parts", "n"]
             )
@@ -153,23 +190,26 @@ def similar_through_lists(lists: DataFrame, centres: DataFrame, queries: DataFra
         raise ValueError("k must be positive")
     table = centres.orderBy("list_id").collect()  # at most twice MAX_CENTRES rows
     spark = queries.sparkSession
-    unit = queries.where("vec is not null").select(F.col("query_id").cast("long").alias("query_id"), V.l2_normalise(F.col("vec")).alias("q"))
     if not table:
         return spark.createDataFrame([], "query_id long, id long, similarity double, rank int"), spark.createDataFrame([], "round int, pairs long")
     known = (np.array([r.centre for r in table]), np.array([r.radius for r in table]) + 1e-7, *(np.array([r[c] for r in table], dtype=t) for c, t in (("list_id", np.int32), ("parts", np.int32), ("n", np.int64))))
-    open_ = _stored(unit.withColumns({"reach": F.lit(-2.0), "done": F.lit(0)}), "queries")
+    unit = _units(queries, "query_id", "queries").select("query_id", F.col("vec").alias("q"))
+    open_, wide = unit.withColumns({"reach": F.lit(-2.0), "done": F.lit(0)}), []
     best = spark.createDataFrame([], "query_id long, id long, similarity double, place double")
     order = Window.partitionBy("query_id").orderBy(F.col("place").desc(), "id")
-    counts = []
+    counts, total = [], int(known[4].sum())
     for number, step in enumerate((*rounds, None)):
-        if step is None:
-            left_over = _stored(open_.mapInArrow(_probes(*known, None, count=True), "query_id long, q array<double>, reach double, done int, lists int"), "queries")
-            wide, open_ = left_over.where(F.col("lists") > WIDE_LISTS).select(F.col("query_id").alias("id"), F.col("q").alias("vec")), left_over.where(F.col("lists") <= WIDE_LISTS).drop("lists")
-            n_wide = wide.count()
+        if number or step is None:
+            left_over = _stored(open_.mapInArrow(_probes(*known, None, count=True), "query_id long, q array<double>, reach double, done int, lists int, rows long"), "queries")
+            many = F.col("lists") > WIDE_LISTS
+            if step is not None:
+                many &= F.col("rows") >= WIDE_SHARE * total
+            n_wide, n = left_over.agg(F.count_if(many), F.count("*")).first()
             if n_wide:
-                counts.append(spark.range(1).select(F.lit(number).alias("round"), F.lit(n_wide * int(known[4].sum())).cast("long").alias("pairs")))
-                every = best_of_all(lists.select("id", "vec"), wide, k, exclude_self, WIDE_BLOCK, WIDE_BLOCK)
-                best = best.join(wide.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(every)
+                wide.append((n_wide, left_over.where(many).select(F.col("query_id").alias("id"), F.col("q").alias("vec"), "reach")))
+            open_ = left_over.where(~many).drop("lists", "rows")
+            if n == n_wide:
+                break
         probes = _stored(open_.mapInArrow(_probes(*known, step), "query_id long, q array<double>, list_id int, parts int, n long"), "probes")
         counts.append(probes.agg(F.lit(number).alias("round"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")))
         # The queries of a list are dealt to blocks; each block meets each part of the list.
@@ -187,8 +227,14 @@ def similar_through_lists(lists: DataFrame, centres: DataFrame, queries: DataFra
             reach = best.groupBy("query_id").agg(F.min("place").alias("last"), F.count("*").alias("have"))
             reach = reach.select("query_id", F.when(F.col("have") == k, F.col("last")).alias("found"))
             open_ = _stored(open_.join(reach, "query_id", "left").select("query_id", "q", F.coalesce("found", F.lit(-2.0)).alias("reach"), (F.col("done") + step).alias("done")), "queries")
+    if wide:
+        asked, n_wide = reduce(DataFrame.unionByName, [df for _, df in wide]), sum(n for n, _ in wide)
+        counts.append(spark.range(1).select(F.lit(len(rounds)).alias("round"), F.lit(n_wide * total).cast("long").alias("pairs")))
+        block = lambda n: -(-n // max(-(-n // WIDE_BLOCK), min(WIDE_BLOCKS, -(-n // QUERY_BLOCK))))
+        every = best_of_all(lists.select("id", "vec"), asked, k, exclude_self, block(n_wide), block(total))
+        rest = best.join(asked.select(F.col("id").alias("query_id")), "query_id", "left_anti")
+        best = _stored(rest.unionByName(every).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "best")
     ranked = best.withColumn("rank", F.row_number().over(order)).drop("place")
-    compared = counts[0]
-    for c in counts[1:]:
-        compared = compared.unionByName(c)
-    return ranked, compared
+    if not counts:
+        return ranked, spark.createDataFrame([], "round int, pairs long")
+    return ranked, reduce(DataFrame.unionByName, counts)

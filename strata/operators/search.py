@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from strata.functions import vectors as V
 from strata.plans.session import scratch
 
-#: Queries that a task holds, rows of the corpus that they meet in it, and rows that are scored at once.
-QUERY_BLOCK, CORPUS_BLOCK, CORPUS_SLICE = 2048, 1 << 16, 1024
+#: Queries that a task holds, rows of the corpus that they meet in it, rows that are scored at once, and queries that meet these in single precision at once.
+QUERY_BLOCK, CORPUS_BLOCK, CORPUS_SLICE, SINGLE_BLOCK = 2048, 1 << 16, 1024, 1024
+#: Pairs of blocks have a task each, up to so many tasks.
+BLOCK_TASKS = 10_000
 
 
 def _literal(values) -> Column:
@@ -62,10 +64,104 @@ def _unit_rows(b: pa.RecordBatch) -> np.ndarray:
     return _unit(b.column("vec"), b.num_rows)
 
 
+def _hits(above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true entries of a matrix whose width is a multiple of eight, looked for by words of eight."""
+    words = above.view(np.uint64)
+    row, word = np.divmod(np.flatnonzero(words), words.shape[1])
+    at, bit = np.nonzero(above.reshape(*words.shape, 8)[row, word])
+    return row[at], word[at] * 8 + bit
+
+
+class _Best:
+    """The k best rows so far of each query of a block: ids, similarities, and these to nine places.
+
+    A ``reach`` is the similarity to nine places of a query's k-th row as known
+    elsewhere, -2 for none.  If some queries have none, the first rows are scored
+    whole.  After that products of single precision tell which pairs may be among
+    the best, with a slack of more than their error, and only these are scored.
+    """
+
+    def __init__(self, k: int, exclude_self: bool, q_ids: np.ndarray, q: np.ndarray, reach: np.ndarray | None):
+        self.k, self.exclude_self, self.q_ids, self.q, self.seen = k, exclude_self, q_ids, q, 0
+        self.single = q.astype(np.float32)
+        self.reach = np.full(len(q), -2.0) if reach is None else reach
+        self.ids = np.zeros((len(q), k), dtype=np.int64)
+        self.place, self.raw = np.full((len(q), k), -np.inf), np.full((len(q), k), -np.inf)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        lo, enough = 0, max(64, 4 * self.k)
+        while lo < len(ids):
+            # Without a reach the first slices are small, each as large as all before, so that the next ones have few candidates.
+            hi = min(lo + (max(enough, self.seen) if self.reach.min() <= -2 else len(ids)), len(ids))
+            if self.seen < enough and self.reach.min() <= -2:
+                self.whole(ids[lo:hi], x[lo:hi])
+            else:
+                self._above(ids[lo:hi], x[lo:hi])
+            lo, self.seen = hi, self.seen + hi - lo
+
+    def whole(self, ids: np.ndarray, x: np.ndarray, out: np.ndarray | None = None, first: int = 0, last: int | None = None) -> None:
+        """All pairs of rows with the queries from ``first`` to ``last``; those of ``out`` don't count."""
+        last = len(self.q) if last is None else last
+        for lo in range(first, last, QUERY_BLOCK):
+            mine = slice(lo, min(lo + QUERY_BLOCK, last))
+            raw = self.q[mine] @ x.T
+            scores, own = np.round(raw, 9), np.broadcast_to(ids, raw.shape)
+            scores[np.isnan(scores)] = -np.inf
+            if self.exclude_self:
+                scores[own == self.q_ids[mine, None]] = -np.inf
+            if out is not None:
+                scores[out[mine]] = -np.inf
+            own, scores, raw = _leading(self.k, *(np.concatenate(c, axis=1) for c in ((self.ids[mine], own), (self.place[mine], scores), (self.raw[mine], raw))))
+            top = np.lexsort((own, -scores), axis=1)[:, : self.k]
+            self.ids[mine], self.place[mine], self.raw[mine] = (np.take_along_axis(c, top, axis=1) for c in (own, scores, raw))
+
+    def _above(self, ids: np.ndarray, x: np.ndarray) -> None:
+        n, dim = x.shape
+        other, most = x.astype(np.float32).T, max(1.0, float(np.linalg.norm(x, axis=1).max(initial=0)))
+        slack = (dim + 8) * 2.0**-23 * most + 1e-9  # twice what the sums and the threshold lose by single precision, and what nine places lose
+        products, above = np.empty((SINGLE_BLOCK, n), dtype=np.float32), np.zeros((SINGLE_BLOCK, -(-n // 8) * 8), dtype=bool)
+        for lo in range(0, len(self.q), SINGLE_BLOCK):
+            part = self.single[lo : lo + SINGLE_BLOCK]
+            known = np.maximum(self.reach[lo : lo + len(part)], self.place[lo : lo + len(part), -1])
+            np.dot(part, other, out=products[: len(part)])
+            np.greater_equal(products[: len(part)], (known - slack).astype(np.float32)[:, None], out=above[: len(part), :n])
+            if np.count_nonzero(above[: len(part)]) > len(part) * n / 8:  # groups of equal vectors
+                self.whole(ids, x, None, lo, lo + len(part))
+                continue
+            row, col = _hits(above[: len(part)])
+            for s in range(0, len(row), 1 << 16):
+                self._merge(row[s : s + (1 << 16)] + lo, col[s : s + (1 << 16)], ids, x)
+
+    def _merge(self, row: np.ndarray, col: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Score pairs, which come by row, and keep each row's best k."""
+        raw, own = np.empty(len(row)), ids[col]
+        for s in range(0, len(row), 2048):  # what the cache holds
+            np.einsum("ij,ij->i", self.q[row[s : s + 2048]], x[col[s : s + 2048]], out=raw[s : s + 2048])
+        place, last = np.round(raw, 9), self.place[row, -1]
+        better = (place >= self.reach[row]) & ((place > last) | ((place == last) & (own < self.ids[row, -1])))
+        if self.exclude_self:
+            better &= own != self.q_ids[row]
+        row, own, place, raw = (c[better] for c in (row, own, place, raw))
+        if not len(row):
+            return
+        mine = row[np.flatnonzero(np.diff(row, prepend=-1))]
+        rows = np.concatenate((np.repeat(mine, self.k), row))
+        own, place, raw = (np.concatenate((kept[mine].ravel(), c)) for kept, c in ((self.ids, own), (self.place, place), (self.raw, raw)))
+        order = np.lexsort((own, -place, rows))
+        first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        top = order[(first[:, None] + np.arange(self.k)).ravel()]  # each row has its k so far, and more
+        self.ids[mine], self.place[mine], self.raw[mine] = (c[top].reshape(-1, self.k) for c in (own, place, raw))
+
+    def rows(self) -> pa.RecordBatch:
+        row, col = np.nonzero(self.place > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.q_ids[row]), pa.array(self.ids[row, col]), pa.array(self.raw[row, col]), pa.array(self.place[row, col])], names=["query_id", "id", "similarity", "place"])
+
+
 def block_topk(k: int, exclude_self: bool, vectors: Callable[[pa.RecordBatch], np.ndarray] = _unit_rows, lists: int = 0):
     """Rows come sorted by (left, right, corpus): the queries of a pair of blocks, then its corpus, of which a slice at a time is scored.
 
-    ``vectors`` makes the corpus' vectors.  With a number of ``lists`` a query has
+    ``vectors`` makes the corpus' vectors.  Queries may have a ``reach``: no row
+    less similar to nine places counts.  With a number of ``lists`` a query has
     the lists it probes in ``probed`` and a row of the corpus its lists in
     ``list_ids``; the row counts only in the first of them that the query probes.
     """
@@ -78,15 +174,8 @@ def block_topk(k: int, exclude_self: bool, vectors: Callable[[pa.RecordBatch], n
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, q_ids, q, probed = None, [], [], []
-        best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if best is not None:
-                ids, scores, raw = best
-                rows, cols = np.nonzero(scores > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[0][rows]), pa.array(ids[rows, cols]), pa.array(raw[rows, cols]), pa.array(scores[rows, cols])], names=["query_id", "id", "similarity", "place"])
-
+        current, q_ids, q, reach, probed = None, [], [], [], []
+        best: _Best | None = None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -94,34 +183,31 @@ def block_topk(k: int, exclude_self: bool, vectors: Callable[[pa.RecordBatch], n
             edge = np.flatnonzero((left[1:] != left[:-1]) | (right[1:] != right[:-1]) | (kind[1:] != kind[:-1])) + 1
             for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows]):
                 if current != (left[lo], right[lo]):
-                    yield from done()
-                    current, q_ids, q, probed, best = (left[lo], right[lo]), [], [], [], None
+                    if best is not None:
+                        yield best.rows()
+                    current, q_ids, q, reach, probed, best = (left[lo], right[lo]), [], [], [], [], None
                 if not kind[lo]:
                     q_ids.append(ids[lo:hi])
                     q.append(_unit(b.column("vec").slice(lo, hi - lo), hi - lo))
+                    if "reach" in b.schema.names:
+                        reach.append(b.column("reach").slice(lo, hi - lo).to_numpy(zero_copy_only=False))
                     if lists:
                         probed.append(np.zeros((hi - lo, lists), dtype=np.float32))
                         np.put_along_axis(probed[-1], b.column("probed").slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1), 1, axis=1)
                     continue
                 if not q:
                     continue
-                q_ids, q = [np.concatenate(q_ids)], [np.concatenate(q)]
-                probed = [np.concatenate(probed)] if lists else []
-                width = max(64, CORPUS_SLICE * QUERY_BLOCK // max(QUERY_BLOCK, len(q[0])))
-                for s in range(lo, hi, width):
-                    e = min(s + width, hi)
-                    raw = q[0] @ vectors(b.slice(s, e - s)).T
-                    scores, own = np.round(raw, 9), np.broadcast_to(ids[s:e], raw.shape)
-                    if exclude_self:
-                        scores[own == q_ids[0][:, None]] = -np.inf
+                if best is None:
+                    best = _Best(k, exclude_self, np.concatenate(q_ids), np.concatenate(q), np.concatenate(reach) if reach else None)
+                    probed = [np.concatenate(probed)] if lists else []
+                for s in range(lo, hi, CORPUS_SLICE):
+                    rows = b.slice(s, min(CORPUS_SLICE, hi - s))
                     if lists:
-                        scores[probed[0] @ earlier(b.slice(s, e - s)).T > 0] = -np.inf
-                    if best is not None:
-                        own, scores, raw = (np.concatenate(x, axis=1) for x in zip(best, (own, scores, raw)))
-                    own, scores, raw = _leading(k, own, scores, raw)
-                    top = np.lexsort((own, -scores), axis=1)[:, :k]
-                    best = tuple(np.take_along_axis(x, top, axis=1) for x in (own, scores, raw))
-        yield from done()
+                        best.whole(ids[s : s + rows.num_rows], vectors(rows), probed[0] @ earlier(rows).T > 0)
+                    else:
+                        best.add(ids[s : s + rows.num_rows], vectors(rows))
+        if best is not None:
+            yield best.rows()
 
     return run
 
@@ -144,13 +230,16 @@ def similar_to_all(corpus: DataFrame, queries: DataFrame, k: int = 10, exclude_s
 
 
 def best_of_all(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool, query_block: int, corpus_block: int) -> DataFrame:
-    """(query_id, id, similarity, place): the k best rows of each block of the corpus (id, vec) for each query (id, vec)."""
+    """(query_id, id, similarity, place): the k best rows of each block of the corpus (id, vec) for each query (id, vec), of those at its ``reach`` or above if it has one."""
     side = lambda df, n: df.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     n_left, n_right = -(-queries.count() // query_block) or 1, -(-corpus.count() // corpus_block) or 1
-    asked = side(queries, n_left).select(F.col("own").alias("left"), every(n_right).alias("right"), F.lit(0).alias("corpus"), "id", "vec")
-    known = side(corpus, n_right).select(every(n_left).alias("left"), F.col("own").alias("right"), F.lit(1).alias("corpus"), "id", "vec")
-    met = asked.unionByName(known).repartition("left", "right").sortWithinPartitions("left", "right", "corpus")
+    more = [c for c in queries.columns if c == "reach"]
+    asked = side(queries, n_left).select(F.col("own").alias("left"), every(n_right).alias("right"), F.lit(0).alias("corpus"), "id", "vec", *more)
+    known = side(corpus, n_right).select(every(n_left).alias("left"), F.col("own").alias("right"), F.lit(1).alias("corpus"), "id", "vec", *[F.lit(None).cast("double").alias(c) for c in more])
+    tasks = min(n_left * n_right, BLOCK_TASKS)
+    own = F.pmod(F.col("left").cast("long") * n_right + F.col("right"), F.lit(tasks)).cast("int")
+    met = asked.unionByName(known).repartitionById(tasks, own).sortWithinPartitions("left", "right", "corpus")
     return met.mapInArrow(block_topk(k, exclude_self), "query_id long, id long, similarity double, place double")
 
 
